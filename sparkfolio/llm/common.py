@@ -9,13 +9,16 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkfolio.functions.shipping import ship_package
+
 #: ASCII white space, the separators of words.
 SPACE = "[\\x20\\x09-\\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the given folder, read by Spark alone."""
+    """A table of the given folder, read by Spark alone; the package goes to the executors with the first one."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

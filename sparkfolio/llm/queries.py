@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfolio.llm import chat, line_dedup, mixing, quality
+from sparkfolio.llm import chat, html_text, lattice, licenses, line_dedup, minhash, mixing, packing, quality, toxicity
 from sparkfolio.llm.common import table
 
 QUERIES: dict = {}
@@ -164,3 +164,40 @@ j AS (SELECT k.*, coalesce(k.doc_id <> r.first, false) AS gone FROM k LEFT JOIN
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM j GROUP BY rid, doc_id"""
+
+
+@_query
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share at least 85 % of their three-word shingles."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
+
+
+@_query
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces placed in sequences of 4096 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link counts and components of all embeddings."""
+    return lattice.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases, labels and scores of all documents."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@_query
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of all pages."""
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+@_query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model fitted to the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
