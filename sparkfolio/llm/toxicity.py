@@ -1,18 +1,19 @@
 """Toxicity by a gap-weighted subsequence kernel and a support vector machine on Nyström landmarks.
 
-The kernel of two words counts their common subsequences of three letters, each weighted by how far it is spread out,
-so a word with letters put between or an ending of its own stays close to the word it comes from.  Landmarks are words
-that mark toxic training documents, spread out by the kernel itself, and common words beside them.  A sentence is
-described by its kernel to each landmark (that of its nearest word), whitened by the landmarks' own kernel matrix; a
-linear support vector machine is trained on sentences: each labelled document gives the one that speaks most for its
-being toxic, picked anew as the machine gets better.  A document scores as its worst sentence.
+The kernel of two words counts their common subsequences of three letters (the word's two ends count as letters), each
+weighted by how far it is spread out, so a word with letters put between or an ending of its own stays close to the
+word it comes from.  Landmarks are words that mark toxic training documents, spread out by the kernel itself, and common
+words beside them.  A sentence is as bad as its worst word and a document as its worst sentence; a linear support vector
+machine on the landmarks' whitened kernel is trained on the worst sentences of labelled documents, picked anew as it gets
+better.  As the kernel has an explicit feature map, the machine is one weight for each subsequence when it scores.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from heapq import nlargest
 
 import numpy as np
 import pyarrow as pa
@@ -21,137 +22,161 @@ from pyspark.sql import functions as F
 
 from sparkfolio.llm.common import staged
 
-DECAY, SPAN = 0.6, 6
+DECAY, SPAN = 0.7, 7
 LETTERS = 32
-LANDMARKS, COMMON = 96, 32
+#: Number of subsequences of four letters.
+KEYS = LETTERS**4
+LANDMARKS, COMMON = 128, 32
 #: Bounds of the training sample: documents of each label, taken in the order of a hash of their doc_id.
-FIT_TOXIC, FIT_CLEAN = 3000, 6000
+FIT_TOXIC, FIT_CLEAN = 2000, 4000
 CANDIDATES, MIN_DOCS = 4000, 4
-MAX_LIKENESS = 0.75
-#: Power of the kernel (again a kernel), which keeps near words apart from merely similar ones.
-POWER = 2
-ROUNDS, PENALTY = 6, 0.05
+MAX_LIKENESS = 0.8
+#: Rounds of training, weight of the margin, and words that a document shows of itself.
+ROUNDS, PENALTY, SHOWN = 4, 0.01, 3
 THRESHOLD = 0.3
-CACHE_WORDS = 150_000
-_EDGE = ".,;:!?\"'()[]{}<>«»„“”‚‘’…¿¡*_~`-"
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+CACHE_WORDS = 400_000
+_EDGE = ".,;:!?\"'()[]{}<>«»„“”‚‘’…¿¡*_~`-#%&$+=/\\|^@"
 
 
-def sentences(text: str | None) -> list[list[str]]:
-    """The sentences of a text as lists of words, lower case, without punctuation at their ends."""
-    out = []
-    for s in _SENTENCE.split(text.lower()) if text else []:
-        if ws := [w for c in s.split() if (w := c.strip(_EDGE))]:
-            out.append(ws)
+def words_of_text(text: str | None) -> set[str]:
+    """The distinct words of a text, lower case, without punctuation at their ends."""
+    out = {c.strip(_EDGE) for c in set(text.lower().split())} if text else set()
+    out.discard("")
     return out
 
 
 def _codes(word: str) -> np.ndarray:
-    """Letters as numbers below ``LETTERS``: a-z apart, all others by their code point."""
-    return np.array([ord(c) - 97 if "a" <= c <= "z" else 26 + ord(c) % (LETTERS - 26) for c in word], dtype=np.int64)
+    """Letters as numbers below ``LETTERS``: the two ends, a-z apart, all others by their code point."""
+    at = np.frombuffer(word.encode("utf-32-le", "replace"), dtype="<u4").astype(np.int64)
+    return np.where((at >= 97) & (at <= 122), at - 97, np.where(at == _START, 26, np.where(at == _END, 27, 28 + at % (LETTERS - 28))))
 
 
-#: Places of three letters within a span, relative to the first, and their weights.
-_STEPS = [(j, k, DECAY ** (k + 1)) for k in range(2, SPAN) for j in range(1, k)]
+_START, _END = 1, 2  # control characters that stand for a word's ends
+
+#: Places of four letters within a span, relative to the first, and their weights.
+_STEPS = [(j, k, n, DECAY ** (n + 1)) for n in range(3, SPAN) for k in range(2, n) for j in range(1, k)]
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse feature maps of words: (word, subsequence, weight), one row for each subsequence of a word, norm 1 for each word."""
-    lengths = np.array([len(w) for w in words], dtype=np.int64)
-    codes = _codes("".join(words))
+    lengths = np.array([len(w) + 2 for w in words], dtype=np.int64)
+    codes = _codes("".join(f"{chr(_START)}{w}{chr(_END)}" for w in words))
     word = np.repeat(np.arange(len(words)), lengths)
     left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))  # letters from here to the word's end
     owner, keys, weights = [], [], []
-    for j, k, weight in _STEPS:
-        at = np.flatnonzero(left > k)
+    for j, k, n, weight in _STEPS:
+        at = np.flatnonzero(left > n)
         owner.append(word[at])
-        keys.append((codes[at] * LETTERS + codes[at + j]) * LETTERS + codes[at + k])
+        keys.append(((codes[at] * LETTERS + codes[at + j]) * LETTERS + codes[at + k]) * LETTERS + codes[at + n])
         weights.append(np.full(len(at), weight))
     owner, keys, weights = np.concatenate(owner), np.concatenate(keys), np.concatenate(weights)
-    joint, where = np.unique(owner * LETTERS**3 + keys, return_inverse=True)
+    joint, where = np.unique(owner * KEYS + keys, return_inverse=True)
     weight = np.bincount(where, weights, len(joint))
-    owner, keys = joint // LETTERS**3, joint % LETTERS**3
+    owner, keys = joint // KEYS, joint % KEYS
     norm = np.sqrt(np.bincount(owner, weight**2, len(words)))
     return owner, keys, weight / norm[owner]
 
 
-def kernel(words: list[str], dense: np.ndarray) -> np.ndarray:
-    """Normalised kernel of each word with each landmark; ``dense`` is [subsequence, landmark]."""
-    out = np.zeros((len(words), dense.shape[1]), dtype=np.float32)
-    for lo in range(0, len(words), 4096):
-        part = words[lo : lo + 4096]
-        owner, keys, weight = features(part)
-        if len(owner):
-            rows = dense[keys] * weight[:, None].astype(np.float32)
-            first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-            out[lo + owner[first]] = np.add.reduceat(rows, first, axis=0) ** POWER
-    return out
+class Landmarks:
+    """Words whose feature maps lie side by side, as a matrix over the subsequences that any of them has."""
 
+    def __init__(self, words: list[str]):
+        self.words = words
+        owner, keys, weight = features(words)
+        self.keys, row = np.unique(keys, return_inverse=True)
+        self.place = np.full(KEYS, -1, dtype=np.int32)
+        self.place[self.keys] = np.arange(len(self.keys))
+        self.maps = np.zeros((len(self.keys), len(words)), dtype=np.float32)
+        self.maps[row, owner] = weight
 
-def dense_map(landmarks: list[str]) -> np.ndarray:
-    """Feature maps of the landmarks as a matrix [subsequence, landmark]."""
-    out = np.zeros((LETTERS**3, len(landmarks)), dtype=np.float32)
-    owner, keys, weight = features(landmarks)
-    out[keys, owner] = weight
-    return out
+    def kernel(self, words: list[str]) -> np.ndarray:
+        """Normalised kernel of each word with each landmark."""
+        out = np.zeros((len(words), len(self.words)))
+        for lo in range(0, len(words), 1024):
+            owner, keys, weight = features(words[lo : lo + 1024])
+            known = self.place[keys] >= 0
+            owner, rows = owner[known], self.maps[self.place[keys[known]]] * weight[known, None]
+            if len(owner):
+                first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+                out[lo + owner[first]] = np.add.reduceat(rows, first, axis=0)
+        return out
 
 
 class Reader:
-    """Kernel values of words, each distinct word computed once."""
-
-    def __init__(self, landmarks: list[str]):
-        self.dense, self.place, self.values = dense_map(landmarks), {}, np.zeros((0, len(landmarks)), dtype=np.float32)
+    """Values of words, each distinct word computed once."""
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.place) > CACHE_WORDS:
-            self.place, self.values = {}, self.values[:0]
-        new = list(words - self.place.keys())
-        if new:
-            self.place.update(zip(new, range(len(self.values), len(self.values) + len(new)), strict=True))
-            self.values = np.vstack([self.values, kernel(new, self.dense)])
+    def __init__(self, value: Callable[[list[str]], np.ndarray], none: float):
+        self.value, self.none, self.known = value, none, {}
 
-    def describe(self, parts: list[list[str]]) -> np.ndarray:
-        """For each sentence, the kernel of its nearest word to each landmark."""
-        at = np.fromiter((self.place[w] for s in parts for w in s), dtype=np.int64)
-        ends = np.cumsum([0, *(len(s) for s in parts)])[:-1]
-        return np.maximum.reduceat(self.values[at], ends, axis=0)
+    def worst(self, documents: list[set[str]]) -> list[list[tuple[float, str]]]:
+        """For each document its ``SHOWN`` words of the largest values, largest first; a document without words has one empty word."""
+        if len(self.known) > CACHE_WORDS:
+            self.known = {}
+        new = list(set().union(*documents) - self.known.keys())
+        for lo in range(0, len(new), 4096):
+            part = new[lo : lo + 4096]
+            self.known.update(zip(part, self.value(part).tolist(), strict=True))
+        get = self.known.__getitem__
+        return [nlargest(SHOWN, zip(map(get, words), words, strict=True)) or [(self.none, "")] for words in documents]
 
 
 @dataclass
-class Model:
-    """Landmarks and a linear function of the kernel to them; ``slope`` and ``shift`` turn it into a probability."""
+class Linear:
+    """One weight for each subsequence (those with any), and a bias."""
 
-    landmarks: list[str]
+    keys: np.ndarray
     weights: np.ndarray
     bias: float
-    slope: float
-    shift: float
+
+    def value(self) -> Callable[[list[str]], np.ndarray]:
+        dense = np.zeros(KEYS, dtype=np.float32)
+        dense[self.keys] = self.weights
+
+        def run(words: list[str]) -> np.ndarray:
+            owner, keys, weight = features(words)
+            return np.bincount(owner, dense[keys] * weight, len(words)) + self.bias
+
+        return run
+
+
+@dataclass
+class Nearest:
+    """The largest kernel with a landmark, times how much that landmark tells: what training starts from."""
+
+    words: list[str]
+    tells: np.ndarray
+    bias: float = 0.0
+
+    def value(self) -> Callable[[list[str]], np.ndarray]:
+        landmarks = Landmarks(self.words)
+        return lambda words: (landmarks.kernel(words) * self.tells).max(axis=1)
 
 
-def _described(docs: DataFrame, landmarks: list[str], weights: np.ndarray, bias: float, extra: str) -> DataFrame:
-    """doc_id, ``extra``, the largest value of ``weights`` over sentences and, in training, that sentence's description."""
-    with_sentence = extra == "y"
-    schema = f"doc_id long, {extra} int, value double" + (", x array<float>" if with_sentence else "")
+@dataclass
+class Model:
+    """The machine, and how the two largest values of a document turn into a probability."""
+
+    machine: Linear
+    curve: np.ndarray
+
+    def probability(self, first: Column, second: Column) -> Column:
+        return 1 / (1 + F.exp(-(first * float(self.curve[0]) + second * float(self.curve[1]) + float(self.curve[2]))))
+
+
+def _worst(docs: DataFrame, machine: Linear | Nearest, extra: str) -> DataFrame:
+    """doc_id, ``extra``, the document's worst words and their values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(landmarks)
+        reader = Reader(machine.value(), machine.bias)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
-                split = [sentences(t.as_py()) for t in batch.column(2)]
-                reader.learn({w for parts in split for s in parts for w in s})
-                values, kept = [], []
-                for parts in split:
-                    x = reader.describe(parts) if parts else np.zeros((1, len(landmarks)), dtype=np.float32)
-                    f = x @ weights + bias
-                    values.append(float(f.max()))
-                    kept.append(x[int(f.argmax())])
-                columns = [batch.column(0), batch.column(1), pa.array(values, pa.float64())]
-                if with_sentence:
-                    columns.append(pa.array(kept, pa.list_(pa.float32())))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", extra, "value", *(["x"] if with_sentence else [])])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col(extra).cast("int"), "text").mapInArrow(run, schema)
+            for lo in range(0, whole.num_rows, 1024):
+                batch = whole.slice(lo, 1024)
+                worst = reader.worst([words_of_text(t.as_py()) for t in batch.column(2)])
+                words, values = [[w for _, w in x] for x in worst], [[v for v, _ in x] for x in worst]
+                columns = [batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string())), pa.array(values, pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", extra, "words", "worst"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col(extra).cast("int"), "text").mapInArrow(run, f"doc_id long, {extra} int, words array<string>, worst array<double>")
 
 
 def held_out(doc_id: str) -> Column:
@@ -167,14 +192,14 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return staged(docs.select("doc_id", "text").join(some, "doc_id"))
 
 
-def _landmarks(sample: DataFrame) -> list[str]:
-    """Words of toxic documents by how much they tell, each unlike those before it, and common words of clean ones."""
+def _landmarks(sample: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Words of toxic documents by how much they tell, each unlike those before it, and common words of clean ones; and what each tells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, toxic = [], []
             for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                own = sorted({w for s in sentences(text.as_py()) for w in s if 3 <= len(w) <= 24})
+                own = sorted(w for w in words_of_text(text.as_py()) if 3 <= len(w) <= 24)
                 words += own
                 toxic += [y] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.int64())], ["word", "y"])
@@ -183,18 +208,25 @@ def _landmarks(sample: DataFrame) -> list[str]:
     n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = max(n.get(1, 0), 1), max(n.get(0, 0), 1)
     tells = F.log((F.col("t") + 0.5) / n1) - F.log((F.col("c") + 0.5) / n0)
-    marked = counts.where((F.col("t") >= MIN_DOCS) & (tells > 1)).orderBy(tells.desc(), "word").limit(CANDIDATES).collect()
+    marked = counts.where((F.col("t") >= MIN_DOCS) & (tells > 1)).select("word", tells.alias("tells")).orderBy(F.desc("tells"), "word").limit(CANDIDATES).collect()
     common = counts.orderBy(F.desc("c"), "word").limit(COMMON).collect()
     chosen: list[str] = []
-    taken = np.zeros((LETTERS**3, LANDMARKS), dtype=np.float32)
+    having: dict[int, dict[int, float]] = defaultdict(dict)  # subsequence: landmark: weight
     for word in [r["word"] for r in marked]:
         if len(chosen) == LANDMARKS - COMMON:
             break
         _, keys, weight = features([word])
-        if (weight @ taken[keys, : len(chosen)] < MAX_LIKENESS).all():
-            taken[keys, len(chosen)] = weight
+        like: Counter = Counter()
+        for key, x in zip(keys.tolist(), weight.tolist(), strict=True):
+            for k, y in having[key].items():
+                like[k] += x * y
+        if max(like.values(), default=0.0) < MAX_LIKENESS:
+            for key, x in zip(keys.tolist(), weight.tolist(), strict=True):
+                having[key][len(chosen)] = x
             chosen.append(word)
-    return chosen + [r["word"] for r in common if r["word"] not in chosen]
+    told = {r["word"]: r["tells"] for r in marked}
+    words = chosen + [r["word"] for r in common if r["word"] not in chosen]
+    return words, np.array([told[w] if w in chosen else 0.0 for w in words])
 
 
 def _svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float) -> np.ndarray:
@@ -215,58 +247,73 @@ def _svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float) -> np.n
     return w
 
 
-def _platt(value: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve through decision values, by Newton steps on smoothed targets."""
+def _curve(values: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of a logistic curve over the two largest values of each document, by Newton steps on smoothed targets."""
     n1, n0 = (y > 0).sum(), (y < 0).sum()
     target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    ab = np.array([1.0, 0.0])
-    x = np.stack([value, np.ones_like(value)], axis=1)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ ab, -30, 30)))
-        h = x.T @ (x * (cost * p * (1 - p))[:, None]) + np.diag([1e-3, 1e-6])
-        step = np.linalg.solve(h, x.T @ (cost * (target - p)) - np.array([1e-3, 1e-6]) * ab)
-        ab = ab + np.clip(step, -5, 5)
+    x = np.hstack([values, np.ones((len(values), 1))])
+    w, ridge = np.array([1.0, 0.0, 0.0]), np.array([1e-2, 1e-2, 1e-6])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        hessian = x.T @ (x * (p * (1 - p))[:, None]) + np.diag(ridge)
+        step = np.linalg.solve(hessian, x.T @ (target - p) - ridge * w)
+        w = w + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-7:
             break
-    return max(float(ab[0]), 1e-3), float(ab[1])
+    return np.maximum(w, [1e-3, 0.0, -np.inf])
+
+
+def _two(worst: list[float]) -> tuple[float, float]:
+    return worst[0], worst[min(1, len(worst) - 1)]
+
+
+def _constant(bias: float) -> Model:
+    return Model(Linear(np.zeros(0, dtype=np.int64), np.zeros(0), bias), np.array([1.0, 0.0, 0.0]))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Train on the bounded sample; what the driver gets is one description for each sampled document."""
+    """Train on the bounded sample; what the driver gets is ``SHOWN`` words for each sampled document.
+
+    Without labels of both kinds the model is a constant.
+    """
     sample = _sample(docs, labels)
-    landmarks = _landmarks(sample)
-    if not landmarks:
-        return Model(["aaa"], np.zeros(1), -3.0, 1.0, 0.0)
-    gram = kernel(landmarks, dense_map(landmarks)).astype(np.float64)
-    value, vector = np.linalg.eigh((gram + gram.T) / 2)
+    words, tells = _landmarks(sample)
+    if not words:
+        return _constant(-3.0)
+    landmarks = Landmarks(words)
+    value, vector = np.linalg.eigh(landmarks.kernel(words))
     whiten = vector / np.sqrt(np.maximum(value, 1e-3))
-    told = len(landmarks) - COMMON
-    weights, bias = np.where(np.arange(len(landmarks)) < max(told, 1), 1.0, 0.0), 0.0
-    against: list[np.ndarray] = []
+    machine: Linear | Nearest = Nearest(words, tells)
+    against: Counter = Counter()
     for _ in range(ROUNDS):
-        rows = _described(sample, landmarks, weights, bias, "y").orderBy("doc_id").collect()
-        y = np.array([1.0 if r["y"] else -1.0 for r in rows])
-        if len(set(y.tolist())) < 2:
-            return Model(landmarks, np.zeros(len(landmarks)), -3.0 if not len(y) or y[0] < 0 else 3.0, 1.0, 0.0)
-        x = np.array([r["x"] for r in rows], dtype=np.float64)
-        against.append(x[y < 0])  # sentences of clean documents stay on, so that none comes back
-        x = np.vstack([x[y > 0], *against])
-        y = np.where(np.arange(len(x)) < (y > 0).sum(), 1.0, -1.0)
-        cost = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum()) * len(y)
-        w = _svm(x @ whiten, y, cost, PENALTY * len(y) / 100)
-        weights, bias = whiten @ w[:-1], float(w[-1])
-    rows = _described(sample, landmarks, weights, bias, "y").select("y", "value").collect()
-    slope, shift = _platt(np.array([r["value"] for r in rows]), np.array([1.0 if r["y"] else -1.0 for r in rows]), np.ones(len(rows)))
-    return Model(landmarks, weights, bias, slope, shift)
+        rows = _worst(sample, machine, "y").collect()
+        toxic = sorted(r["words"][0] for r in rows if r["y"])
+        for r in rows:
+            if not r["y"]:  # words of clean documents stay on, each as often as it was among the worst, so that none comes back
+                against.update(r["words"])
+        if not toxic or not against:
+            return _constant(3.0 if toxic else -3.0)
+        clean = sorted(against)
+        y = np.repeat([1.0, -1.0], [len(toxic), len(clean)])
+        times = np.array([against[w] for w in clean], dtype=np.float64)
+        cost = np.concatenate([np.full(len(toxic), 0.5 / len(toxic)), 0.5 * times / times.sum()]) * len(y)
+        w = _svm(landmarks.kernel(toxic + clean) @ whiten, y, cost, PENALTY * len(y) / 100)
+        machine = Linear(landmarks.keys, landmarks.maps @ (whiten @ w[:-1]), float(w[-1]))
+    rows = _worst(sample, machine, "y").select("doc_id", "y", "worst").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["worst"]))
+    return Model(machine, _curve(np.array([_two(r["worst"]) for r in rows]), np.array([1.0 if r["y"] else -1.0 for r in rows])))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, ...): doc_id, held_out, score, predicted.
+    """One row per row of ``docs`` (doc_id, text, ...): doc_id, held_out, score, predicted, words (the worst ones).
 
     Null and empty texts score as a text without any word near a landmark.  Rows are scored one by one: repeated rows
     and null ids come back as they are (a null id is not held out); other columns are ignored.
     """
     marked = docs.select("doc_id", held_out("doc_id").cast("int").alias("held"), "text")
-    value = _described(marked, model.landmarks, model.weights, model.bias, "held")
-    p = 1 / (1 + F.exp(-(F.col("value") * model.slope + model.shift)))
-    return value.select("doc_id", (F.col("held") == 1).alias("held_out"), p.alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    p = model.probability(F.get("worst", F.lit(0)), F.coalesce(F.get("worst", F.lit(1)), F.get("worst", F.lit(0))))
+    return (
+        _worst(marked, model.machine, "held")
+        .select("doc_id", (F.col("held") == 1).alias("held_out"), p.alias("score"), "words")
+        .withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    )
