@@ -25,7 +25,9 @@ TOKENIZER = "word_bpe_49k.json"
 #: Hash buckets into which each length is dealt for ranking.
 RANK_BUCKETS = 256
 #: Cached words of a Python worker; beyond it the cache starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS, SHORT_WORD = 800_000, 8
+#: Bytes of UTF-8 for all code points up to U+017F.
+_LATIN = bytes([*range(0xC0), *range(0xC2, 0xC6)])
 _ENCODERS: dict = {}
 
 
@@ -33,8 +35,9 @@ class WordEncoder:
     """Ids of texts by a tokenizer that never looks across white space, each distinct word encoded once.
 
     The vocabulary's normaliser lowers case and drops white space, so words between ASCII white space are encoded on
-    their own.  Wholly ASCII words are lowered first, which the tokenizer would do anyway; words with ``<|`` (special
-    tokens) and others go to it as they are.
+    their own.  Texts of Latin letters are lowered first, which the tokenizer would do anyway; texts with ``<|`` (special
+    tokens) and others go to it as they are.  New words of letters alone go to the tokenizer many at a time and are told
+    apart by the tokens that end a word; one mark after such a word is a word of its own for the tokenizer, too.
     """
 
     def __init__(self, path: str):
@@ -42,24 +45,65 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.ids: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.marks = {m: self._alone([m])[0] for m in ",.;:!?"}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null is empty."""
+        if len(self.ids) > CACHE_WORDS:  # short words are the frequent ones
+            self.ids = {w: ids for w, ids in self.ids.items() if len(w) <= SHORT_WORD}
+            if len(self.ids) > CACHE_WORDS // 2:
+                self.ids = {}
         split = [_chunks(t) if t else [] for t in texts]
-        if len(self.ids) > CACHE_WORDS:
-            self.ids.clear()
-        new = list({w for ws in split for w in ws} - self.ids.keys())
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            for w, e in zip(part, got, strict=True):
-                self.ids[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join(map(self.ids.__getitem__, ws)) for ws in split]
+        found = [list(map(self.ids.get, ws)) for ws in split]
+        gaps = [k for k, got in enumerate(found) if None in got]
+        new = list({w for k in gaps for w, ids in zip(split[k], found[k], strict=True) if ids is None})
+        marked: list[tuple[bytes, str, str]] = []
+        plain, other = set(), []
+        for raw in new:
+            word = raw.decode("utf-8", "replace")
+            if "İ" in word:  # its lower case is not of letters alone
+                other.append(word)
+            elif word.isalpha():
+                plain.add(word)
+            elif word[-1] in self.marks and word[:-1].isalpha():
+                marked.append((raw, word[:-1], word[-1]))
+                if word[:-1].encode() not in self.ids:
+                    plain.add(word[:-1])
+            else:
+                other.append(word)
+        for words, ids in ((sorted(plain), self._together), (other, self._alone)):
+            for lo in range(0, len(words), 1000):
+                part = words[lo : lo + 1000]
+                self.ids.update(zip((w.encode("utf-8", "replace") for w in part), ids(part), strict=True))
+        for raw, word, mark in marked:
+            self.ids[raw] = self.ids[word.encode()] + self.marks[mark]
+        for k in gaps:
+            found[k] = list(map(self.ids.__getitem__, split[k]))
+        return [b"".join(got) for got in found]
+
+    def _alone(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(cuts) != len(words):  # letters that the tokenizer does not take for letters
+            return self._alone(words)
+        raw, at = ids.tobytes(), [0, *cuts.tolist()]
+        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
 def _chunks(text: str) -> list[bytes]:
     raw = text.encode("utf-8", "replace")
-    return raw.lower().split() if text.isascii() and "<|" not in text else raw.split()
+    if "<|" in text:
+        return raw.split()
+    if text.isascii():
+        return raw.lower().split()
+    # Latin letters up to U+017F go to lower case one by one, as in the tokenizer, all but the dotted capital I
+    return raw.split() if "İ" in text or raw.translate(None, _LATIN) else text.lower().encode().split()
 
 
 def _encoder(path: str | None) -> WordEncoder:
