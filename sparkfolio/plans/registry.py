@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from sparkfolio.plans import factors  # noqa: F401  they register their queries
+from sparkfolio.plans.common import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "flagship"]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily rank IC of a two-leg factor expression against next-session returns."""
+    return QUERIES["b8_ordinal_ic"](spark, sf_dir)
