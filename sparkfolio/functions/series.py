@@ -9,12 +9,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SERIES: dict[str, Callable[..., DataFrame]] = {}
-_OWN = Window.partitionBy("ticker").orderBy("date")
-_DAY = Window.partitionBy("date")
+def own():
+    """A ticker's history."""
+    return Window.partitionBy("ticker").orderBy("date")
+
+
+def day():
+    """All rows of a date."""
+    return Window.partitionBy("date")
 
 
 def _last(n: int):
-    return _OWN.rowsBetween(-(n - 1), 0)
+    return own().rowsBetween(-(n - 1), 0)
 
 
 def _window(name: str, aggregate: Callable[..., Column]) -> None:
@@ -58,23 +64,23 @@ def _named(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
 @_named
 def Ref(df, out, x, n):
-    return df.withColumn(out, F.lag(x, n).over(_OWN))
+    return df.withColumn(out, F.lag(x, n).over(own()))
 
 
 @_named
 def Delta(df, out, x, n):
-    return df.withColumn(out, F.col(x) - F.lag(x, n).over(_OWN))
+    return df.withColumn(out, F.col(x) - F.lag(x, n).over(own()))
 
 
 @_named
 def Count(df, out, x, n):
-    return df.withColumn(out, F.when(F.row_number().over(_OWN) >= n, F.count(x).over(_last(n)).cast("double")))
+    return df.withColumn(out, F.when(F.row_number().over(own()) >= n, F.count(x).over(_last(n)).cast("double")))
 
 
 @_named
 def WMA(df, out, x, n):
     """Weights 1 to n, from two plain sums over the window."""
-    row, w = F.row_number().over(_OWN), _last(n)
+    row, w = F.row_number().over(own()), _last(n)
     df = df.withColumn("_row", row)
     top = F.sum(F.col("_row") * F.col(x)).over(w) + (n - F.col("_row")) * F.sum(x).over(w)
     return df.withColumn(out, F.when(F.count(x).over(w) == n, top / (n * (n + 1) / 2))).drop("_row")
@@ -82,7 +88,7 @@ def WMA(df, out, x, n):
 
 @_named
 def Slope(df, out, x, n):
-    df = df.withColumn("_row", F.row_number().over(_OWN).cast("double"))
+    df = df.withColumn("_row", F.row_number().over(own()).cast("double"))
     return df.withColumn(out, F.when(F.count(x).over(_last(n)) == n, F.regr_slope(F.col(x), F.col("_row")).over(_last(n)))).drop("_row")
 
 
@@ -108,13 +114,13 @@ _pair("Corr", _corr)
 def Rank(df, out, x):
     """Share of the average rank among equal values."""
     ties = F.count("*").over(Window.partitionBy("date", x))
-    rank = F.rank().over(_DAY.orderBy(F.col(x).asc_nulls_last()))
-    return df.withColumn(out, F.when(F.col(x).isNotNull(), (rank + (ties - 1) / 2) / F.count(x).over(_DAY)))
+    rank = F.rank().over(day().orderBy(F.col(x).asc_nulls_last()))
+    return df.withColumn(out, F.when(F.col(x).isNotNull(), (rank + (ties - 1) / 2) / F.count(x).over(day())))
 
 
 @_named
 def Zscore(df, out, x):
-    return df.withColumn(out, (F.col(x) - F.avg(x).over(_DAY)) / F.stddev_samp(x).over(_DAY))
+    return df.withColumn(out, (F.col(x) - F.avg(x).over(day())) / F.stddev_samp(x).over(day()))
 
 
 @_named

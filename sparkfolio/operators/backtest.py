@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-OWN = Window.partitionBy("ticker").orderBy("date")
-DAY = Window.partitionBy("date")
+def own():
+    """A ticker's history."""
+    return Window.partitionBy("ticker").orderBy("date")
+
+
+def day():
+    """All rows of a date."""
+    return Window.partitionBy("date")
 
 
 def forward_return(n: int = 1, price: str = "close") -> Column:
     """Return over the next n sessions."""
     now = F.col(price)
-    return F.when(now != 0, F.lead(price, n).over(OWN) / now - 1)
+    return F.when(now != 0, F.lead(price, n).over(own()) / now - 1)
 
 
 def correlation(x: Column, y: Column) -> Column:
@@ -27,11 +33,11 @@ def pairs(df: DataFrame, x: str = "factor", y: str = "fwd") -> DataFrame:
 
 def average_rank(x: str) -> Column:
     """Rank within the date, equal values sharing their mean rank."""
-    return F.rank().over(DAY.orderBy(x)) + (F.count("*").over(Window.partitionBy("date", x)) - 1) / 2
+    return F.rank().over(day().orderBy(x)) + (F.count("*").over(Window.partitionBy("date", x)) - 1) / 2
 
 
 def ordinal_rank(x: str) -> Column:
-    return F.row_number().over(DAY.orderBy(x, "ticker"))
+    return F.row_number().over(day().orderBy(x, "ticker"))
 
 
 def daily_ic(df: DataFrame) -> DataFrame:
@@ -49,11 +55,11 @@ def ordinal_ic(df: DataFrame) -> DataFrame:
 
 def book(df: DataFrame, top: float = 0.2, bottom: float = 0.2, least: int = 10) -> DataFrame:
     """``df`` with ``weight``: equal long weights above rank 1 - top, equal short ones up to rank bottom, 0 elsewhere."""
-    n = F.count("factor").over(DAY)
-    share = F.when(F.col("factor").isNotNull(), F.row_number().over(DAY.orderBy(F.col("factor").asc_nulls_last(), "ticker")) / n)
+    n = F.count("factor").over(day())
+    share = F.when(F.col("factor").isNotNull(), F.row_number().over(day().orderBy(F.col("factor").asc_nulls_last(), "ticker")) / n)
     df = df.withColumn("_share", F.when(n >= least, share))
     long, short = F.col("_share") >= 1 - top, F.col("_share") <= bottom
-    df = df.withColumn("_long", F.sum(long.cast("int")).over(DAY)).withColumn("_short", F.sum(short.cast("int")).over(DAY))
+    df = df.withColumn("_long", F.sum(long.cast("int")).over(day())).withColumn("_short", F.sum(short.cast("int")).over(day()))
     return df.withColumn("weight", F.when(long, 1 / F.col("_long")).when(short, -1 / F.col("_short")).otherwise(0.0)).drop("_share", "_long", "_short")
 
 
@@ -62,7 +68,7 @@ def book_returns(df: DataFrame, bps: float = 5.0) -> DataFrame:
 
     One shuffle by ticker for the weights' changes, one aggregate by date; the last step runs over dates alone.
     """
-    traded = df.withColumn("traded", F.abs(F.col("weight") - F.coalesce(F.lag("weight").over(OWN), F.lit(0.0))))
+    traded = df.withColumn("traded", F.abs(F.col("weight") - F.coalesce(F.lag("weight").over(own()), F.lit(0.0))))
     daily = traded.groupBy("date").agg(F.sum(F.col("weight") * F.coalesce("fwd", F.lit(0.0))).alias("pnl"), F.sum("traded").alias("turnover"))
     line = Window.partitionBy(F.lit(0)).orderBy("date")
     cost = F.col("turnover") * bps / 10_000

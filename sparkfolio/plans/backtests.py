@@ -82,7 +82,7 @@ def b4_alpha_decay(spark, sf_dir):
     SELECT date, {r('avg(fwd) FILTER (d <= k) - avg(fwd) FILTER (a <= k)')} AS spread FROM o WHERE n >= 5 GROUP BY date""",
 )
 def b5_quintile_spread(spark, sf_dir):
-    p = b.pairs(factor_frame(spark, sf_dir)).withColumn("a", b.ordinal_rank("factor")).withColumn("n", F.count("*").over(b.DAY)).withColumn("k", F.ceil(0.2 * F.col("n")))
+    p = b.pairs(factor_frame(spark, sf_dir)).withColumn("a", b.ordinal_rank("factor")).withColumn("n", F.count("*").over(b.day())).withColumn("k", F.ceil(0.2 * F.col("n")))
     top, bottom = F.avg(F.when(F.col("n") - F.col("a") < F.col("k"), F.col("fwd"))), F.avg(F.when(F.col("a") <= F.col("k"), F.col("fwd")))
     return p.where("n >= 5").groupBy("date").agg(rounded(top - bottom).alias("spread"))
 
@@ -93,8 +93,8 @@ def b5_quintile_spread(spark, sf_dir):
     c AS (SELECT date, abs(p - lag(p) OVER ({WT})) AS moved FROM k), m AS (SELECT date, avg(moved) AS moved FROM c GROUP BY date) SELECT {r('avg(moved)')} AS turnover FROM m""",
 )
 def b7_rank_turnover(spark, sf_dir):
-    k = factor_frame(spark, sf_dir).where("factor is not null").withColumn("p", F.rank().over(b.DAY.orderBy("factor")) / F.count("*").over(b.DAY))
-    moved = k.withColumn("moved", F.abs(F.col("p") - F.lag("p").over(b.OWN))).groupBy("date").agg(F.avg("moved").alias("moved"))
+    k = factor_frame(spark, sf_dir).where("factor is not null").withColumn("p", F.rank().over(b.day().orderBy("factor")) / F.count("*").over(b.day()))
+    moved = k.withColumn("moved", F.abs(F.col("p") - F.lag("p").over(b.own()))).groupBy("date").agg(F.avg("moved").alias("moved"))
     return moved.agg(rounded(F.avg("moved")).alias("turnover"))
 
 
@@ -174,7 +174,7 @@ def b16_market_regimes(spark, sf_dir):
 )
 def b23_rank_stability(spark, sf_dir):
     k = factor_frame(spark, sf_dir).where("factor is not null").withColumn("p", b.ordinal_rank("factor").cast("double"))
-    k = k.withColumn("q", F.lag("p").over(b.OWN)).where("q is not null")
+    k = k.withColumn("q", F.lag("p").over(b.own())).where("q is not null")
     return k.groupBy("date").agg(b.correlation(F.col("p"), F.col("q")).alias("s")).agg(rounded(F.avg("s")).alias("stability"))
 
 

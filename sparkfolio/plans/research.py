@@ -80,7 +80,7 @@ def p11_coverage(spark, sf_dir):
   SELECT ticker, count(*) FILTER (least(open, high, low, close) < 0) AS negatives, count(*) FILTER (open > high) AS open_above, count(*) FILTER (low > open) AS low_above,
          count(*) FILTER (volume <= 0) AS no_volume, count(*) FILTER (gap > 5) AS gaps, count(*) FILTER (close IS NULL) AS missing FROM g GROUP BY ticker""")
 def p12_quality_report(spark, sf_dir):
-    g = prices_daily(spark, sf_dir).withColumn("gap", F.datediff("date", F.lag("date").over(b.OWN)))
+    g = prices_daily(spark, sf_dir).withColumn("gap", F.datediff("date", F.lag("date").over(b.own())))
     rules = {"negatives": F.least("open", "high", "low", "close") < 0, "open_above": F.col("open") > F.col("high"), "low_above": F.col("low") > F.col("open"), "no_volume": F.col("volume") <= 0, "gaps": F.col("gap") > 5, "missing": F.col("close").isNull()}
     return g.groupBy("ticker").agg(*[F.count_if(c).alias(n) for n, c in rules.items()])
 
@@ -94,7 +94,7 @@ def p12_quality_report(spark, sf_dir):
 def k2_multi_factor_screen(spark, sf_dir):
     p = panel(spark, sf_dir)
     d = p.where("sector <> 'S0'").join(p.agg(F.max("date").alias("date")), "date", "left_semi")
-    z = lambda c: (F.col(c) - F.avg(c).over(b.DAY)) / F.stddev_samp(c).over(b.DAY)
+    z = lambda c: (F.col(c) - F.avg(c).over(b.day())) / F.stddev_samp(c).over(b.day())
     z = d.select("ticker", z("returns").alias("z1"), (-z("volume")).alias("z2")).where("z1 is not null or z2 is not null")
     return z.select("ticker", rounded((F.coalesce("z1", F.lit(0.0)) + F.coalesce("z2", F.lit(0.0))) / 2).alias("score"))
 
@@ -222,7 +222,7 @@ def v12_tier_returns(spark, sf_dir):
 def v18_basket_scoreboard(spark, sf_dir):
     ahead = panel(spark, sf_dir).select("date", "ticker", b.forward_return(1).alias("fwd"))
     s = fused(spark, sf_dir).join(ahead, ["date", "ticker"]).where("fwd is not null")
-    s = s.withColumn("up", F.rank().over(b.DAY.orderBy(F.desc("composite")))).withColumn("dn", F.rank().over(b.DAY.orderBy("composite"))).withColumn("size", F.count("*").over(b.DAY))
+    s = s.withColumn("up", F.rank().over(b.day().orderBy(F.desc("composite")))).withColumn("dn", F.rank().over(b.day().orderBy("composite"))).withColumn("size", F.count("*").over(b.day()))
     mean = lambda c: rounded(F.avg(F.when(F.col(c) <= 20, F.col("fwd"))))
     return s.where("size >= 60").groupBy("date").agg(mean("up").alias("long_return"), mean("dn").alias("short_return"), rounded(F.avg("fwd")).alias("market"), F.count("*").alias("n"))
 
@@ -264,7 +264,7 @@ def n4_event_classifier(spark, sf_dir):
 @query("n8_alert_detection", f"""WITH {FUSED}, c AS (SELECT date, ticker, {TIER} AS tier, lag({TIER}) OVER ({WT}) AS before, abs(composite) > 1.8 AS extreme FROM fused)
   SELECT date, ticker, 'rating_change' AS type FROM c WHERE before IS NOT NULL AND tier <> before UNION ALL SELECT date, ticker, 'gap' FROM c WHERE extreme""")
 def n8_alert_detection(spark, sf_dir):
-    c = fused(spark, sf_dir).withColumn("tier", tier(F.col("composite"))).withColumn("before", F.lag("tier").over(b.OWN))
+    c = fused(spark, sf_dir).withColumn("tier", tier(F.col("composite"))).withColumn("before", F.lag("tier").over(b.own()))
     kinds = F.array(F.when(F.col("tier") != F.col("before"), "rating_change"), F.when(F.abs("composite") > 1.8, "gap"))
     return c.select("date", "ticker", F.explode(F.array_compact(kinds)).alias("type"))
 
@@ -298,7 +298,7 @@ def n7_event_study(spark, sf_dir):
   SELECT s.event_id, s.ticker, min(p.date) AS fill_date, arg_min(p.close, p.date) AS fill_price FROM s LEFT JOIN prices p ON p.ticker = s.ticker AND p.date > s.d GROUP BY ALL""")
 def l9_market_fills(spark, sf_dir):
     """Each order fills at the first close after its date: next rows are known per ticker and date before orders join."""
-    p = prices_daily(spark, sf_dir).select("ticker", "date", F.lead("date").over(b.OWN).alias("fill_date"), F.lead("close").over(b.OWN).alias("fill_price"))
+    p = prices_daily(spark, sf_dir).select("ticker", "date", F.lead("date").over(b.own()).alias("fill_date"), F.lead("close").over(b.own()).alias("fill_price"))
     s = table(spark, sf_dir, "events").where("value > 100").select("event_id", F.col("user_id").alias("ticker"), F.to_date("ts").alias("date"))
     return s.join(p, ["ticker", "date"], "left").select("event_id", "ticker", "fill_date", "fill_price")
 
@@ -313,7 +313,7 @@ def l14_benchmark_index(spark, sf_dir):
   ds AS (SELECT DISTINCT date FROM k ORDER BY date DESC LIMIT 2), a AS (SELECT * FROM k WHERE n <= 50 AND date = (SELECT max(date) FROM ds)), c AS (SELECT * FROM k WHERE n <= 50 AND date = (SELECT min(date) FROM ds))
   SELECT coalesce(a.ticker, c.ticker) AS ticker, CASE WHEN c.ticker IS NULL THEN 'added' WHEN a.ticker IS NULL THEN 'removed' WHEN a.tier <> c.tier THEN 'changed' ELSE 'same' END AS change FROM a FULL JOIN c ON a.ticker = c.ticker""")
 def l15_run_changes(spark, sf_dir):
-    k = fused(spark, sf_dir).withColumn("tier", tier(F.col("composite"))).withColumn("n", F.row_number().over(b.DAY.orderBy(F.desc("composite"), "ticker"))).where("n <= 50")
+    k = fused(spark, sf_dir).withColumn("tier", tier(F.col("composite"))).withColumn("n", F.row_number().over(b.day().orderBy(F.desc("composite"), "ticker"))).where("n <= 50")
     days = k.select("date").distinct().orderBy(F.desc("date")).limit(2).agg(F.max("date").alias("now"), F.min("date").alias("then"))
     k = k.join(F.broadcast(days))  # one row
     now = k.where("date = now").select("ticker", F.col("tier").alias("a"))
