@@ -1,0 +1 @@
+"""Recurring jobs over event tables as Structured Streaming."""
