@@ -83,6 +83,9 @@ def judge(docs: DataFrame) -> DataFrame:
         )
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & (F.col("lost_chars") <= MAX_LOST_SHARE * F.char_length(text)))
+        # a filter on the verdict must not be pushed below, where it would repeat the array work inside itself
+        .select(F.explode(F.array(F.struct(*base, *own))).alias("row"))
+        .select("row.*")
     )
 
 
