@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkfolio.plans import backtests, factors, more, research  # noqa: F401  they register their queries
+from sparkfolio.plans import backtests, extra, factors, more, research  # noqa: F401  they register their queries
 from sparkfolio.plans.common import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL", "flagship"]
