@@ -4,7 +4,7 @@
    smallest hash in it, and an empty bin borrows from the first filled one in an order of its own (densification).
 2. Documents with the same set are one class from here on.  Bands of signature rows make bucket keys; a bucket links its
    members as stars around its smallest and its largest member, so pairs stay linear in the members.
-3. Links are confirmed on full sets and joined to components.
+3. Pairs whose sketches (a byte of each bin) rule a link out go; links are confirmed on full sets and joined to components.
 4. What stars could miss: buckets that still hold more than one component are compared inside, block by block, between
    components only, again on full sets.
 """
@@ -25,7 +25,9 @@ from sparkfolio.llm.graph import Forest, components
 BANDS, ROWS = 32, 5
 SHINGLE_WORDS, PERCENT = 5, 80
 #: Members of a bucket compared in one block.
-BLOCK = 256
+BLOCK = 2048
+#: Rounds that confirm only the most promising open pair of each document, before all that are still open.
+BEST_ROUNDS = 2
 CACHE_WORDS = 400_000
 _WORDS: dict[bytes, int] = {}
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -87,16 +89,18 @@ class Signer:
             value[empty] = value[from_bin]
         return value
 
-    def keys(self, hashes: np.ndarray) -> np.ndarray:
-        rows = self.signature(hashes).reshape(self.bands, self.rows)
+    def keys(self, hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
+        """Bucket keys, and one byte of each bin's hash."""
+        signature = self.signature(hashes)
+        rows = signature.reshape(self.bands, self.rows)
         key = self.band.copy()
         for r in range(self.rows):
             key = _mix(key * _M1 + rows[:, r])
-        return key.view(np.int64)
+        return key.view(np.int64), _mix(signature).astype(np.uint8).tobytes()
 
 
 def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (128-bit digest of the set, null for none) and the bucket keys."""
+    """doc_id, n_shingles, set_key (128-bit digest of the set, null for none), the bucket keys and a byte of each bin."""
     list_type = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,12 +112,14 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 hashes = shingle_set(text.as_py(), size)
                 full = len(hashes) > 0
-                out.append((doc, len(hashes), blake2b(hashes.tobytes(), digest_size=16).digest() if full else None, signer.keys(hashes) if full else None))
-            columns = list(zip(*out, strict=True)) if out else [()] * 4
-            types = [pa.int64(), pa.int64(), pa.binary(), list_type]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "n_shingles", "set_key", "keys"])
+                key = blake2b(hashes.tobytes(), digest_size=16).digest() if full else None
+                out.append((doc, len(hashes), key, *(signer.keys(hashes) if full else (None, None))))
+            columns = list(zip(*out, strict=True)) if out else [()] * 5
+            types = [pa.int64(), pa.int64(), pa.binary(), list_type, pa.binary()]
+            names = ["doc_id", "n_shingles", "set_key", "keys", "sketch"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, keys array<long>, sketch binary")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -140,6 +146,58 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
+def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bins sketches agree."""
+    return (x == y).sum(axis=-1)
+
+
+def may_be_similar(agree: np.ndarray, bins: int, sizes: np.ndarray | int, percent: int) -> np.ndarray:
+    """Whether sketches agree in about as many bins as a pair of the wanted similarity does, less five standard deviations.
+
+    ``sizes`` are those of the smaller sets: a set of fewer hashes than bins has so many bins of its own only.
+    """
+    s = percent / 100
+    least = s - 5 * np.sqrt(s * (1 - s) / np.minimum(sizes, bins))
+    return agree >= least * bins
+
+
+def _hopeful(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches do not rule a link out, and how far they agree."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if len(pdf):
+                x, y = (np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(len(pdf), -1) for c in ("x", "y"))
+                agree = agreeing(x, y)
+                yield pdf.assign(agree=agree).loc[may_be_similar(agree, x.shape[1], pdf["n"].to_numpy(), percent), ["a", "b", "agree"]]
+
+    x = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x"), F.col("n_shingles").alias("n_a"))
+    y = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y"), F.col("n_shingles").alias("n_b"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", F.least("n_a", "n_b").alias("n")).mapInPandas(run, "a long, b long, agree long")
+
+
+def _partners(percent: int):
+    """Inside one block (or two) of a bucket: the members that sketches leave a partner in another component."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("node").reset_index(drop=True)
+        comps, sizes = pdf["component"].to_numpy(), pdf["n_shingles"].to_numpy()
+        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
+        names, count = np.unique(comps, return_counts=True)
+        main = names[count.argmax()]
+        keep = np.zeros(len(pdf), dtype=bool)
+        for k in np.flatnonzero(comps != main):
+            small, large = np.minimum(sizes, sizes[k]), np.maximum(sizes, sizes[k])
+            hit = (comps != comps[k]) & (100 * small >= percent * large)
+            at = np.flatnonzero(hit)
+            at = at[may_be_similar(agreeing(sketch[at], sketch[k]), sketch.shape[1], small[at], percent)]
+            keep[at] = True
+            keep[k] |= len(at) > 0
+        return pdf.loc[keep, ["key", "node"]]
+
+    return run
+
+
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """100 * intersection >= percent * union, for sorted distinct hashes."""
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -207,11 +265,12 @@ def near_duplicates(
     members = staged(members)
     buckets = members.groupBy("key").agg(F.min(member).alias("low"), F.max(member).alias("high"), F.count("*").alias("n")).where("n > 1")
     members = staged(members.join(staged(buckets), "key").select("key", "node", "n_shingles", "low", "high", "n"))
-    links, labels = None, None
+    sketches = staged(
+        with_set.join(classes, "set_key").where("doc_id = node").dropDuplicates(["node"]).select("node", "n_shingles", "sketch")
+    )
     pairs = staged(_star(members, "low", percent).union(_star(members, "high", percent)).distinct())
-    sets = _sets_of(source, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), shingle_words)
-    links = staged(_confirmed(pairs, sets, percent))
-    labels = components(links)
+    pairs = staged(_hopeful(pairs, sketches, percent))
+    links, labels = _joined(source, pairs, shingle_words, percent)
     # buckets of four and more have pairs that no star has tried; those still in several components are compared inside
     open_members = staged(
         members.where("n > 3")
@@ -221,12 +280,10 @@ def near_duplicates(
     mixed = open_members.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("n")).where("c < d").drop("c", "d")
     rest = open_members.join(staged(mixed), "key")
     rest = rest.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
-    rest = staged(rest)
+    rest = staged(_survivors(rest, sketches, percent))
     if rest.select("node").limit(1).count():
         sets = _sets_of(source, rest.select("node"), shingle_words)
-        dealt = rest.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-            "key", "node", "component", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j")
-        )
+        dealt = _blocks(rest)
         more = dealt.join(sets, "node").groupBy("key", "i", "j").applyInPandas(_across(percent), "a long, b long")
         links = staged(links.union(staged(more.distinct())))
         labels = components(links)
@@ -240,6 +297,53 @@ def near_duplicates(
     )
 
 
+def _blocks(rest: DataFrame) -> DataFrame:
+    """Members dealt to the pairs (i, j) of blocks of their bucket."""
+    return rest.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", "node", "component", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j")
+    )
+
+
+def _survivors(rest: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The members of open buckets whose full sets have to be compared, dealt into blocks anew."""
+    left = staged(
+        _blocks(rest).join(sketches, "node").groupBy("key", "i", "j").applyInPandas(_partners(percent), "key long, node long").distinct()
+    )
+    sizes = staged(left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    return (
+        rest.select("key", "node", "component")
+        .join(left, ["key", "node"])
+        .join(sizes, "key")
+        .withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
+    )
+
+
+def _joined(source: DataFrame, pairs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links that connect all that the pairs' true links connect, and their components.
+
+    Sets are sent only for pairs that could still join two components: first for each document's most promising one,
+    as most documents are joined by it, and in the end for all that are open.
+    """
+    links = labels = None
+    for k in range(BEST_ROUNDS + 1):
+        now = pairs
+        if k < BEST_ROUNDS:
+            pair = F.struct("agree", "a", "b")
+            ends = pairs.select(F.col("a").alias("node"), pair.alias("p")).union(pairs.select("b", pair))
+            now = ends.groupBy("node").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
+        now = staged(now.select("a", "b"))
+        sets = _sets_of(source, now.select(F.col("a").alias("node")).union(now.select("b")), size)
+        found = _confirmed(now, sets, percent)
+        links = staged(found if links is None else links.union(found))
+        labels = staged(components(links))
+        if k < BEST_ROUNDS:
+            x = labels.select(F.col("node").alias("a"), F.col("component").alias("c"))
+            y = labels.select(F.col("node").alias("b"), F.col("component").alias("d"))
+            tried = pairs.join(now, ["a", "b"], "left_anti")
+            pairs = staged(tried.join(x, "a", "left").join(y, "b", "left").where("c is null or d is null or c <> d").select("a", "b", "agree"))
+    return links, labels
+
+
 def _star(members: DataFrame, centre: str, percent: int) -> DataFrame:
     """Pairs (a < b) of the members and their bucket's centre, where sizes alone do not rule a link out."""
     a, b = F.col("n_shingles"), F.col(f"{centre}.n_shingles")
