@@ -14,10 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Comments, other markup, and tags as browsers read them: quotes open only right after '=', values without quotes end at
+#: white space or '>'.  Nothing is tried twice, so a page takes linear time; the last group is empty where the page ends in a tag.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/><]*)([^<>\"']*(?:\"[^\"]{0,65535}\"[^<>\"']*|'[^']{0,65535}'[^<>\"']*)*)>", re.S
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>?|</(?![a-zA-Z])[^>]+>?|</>"
+    r"|<(/?)([a-zA-Z][^ \t\n\r\f/>]*+)((?:[ \t\n\r\f/]++|[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|(?![\"'])[^ \t\n\r\f>]*+))?+)*+)(>?)",
+    re.S,
 )
-ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=\"'/]+)")
+ATTRIBUTE = re.compile(r"([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:\"([^\"]*+)\"|'([^']*+)'|(?![\"'])([^ \t\n\r\f>]*+)))?+")
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 UNSHOWN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 
@@ -74,6 +78,8 @@ def parse(html: str) -> Node:
         tag = token.group(2)
         if tag is None:
             continue
+        if not token.group(4):  # the page ends inside the tag, which is not shown
+            break
         tag = tag.lower()
         if token.group(1):
             _close(stack, tag)
@@ -99,14 +105,19 @@ def _text(stack: list[Node], text: str) -> None:
     parent.children.append(unescape(text) if "&" in text else text)
 
 
+def _attributes(text: str) -> dict[str, str]:
+    """Names and values of a tag's attributes; the first of a name counts."""
+    out: dict[str, str] = {}
+    for name, a, b, c in ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), unescape(a or b or c))
+    return out
+
+
 def _unshown(attributes: str) -> bool:
     if "hidden" not in attributes.lower() and "none" not in attributes.lower() and "collapse" not in attributes.lower():
         return False
-    for name, a, b, c, alone in ATTRIBUTE.findall(attributes):
-        key, value = (name or alone).lower(), a or b or c
-        if key == "hidden" or (key == "style" and UNSHOWN_STYLE.search(value)) or (key == "type" and value.lower() == "hidden") or (key == "aria-hidden" and value.lower() == "true"):
-            return True
-    return False
+    own = _attributes(attributes)
+    return "hidden" in own or bool(UNSHOWN_STYLE.search(own.get("style", ""))) or own.get("type", "").lower() == "hidden" or own.get("aria-hidden", "").lower() == "true"
 
 
 def _imply(stack: list[Node], tag: str) -> None:
@@ -284,8 +295,9 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages`` (page_id, url, html, ...): page_id, url, text, n_chars, n_lines.
 
     Null html gives a null text and zero counts, empty html an empty one.  Rows are taken one by one, so repeated rows
-    and null ids come back as they are.  Elements nested deeper than ``MAX_DEPTH`` are read as siblings.  Other columns
-    are ignored.
+    and null ids come back as they are.  Elements nested deeper than ``MAX_DEPTH`` are read as siblings.  Tags are read
+    as browsers do, at any length of their attributes: a tag or quote that never ends takes the rest of the page.  Other
+    columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

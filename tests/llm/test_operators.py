@@ -256,6 +256,16 @@ def test_page_layout(spark):
     assert got[2].text is None and got[3].text == "" and got[4].text.startswith("x") and html_text.extract_text(pages.limit(0)).count() == 0
 
 
+def test_tags_of_any_length_and_stray_quotes():
+    long = "A" * 200_000
+    assert html_text.page_text(f'<p>a</p><img src="data:image/png;base64,{long}"><p>b</p>') == "a\n\nb"
+    assert html_text.page_text(f"<div data-x='{long}' hidden>no</div><div style=\"color: red; background: url({long}); display: none\">no</div>yes") == "yes"
+    assert html_text.page_text("<a title=it's href=x>link</a><p>visible text</p><a title=that's>") == "link\n\nvisible text"
+    assert html_text.page_text("""<p title="a > b" class='x"y'>one<a href=/x/>two</a> 3 < 4 <b data-a= "q>" c>five</b><i =a "b>six""") == "onetwo 3 < 4 fivesix"
+    assert html_text.page_text("a<!-->b<!--x--!>c</>d</ e>f<!-- g") == "abcdf"
+    assert html_text.page_text("<a " + "b='" * 100_000) == "" and html_text.page_text("<a b=" * 100_000) == ""
+
+
 def test_toxicity_holds_out_and_tolerates_gaps(spark):
     rnd = random.Random(10)
     words = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randrange(3, 9))) for _ in range(300)]
