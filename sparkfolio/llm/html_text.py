@@ -7,8 +7,10 @@ once, without recursion, and written as text: blocks apart, lists with bullets,
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,11 +30,19 @@ UNSHOWN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|colla
 #: Fixed values of HTML: elements without content, with raw content, and never shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
-UNSHOWN = frozenset("head script style template title noscript noembed noframes iframe object audio video canvas svg math datalist select".split())
+UNSHOWN = frozenset("head script style template title noscript noembed noframes iframe object audio video canvas datalist".split())
+#: What SVG and MathML hold but never show.
+UNSHOWN_SVG = frozenset("title desc defs metadata style script symbol clippath mask marker pattern lineargradient radialgradient filter".split())
+UNSHOWN_MATH = frozenset("annotation annotation-xml".split())
+#: HTML elements that end an open SVG or MathML, and elements within which HTML goes on.
+BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+HOLDS_HTML = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+#: Formulas whose parts stand apart.
+APART = frozenset("mfrac msub msup msubsup munder mover munderover mroot mtr mmultiscripts".split())
 #: Blocks with a blank line around them, and blocks on lines of their own.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure".split())
 BLOCK = SPACED | frozenset(
-    "html body div section article header footer nav aside main address form fieldset legend li dt dd hr figcaption details summary center menu tr td th thead tbody tfoot caption".split()
+    "html body div section article header footer nav aside main address form fieldset legend li dt dd hr figcaption details summary center menu tr td th thead tbody tfoot caption option optgroup text mtr".split()
 )
 #: A start tag ends the open elements named, up to the bounds named.
 IMPLIED = {
@@ -45,22 +55,24 @@ IMPLIED = {
     "thead": ("thead tbody tfoot tr td th caption", "table"),
     "tbody": ("thead tbody tfoot tr td th caption", "table"),
     "tfoot": ("thead tbody tfoot tr td th caption", "table"),
-    "option": ("option", "select"),
+    "option": ("option", "select datalist"),
+    "optgroup": ("option optgroup", "select"),
     "body": ("head", "html"),
 }
 IMPLIED = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in IMPLIED.items()}
-CLOSES_P = BLOCK - frozenset("li dt dd tr td th thead tbody tfoot caption legend figcaption summary html body".split()) | {"li", "dt", "dd"}
+CLOSES_P = BLOCK - frozenset("li dt dd tr td th thead tbody tfoot caption legend figcaption summary html body option optgroup text mtr".split()) | {"li", "dt", "dd"}
 P_BOUNDS = frozenset("td th table caption button object html body li div section article".split())
 MAX_DEPTH = 2000
 
 
 class Node:
-    """An element: tag, children (elements and texts), and whether it is shown."""
+    """An element: tag, children (elements and texts), whether it is shown, the columns and rows that a cell spans (0: all rows), and the
+    place among the open elements of the SVG or MathML that what it holds belongs to (0: HTML)."""
 
-    __slots__ = ("children", "shown", "tag")
+    __slots__ = ("children", "foreign", "shown", "span", "tag")
 
-    def __init__(self, tag: str, shown: bool = True):
-        self.tag, self.shown, self.children = tag, shown, []
+    def __init__(self, tag: str, shown: bool = True, span: tuple[int, int] = (1, 1)):
+        self.tag, self.shown, self.span, self.foreign, self.children = tag, shown, span, 0, []
 
 
 def parse(html: str) -> Node:
@@ -77,6 +89,10 @@ def parse(html: str) -> Node:
         at = token.end()
         tag = token.group(2)
         if tag is None:
+            if html.startswith("<![CDATA[", token.start()) and stack[-1].foreign:
+                at = html.find("]]>", token.start())
+                stack[-1].children.append(html[token.start() + 9 : at if at >= 0 else end])
+                at = at + 3 if at >= 0 else end
             continue
         if not token.group(4):  # the page ends inside the tag, which is not shown
             break
@@ -85,19 +101,67 @@ def parse(html: str) -> Node:
             _close(stack, tag)
             continue
         attributes = token.group(3)
+        foreign = stack[-1].foreign
+        if foreign and tag in BREAKS_OUT:
+            del stack[foreign:]
+            foreign = 0
+        if foreign:
+            _part(stack, foreign, tag, attributes)
+            continue
         _imply(stack, tag)
-        node = Node(tag, tag not in UNSHOWN and not (attributes and _unshown(attributes)))
+        own = _attributes(attributes) if tag in LABELLED and attributes else {}
+        node = Node(tag, tag not in UNSHOWN and not (attributes and _unshown(attributes)), (_number(own, "colspan", 1, 1000), _number(own, "rowspan", 0, 65534)) if own else (1, 1))
         stack[-1].children.append(node)
         if tag in RAW:
             close = re.compile(f"</{tag}(?=[\\s/>]|\\Z)[^>]*>?", re.I).search(html, at)
             if tag in ("textarea", "xmp"):
                 node.children.append(unescape(html[at : close.start() if close else end]))
             at = close.end() if close else end
+        elif tag in ("svg", "math") and _closes_itself(attributes):
+            continue
         elif tag not in VOID and len(stack) < MAX_DEPTH:
+            node.foreign = len(stack) if tag in ("svg", "math") else 0
             stack.append(node)
+            if own.get("label") and tag in ("option", "optgroup"):
+                node.children.append(own["label"])
+                if tag == "option":  # its label stands for its text
+                    stack[-1] = Node(tag)
     return root
 
 
+#: Elements with attributes that matter to the text.
+LABELLED = frozenset("td th option optgroup".split())
+
+
+def _part(stack: list[Node], top: int, tag: str, attributes: str) -> None:
+    """An element of SVG or MathML; ``/>`` ends it."""
+    hidden = tag in (UNSHOWN_SVG if stack[top].tag == "svg" else UNSHOWN_MATH)
+    kind = "text" if tag == "tspan" and attributes and "x" in _attributes(attributes) else tag
+    parent = stack[-1]
+    if parent.tag in APART and any(isinstance(c, Node) for c in parent.children):
+        parent.children.append(" ")
+    node = Node(kind, not hidden and not (attributes and _unshown(attributes)))
+    parent.children.append(node)
+    if len(stack) < MAX_DEPTH and not _closes_itself(attributes):
+        node.foreign = 0 if tag in HOLDS_HTML else top
+        stack.append(node)
+
+
+def _closes_itself(attributes: str) -> bool:
+    last = None
+    if attributes.endswith("/"):
+        for last in ATTRIBUTE.finditer(attributes):
+            pass
+        return last is None or last.end() < len(attributes)
+    return False
+
+
+def _number(own: dict[str, str], name: str, least: int, most: int) -> int:
+    found = re.match(r"[ \t\n\r\f]*\+?([0-9]{1,9})", own.get(name, ""))
+    n = int(found.group(1)) if found else 1
+    return min(n, most) if n >= least else 1
+
+
 def _text(stack: list[Node], text: str) -> None:
     parent = stack[-1]
     if parent.tag in ("table", "tr", "tbody", "thead", "tfoot") and not text.strip():
@@ -117,7 +181,7 @@ def _unshown(attributes: str) -> bool:
     if "hidden" not in attributes.lower() and "none" not in attributes.lower() and "collapse" not in attributes.lower():
         return False
     own = _attributes(attributes)
-    return "hidden" in own or bool(UNSHOWN_STYLE.search(own.get("style", ""))) or own.get("type", "").lower() == "hidden" or own.get("aria-hidden", "").lower() == "true"
+    return "hidden" in own or bool(UNSHOWN_STYLE.search(own.get("style", ""))) or own.get("type", "").lower() == "hidden"
 
 
 def _imply(stack: list[Node], tag: str) -> None:
@@ -200,20 +264,54 @@ class Writer:
         return self.lines
 
 
-def _aligned(rows: list[list[list[str]]]) -> list[str]:
-    """Rows of cells (lists of lines) with columns padded to a common width, two blanks apart."""
-    rows = [[[x for x in cell if x] or [""] for cell in row] for row in rows if row]
-    width: list[int] = []
-    for row in rows:
-        for k, cell in enumerate(row):
-            w = max(map(len, cell))
-            if k == len(width):
-                width.append(w)
-            width[k] = max(width[k], w)
+class Table:
+    """Rows of cells (lines, columns and rows spanned), and the rows that start a group."""
+
+    def __init__(self):
+        self.rows: list[list[tuple[list[str], int, int]]] = []
+        self.starts: set[int] = set()
+
+
+def _placed(table: Table) -> list[list[tuple[list[str], int, int]]]:
+    """Rows of cells with their columns, the first and the one after the last, as the table lays them out; columns in which no cell starts are left out."""
+    taken: dict[int, float] = {}  # column: the row at which it is free again
+    rows = []
+    for r, row in enumerate(table.rows):
+        if r in table.starts:
+            taken = {}
+        at, out = 0, []
+        for lines, across, down in row:
+            while taken.get(at, 0) > r:
+                at += 1
+            if down != 1:
+                free = r + down if down else float("inf")
+                for c in range(at, at + across):
+                    taken[c] = max(taken.get(c, 0), free)
+            out.append(([x for x in lines if x] or [""], at, at + across))
+            at += across
+        rows.append(out)
+    first = sorted({a for row in rows for _, a, _ in row})
+    return [[(lines, bisect_left(first, a), bisect_left(first, z)) for lines, a, z in row] for row in rows if row]
+
+
+def _aligned(table: Table) -> list[str]:
+    """The rows' lines, with columns padded to a common width, two blanks apart; a cell over several columns or rows stands at its first."""
+    rows = _placed(table)
+    width = [0] * max((z for row in rows for _, _, z in row), default=0)
+    for wide in (False, True):
+        for row in rows:
+            for lines, a, z in row:
+                if (z - a > 1) == wide:
+                    width[z - 1] += max(0, max(map(len, lines)) - sum(width[a:z]) - 2 * (z - a - 1))
+    start = [0, *accumulate(w + 2 for w in width)]
     out = []
     for row in rows:
-        for i in range(max(map(len, row))):
-            out.append("  ".join((cell[i] if i < len(cell) else "").ljust(width[k]) for k, cell in enumerate(row)).rstrip())
+        for i in range(max(len(lines) for lines, _, _ in row)):
+            line = ""
+            for lines, a, _ in row:
+                if i < len(lines) and lines[i]:
+                    line = (line and line + "  ").ljust(start[a]) + lines[i]
+            out.append(line)
     return out
 
 
@@ -247,9 +345,11 @@ def render(root: Node) -> str:
             if tag in ("ul", "ol"):
                 lists.append([tag, 0])
             elif tag == "table":
-                tables.append([])
+                tables.append(Table())
             elif tag == "tr" and tables:
-                tables[-1].append([])
+                tables[-1].rows.append([])
+            elif tag in ("thead", "tbody", "tfoot") and tables:
+                tables[-1].starts.add(len(tables[-1].rows))
             elif tag == "pre":
                 pre += 1
             if tag in ("td", "th", "caption") and tables or tag in ("li", "blockquote", "dd"):
@@ -263,9 +363,9 @@ def render(root: Node) -> str:
             if tag == "caption":
                 writer.put(cell)
             else:
-                if not tables[-1]:
-                    tables[-1].append([])
-                tables[-1][-1].append(cell)
+                if not tables[-1].rows:
+                    tables[-1].rows.append([])
+                tables[-1].rows[-1].append((cell, *node.span))
         elif tag == "li":
             item, writer = writer.done(), writers.pop()
             if lists:

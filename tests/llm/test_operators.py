@@ -266,6 +266,24 @@ def test_tags_of_any_length_and_stray_quotes():
     assert html_text.page_text("<a " + "b='" * 100_000) == "" and html_text.page_text("<a b=" * 100_000) == ""
 
 
+def test_formulas_labels_options_and_aria_hidden_are_shown():
+    assert html_text.page_text("<p>so <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>tex</annotation></math> holds") == "so x=1 2 holds"
+    svg = "<svg><title/><title>no</title><defs><text>no</text></defs><style>no{}</style><g><path d='M0'/><text>North</text><text><![CDATA[So & so]]></text></g><desc>no</desc></svg>"
+    assert html_text.page_text(f"a{svg}<p>b") == "a\nNorth\nSo & so\n\nb"
+    assert html_text.page_text("<svg><defs><p>out</p>in") == "out\n\nin" and html_text.page_text("<svg><foreignObject><p>f</p></foreignObject></svg>g<svg/>h") == "f\n\ngh"
+    options = "<p>Pick <select><option>one<option label=two>2<optgroup label=More><option>three</select> now<datalist><option>no</datalist>"
+    assert html_text.page_text(options) == "Pick\none\ntwo\nMore\nthree\nnow"
+    assert html_text.page_text("<p aria-hidden=true>seen</p><p hidden>no</p>") == "seen"
+
+
+def test_cells_over_several_columns_and_rows_keep_the_others_in_place():
+    html = "<table><tr><th>k<th colspan=2>both<th>end<tr><td rowspan=2>r<td>a<td>b<td>c<tr><td>d<td>e<td>f</table>"
+    assert html_text.page_text(html) == "k  both  end\nr  a  b  c\n   d  e  f"
+    groups = "<table><tbody><tr><td rowspan=0>all<td>x<tr><td>y<tbody><tr><td>new<td>z</table>"
+    assert html_text.page_text(groups) == "all  x\n     y\nnew  z"
+    assert html_text.page_text("<table><tr><td colspan=1000>a long title<td>t<tr><td>1<td>2</table>") == "a long title  t\n1  2"
+
+
 def test_toxicity_holds_out_and_tolerates_gaps(spark):
     rnd = random.Random(10)
     words = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randrange(3, 9))) for _ in range(300)]
