@@ -2,7 +2,8 @@
 
 The kernel of two words counts their common subsequences of three letters (the word's two ends count as letters), each
 weighted by how far it is spread out, so a word with letters put between or an ending of its own stays close to the
-word it comes from.  Landmarks are words that mark toxic training documents, spread out by the kernel itself, and common
+word it comes from.  The kernel sees gaps of up to three characters in all, so words with other characters between their
+letters are also read without them, and letters that stand alone are joined.  Landmarks are words that mark toxic training documents, spread out by the kernel itself, and common
 words beside them.  A sentence is as bad as its worst word and a document as its worst sentence; a linear support vector
 machine on the landmarks' whitened kernel is trained on the worst sentences of labelled documents, picked anew as it gets
 better.  As the kernel has an explicit feature map, the machine is one weight for each subsequence when it scores.
@@ -10,6 +11,7 @@ better.  As the kernel has an explicit feature map, the machine is one weight fo
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -38,13 +40,38 @@ CACHE_WORDS = 400_000
 _EDGE = ".,;:!?\"'()[]{}<>«»„“”‚‘’…¿¡*_~`-#%&$+=/\\|^@"
 
 
+#: Letters of words, the longest landmarks, and words valued at once.
+PIECE, LONGEST, AT_ONCE = re.compile(r"[^\W\d_]+"), 24, 200_000
+#: Three or more letters that stand alone, with anything but letters between them.
+SPELLED = re.compile(r"(?<![^\W\d_])[^\W\d_](?![^\W\d_])(?:[\W\d_]++[^\W\d_](?![^\W\d_])){2,}+")
+SPELLED_BLOCK = 4096
+
+
 def words_of_text(text: str | None) -> set[str]:
-    """The distinct words of a text, lower case, without punctuation at their ends."""
+    """The distinct words of a text, lower case, without punctuation at their ends; those with other characters between letters also in pieces and joined."""
     out = {c.strip(_EDGE) for c in set(text.lower().split())} if text else set()
+    for word in [w for w in out if not w.isalpha()]:
+        pieces = PIECE.findall(word)
+        out.update(p for p in pieces if len(p) > 1)
+        out.add("".join(pieces))
     out.discard("")
     return out
 
 
+def spelled(text: str | None) -> list[str]:
+    """Runs of letters that stand alone (i d i o t, i--d--i--o--t), joined; gaps may have any length."""
+    return ["".join(PIECE.findall(run)) for run in SPELLED.findall(text.lower())] if text else []
+
+
+def parts_of_text(text: str | None) -> Iterator[set[str]]:
+    """What is valued of a text: its words, and by blocks all words of up to ``LONGEST`` letters that its spelled runs can hold."""
+    yield words_of_text(text)
+    for run in spelled(text):
+        for lo in range(0, len(run), SPELLED_BLOCK):
+            block = run[lo : lo + SPELLED_BLOCK + LONGEST - 1]
+            yield {block[k : k + n] for n in range(3, LONGEST + 1) for k in range(len(block) - n + 1)}
+
+
 def _codes(word: str) -> np.ndarray:
     """Letters as numbers below ``LETTERS``: the two ends, a-z apart, all others by their code point."""
     at = np.frombuffer(word.encode("utf-32-le", "replace"), dtype="<u4").astype(np.int64)
@@ -119,6 +146,26 @@ class Reader:
         get = self.known.__getitem__
         return [nlargest(SHOWN, zip(map(get, words), words, strict=True)) or [(self.none, "")] for words in documents]
 
+    def worst_of_texts(self, texts: list[str | None]) -> list[list[tuple[float, str]]]:
+        """:meth:`worst` of texts, whose parts are valued ``AT_ONCE`` words or so at a time."""
+        best: list[list[tuple[float, str]]] = [[] for _ in texts]
+        owners, parts, size = [], [], 0
+
+        def flush() -> None:
+            for k, values in zip(owners, self.worst(parts), strict=True):
+                best[k] = nlargest(SHOWN, {*best[k], *values}) if best[k] else values
+
+        for k, text in enumerate(texts):
+            for part in parts_of_text(text):
+                owners.append(k)
+                parts.append(part)
+                size += len(part)
+                if size >= AT_ONCE:
+                    flush()
+                    owners, parts, size = [], [], 0
+        flush()
+        return best
+
 
 @dataclass
 class Linear:
@@ -171,7 +218,7 @@ def _worst(docs: DataFrame, machine: Linear | Nearest, extra: str) -> DataFrame:
         for whole in batches:
             for lo in range(0, whole.num_rows, 1024):
                 batch = whole.slice(lo, 1024)
-                worst = reader.worst([words_of_text(t.as_py()) for t in batch.column(2)])
+                worst = reader.worst_of_texts(batch.column(2).to_pylist())
                 words, values = [[w for _, w in x] for x in worst], [[v for v, _ in x] for x in worst]
                 columns = [batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string())), pa.array(values, pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", extra, "words", "worst"])
@@ -199,7 +246,7 @@ def _landmarks(sample: DataFrame) -> tuple[list[str], np.ndarray]:
         for batch in batches:
             words, toxic = [], []
             for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                own = sorted(w for w in words_of_text(text.as_py()) if 3 <= len(w) <= 24)
+                own = sorted(w for w in words_of_text(text.as_py()).union(spelled(text.as_py())) if 3 <= len(w) <= LONGEST)
                 words += own
                 toxic += [y] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.int64())], ["word", "y"])

@@ -307,6 +307,28 @@ def test_toxicity_holds_out_and_tolerates_gaps(spark):
     assert toxicity.score(odd, empty).count() == 5
 
 
+def test_toxicity_reads_gaps_of_any_length_and_spelled_words(spark):
+    rnd = random.Random(11)
+    words = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randrange(3, 9))) for _ in range(300)]
+    bad = ["idiot", "moron", "worthless", "disgusting"]
+    gaps = ["", "-", "--", "...", "_1_*", " ", "  ", " - "]
+    rows = []
+    for i in range(600):
+        text = rnd.choices(words, k=40)
+        if i % 4 == 0:
+            text[rnd.randrange(40)] = rnd.choice(gaps).join(rnd.choice(bad))
+        rows.append((i, " ".join(text) + ".", int(i % 4 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int"))
+    clean = [r[1] for r in rows if not r[2]][:12]
+    forms = [f"{c} {gap.join(w)} {c}" for w, c in zip(bad * 3, clean, strict=True) for gap in ("--", "...", "-/|~", " ", "  ", " . ", "\n")]
+    forms += ["y o u a r e a n i d i o t", "you.are.an.idiot", "a b c d e " * 2000 + "m--o--r--o--n"]
+    plain = [*clean, "a b c d e " * 2000, "plan a, b or c", None, ""]
+    got = by_id(toxicity.score(spark.createDataFrame(list(enumerate(forms + plain)), "doc_id long, text string"), model))
+    assert [f for i, f in enumerate(forms) if not got[i].predicted] == []
+    assert [p for i, p in enumerate(plain, len(forms)) if got[i].predicted] == []
+
+
 def test_digests_are_of_whole_texts(spark):
     from sparkfolio.llm import queries
 
