@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -32,7 +32,8 @@ def trailing_activity(events: DataFrame, length: str = "24 hours", slide: str =
 def hysteresis_tiers(events: DataFrame, band: float = 10.0, cut: float = 50.0) -> DataFrame:
     """A tier per ticker that changes only when its value leaves the cut by more than the band; the tier held is the state.
 
-    A batch's values are taken in the order of (ts, event_id).
+    A batch's values are taken in the order of (ts, event_id), each ticker's in one frame: this is for increments of
+    bounded batches.  A backlog goes through :func:`hysteresis_tiers_of_table`.
     """
 
     def run(key, frames, state):
@@ -52,6 +53,29 @@ def hysteresis_tiers(events: DataFrame, band: float = 10.0, cut: float = 50.0) -
     return keyed.groupBy("ticker").applyInPandasWithState(run, f"ticker {kind['ticker']}, event_id {kind['event_id']}, tier string", "tier string", "append", "NoTimeout")
 
 
+def hysteresis_tiers_of_table(events: DataFrame, band: float = 10.0, cut: float = 50.0, bucket: str = "hour") -> DataFrame:
+    """What :func:`hysteresis_tiers` gives for a backlog in one batch, without a ticker's history in one task.
+
+    A tier is set by the last decisive row so far: the ticker's first, or one that leaves the cut by more than the band.
+    Rows look back within a ticker and time bucket; what held before a bucket comes from one row for each bucket.
+    """
+    late = F.col("ts").isNull(), F.col("ts"), F.col("event_id").isNull(), F.col("event_id")  # rows without a time come last
+    order = F.struct(*late)
+    rows = events.where("value is not null").select(F.col("user_id").alias("ticker"), "event_id", "ts", "value")
+    nan = F.isnan("value")  # Spark holds it for larger than any number
+    rows = rows.withColumn("bucket", F.date_trunc(bucket, "ts")).withColumn("now", F.when((F.col("value") > cut) & ~nan, "HIGH").otherwise("LOW"))
+    rows = rows.withColumn("sure", F.when((F.abs(F.col("value") - cut) > band) & ~nan, F.col("now")))
+    sure = F.col("sure").isNotNull()
+    ends = rows.groupBy("ticker", "bucket").agg(F.min_by("now", order).alias("first"), F.max_by("sure", F.when(sure, order)).alias("last"))
+    own = Window.partitionBy("ticker").orderBy(F.col("bucket").asc_nulls_last())
+    held = F.coalesce(F.last("last", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.first("first").over(own))
+    before = ends.select("ticker", "bucket", held.alias("held"))
+    inside = Window.partitionBy("ticker", "bucket").orderBy(*late).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("tier", F.last("sure", ignorenulls=True).over(inside))
+    joined = rows.alias("r").join(before.alias("b"), F.col("r.ticker").eqNullSafe(F.col("b.ticker")) & F.col("r.bucket").eqNullSafe(F.col("b.bucket")))
+    return joined.select("r.ticker", "event_id", F.coalesce("tier", "held").alias("tier"))
+
+
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that is there now, through the stream and into Parquet of the shared folder, and read back."""
     spark = stream.sparkSession
