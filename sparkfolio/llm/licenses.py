@@ -7,6 +7,7 @@ template that is covered far enough gives its label.  Phrases are templates of t
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -132,6 +133,8 @@ class Scanner:
         sequences = [words(t) for _, t in (*phrases, *templates)]
         self.lengths, self.n_phrases = [len(s) for s in sequences], len(phrases)
         self.automaton = Automaton(sequences)
+        #: words in a row that a stretch needs: for a match, or for the shortest phrase
+        self.least = min([MIN_MATCH, *self.lengths[: self.n_phrases]])
         self.vocabulary = {t for s in sequences for t in s}
         #: for each state, the phrases that are suffixes of its longest string
         self.whole: list[list[int]] = [[] for _ in self.automaton.len]
@@ -147,12 +150,12 @@ class Scanner:
         known = np.array([i for i, w in enumerate(tokens) if w in vocabulary], dtype=np.int64)
         places: list[tuple[int, int]] = []
         matches: dict[int, list[Match]] = defaultdict(list)
-        if len(known) >= MIN_MATCH:
+        if len(known) >= self.least:
             cut = np.flatnonzero(np.diff(known) != 1) + 1
             for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(known)], strict=True):
-                if hi - lo >= MIN_MATCH:  # elsewhere no match can be long enough
+                if hi - lo >= self.least:  # elsewhere no match can be long enough
                     self._stretch(tokens[known[lo] : known[hi - 1] + 1], int(known[lo]), places, matches)
-        spans = [x for s, found in matches.items() if (x := self._chain(s, found))]
+        spans = [x for s, found in matches.items() for x in self._chains(s, found)]
         return places, spans
 
     def _stretch(self, tokens, base, places, matches):
@@ -168,31 +171,61 @@ class Scanner:
                         matches[s].append(Match(base + i, at, n))
             before = (state, length)
 
-    def _chain(self, s: int, found: list[Match]) -> tuple[int, int, int, float] | None:
-        """The chain of matches, forward in file and template with small gaps, that covers most of template ``s``."""
-        best: list[tuple[int, int]] = []  # covered, start
+    def _chains(self, s: int, found: list[Match]) -> list[tuple[int, int, int, float]]:
+        """Chains of matches for template ``s`` that do not overlap, larger ones first taken: all that cover ``MIN_SHARE``, or else the best one."""
+        spans, parts = [], [found]
+        while parts:
+            part = parts.pop()
+            kept: list[tuple[int, int]] = []
+            for covered, start, end in sorted(self._covered(part), key=lambda x: (-x[0], x[2])):
+                share = min(1.0, covered / self.lengths[s])
+                if share < MIN_SHARE and spans:
+                    break
+                if not _overlaps(kept, start, end):
+                    insort(kept, (start, end))
+                    spans.append((s, start, end, share))
+            if spans[0][3] < MIN_SHARE:
+                break
+            rest: dict[int, list[Match]] = defaultdict(list)  # what lies between the chains taken
+            for m in part:
+                if kept and not _overlaps(kept, m.end - m.length, m.end):
+                    rest[bisect_right(kept, (m.end,))].append(m)
+            parts += [x for x in rest.values() if sum(m.length for m in x) >= MIN_SHARE * self.lengths[s]]
+        return sorted(spans)
+
+    def _covered(self, found: list[Match]) -> list[tuple[int, int, int]]:
+        """For each match the chain up to it that covers most, forward in file and template with small gaps: (covered, start, end)."""
+        best: list[tuple[int, int, int]] = []
         for k, m in enumerate(found):
-            own = (m.length, m.end - m.length)
-            for c, p in zip(best[max(0, k - 64) :], found[max(0, k - 64) : k], strict=True):
+            own, first = (m.length, m.end - m.length, m.end), m.end - m.length - MAX_GAP
+            for j in range(k - 1, -1, -1):
+                p, c = found[j], best[j]
+                if p.end < first:  # matches are in the order of their ends
+                    break
                 gap, jump = m.end - m.length - p.end, m.at - m.length - p.at
                 over = max(0, -gap, -jump)
-                if gap <= MAX_GAP and jump <= 4 * MAX_GAP and over < m.length and m.at > p.at and c[0] + m.length - over > own[0]:
-                    own = (c[0] + m.length - over, c[1])
+                if jump <= 4 * MAX_GAP and over < m.length and m.at > p.at and c[0] + m.length - over > own[0]:
+                    own = (c[0] + m.length - over, c[1], m.end)
             best.append(own)
-        k = max(range(len(best)), key=lambda i: best[i][0])
-        covered, start = best[k]
-        return (s, start, found[k].end, min(1.0, covered / self.lengths[s]))
+        return best
+
+
+def _overlaps(kept: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether a place meets one of ``kept``, which are apart and in order."""
+    k = bisect_right(kept, (start, end))
+    return k > 0 and kept[k - 1][1] > start or k < len(kept) and kept[k][0] < end
 
 
 def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, ...): doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
-    ``spans`` are (label, start, end, share) in words for every template of which at least ``MIN_SHARE`` is covered;
+    ``spans`` are (label, start, end, share) in words for every place where at least ``MIN_SHARE`` of a template is covered;
     ``score`` is the largest share, 1 where a phrase stands.
 
     * Null and empty texts have no words, no places (first_word and last_word null) and empty labels.
     * Rows are scanned one by one: repeated rows and null ids come back as they are; other columns are ignored.
-    * A stretch of a file is only streamed where at least ``MIN_MATCH`` words in a row are license words.
+    * A stretch of a file is only streamed where as many words in a row are license words as a match (``MIN_MATCH``) or the
+      shortest phrase needs.
     """
     span = "array<struct<label:string,start:long,end:long,share:double>>"
     schema = f"doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans {span}"

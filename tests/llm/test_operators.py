@@ -236,6 +236,18 @@ def test_phrases_and_templates(spark):
     assert got[4].labels == "" and got[5].n_base == 0
 
 
+def test_license_spans_repeat_short_phrases_count_and_chains_reach_back():
+    long = " ".join(f"u{i} v{i} w{i} all rights reserved here" for i in range(90))
+    scanner = licenses.Scanner((("x", "ab cd"),), (("mpl", "subject to the terms of the mozilla public license"), ("long", long)))
+    header = b"subject to the terms of the mozilla public license".split()
+    _, spans = scanner.scan(header + [b"code"] * 20 + header + header[:3] + header)
+    assert spans == [(1, 0, 9, 1.0), (1, 29, 38, 1.0), (1, 41, 50, 1.0)]
+    assert scanner.scan([b"q", b"ab", b"cd", b"q"])[0] == [(0, 1)]
+    gapped = " ".join(f"u{i} v{i} w{i} q all rights reserved here q" for i in range(90)).encode().split()
+    assert [x for x in scanner.scan(gapped)[1]] == [(2, 0, len(gapped) - 1, 1.0)]
+    assert len(scanner.scan(header * 2000)[1]) == 2000
+
+
 def test_every_place_of_a_phrase_is_found_in_random_texts():
     rnd = random.Random(8)
     scanner = licenses.Scanner(licenses.PHRASES, licenses.TEMPLATES)
