@@ -47,7 +47,21 @@ def staged(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (out, path)
+    return out
+
+
+#: Where what is staged lies, until it is unstaged.
+_PATHS: dict[int, tuple[DataFrame, str]] = {}
+
+
+def unstage(*frames: DataFrame) -> None:
+    """Remove the files of staged frames that nothing will read any more."""
+    for df in frames:
+        _, path = _PATHS.pop(id(df), (None, None))
+        if path:
+            _remove(df.sparkSession, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

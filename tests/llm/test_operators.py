@@ -148,10 +148,20 @@ def test_near_duplicates_against_all_pairs(spark):
 
 
 def test_blocks_of_one_bucket_find_every_link_between_components(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "BLOCK_HASHES", 300)
     test_near_duplicates_against_all_pairs(spark)
 
 
+def test_rows_of_one_doc_id_follow_their_own_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    df = spark.createDataFrame([(1, a, "x"), (5, a, "x"), (5, b, "x"), (5, b, "x"), (9, b + " end", "x"), (9, b, "x"), (None, a, "x"), (7, "", "x"), (7, None, "x")], "doc_id long, text string, th string")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in minhash.near_duplicates(df, shingle_words=3, percent=85).collect())
+    assert got == [(0, 58, 0), (1, 58, 1), (5, 58, 1), (5, 58, 5), (5, 58, 5), (7, 0, 7), (7, 0, 7), (9, 58, 5), (9, 59, 5)]
+    kept = minhash.deduplicated(df, shingle_words=3, percent=85)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(0, a), (1, a), (5, b), (7, ""), (7, "")])
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(100)] + [(500, 500 + i) for i in range(50)] + [(7, 7)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
