@@ -120,7 +120,8 @@ def Rank(df, out, x):
 
 @_named
 def Zscore(df, out, x):
-    return df.withColumn(out, (F.col(x) - F.avg(x).over(day())) / F.stddev_samp(x).over(day()))
+    spread = F.stddev_samp(x).over(day())
+    return df.withColumn(out, F.when(spread > 1e-12, (F.col(x) - F.avg(x).over(day())) / spread))
 
 
 @_named

@@ -22,6 +22,21 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right
     return joined.select("_l.*", *[F.col("_r")[c].alias(c) for c in (right_time, *values)])
 
 
+def next_after(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: list[str]) -> DataFrame:
+    """``left`` with the values of the first ``right`` row strictly after its time; null after the last.
+
+    As in :func:`asof_join` both sides form one sorted history per key; here the next right row is carried back, and on
+    equal times right rows come first, so that they are not the left row's next ones.
+    """
+    carried = F.struct(F.col(right_time), *[F.col(v) for v in values])
+    a = right.select(F.col(key), F.col(right_time).alias("_t"), F.lit(0).alias("_side"), carried.alias("_r"))
+    kept = F.struct(*[F.col(c) for c in left.columns])
+    b = left.select(F.col(key), F.col(left_time).alias("_t"), F.lit(1).alias("_side"), kept.alias("_l"))
+    history = Window.partitionBy(key).orderBy("_t", "_side").rowsBetween(1, Window.unboundedFollowing)
+    joined = a.unionByName(b, allowMissingColumns=True).withColumn("_r", F.first("_r", ignorenulls=True).over(history)).where("_side = 1")
+    return joined.select("_l.*", *[F.col("_r")[c].alias(c) for c in (right_time, *values)])
+
+
 def global_ordinal(df: DataFrame, key: str, order: list[str], out: str, parts: int = 64) -> DataFrame:
     """Ordinal rank within ``key`` by the columns of ``order``, without sorting a key in one task.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkfolio.operators import backtest as b
 from sparkfolio.operators.expression import evaluate, evaluate_many
+from sparkfolio.functions.staging import staged
 from sparkfolio.plans.common import query, rounded
 from sparkfolio.plans.common import sql_rounded as r
 from sparkfolio.plans.factors import LIBRARY, WT, full, w
@@ -52,11 +53,11 @@ def b2_daily_ic(spark, sf_dir):
     return b.daily_ic(factor_frame(spark, sf_dir)).select("date", rounded(F.col("pearson")).alias("pearson"), rounded(F.col("spearman")).alias("spearman"))
 
 
-@query("b3_ic_summary", f"WITH {RANKED} SELECT {r('avg(spearman)')} AS mean_ic, {r('stddev_samp(spearman)')} AS std_ic, {r('avg(spearman) / stddev_samp(spearman)')} AS ir, count(spearman) AS n FROM ic")
+@query("b3_ic_summary", f"WITH {RANKED} SELECT {r('avg(spearman)')} AS mean_ic, {r('stddev_samp(spearman)')} AS std_ic, {r('coalesce(CASE WHEN stddev_samp(spearman) > 1e-12 THEN avg(spearman) / stddev_samp(spearman) END, 0)')} AS ir, count(spearman) AS n FROM ic")
 def b3_ic_summary(spark, sf_dir):
     ic = b.daily_ic(factor_frame(spark, sf_dir))
     mean, spread = F.avg("spearman"), F.stddev_samp("spearman")
-    return ic.agg(rounded(mean).alias("mean_ic"), rounded(spread).alias("std_ic"), rounded(mean / spread).alias("ir"), F.count("spearman").alias("n"))
+    return ic.agg(rounded(mean).alias("mean_ic"), rounded(spread).alias("std_ic"), rounded(F.coalesce(F.when(spread > 1e-12, mean / spread), F.lit(0.0))).alias("ir"), F.count("spearman").alias("n"))
 
 
 _DECAY = ", ".join(f"lead(close, {n}) OVER ({WT}) / nullif(close, 0) - 1 AS f{n}" for n in HORIZONS)
@@ -140,11 +141,11 @@ def b12_equity_curve(spark, sf_dir):
 
 @query(
     "b6_portfolio_stats",
-    f"WITH {CURVE}, d AS (SELECT min(dd) AS dd FROM (SELECT equity / max(equity) OVER (ORDER BY date) - 1 AS dd FROM eq)) SELECT {r('avg(gross - cost) / stddev_samp(gross - cost) * sqrt(252)')} AS sharpe, {r('avg(gross - cost) * 252')} AS annual, {r('any_value(dd)')} AS max_drawdown FROM ret CROSS JOIN d",
+    f"WITH {CURVE}, d AS (SELECT min(dd) AS dd FROM (SELECT equity / max(equity) OVER (ORDER BY date) - 1 AS dd FROM eq)) SELECT {r('CASE WHEN stddev_samp(gross - cost) > 1e-12 THEN avg(gross - cost) / stddev_samp(gross - cost) * sqrt(252) END')} AS sharpe, {r('avg(gross - cost) * 252')} AS annual, {r('any_value(dd)')} AS max_drawdown FROM ret CROSS JOIN d",
 )
 def b6_portfolio_stats(spark, sf_dir):
     returns = b.book_returns(b.book(factor_frame(spark, sf_dir)))
-    stats = returns.agg(rounded(F.avg("net") / F.stddev_samp("net") * F.sqrt(F.lit(252.0))).alias("sharpe"), rounded(F.avg("net") * 252).alias("annual"))
+    stats = returns.agg(rounded(F.when(F.stddev_samp("net") > 1e-12, F.avg("net") / F.stddev_samp("net") * F.sqrt(F.lit(252.0)))).alias("sharpe"), rounded(F.avg("net") * 252).alias("annual"))
     worst = b.equity(returns).agg(rounded(F.min("drawdown")).alias("max_drawdown"))
     return stats.join(worst)  # one row each
 
@@ -223,16 +224,17 @@ def m1_library_returns(spark, sf_dir):
 
 @query(
     "m2_return_correlations",
-    f"""WITH {LIB} SELECT a.factor_name AS a, b.factor_name AS b, {r('covar_pop(a.ret, b.ret) / (stddev_samp(a.ret) * stddev_samp(b.ret))')} AS c, count(*) AS n
-    FROM lr a JOIN lr b ON a.date = b.date AND a.factor_name < b.factor_name GROUP BY ALL""",
+    f"""WITH {LIB} SELECT *, abs(c) > 0.8 AS warned FROM (SELECT a.factor_name AS a, b.factor_name AS b, {r('CASE WHEN stddev_samp(a.ret) * stddev_samp(b.ret) > 1e-24 THEN covar_pop(a.ret, b.ret) / (stddev_samp(a.ret) * stddev_samp(b.ret)) END')} AS c, count(*) AS n
+    FROM lr a JOIN lr b ON a.date = b.date AND a.factor_name < b.factor_name WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY ALL)""",
 )
 def m2_return_correlations(spark, sf_dir):
     """Pairs of factors meet by date only: factors squared times dates, whatever the number of tickers."""
-    lr = library_returns(spark, sf_dir)
+    lr = staged(library_returns(spark, sf_dir))
     x = lr.select("date", F.col("factor_name").alias("a"), F.col("ret").alias("x"))
     y = lr.select("date", F.col("factor_name").alias("b"), F.col("ret").alias("y"))
-    c = F.covar_pop("x", "y") / (F.stddev_samp("x") * F.stddev_samp("y"))
-    return x.join(y, "date").where("a < b").groupBy("a", "b").agg(rounded(c).alias("c"), F.count("*").alias("n"))
+    spread = F.stddev_samp("x") * F.stddev_samp("y")
+    met = x.join(y, "date").where("a < b and x is not null and y is not null").groupBy("a", "b").agg(rounded(F.when(spread > 1e-24, F.covar_pop("x", "y") / spread)).alias("c"), F.count("*").alias("n"))
+    return met.withColumn("warned", F.abs("c") > 0.8)
 
 
 @query(
@@ -242,7 +244,7 @@ def m2_return_correlations(spark, sf_dir):
     SELECT candidate, arg_max(saved, c) AS nearest, {r('max(c)')} AS likeness, max(c) >= 0.7 AS rejected FROM g GROUP BY candidate""",
 )
 def m3_self_correlation_gate(spark, sf_dir):
-    lr = library_returns(spark, sf_dir)
+    lr = staged(library_returns(spark, sf_dir))
     new = F.col("factor_name").isin("reversal_1", "close_to_vwap")
     x = lr.where(new).select("date", F.col("factor_name").alias("candidate"), F.col("ret").alias("x"))
     y = lr.where(~new).select("date", F.col("factor_name").alias("saved"), F.col("ret").alias("y"))

@@ -101,13 +101,13 @@ def f2_capped_weights(spark, sf_dir):
 
 
 @query("v4_ewma_icir", f"""WITH {ORDINAL}, m AS (SELECT max(date) AS d FROM ic), e AS (SELECT ic, power(0.5, date_diff('day', date, d) / 30.0) AS w FROM ic, m), a AS (SELECT sum(w * ic) / sum(w) AS mean FROM e)
-  SELECT {r('any_value(mean) / sqrt(sum(w * power(ic - mean, 2)) / sum(w))')} AS icir FROM e, a""")
+  SELECT {r('CASE WHEN count(*) >= 2 AND sqrt(sum(w * power(ic - mean, 2)) / sum(w)) > 1e-12 THEN any_value(mean) / sqrt(sum(w * power(ic - mean, 2)) / sum(w)) END')} AS icir FROM e, a""")
 def v4_ewma_icir(spark, sf_dir):
     """Weighted moments in one aggregate: the spread comes from the weighted sums."""
     ic = b.ordinal_ic(factor_frame(spark, sf_dir))
     e = ic.join(F.broadcast(ic.agg(F.max("date").alias("d")))).withColumn("w", F.pow(F.lit(0.5), F.datediff("d", "date") / 30.0))  # one row
     e = e.withColumn("mean", F.sum(F.col("w") * F.col("ic")).over(Window.partitionBy("d")) / F.sum("w").over(Window.partitionBy("d")))
-    return e.groupBy("d").agg(rounded(F.first("mean") / F.sqrt(F.sum(F.col("w") * F.pow(F.col("ic") - F.col("mean"), 2)) / F.sum("w"))).alias("icir")).select("icir")
+    return e.groupBy("d").agg(F.first("mean").alias("mean"), F.sqrt(F.sum(F.col("w") * F.pow(F.col("ic") - F.col("mean"), 2)) / F.sum("w")).alias("spread"), F.count("*").alias("n")).select(rounded(F.when((F.col("n") >= 2) & (F.col("spread") > 1e-12), F.col("mean") / F.col("spread"))).alias("icir"))
 
 
 OUTCOMES = f"""{FUSED}, nx AS (SELECT date, ticker, lead(close, 1) OVER ({WT}) / nullif(close, 0) - 1 AS fwd FROM panel), c AS (SELECT date, ticker, {TIER} AS tier FROM fused),
@@ -141,11 +141,12 @@ def v16_hit_rate_windows(spark, sf_dir):
 
 @query("v25_decay_alerts", f"""WITH {LIB}, i AS (SELECT factor_name, date, ret, row_number() OVER (PARTITION BY factor_name ORDER BY date DESC) AS k FROM lr),
   g AS (SELECT factor_name, max(ret) FILTER (k = 1) AS latest, avg(ret) FILTER (k > 1) AS earlier, count(*) AS n FROM i GROUP BY factor_name)
-  SELECT factor_name, {r('latest')} AS latest, {r('earlier')} AS earlier, latest < 0.5 * earlier AS alert FROM g WHERE n >= 3""")
+  SELECT factor_name, {r('latest')} AS latest, {r('earlier')} AS earlier, abs(earlier) >= 1e-6 AND 1 - latest / nullif(earlier, 0) > 0.5 AND latest > 0 AND earlier > 0 AS alert FROM g WHERE n >= 3""")
 def v25_decay_alerts(spark, sf_dir):
     i = library_returns(spark, sf_dir).withColumn("k", F.row_number().over(Window.partitionBy("factor_name").orderBy(F.desc("date"))))
     g = i.groupBy("factor_name").agg(F.max(F.when(F.col("k") == 1, F.col("ret"))).alias("x"), F.avg(F.when(F.col("k") > 1, F.col("ret"))).alias("y"), F.count("*").alias("n")).where("n >= 3")
-    return g.select("factor_name", rounded(F.col("x")).alias("latest"), rounded(F.col("y")).alias("earlier"), (F.col("x") < 0.5 * F.col("y")).alias("alert"))
+    faded = (F.abs("y") >= 1e-6) & (1 - F.try_divide("x", "y") > 0.5) & (F.col("x") > 0) & (F.col("y") > 0)
+    return g.select("factor_name", rounded(F.col("x")).alias("latest"), rounded(F.col("y")).alias("earlier"), faded.alias("alert"))
 
 
 # -- alerts and ledgers --------------------------------------------------------------------------------------------

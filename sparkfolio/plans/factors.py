@@ -226,7 +226,7 @@ _series("r7_wma", {"v": ("WMA", ("close", 4), f"CASE WHEN row_number() OVER ({RW
 _series("r8_slope", {"v": ("Slope", ("close", 5), f"CASE WHEN row_number() OVER ({RW}) >= 5 THEN (2 * close + lag(close, 1) OVER ({RW}) - lag(close, 3) OVER ({RW}) - 2 * lag(close, 4) OVER ({RW})) / 10 END")})
 _series("r9_corr_cov", {"cov_v": ("Cov", ("close", "open", 6), _whole(6, f"covar_samp(close, open) {w(6)}")), "corr_v": ("Corr", ("close", "open", 6), _whole(6, f"CASE WHEN stddev_samp(close) {w(6)} * stddev_samp(open) {w(6)} > 1e-12 THEN corr(close, open) {w(6)} END"))})
 _series("r10_rank", {"v": ("Rank", ("volume",), "(rank() OVER (PARTITION BY date ORDER BY volume) + (count(*) OVER (PARTITION BY date, volume) - 1) / 2.0) / count(volume) OVER (PARTITION BY date)")})
-_series("r11_zscore", {"v": ("Zscore", ("close",), "(close - avg(close) OVER (PARTITION BY date)) / stddev_samp(close) OVER (PARTITION BY date)")})
+_series("r11_zscore", {"v": ("Zscore", ("close",), "CASE WHEN stddev_samp(close) OVER (PARTITION BY date) > 1e-12 THEN (close - avg(close) OVER (PARTITION BY date)) / stddev_samp(close) OVER (PARTITION BY date) END")})
 
 
 @query("r6_ema")

@@ -134,19 +134,43 @@ def s14_direction_label(spark, sf_dir):
 # -- fusion and validation -----------------------------------------------------------------------------------------
 
 
-@query("f5_hysteresis_tier")
+#: The tiers' ranges by (low, high), infinite at the ends.
+TIER_RANGE = {"BUY": (1.5, math.inf), "OW": (0.5, 1.5), "HOLD": (-0.5, 0.5), "UW": (-1.5, -0.5), "SELL": (-math.inf, -1.5)}
+BAND = 0.15
+
+
+def tier_of(x: float | None) -> str:
+    """A score's tier without memory, on one value (``research.tier`` is the same on columns)."""
+    if x is None or x != x:
+        return "HOLD"
+    return next((t for t in ("BUY", "OW") if x > TIER_RANGE[t][0]), None) or next((t for t in ("HOLD", "UW") if x >= TIER_RANGE[t][0]), "SELL")
+
+
+def held_tiers(scores, band: float = BAND) -> list[str]:
+    """Tiers of a ticker's scores in order: one is held while the score stays in its range, widened by the band on both sides."""
+    held, out = None, []
+    for x in scores:
+        now = tier_of(x)
+        if held is not None and held != now and x is not None and TIER_RANGE[held][0] - band <= x <= TIER_RANGE[held][1] + band:
+            now = held
+        held = now
+        out.append(now)
+    return out
+
+
+_BOUND = lambda end: "CASE h.tier " + " ".join(f"WHEN '{t}' THEN {'-1e300' if lo == -math.inf else lo - BAND}" if end == 0 else f"WHEN '{t}' THEN {'1e300' if hi == math.inf else hi + BAND}" for t, (lo, hi) in TIER_RANGE.items()) + " END"
+
+
+@query("f5_hysteresis_tier", f"""WITH RECURSIVE {FUSED}, k AS (SELECT ticker, date, composite, {TIER} AS now, row_number() OVER ({WT}) AS n FROM fused WHERE composite IS NOT NULL),
+  h AS (SELECT ticker, date, n, now AS tier FROM k WHERE n = 1 UNION ALL
+    SELECT k.ticker, k.date, k.n, CASE WHEN k.now <> h.tier AND k.composite BETWEEN {_BOUND(0)} AND {_BOUND(1)} THEN h.tier ELSE k.now END FROM h JOIN k ON k.ticker = h.ticker AND k.n = h.n + 1)
+  SELECT ticker, date, tier FROM h""")
 def f5_hysteresis_tier(spark, sf_dir):
-    """The previous tier is kept inside the band: sequential, one ticker's cards at a time."""
+    """A tier is held while the score stays within the band around it: sequential, one ticker's cards at a time."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
-        cuts, names, held, out = [-1.5, -0.5, 0.5, 1.5], ["SELL", "UW", "HOLD", "OW", "BUY"], None, []
-        for x in pdf["composite"]:
-            now = int(np.searchsorted(cuts, x, side="right"))
-            if held is None or (now > held and x >= cuts[now - 1] + 0.1) or (now < held and x < cuts[now] - 0.1):
-                held = now
-            out.append(names[held])
-        return pd.DataFrame({"ticker": pdf["ticker"], "date": pdf["date"], "tier": out})
+        return pd.DataFrame({"ticker": pdf["ticker"], "date": pdf["date"], "tier": held_tiers(pdf["composite"].tolist())})
 
     cards = fused(spark, sf_dir).where("composite is not null").select("ticker", "date", "composite")
     return cards.groupBy("ticker").applyInPandas(run, f"ticker {dict(cards.dtypes)['ticker']}, date date, tier string")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkfolio.operators import backtest as b
 from sparkfolio.operators.expression import evaluate
-from sparkfolio.operators.joins import asof_join, global_ordinal
+from sparkfolio.operators.joins import asof_join, global_ordinal, next_after
 from sparkfolio.plans.common import query, rounded
 from sparkfolio.plans.common import sql_rounded as r
 from sparkfolio.plans.factors import WT
@@ -89,12 +89,14 @@ def p12_quality_report(spark, sf_dir):
 
 
 @query("k2_multi_factor_screen", f"""WITH {PANEL_SQL}, d AS (SELECT * FROM panel WHERE date = (SELECT max(date) FROM panel) AND sector <> 'S0'),
-  z AS (SELECT ticker, (returns - avg(returns) OVER ()) / stddev_samp(returns) OVER () AS z1, -(volume - avg(volume) OVER ()) / stddev_samp(volume) OVER () AS z2 FROM d)
+  z AS (SELECT ticker, CASE WHEN stddev_samp(returns) OVER () > 0 THEN (returns - avg(returns) OVER ()) / stddev_samp(returns) OVER () WHEN returns IS NOT NULL THEN 0 END AS z1,
+    CASE WHEN stddev_samp(volume) OVER () > 0 THEN -(volume - avg(volume) OVER ()) / stddev_samp(volume) OVER () WHEN volume IS NOT NULL THEN 0 END AS z2 FROM d)
   SELECT ticker, {r('(coalesce(z1, 0) + coalesce(z2, 0)) / 2')} AS score FROM z WHERE z1 IS NOT NULL OR z2 IS NOT NULL""")
 def k2_multi_factor_screen(spark, sf_dir):
     p = panel(spark, sf_dir)
     d = p.where("sector <> 'S0'").join(p.agg(F.max("date").alias("date")), "date", "left_semi")
-    z = lambda c: (F.col(c) - F.avg(c).over(b.day())) / F.stddev_samp(c).over(b.day())
+    spread = lambda c: F.stddev_samp(c).over(b.day())
+    z = lambda c: F.when(spread(c) > 0, (F.col(c) - F.avg(c).over(b.day())) / spread(c)).when(F.col(c).isNotNull(), 0.0)
     z = d.select("ticker", z("returns").alias("z1"), (-z("volume")).alias("z2")).where("z1 is not null or z2 is not null")
     return z.select("ticker", rounded((F.coalesce("z1", F.lit(0.0)) + F.coalesce("z2", F.lit(0.0))) / 2).alias("score"))
 
@@ -157,10 +159,12 @@ def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tier(score):
-    return F.when(score.isNull(), "HOLD").when(score >= 1.5, "BUY").when(score >= 0.5, "OW").when(score > -0.5, "HOLD").when(score > -1.5, "UW").otherwise("SELL")
+    """Five tiers; the upper cuts are left by more than their value, the lower ones keep theirs; no score is HOLD."""
+    score = F.nanvl(score, F.lit(None).cast("double"))
+    return F.when(score.isNull(), "HOLD").when(score > 1.5, "BUY").when(score > 0.5, "OW").when(score >= -0.5, "HOLD").when(score >= -1.5, "UW").otherwise("SELL")
 
 
-TIER = "CASE WHEN composite IS NULL THEN 'HOLD' WHEN composite >= 1.5 THEN 'BUY' WHEN composite >= 0.5 THEN 'OW' WHEN composite > -0.5 THEN 'HOLD' WHEN composite > -1.5 THEN 'UW' ELSE 'SELL' END"
+TIER = "CASE WHEN composite IS NULL OR isnan(composite) THEN 'HOLD' WHEN composite > 1.5 THEN 'BUY' WHEN composite > 0.5 THEN 'OW' WHEN composite >= -0.5 THEN 'HOLD' WHEN composite >= -1.5 THEN 'UW' ELSE 'SELL' END"
 
 
 @query("f1_f3_fuse_signals", f"WITH {FUSED} SELECT date, ticker, {r('composite')} AS composite, {r('CAST(coverage AS DOUBLE)')} AS coverage FROM fused")
@@ -295,18 +299,26 @@ def n7_event_study(spark, sf_dir):
 
 
 @query("l9_market_fills", f"""WITH {PRICES_SQL}, s AS (SELECT event_id, user_id AS ticker, CAST(ts AS DATE) AS d FROM events WHERE value > 100)
-  SELECT s.event_id, s.ticker, min(p.date) AS fill_date, arg_min(p.close, p.date) AS fill_price FROM s LEFT JOIN prices p ON p.ticker = s.ticker AND p.date > s.d GROUP BY ALL""")
+  SELECT s.event_id, s.ticker, min(p.date) AS fill_date, arg_min(p.close, p.date) AS fill_price FROM s LEFT JOIN prices p ON p.ticker = s.ticker AND p.date > s.d GROUP BY ALL
+  UNION ALL SELECT o.order_id, o.ticker, min(p.date), arg_min(p.close, p.date) FROM (SELECT -o_orderkey AS order_id, o_custkey % 150 + 1 AS ticker, DATE '2024-01-01' + CAST(o_orderkey % 40 AS INT) - 5 AS d FROM orders) o
+    LEFT JOIN prices p ON p.ticker = o.ticker AND p.date > o.d GROUP BY ALL""")
 def l9_market_fills(spark, sf_dir):
-    """Each order fills at the first close after its date: next rows are known per ticker and date before orders join."""
-    p = prices_daily(spark, sf_dir).select("ticker", "date", F.lead("date").over(b.own()).alias("fill_date"), F.lead("close").over(b.own()).alias("fill_price"))
-    s = table(spark, sf_dir, "events").where("value > 100").select("event_id", F.col("user_id").alias("ticker"), F.to_date("ts").alias("date"))
-    return s.join(p, ["ticker", "date"], "left").select("event_id", "ticker", "fill_date", "fill_price")
+    """Each order fills at its ticker's first close after its date, whether or not the ticker has a bar on that date.
 
+    The orders are the events over 100, and all ``orders`` with dates that bars need not have.
+    """
+    bars = prices_daily(spark, sf_dir).select("ticker", "date", "close")
+    s = table(spark, sf_dir, "events").where("value > 100").select(F.col("event_id").alias("order_id"), F.col("user_id").alias("ticker"), F.to_date("ts").alias("signal_date"))
+    day = F.date_add(F.lit("2023-12-27").cast("date"), (F.col("o_orderkey") % 40).cast("int"))
+    o = table(spark, sf_dir, "orders").select((-F.col("o_orderkey")).alias("order_id"), (F.col("o_custkey") % 150 + 1).alias("ticker"), day.alias("signal_date"))
+    filled = next_after(s.unionByName(o), bars, "ticker", "signal_date", "date", ["close"])
+    return filled.select(F.col("order_id").alias("event_id"), "ticker", F.col("date").alias("fill_date"), F.col("close").alias("fill_price"))
 
-@query("l14_benchmark_index", f"WITH {PANEL_SQL}, m AS (SELECT date, avg(close) AS level FROM panel GROUP BY date) SELECT date, {r('level / first_value(level) OVER (ORDER BY date) * 100')} AS idx FROM m")
+
+@query("l14_benchmark_index", f"WITH {PANEL_SQL}, m AS (SELECT date, avg(close) AS level FROM panel GROUP BY date) SELECT date, {r('level / nullif(first_value(level) OVER (ORDER BY date), 0) * 100')} AS idx FROM m")
 def l14_benchmark_index(spark, sf_dir):
     m = panel(spark, sf_dir).groupBy("date").agg(F.avg("close").alias("level"))
-    return m.select("date", rounded(F.col("level") / F.first("level").over(Window.partitionBy(F.lit(0)).orderBy("date")) * 100).alias("idx"))
+    return m.select("date", rounded(F.try_divide("level", F.first("level").over(Window.partitionBy(F.lit(0)).orderBy("date"))) * 100).alias("idx"))
 
 
 @query("l15_run_changes", f"""WITH {FUSED}, k AS (SELECT *, {TIER} AS tier, row_number() OVER (PARTITION BY date ORDER BY composite DESC, ticker) AS n FROM fused),

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkfolio.sources.market import table
+from sparkfolio.sources.market import densify, table
 
 #: How many tickers filings and orders are dealt to.
 TICKERS = 150
@@ -39,3 +39,59 @@ WEEKLY_SQL = """weekly AS (
   FROM lineitem GROUP BY ALL)"""
 FILINGS_SQL = f"""filings AS (
   SELECT o_custkey % {TICKERS} + 1 AS ticker, CAST(o_orderdate AS DATE) AS filing_date, o_orderkey AS filing_id, CAST(o_totalprice AS DOUBLE) AS amount FROM orders)"""
+
+
+def bars_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly bars per supplier of ``lineitem`` (ragged), a price being that of one piece after discount.
+
+    ticker, date (Monday), open, high, low, close, volume, industry (nation), sector (region).
+    """
+    price = F.col("l_extendedprice") / F.col("l_quantity") * (1 - F.col("l_discount"))
+    order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    bars = (
+        table(spark, sf_dir, "lineitem")
+        .withColumn("price", price)
+        .groupBy(F.col("l_suppkey").alias("ticker"), F.date_trunc("week", "l_shipdate").cast("date").alias("date"))
+        .agg(
+            F.min_by("price", order).alias("open"),
+            F.max("price").alias("high"),
+            F.min("price").alias("low"),
+            F.max_by("price", order).alias("close"),
+            F.sum("l_quantity").alias("volume"),
+        )
+    )
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    places = table(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    return bars.join(places.select(F.col("s_suppkey").alias("ticker"), F.col("n_name").alias("industry"), F.col("r_name").alias("sector")), "ticker", "left")
+
+
+def panel_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dense weekly panel: all dates of all tickers, with returns, vwap and dollar_volume."""
+    own = Window.partitionBy("ticker").orderBy("date")
+    previous = F.lag("close").over(own)
+    return (
+        densify(bars_weekly(spark, sf_dir))
+        .withColumn("returns", F.when(previous != 0, F.col("close") / previous - 1))
+        .withColumn("vwap", (F.col("high") + F.col("low") + F.col("close")) / 3)
+        .withColumn("dollar_volume", F.col("close") * F.col("volume"))
+    )
+
+
+BARS_SQL = """lines AS (SELECT *, l_extendedprice / l_quantity * (1 - l_discount) AS p FROM lineitem),
+bars AS (
+  SELECT l_suppkey AS ticker, CAST(date_trunc('week', l_shipdate) AS DATE) AS date,
+         arg_min(p, (l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice)) AS open, max(p) AS high, min(p) AS low,
+         arg_max(p, (l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice)) AS close, sum(l_quantity) AS volume
+  FROM lines GROUP BY ALL),
+places AS (SELECT s_suppkey AS ticker, n_name AS industry, r_name AS sector FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+wbars AS (SELECT b.*, industry, sector FROM bars b LEFT JOIN places USING (ticker))"""
+WPANEL_SQL = (
+    BARS_SQL
+    + """,
+wcells AS (
+  SELECT t.ticker, d.date, t.industry, t.sector, b.open, b.high, b.low, b.close, b.volume
+  FROM (SELECT DISTINCT ticker, industry, sector FROM wbars) t CROSS JOIN (SELECT DISTINCT date FROM wbars) d LEFT JOIN wbars b ON b.ticker = t.ticker AND b.date = d.date),
+wpanel AS (
+  SELECT *, row_number() OVER w AS rn, close / nullif(lag(close) OVER w, 0) - 1 AS returns, (high + low + close) / 3 AS vwap, close * volume AS dollar_volume
+  FROM wcells WINDOW w AS (PARTITION BY ticker ORDER BY date))"""
+)
