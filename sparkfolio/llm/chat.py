@@ -36,6 +36,7 @@ def format_conversations(turns: DataFrame, loss_role: str = LOSS_ROLE) -> DataFr
     * Turns are ordered by (turn, role, text), nulls first, so equal turn numbers have a defined order and repeated
       rows all count.  Null text or role is empty; an empty text keeps its turn.
     * Rows without conv_id make one conversation without id.  Other columns are ignored.  An empty table gives no rows.
+    * Roles and texts may have any length, and a conversation any number of turns that one row can hold.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     block = F.transform(
@@ -48,6 +49,8 @@ def format_conversations(turns: DataFrame, loss_role: str = LOSS_ROLE) -> DataFr
         .agg(F.sort_array(F.collect_list("t")).alias("turns"))
         .withColumn("blocks", _merged(F.col("turns")))
         .withColumn("parts", block)
+        .withColumn("sized", _sized())
+        .withColumn("starts", running(F.transform("sized", lambda b: b["total"])))
         .select("conv_id", F.array_join("parts", "").alias("formatted"), _spans(loss_role).alias("loss_spans"))
     )
 
@@ -63,32 +66,49 @@ def _merged(turns: Column) -> Column:
     )
 
 
+def _sized() -> Column:
+    """For each block its role, the length of its head, those of its texts and what stands before each, and its own."""
+
+    def size(b: Column) -> Column:
+        lengths = F.transform(b["texts"], lambda t: F.char_length(escape(t)))
+        head = F.char_length(escape(b["role"], ":")) + len(OPEN) + len(COLON)
+        inner = F.aggregate(lengths, F.lit(0).cast("long"), lambda acc, n: acc + n + len(JOIN)) - len(JOIN)
+        before = running(F.transform(lengths, lambda n: n + len(JOIN)))
+        return F.struct(b["role"].alias("role"), head.alias("head"), lengths.alias("lengths"), before.alias("before"), (head + inner + len(CLOSE)).alias("total"))
+
+    return F.transform("blocks", size)
+
+
 def _spans(loss_role: str) -> Column:
-    """Spans of the loss role's texts, by walking over the blocks with the place reached so far."""
-    empty = F.array().cast("array<struct<start:int,length:int>>")
-
-    def walk(acc: Column, b: Column) -> Column:
-        head = acc["at"] + F.char_length(escape(b["role"], ":")) + len(OPEN) + len(COLON)
-        inner = F.aggregate(
-            b["texts"],
-            F.struct(head.alias("at"), empty.alias("spans")),
-            lambda x, t: F.struct(
-                (x["at"] + F.char_length(escape(t)) + len(JOIN)).alias("at"),
-                F.concat(x["spans"], F.array(F.struct(x["at"].alias("start"), F.char_length(escape(t)).alias("length")))).alias("spans"),
-            ),
-        )
-        return F.struct(
-            (inner["at"] - len(JOIN) + len(CLOSE)).alias("at"),
-            F.when(b["role"] == loss_role, F.concat(acc["spans"], inner["spans"])).otherwise(acc["spans"]).alias("spans"),
-        )
+    """Spans of the loss role's texts: a text starts where its block does, after the head and what stands before it there."""
+    spans = F.zip_with(
+        "sized",
+        "starts",
+        lambda b, at: F.when(
+            b["role"] == loss_role,
+            F.zip_with(b["lengths"], b["before"], lambda n, x: F.struct((at + b["head"] + x).cast("int").alias("start"), n.cast("int").alias("length"))),
+        ).otherwise(F.array().cast("array<struct<start:int,length:int>>")),
+    )
+    return F.flatten(spans)
+
 
-    return F.aggregate("blocks", F.struct(F.lit(0).alias("at"), empty.alias("spans")), walk, lambda acc: acc["spans"])
+def running(lengths: Column) -> Column:
+    """Sums of what stands before each entry of an array, in chunks: the sums inside a chunk look at no more than it, and one fold goes over the chunks' totals."""
+    n = F.size(lengths)
+    chunk = F.greatest(F.lit(1), F.ceil(F.sqrt(n.cast("double"))).cast("int"))
+    sum_of = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda acc, v: acc + v)
+    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / chunk).cast("int") - 1, F.lit(0))), lambda k: F.slice(lengths, k * chunk + 1, chunk))
+    totals = F.transform(chunks, sum_of)
+    bases = F.transform(totals, lambda _, k: sum_of(F.slice(totals, F.lit(1), k)))
+    inner = F.zip_with(chunks, bases, lambda c, base: F.transform(c, lambda _, i: base + sum_of(F.slice(c, F.lit(1), i))))
+    return F.flatten(inner)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """The turns (array of role, text) and the unescaped loss text of :func:`format_conversations`, from its output alone."""
     close, join = F.lit("\\Q" + CLOSE + "\\E"), F.lit("\\Q" + JOIN + "\\E")
-    head = "(?s)^### ((?:[^\\\\:]|\\\\.)*): (.*)$"
+    # possessive: a role of any length is read without a stack that grows with it, and never given back
+    head = "(?s)^### ([^\\\\:]*+(?:\\\\.[^\\\\:]*+)*+): (.*)$"
     blocks = F.array_remove(F.split("formatted", close, -1), "")
     turns = F.flatten(
         F.transform(

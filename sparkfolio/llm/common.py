@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,7 +88,11 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def columns_apart(df: DataFrame, own: list[str]) -> DataFrame:
-    """``df`` without columns whose names (in any case) an operator is about to make."""
-    taken = {x.lower() for x in own}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+def columns_of(df: DataFrame, *, without: Iterable[str] = ()) -> list[Column]:
+    """The columns of ``df``, whatever their names hold, but for those named (in any case) as ``without``."""
+    gone = {x.lower() for x in without}
+    return [F.col(quoted(c)) for c in df.columns if c.lower() not in gone]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"

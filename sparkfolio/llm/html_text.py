@@ -7,8 +7,9 @@ once, without recursion, and written as text: blocks apart, lists with bullets,
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from html import unescape
 from itertools import accumulate
 
@@ -62,7 +63,8 @@ IMPLIED = {
 IMPLIED = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in IMPLIED.items()}
 CLOSES_P = BLOCK - frozenset("li dt dd tr td th thead tbody tfoot caption legend figcaption summary html body option optgroup text mtr".split()) | {"li", "dt", "dd"}
 P_BOUNDS = frozenset("td th table caption button object html body li div section article".split())
-MAX_DEPTH = 2000
+#: Lists, quotes and cells within each other that are set in; what lies deeper is shown without a further indent.
+MAX_INDENT = 500
 
 
 class Node:
@@ -75,10 +77,32 @@ class Node:
         self.tag, self.shown, self.span, self.foreign, self.children = tag, shown, span, 0, []
 
 
+class Open(list):
+    """The open elements, and where those of each tag stand."""
+
+    def __init__(self, root: Node):
+        super().__init__([root])
+        self.at: dict[str, list[int]] = defaultdict(list)
+
+    def append(self, node: Node) -> None:
+        self.at[node.tag].append(len(self))
+        super().append(node)
+
+    def cut(self, k: int) -> None:
+        """Close all from place ``k`` on."""
+        for node in self[k:]:
+            self.at[node.tag].pop()
+        del self[k:]
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The innermost place of any of the tags, 0 for none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+
 def parse(html: str) -> Node:
     """The tree of a page; tags that were never closed end with their parent."""
     root = Node("html")
-    stack, at, end = [root], 0, len(html)
+    stack, at, end = Open(root), 0, len(html)
     while at < end:
         token = TOKEN.search(html, at)
         if token is None:
@@ -103,7 +127,7 @@ def parse(html: str) -> Node:
         attributes = token.group(3)
         foreign = stack[-1].foreign
         if foreign and tag in BREAKS_OUT:
-            del stack[foreign:]
+            stack.cut(foreign)
             foreign = 0
         if foreign:
             _part(stack, foreign, tag, attributes)
@@ -119,7 +143,7 @@ def parse(html: str) -> Node:
             at = close.end() if close else end
         elif tag in ("svg", "math") and _closes_itself(attributes):
             continue
-        elif tag not in VOID and len(stack) < MAX_DEPTH:
+        elif tag not in VOID:
             node.foreign = len(stack) if tag in ("svg", "math") else 0
             stack.append(node)
             if own.get("label") and tag in ("option", "optgroup"):
@@ -133,7 +157,7 @@ def parse(html: str) -> Node:
 LABELLED = frozenset("td th option optgroup".split())
 
 
-def _part(stack: list[Node], top: int, tag: str, attributes: str) -> None:
+def _part(stack: Open, top: int, tag: str, attributes: str) -> None:
     """An element of SVG or MathML; ``/>`` ends it."""
     hidden = tag in (UNSHOWN_SVG if stack[top].tag == "svg" else UNSHOWN_MATH)
     kind = "text" if tag == "tspan" and attributes and "x" in _attributes(attributes) else tag
@@ -142,7 +166,7 @@ def _part(stack: list[Node], top: int, tag: str, attributes: str) -> None:
         parent.children.append(" ")
     node = Node(kind, not hidden and not (attributes and _unshown(attributes)))
     parent.children.append(node)
-    if len(stack) < MAX_DEPTH and not _closes_itself(attributes):
+    if not _closes_itself(attributes):
         node.foreign = 0 if tag in HOLDS_HTML else top
         stack.append(node)
 
@@ -162,7 +186,7 @@ def _number(own: dict[str, str], name: str, least: int, most: int) -> int:
     return min(n, most) if n >= least else 1
 
 
-def _text(stack: list[Node], text: str) -> None:
+def _text(stack: Open, text: str) -> None:
     parent = stack[-1]
     if parent.tag in ("table", "tr", "tbody", "thead", "tfoot") and not text.strip():
         return
@@ -184,35 +208,28 @@ def _unshown(attributes: str) -> bool:
     return "hidden" in own or bool(UNSHOWN_STYLE.search(own.get("style", ""))) or own.get("type", "").lower() == "hidden"
 
 
-def _imply(stack: list[Node], tag: str) -> None:
+def _imply(stack: Open, tag: str) -> None:
     if tag in CLOSES_P:
         _pop(stack, frozenset({"p"}), P_BOUNDS, all_of=False)
     if tag in IMPLIED:
         _pop(stack, *IMPLIED[tag], all_of=True)
 
 
-def _pop(stack: list[Node], ends: frozenset, bounds: frozenset, *, all_of: bool) -> None:
+def _pop(stack: Open, ends: frozenset, bounds: frozenset, *, all_of: bool) -> None:
     """Close the open elements of ``ends`` above the nearest of ``bounds``: the innermost, or all."""
-    cut = None
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in ends:
-            cut = k
-            if not all_of:
-                break
-        elif stack[k].tag in bounds:
-            break
-    if cut is not None:
-        del stack[cut:]
+    bound = stack.last(bounds)
+    if all_of:
+        places = [at[k] for t in ends if (at := stack.at.get(t)) and (k := bisect_right(at, bound)) < len(at)]
+        if places:
+            stack.cut(min(places))
+    elif (cut := stack.last(ends)) > bound:
+        stack.cut(cut)
 
 
-def _close(stack: list[Node], tag: str) -> None:
-    bound = frozenset(("table",)) if tag in ("p", "b", "i", "a", "span", "div", "li") else frozenset()
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag == tag:
-            del stack[k:]
-            return
-        if stack[k].tag in bound:
-            return
+def _close(stack: Open, tag: str) -> None:
+    at = stack.at.get(tag)
+    if at and not (tag in ("p", "b", "i", "a", "span", "div", "li") and stack.last(("table",)) > at[-1]):
+        stack.cut(at[-1])
 
 
 class Writer:
@@ -318,7 +335,7 @@ def _aligned(table: Table) -> list[str]:
 def render(root: Node) -> str:
     """The text of a tree."""
     writer, writers, lists, tables = Writer(), [], [], []
-    pre = 0
+    pre, flat = 0, set()  # flat: elements that are too deep to be set in
     todo: list[tuple[Node | str, bool]] = [(root, True)]
     while todo:
         node, enters = todo.pop()
@@ -337,8 +354,12 @@ def render(root: Node) -> str:
             if not node.shown:
                 continue
             if tag == "br":
-                if writer.now:
+                if pre:
+                    writer.keep("")
+                elif writer.now:
                     writer.feed()
+                else:  # a line of its own that is empty
+                    writer.blank = True
                 continue
             if tag in BLOCK:
                 writer.feed(blank=tag in SPACED and tag not in ("ul", "ol") or tag in ("ul", "ol") and not lists)
@@ -353,12 +374,18 @@ def render(root: Node) -> str:
             elif tag == "pre":
                 pre += 1
             if tag in ("td", "th", "caption") and tables or tag in ("li", "blockquote", "dd"):
-                writers.append(writer)
-                writer = Writer()
+                if len(writers) < MAX_INDENT:
+                    writers.append(writer)
+                    writer = Writer()
+                else:
+                    writer.feed()
+                    flat.add(id(node))
             todo.append((node, False))
             todo.extend((c, True) for c in reversed(node.children))
             continue
-        if tag in ("td", "th", "caption") and tables:
+        if id(node) in flat:
+            writer.feed()
+        elif tag in ("td", "th", "caption") and tables:
             cell, writer = writer.done(), writers.pop()
             if tag == "caption":
                 writer.put(cell)
@@ -395,7 +422,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages`` (page_id, url, html, ...): page_id, url, text, n_chars, n_lines.
 
     Null html gives a null text and zero counts, empty html an empty one.  Rows are taken one by one, so repeated rows
-    and null ids come back as they are.  Elements nested deeper than ``MAX_DEPTH`` are read as siblings.  Tags are read
+    and null ids come back as they are.  Depth has no limit; indents stop growing at ``MAX_INDENT`` levels.  Tags are read
     as browsers do, at any length of their attributes: a tag or quote that never ends takes the rest of the page.  Other
     columns are ignored.
     """

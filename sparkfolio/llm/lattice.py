@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkfolio.llm.common import staged
+from sparkfolio.llm.common import staged, unstage
 from sparkfolio.llm.graph import Forest, components
 
 MIN_COSINE = 0.98
 TABLES, PROBES, SCALE, SEED = 6, 2, 0.15, 8
 #: Members of a cell that are compared as one block.
-BLOCK = 512
+BLOCK = 1024
 
 
 def _shortest() -> np.ndarray:
@@ -92,7 +92,9 @@ def _units(vectors: list) -> np.ndarray:
 
 
 def _keyed(vectors: DataFrame) -> DataFrame:
-    """vec_id, label, digest of the vector (null if it can't be linked) and the vector in double precision."""
+    """vec_id, label, digest of the vector (null if it can't be linked) and the vector, of the input's own precision."""
+    single = dict(vectors.dtypes)["embedding"] == "array<float>"
+    kind, number = ("float", pa.float32()) if single else ("double", pa.float64())  # single numbers are half as long to send and lose nothing
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import blake2b
@@ -104,9 +106,9 @@ def _keyed(vectors: DataFrame) -> DataFrame:
                 ok = x is not None and np.isfinite(x).all() and x.any()
                 keys.append(blake2b(x.tobytes(), digest_size=16).digest() if ok else None)
                 out.append(x if ok else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(out, pa.list_(pa.float64()))], ["vec_id", "label", "digest", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(out, pa.list_(number))], ["vec_id", "label", "digest", "v"])
 
-    return vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "embedding").mapInArrow(run, "vec_id long, label long, digest binary, v array<double>")
+    return vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "embedding").mapInArrow(run, f"vec_id long, label long, digest binary, v array<{kind}>")
 
 
 def _hashed(nodes: DataFrame, make: tuple) -> DataFrame:
@@ -141,14 +143,14 @@ def _linked(dealt: DataFrame, make: tuple, least: float) -> DataFrame:
             frame = carry if batch is None else pa.Table.from_batches([batch]) if carry is None else pa.concat_tables([carry, pa.Table.from_batches([batch])])
             if frame is None or not frame.num_rows:
                 continue
-            cell, i, j = (frame.column(c).to_numpy() for c in ("cell", "i", "j"))
-            new = np.flatnonzero((cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            cell, i, j, dim = (frame.column(c).to_numpy() for c in ("cell", "i", "j", "dim"))  # keys of different lengths can clash
+            new = np.flatnonzero((cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (dim[1:] != dim[:-1])) + 1
             done = frame.num_rows if batch is None else int(new[-1]) if len(new) else 0
             carry = frame.slice(done) if batch is not None else None
             if done:
                 yield _groups(frame.slice(0, done), np.concatenate(([0], new[new < done], [done])), tables, make, least)
 
-    return dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(run, "node long, links long, root long")
+    return dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "dim").mapInArrow(run, "node long, links long, root long")
 
 
 def _groups(frame: pa.Table, ends: np.ndarray, tables: dict, make: tuple, least: float) -> pa.RecordBatch:
@@ -161,8 +163,6 @@ def _groups(frame: pa.Table, ends: np.ndarray, tables: dict, make: tuple, least:
         dim = int(starts[lo + 1] - starts[lo])
         if hi - lo < 2 or not home[lo:hi].any():
             continue
-        if starts[hi] - starts[lo] != dim * (hi - lo):
-            continue  # a cell's key holds the dimension, so only a clash of keys can bring two together
         unit = _units(values[starts[lo] : starts[hi]].reshape(hi - lo, dim))
         close = unit @ unit.T >= least
         at, own = slice(lo, hi), home[lo:hi]
@@ -232,8 +232,9 @@ def near_duplicate_vectors(
     rows = cells.join(crowded, "cell").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node", "cell"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = rows.select("node", "cell", "t", "home", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j")).join(nodes, "node")
-    found = staged(_linked(dealt.select("node", "label", "v", "mult", "cell", "t", "home", "block", "i", "j"), make, min_cosine))
+    dealt = rows.select("node", "cell", "t", "home", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j")).join(nodes.withColumn("dim", F.size("v")), "node")
+    found = staged(_linked(dealt.select("node", "label", "v", "mult", "cell", "t", "home", "block", "i", "j", "dim"), make, min_cosine))
+    unstage(cells, crowded, nodes)
     labels = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     placed = (

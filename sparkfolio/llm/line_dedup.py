@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkfolio.llm.common import ascii_lower, lines_of, staged
+from sparkfolio.llm.common import ascii_lower, columns_of, lines_of, staged
 
 MIN_KEY_CHARS = 10
+#: A key is hot with more than one in so many lines; there are fewer such keys than this.
+HOT_SHARE = 1000
 
 
 def line_key(line: Column) -> Column:
@@ -26,58 +28,31 @@ def drop_repeated_lines(docs: DataFrame, min_key_chars: int = MIN_KEY_CHARS) ->
       the smallest doc_id.  Repeats inside that one document stay.
     * Null text: one empty line, which is never dropped.  Null doc_id: the row stays whole and is no holder of keys.
     * Repeated rows (same doc_id and text) all get the same answer; rows of one doc_id with other texts count as one document.
-    * Columns of the input named as the ones added are replaced.
+    * Columns of the input named as the ones added are replaced; other names, with dots or used here too, are left alone.
 
-    Hot keys: holders are found by min and max with map-side combining, and the join back to lines is a plain
-    sort-merge join that adaptive execution splits where a key is skewed.
+    Hot keys: holders are found by min, max and count with map-side combining.  Keys with more than a thousandth of all
+    lines are a thousand at most, so this table of known size is broadcast to their lines; the lines of all other keys
+    meet theirs by a join in which no key can fill more than a thousandth.
     """
-    # the row is known by (doc_id, hash of its text): repeated doc_ids cannot mix their positions
-    rows = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    keyed = rows.where(F.col("doc_id").isNotNull()).select(
-        "doc_id",
-        "_th",
-        F.posexplode(
-            F.transform(
-                lines_of(F.col("text")),
-                lambda l: _hashes(line_key(l), min_key_chars),
-            )
-        ).alias("pos", "h"),
-    )
-    lines = staged(keyed.where(F.col("h").isNotNull()).select("doc_id", "_th", "pos", F.col("h.a").alias("a"), F.col("h.b").alias("b")))
-    repeated = (
-        lines.groupBy("a", "b")
-        .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-        .where("first < last")
-        .drop("last")
-    )
-    gone = (
-        lines.join(repeated, ["a", "b"])
-        .where("doc_id <> first")
-        .groupBy("doc_id", "_th")
-        .agg(F.collect_set("pos").alias("_gone"))
-    )
-    lines_col = lines_of(F.col("text"))
-    out = [c for c in docs.columns if c.lower() not in ("kept_text", "n_lines", "n_dropped")]
-    return (
-        rows.join(gone, ["doc_id", "_th"], "left")
-        .withColumn("_lines", lines_col)
-        .select(
-            *out,
-            F.when(F.col("_gone").isNull(), F.coalesce("text", F.lit("")))
-            .otherwise(
-                F.array_join(
-                    F.transform(
-                        F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone")),
-                        lambda i: F.get("_lines", i),
-                    ),
-                    "\n",
-                )
-            )
-            .alias("kept_text"),
-            F.size("_lines").cast("long").alias("n_lines"),
-            F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
-        )
-    )
+    added = ("kept_text", "n_lines", "n_dropped")
+    # the row stands aside in a struct; it is known by (doc_id, hash of its text): repeated doc_ids cannot mix their positions
+    rows = docs.select(F.struct(*columns_of(docs)).alias("row"), F.col("doc_id").alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.col("text").alias("line_text"))
+    hashed = F.transform(lines_of(F.col("line_text")), lambda l: _hashes(line_key(l), min_key_chars))
+    keyed = rows.where(F.col("doc").isNotNull()).select("doc", "th", F.posexplode(hashed).alias("pos", "h"))
+    lines = staged(keyed.where(F.col("h").isNotNull()).select("doc", "th", "pos", F.col("h.a").alias("a"), F.col("h.b").alias("b")))
+    found = lines.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n"))
+    repeated = staged(found.where("first < last").drop("last"))
+    most = max(lines.count() // HOT_SHARE, 1)
+    hot = F.broadcast(repeated.where(F.col("n") > most).drop("n"))  # fewer than HOT_SHARE rows
+    cold = lines.join(hot, ["a", "b"], "left_anti").join(repeated.where(F.col("n") <= most).drop("n"), ["a", "b"])
+    gone = lines.join(hot, ["a", "b"]).unionByName(cold).where("doc <> first").groupBy("doc", "th").agg(F.collect_set("pos").alias("gone"))
+    gone = gone.select(F.col("doc").alias("gone_doc"), F.col("th").alias("gone_th"), "gone")
+    out = rows.join(gone, (F.col("doc") == F.col("gone_doc")) & (F.col("th") == F.col("gone_th")), "left").withColumn("lines", lines_of(F.col("line_text")))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    kept = F.when(F.col("gone").isNull(), F.coalesce("line_text", F.lit(""))).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
+    # lambdas take their names from the select they stand in first, so the row's own columns come back in one of their own
+    out = out.select("row", kept.alias("kept_text"), F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in added], *added)
 
 
 def _hashes(key: Column, least: int) -> Column:

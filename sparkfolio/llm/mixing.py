@@ -13,7 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkfolio.llm.common import staged, words_of
+from sparkfolio.llm.common import columns_of, staged, words_of
 
 LEVELS = ["domain", "lang", "source"]
 DOMAINS = ("web", "books", "code", "forum")
@@ -83,7 +83,7 @@ def leaf_budgets(
 
 
 def mix(docs: DataFrame, *, seed: int = SEED, bucket_digits: int = BUCKET_DIGITS, n_tokens: Column | None = None, domain: Column | None = None, **budgets) -> DataFrame:
-    """One row per chosen document and epoch: doc_id, domain, lang, source, epoch, n_tokens, leaf_budget and ``_th`` (hash of the text).
+    """One row per chosen document and epoch: doc_id, domain, lang, source, epoch, n_tokens, leaf_budget and ``text_hash``.
 
     * Tokens are words unless ``n_tokens`` says otherwise.  Texts without words, null ones too, cost nothing and come
       with the prefix they stand in, once the leaf has any tokens; a leaf without tokens gives nothing.
@@ -130,13 +130,15 @@ def mix(docs: DataFrame, *, seed: int = SEED, bucket_digits: int = BUCKET_DIGITS
         keyed.join(starts, [*LEVELS, "bucket"])
         .withColumn("times", times)
         .where("times > 0")
-        .select("doc_id", "_th", *LEVELS, F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("epoch"), "n_tokens", "leaf_budget")
+        .select("doc_id", F.col("_th").alias("text_hash"), *LEVELS, F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("epoch"), "n_tokens", "leaf_budget")
     )
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that :func:`mix` chooses, with all their columns, once for each epoch that has them."""
-    chosen = mix(docs, **options).select("doc_id", "_th", F.col("lang").alias("_lang"), F.col("source").alias("_source"), "epoch")
-    keyed = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_lang", F.coalesce("lang", F.lit(""))).withColumn("_source", F.coalesce("source", F.lit("")))
-    same = keyed["doc_id"].eqNullSafe(chosen["doc_id"]) & (keyed["_th"] == chosen["_th"]) & (keyed["_lang"] == chosen["_lang"]) & (keyed["_source"] == chosen["_source"])
-    return keyed.join(chosen, same).select(*[keyed[c] for c in docs.columns])
+    chosen = mix(docs, **options).select("doc_id", "text_hash", "lang", "source")
+    # the row stands aside in a struct, so that none of the names used here can meet its own
+    row = F.struct(*columns_of(docs)).alias("row")
+    keyed = docs.select(row, F.col("doc_id").alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.coalesce("lang", F.lit("")).alias("l"), F.coalesce("source", F.lit("")).alias("s"))
+    same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")) & (F.col("l") == F.col("lang")) & (F.col("s") == F.col("source"))
+    return keyed.join(chosen, same).select("row.*")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkfolio.llm.common import SPACE, lines_of, words_of
+from sparkfolio.llm.common import SPACE, columns_of, lines_of, words_of
 
 SYMBOLS = "[#*$%&|<>]"
 #: Fixed phrases of pages around the text proper; only short lines are held against them.
@@ -54,10 +54,11 @@ def judge(docs: DataFrame) -> DataFrame:
     and null ids need no care.  Columns of the input named as the ones added are replaced.
     """
     own = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars", "base_failed", "kept", "clean_text")
-    base = [c for c in docs.columns if c.lower() not in own]
+    # the row's own columns stand aside in a struct, so that none of the names used here can meet theirs
+    base = columns_of(docs, without=own)
     text = F.coalesce("text", F.lit(""))
     out = (
-        docs.select(*base)
+        docs.select(F.struct(*base).alias("_row"), "text")
         .withColumn("_words", words_of(F.col("text")))
         .withColumn("_lines", lines_of(F.col("text")))
         .withColumn("n_words", F.size("_words").cast("long"))
@@ -72,7 +73,8 @@ def judge(docs: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return (
         out.select(
-            *base,
+            "_row",
+            "text",
             "n_words",
             F.char_length(F.array_join("_words", "")).cast("long").alias("word_chars"),
             (F.char_length(text) - F.char_length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -84,8 +86,8 @@ def judge(docs: DataFrame) -> DataFrame:
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & (F.col("lost_chars") <= MAX_LOST_SHARE * F.char_length(text)))
         # a filter on the verdict must not be pushed below, where it would repeat the array work inside itself
-        .select(F.explode(F.array(F.struct(*base, *own))).alias("row"))
-        .select("row.*")
+        .select(F.explode(F.array(F.struct("_row", *own))).alias("row"))
+        .select("row._row.*", *[F.col("row")[c].alias(c) for c in own])
     )
 
 

@@ -20,7 +20,7 @@ def _query(f):
 @_query
 def op1_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents chosen for the token budget, one row per document and epoch."""
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("_th")
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 _FILL = """
@@ -73,15 +73,14 @@ FROM timed WHERE times > 0"""
 
 
 #: One more conversation, whose texts hold the template's own control strings.
-HARD_CONVERSATION = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+HARD_CONVERSATION = r"SELECT * FROM VALUES (-7L, 0L, 'user', r'\### Assistant: </turn> ok'), (-7L, 1L, 'assistant', r'\### Assistant: </turn> ok') AS t(conv_id, turn, role, text)"
 
 
 @_query
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the formatted conversations, read back from the formatted text."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    more = spark.createDataFrame(HARD_CONVERSATION, "conv_id long, turn long, role string, text string")
-    back = chat.read_back(chat.format_conversations(turns.unionByName(more)))
+    back = chat.read_back(chat.format_conversations(turns.unionByName(spark.sql(HARD_CONVERSATION))))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",

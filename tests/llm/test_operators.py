@@ -94,6 +94,39 @@ def test_formatting_reads_back(spark):
         assert back[c].loss_text == "".join(t for _, r, t in want if r == "assistant")
 
 
+def test_roles_and_texts_of_any_length_read_back(spark):
+    turns = [(1, k, r, t) for k, (r, t) in enumerate([("r" * 100_000, "a"), ("assistant", "x" * 200_000 + "\\# <"), ("a:\\:" * 5000, "b"), ("assistant", ""), ("assistant", "c\nd")])]
+    turns += [(2, k, ("user", "assistant")[k % 2], f"t{k}") for k in range(3000)]
+    out = chat.read_back(chat.format_conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")))
+    for r in out.collect():
+        own = [(x[2], x[3]) for x in turns if x[0] == r.conv_id]
+        assert [(t.role, t.text) for t in r.turns] == own
+        assert r.loss_text == "".join(t for role, t in own if role == "assistant")
+
+
+CLASH = "doc_id long, text string, lang string, source string, `a.b` long, _words string, _h string, _lines string, _th string, _gone string, _lang string, row string, h string, gone string, `lines` string"
+
+
+@pytest.mark.parametrize("run", [line_dedup.drop_repeated_lines, quality.judge, mixing.mixed_documents, minhash.deduplicated], ids=lambda f: f.__name__)
+def test_columns_of_any_name_come_back_as_they_were(spark, run):
+    text = "A line of text that is long enough.\n" * 3 + " ".join(f"word{i} more." for i in range(60))
+    rows = [(i, text if i < 2 else f"{text} {i}", "en", "src1", 10 + i, *[f"{c}{i}" for c in "ABCDEFGHIJ"]) for i in range(4)]
+    df = spark.createDataFrame(rows, CLASH)
+    out = run(df)
+    assert out.columns[: len(df.columns)] == df.columns
+    got = [tuple(r)[: len(df.columns)] for r in out.collect()]
+    assert got and set(got) <= set(rows)
+
+
+def test_a_line_that_most_documents_hold_goes_from_all_but_one(spark, monkeypatch):
+    texts = [f"own line number {i}\nThe very same footer line\nshared by {i // 2:06d} two" for i in range(200)]
+    want = [(i, 3, (i > 0) + i % 2) for i in range(200)]
+    for share in (1000, 10, 1):  # all keys hot, some, none
+        monkeypatch.setattr(line_dedup, "HOT_SHARE", share)
+        got = line_dedup.drop_repeated_lines(documents(spark, texts)).collect()
+        assert sorted((r.doc_id, r.n_lines, r.n_dropped) for r in got) == want
+
+
 def test_shortages_go_to_siblings_before_ancestors(spark):
     leaves = spark.createDataFrame([("web", "en", "a", 100), ("web", "en", "b", 5), ("web", "de", "c", 100), ("books", "en", "d", 1000)], "domain string, lang string, source string, tokens long")
     got = {r.source: r.leaf_budget for r in mixing.leaf_budgets(leaves, budget_tokens=200, max_epochs=1, domain_weights={"web": 1, "books": 1}, lang_weights={"en": 1, "de": 1}).collect()}
@@ -298,6 +331,14 @@ def test_formulas_labels_options_and_aria_hidden_are_shown():
     assert html_text.page_text("<p aria-hidden=true>seen</p><p hidden>no</p>") == "seen"
 
 
+def test_elements_of_any_depth_keep_their_ancestors_rules():
+    deep = "<div>" * 30_000
+    assert html_text.page_text(f"{deep}seen<span hidden>{'<b>' * 5000}lost</span>end") == "seenend"
+    assert html_text.page_text("<ul><li>" * 3000 + "x").endswith("x")
+    assert html_text.page_text("<p>" + "<b>" * 20_000 + "a<p>b" * 2000).count("b") == 2000
+    assert html_text.page_text("a<br><br>b<pre>c<br><br>d</pre>") == "a\n\nb\n\nc\n\nd"
+
+
 def test_cells_over_several_columns_and_rows_keep_the_others_in_place():
     html = "<table><tr><th>k<th colspan=2>both<th>end<tr><td rowspan=2>r<td>a<td>b<td>c<tr><td>d<td>e<td>f</table>"
     assert html_text.page_text(html) == "k  both  end\nr  a  b  c\n   d  e  f"
