@@ -85,7 +85,7 @@ _GRID = [(m, h) for m in (126, 252) for h in (5, 20)]
   g AS ({" UNION ALL ".join(f"SELECT {m} AS m, {h} AS horizon, date, ticker, round(rz, 9) AS z, f{h} AS fwd FROM sz{m} JOIN fw USING (ticker, date) WHERE rz IS NOT NULL AND f{h} IS NOT NULL" for m, h in _GRID)}),
   k AS (SELECT *, rank() OVER (PARTITION BY m, horizon, date ORDER BY z) + (count(*) OVER (PARTITION BY m, horizon, date, z) - 1) / 2.0 AS a, rank() OVER (PARTITION BY m, horizon, date ORDER BY fwd) + (count(*) OVER (PARTITION BY m, horizon, date, fwd) - 1) / 2.0 AS f FROM g),
   c AS (SELECT m, horizon, date, {CORR.format(x='a', y='f')} AS ic FROM k GROUP BY ALL HAVING count(*) >= 8)
-  SELECT m, horizon, {r('avg(ic)')} AS mean_ic, {r('CASE WHEN stddev_samp(ic) > 1e-12 THEN avg(ic) / stddev_samp(ic) END')} AS ir, {r('avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0 END)')} AS positive, count(ic) AS dates FROM c WHERE ic IS NOT NULL GROUP BY m, horizon""")
+  SELECT m, horizon, {r('avg(ic)')} AS mean_ic, {r('CASE WHEN stddev_samp(ic) > 1e-12 THEN avg(ic) / stddev_samp(ic) END')} AS ir, {r('avg(CASE WHEN round(ic, 12) > 0 THEN 1.0 ELSE 0 END)')} AS positive, count(ic) AS dates FROM c WHERE ic IS NOT NULL GROUP BY m, horizon""")
 def s3_rsrs_grid(spark, sf_dir):
     """The slope score's daily rank IC for two windows and two horizons; dates of fewer than eight names do not count."""
     bars = bars_weekly(spark, sf_dir).select("ticker", "date", "high", "low", "close")
@@ -97,7 +97,7 @@ def s3_rsrs_grid(spark, sf_dir):
     rank = lambda x: F.rank().over(at.orderBy(x)) + (F.count("*").over(Window.partitionBy("m", "horizon", "date", x)) - 1) / 2
     ic = g.withColumn("a", rank("z")).withColumn("f", rank("fwd")).groupBy("m", "horizon", "date").agg(b.correlation(F.col("a"), F.col("f")).alias("ic"), F.count("*").alias("n")).where("n >= 8 and ic is not null")
     spread = F.stddev_samp("ic")
-    return ic.groupBy("m", "horizon").agg(rounded(F.avg("ic")).alias("mean_ic"), rounded(F.when(spread > 1e-12, F.avg("ic") / spread)).alias("ir"), rounded(F.avg((F.col("ic") > 0).cast("double"))).alias("positive"), F.count("*").alias("dates"))
+    return ic.groupBy("m", "horizon").agg(rounded(F.avg("ic")).alias("mean_ic"), rounded(F.when(spread > 1e-12, F.avg("ic") / spread)).alias("ir"), rounded(F.avg((F.round("ic", 12) > 0).cast("double"))).alias("positive"), F.count("*").alias("dates"))
 
 
 # -- flows, options, analysts ---------------------------------------------------------------------------------------
