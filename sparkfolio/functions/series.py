@@ -135,3 +135,31 @@ def EMA(df, out, x, span):
 
     ema = df.select("ticker", "date", x).groupBy("ticker").applyInPandas(run, f"ticker {kinds['ticker']}, date {kinds['date']}, _ema double")
     return df.join(ema, ["ticker", "date"]).withColumnRenamed("_ema", out)
+
+
+# -- elementwise, by the rules of floating-point numbers ------------------------------------------------------------
+
+
+def ieee_divide(x: Column, y: Column) -> Column:
+    """x / y where y may be 0: an infinity of x's sign, no number for 0 / 0; null where either is missing."""
+    at_zero = F.when(x > 0, float("inf")).when(x < 0, float("-inf")).when(x == 0, float("nan"))
+    return F.when(y != 0, x / y).when(y == 0, at_zero)
+
+
+def ieee_log(x: Column) -> Column:
+    """Natural logarithm: minus infinity at 0, no number below it."""
+    return F.when(x > 0, F.ln(x)).when(x == 0, float("-inf")).when(x < 0, float("nan"))
+
+
+def ieee_power(x: Column, y: Column) -> Column:
+    return F.pow(x, y)
+
+
+def compared(test: Column, missing: Column) -> Column:
+    """1 where a comparison holds, 0 where not; a missing operand compares as false, or gives ``missing`` where that is null."""
+    return F.when(test, 1.0).when(missing.isNull(), F.lit(None).cast("double")).otherwise(0.0)
+
+
+def ieee_if(test: Column, yes: Column, no: Column) -> Column:
+    """``no`` where the test is 0, else ``yes``: a missing test counts as true."""
+    return F.when(test == 0, no).otherwise(yes)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkfolio.functions import lexicon
 from sparkfolio.operators import backtest as b
 from sparkfolio.operators.expression import evaluate
 from sparkfolio.operators.joins import asof_join, global_ordinal, next_after
@@ -233,9 +234,6 @@ def v18_basket_scoreboard(spark, sf_dir):
 
 # -- news, events, alerts ------------------------------------------------------------------------------------------
 
-GOOD, BAD = ["gain", "profit", "strong", "is", "with"], ["loss", "worthless", "trash", "not", "loser"]
-
-
 @query("n1_n2_news_dedup", r"""WITH n AS (SELECT page_id, 'T' || (page_id % 50) AS ticker,
     lower(regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1)) || regexp_replace(regexp_replace(url, '^[a-zA-Z]+://[^/?#]*', ''), '[?#].*$', '') AS u FROM pages),
   h AS (SELECT page_id, sha256(upper(ticker) || '|' || u) AS hash FROM n) SELECT hash, min(page_id) AS page_id, count(*) AS copies FROM h GROUP BY hash""")
@@ -247,15 +245,11 @@ def n1_n2_news_dedup(spark, sf_dir):
     return table(spark, sf_dir, "pages").groupBy(F.sha2(F.concat(F.upper(ticker), F.lit("|"), head, tail), 256).alias("hash")).agg(F.min("page_id").alias("page_id"), F.count("*").alias("copies"))
 
 
-@query("n3_dictionary_sentiment", f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM documents),
-  c AS (SELECT doc_id, len(list_filter(ws, lambda x: x IN ({", ".join(f"'{x}'" for x in GOOD)}))) AS good, len(list_filter(ws, lambda x: x IN ({", ".join(f"'{x}'" for x in BAD)}))) AS bad FROM t)
-  SELECT doc_id, CAST(good AS BIGINT) AS good, CAST(bad AS BIGINT) AS bad, CASE WHEN good > 1.2 * bad THEN 'bullish' WHEN bad > 1.2 * good THEN 'bearish' ELSE 'neutral' END AS sentiment FROM c""")
+@query("n3_dictionary_sentiment", f"""WITH c AS (SELECT doc_id, {lexicon.sql_hits('text', lexicon.GOOD)} AS good, {lexicon.sql_hits('text', lexicon.BAD)} AS bad FROM documents) SELECT doc_id, good, bad, {lexicon.sql_mood('good', 'bad')} AS sentiment FROM c""")
 def n3_dictionary_sentiment(spark, sf_dir):
-    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))
-    count = lambda names: F.size(F.filter("ws", lambda x: x.isin(*names))).cast("long")
-    c = table(spark, sf_dir, "documents").select("doc_id", words.alias("ws")).select("doc_id", count(GOOD).alias("good"), count(BAD).alias("bad"))
-    mood = F.when(F.col("good") > 1.2 * F.col("bad"), "bullish").when(F.col("bad") > 1.2 * F.col("good"), "bearish").otherwise("neutral")
-    return c.withColumn("sentiment", mood)
+    """Counts of good and bad whole words and the side that outweighs the other; the word lists are parameters of the functions used."""
+    c = table(spark, sf_dir, "documents").select("doc_id", lexicon.hits(F.col("text"), lexicon.GOOD).alias("good"), lexicon.hits(F.col("text"), lexicon.BAD).alias("bad"))
+    return c.withColumn("sentiment", lexicon.mood(F.col("good"), F.col("bad")))
 
 
 @query("n4_event_classifier", """SELECT conv_id, turn, CASE WHEN role = 'system' OR lower(text) LIKE '%war%' THEN 'geopolitical' WHEN lower(text) LIKE '%tax%' OR lower(text) LIKE '%vote%' THEN 'political' ELSE 'other' END AS category FROM conversations""")
