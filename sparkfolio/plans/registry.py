@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkfolio.plans import assembly, backtests, extra, factors, more, newsroom, portfolio, research, signals, validation  # noqa: F401  they register their queries
+from sparkfolio.plans import assembly, backtests, extra, factors, ledgers, mining, more, newsroom, portfolio, research, signals, validation  # noqa: F401  they register their queries
 from sparkfolio.plans.common import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL", "flagship"]
