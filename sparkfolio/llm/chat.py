@@ -92,6 +92,10 @@ def _spans(loss_role: str) -> Column:
     return F.flatten(spans)
 
 
+#: Arrays of so many entries are summed without chunks.
+FEW = 32
+
+
 def running(lengths: Column) -> Column:
     """Sums of what stands before each entry of an array, in chunks: the sums inside a chunk look at no more than it, and one fold goes over the chunks' totals."""
     n = F.size(lengths)
@@ -101,7 +105,7 @@ def running(lengths: Column) -> Column:
     totals = F.transform(chunks, sum_of)
     bases = F.transform(totals, lambda _, k: sum_of(F.slice(totals, F.lit(1), k)))
     inner = F.zip_with(chunks, bases, lambda c, base: F.transform(c, lambda _, i: base + sum_of(F.slice(c, F.lit(1), i))))
-    return F.flatten(inner)
+    return F.when(n <= FEW, F.transform(lengths, lambda _, i: sum_of(F.slice(lengths, F.lit(1), i)))).otherwise(F.flatten(inner))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

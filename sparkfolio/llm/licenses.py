@@ -11,6 +11,7 @@ from bisect import bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -23,25 +24,46 @@ PHRASES = (
     ("apache-2", "apache license version 2"),
     ("cc-by-nc", "cc by nc"),
 )
-#: Opening or naming passages of licenses, with their labels.
+#: Passages of licenses (names, notices, and the bodies of the short ones part by part), with their labels.
 TEMPLATES = (
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
+    ("mit", "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
     ("apache-2", "licensed under the apache license version 2 0"),
     ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("gpl-3", "licensed under the gnu general public license version 3"),
-    ("gpl-2", "licensed under the gnu general public license version 2"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("apache-2", "see the license for the specific language governing permissions and limitations under the license"),
+    ("gpl", "licensed under the gnu general public license"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("gpl-1", "licensed under the gnu general public license version 1"),
+    ("gpl-2", "licensed under the gnu general public license version 2"),
+    ("gpl-3", "licensed under the gnu general public license version 3"),
     ("lgpl", "licensed under the gnu lesser general public license"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
     ("agpl-3", "licensed under the gnu affero general public license version 3"),
+    ("agpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2", "if a copy of the mpl was not distributed with this file you can obtain one at"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("cc-by", "creative commons attribution 4 0 international license"),
+    ("cc-by-sa", "creative commons attribution sharealike 4 0 international license"),
+    ("cc-by-nc", "creative commons attribution noncommercial 4 0 international license"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
+    ("cc-by-nd", "creative commons attribution noderivatives 4 0 international license"),
+    ("cc-by-nc-sa", "creative commons attribution noncommercial sharealike 4 0 international license"),
+    ("cc-by-nc-nd", "creative commons attribution noncommercial noderivatives 4 0 international license"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
 )
 MIN_MATCH, MAX_GAP, MIN_SHARE, MIN_COVERED = 3, 8, 0.8, 5
 
@@ -136,6 +158,7 @@ class Scanner:
         #: words in a row that a stretch needs: for a match, or for the shortest phrase
         self.least = min([MIN_MATCH, *self.lengths[: self.n_phrases]])
         self.vocabulary = {t for s in sequences for t in s}
+        self.held: dict[int, dict[int, tuple[int, list[int]]]] = {}
         #: for each state, the phrases that are suffixes of its longest string
         self.whole: list[list[int]] = [[] for _ in self.automaton.len]
         for s, tokens in enumerate(sequences[: self.n_phrases]):
@@ -158,18 +181,32 @@ class Scanner:
         spans = [x for s, found in matches.items() for x in self._chains(s, found)]
         return places, spans
 
+    def _held(self, state: int) -> dict[int, tuple[int, list[int]]]:
+        """For each template that holds a suffix of the state's longest string: the longest such suffix, and where it ends there."""
+        if state not in self.held:
+            found: dict[int, tuple[int, list[int]]] = {}
+            v = state
+            while v > 0 and self.automaton.len[v] >= MIN_MATCH:
+                new: dict[int, list[int]] = defaultdict(list)
+                for s, at in self.automaton.ends[v]:
+                    if s >= self.n_phrases and s not in found:
+                        new[s].append(at)
+                found |= {s: (self.automaton.len[v], ats) for s, ats in new.items()}
+                v = self.automaton.link[v]
+            self.held[state] = found
+        return self.held[state]
+
     def _stretch(self, tokens, base, places, matches):
-        before = (0, 0)
+        before: dict[int, tuple[int, list[int]]] = {}
         for i, (state, length) in enumerate([*self.automaton.statistics(tokens), (0, 0)]):
             for s in self.whole[state]:
                 if self.lengths[s] <= length:
                     places.append((s, base + i + 1 - self.lengths[s]))
-            v, n = before
-            if n >= MIN_MATCH and length != n + 1:  # the match can't be made longer
-                for s, at in self.automaton.ends[v]:
-                    if s >= self.n_phrases and at >= n:
-                        matches[s].append(Match(base + i, at, n))
-            before = (state, length)
+            now = {s: (min(n, length), ats) for s, (n, ats) in self._held(state).items()} if length >= MIN_MATCH else {}
+            for s, (n, ats) in before.items():
+                if now.get(s, (0,))[0] != n + 1:  # this template's match can't be made longer
+                    matches[s].extend(Match(base + i, at, n) for at in ats if at >= n)
+            before = now
 
     def _chains(self, s: int, found: list[Match]) -> list[tuple[int, int, int, float]]:
         """Chains of matches for template ``s`` that do not overlap, larger ones first taken: all that cover ``MIN_SHARE``, or else the best one."""
@@ -216,11 +253,31 @@ def _overlaps(kept: list[tuple[int, int]], start: int, end: int) -> bool:
     return k > 0 and kept[k - 1][1] > start or k < len(kept) and kept[k][0] < end
 
 
+def unrivalled(spans: list[tuple[int, int, int, float]], labels: list[str], lengths: list[int]) -> list[tuple[int, int, int, float]]:
+    """The spans (template, start, end, share) that no template of another label explains better.
+
+    Of spans that share more than half of the shorter one's words, the one of the larger share stays, then the one that
+    covers more words; where labels tie, the passage does not tell them apart, and none of them stays.
+    """
+    order = lambda x: (-x[3], -round(x[3] * lengths[x[0]]))
+    kept: list[tuple[int, int, int, float]] = []
+    for _, group in groupby(sorted(spans, key=order), key=order):
+        free = [x for x in group if not any(labels[x[0]] != labels[k[0]] and _shared(x, k) for k in kept)]
+        kept += [x for x in free if not any(labels[x[0]] != labels[y[0]] and _shared(x, y) for y in free)]
+    return sorted(kept)
+
+
+def _shared(x: tuple, y: tuple) -> bool:
+    """Whether two spans share more than half of the shorter one."""
+    return 2 * (min(x[2], y[2]) - max(x[1], y[1])) > min(x[2] - x[1], y[2] - y[1])
+
+
 def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, ...): doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
-    ``spans`` are (label, start, end, share) in words for every place where at least ``MIN_SHARE`` of a template is covered;
-    ``score`` is the largest share, 1 where a phrase stands.
+    ``spans`` are (label, start, end, share) in words for every place where at least ``MIN_SHARE`` of a template is covered
+    and no template of another label explains the place better (:func:`unrivalled`); ``score`` is the largest share, 1 where
+    a phrase stands.
 
     * Null and empty texts have no words, no places (first_word and last_word null) and empty labels.
     * Rows are scanned one by one: repeated rows and null ids come back as they are; other columns are ignored.
@@ -242,6 +299,7 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> Data
                 starts = [at for _, at in places]
                 base = {scanner.labels[s] for s, _ in places}
                 covered = [x for x in spans if x[3] >= MIN_SHARE and x[3] * scanner.lengths[x[0]] >= MIN_COVERED - 1e-9]
+                covered = unrivalled(covered, scanner.labels, scanner.lengths)
                 labels = base | {scanner.labels[x[0]] for x in covered}
                 score = 1.0 if places else max((x[3] for x in spans), default=0.0)
                 rows = [{"label": scanner.labels[s], "start": a, "end": b, "share": share} for s, a, b, share in covered]

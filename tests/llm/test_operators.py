@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -291,6 +292,74 @@ def test_license_spans_repeat_short_phrases_count_and_chains_reach_back():
     assert len(scanner.scan(header * 2000)[1]) == 2000
 
 
+def labels_of(text):
+    scanner = licenses.Scanner(licenses.PHRASES, licenses.TEMPLATES)
+    _, spans = scanner.scan(licenses.words(text))
+    good = [x for x in spans if x[3] >= licenses.MIN_SHARE and x[3] * scanner.lengths[x[0]] >= licenses.MIN_COVERED - 1e-9]
+    return {scanner.labels[x[0]] for x in licenses.unrivalled(good, scanner.labels, scanner.lengths)}
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", {"cc-by"}),
+        ("a Creative Commons Attribution-NonCommercial 4.0 International License", {"cc-by-nc"}),
+        ("a Creative Commons Attribution-NoDerivatives 4.0 International License", {"cc-by-nd"}),
+        ("a Creative Commons Attribution-ShareAlike 4.0 International License", {"cc-by-sa"}),
+        ("a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", {"cc-by-nc-sa"}),
+        ("a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", {"cc-by-nc-nd"}),
+        ("licensed under the GNU General Public License version 1", {"gpl-1"}),
+        ("licensed under the GNU General Public License version 3 or later", {"gpl-3"}),
+        ("licensed under the GNU General Public License version of your choice", {"gpl"}),
+        ("THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.", {"mit"}),
+        ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", {"bsd"}),
+        ("the license of this general text is public and free", set()),
+    ],
+)
+def test_only_the_license_that_explains_a_passage_best_is_named(text, labels):
+    assert labels_of("some words before " + text + " and some after") == labels
+
+
+def test_matching_statistics_against_brute_force():
+    rnd = random.Random(8)
+    for _ in range(60):
+        alphabet = [b"a", b"b", b"c", b"d"][: rnd.randrange(2, 5)]
+        sequences = [[rnd.choice(alphabet) for _ in range(rnd.randrange(1, 12))] for _ in range(rnd.randrange(1, 5))]
+        tokens = [rnd.choice([*alphabet, b"x"]) for _ in range(40)]
+        known = {tuple(s[i:j]) for s in sequences for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
+        automaton = licenses.Automaton(sequences)
+        for i, (state, length) in enumerate(automaton.statistics(tokens), 1):
+            assert length == max(n for n in range(i + 1) if n == 0 or tuple(tokens[i - n : i]) in known)
+            if length:
+                ends = {(s, e) for s, q in enumerate(sequences) for e in range(length, len(q) + 1) if q[e - length : e] == tokens[i - length : i]}
+                assert ends <= set(automaton.ends[state])
+
+
+def plain_kernel(a, b):
+    """Common subsequences of four letters of two words (with ends), each occurrence weighted by the span it takes."""
+    def maps(word):
+        out = collections.Counter()
+        letters = toxicity._codes(f"\x01{word}\x02").tolist()
+        for p in itertools.combinations(range(len(letters)), 4):
+            if p[3] - p[0] < toxicity.SPAN:
+                out[tuple(letters[k] for k in p)] += toxicity.DECAY ** (p[3] - p[0] + 1)
+        return out
+
+    x, y = maps(a), maps(b)
+    size = lambda m: sum(v * v for v in m.values()) ** 0.5
+    return sum(v * y[k] for k, v in x.items()) / (size(x) * size(y)) if x and y else 0.0
+
+
+def test_subsequence_kernel_against_brute_force():
+    rnd = random.Random(4)
+    words = ["idiot", "id-iot", "i.d.i.o.t", "worthless", "wörthless", "loser", "closer", "ab", *["".join(rnd.choice("abcdé") for _ in range(rnd.randrange(3, 12))) for _ in range(30)]]
+    marks = ["idiot", "worthless", "abcd", "loser"]
+    got = toxicity.Landmarks(marks).kernel(words)
+    for i, word in enumerate(words):
+        for j, mark in enumerate(marks):
+            assert abs(got[i, j] - plain_kernel(word, mark)) < 1e-5
+
+
 def test_every_place_of_a_phrase_is_found_in_random_texts():
     rnd = random.Random(8)
     scanner = licenses.Scanner(licenses.PHRASES, licenses.TEMPLATES)
