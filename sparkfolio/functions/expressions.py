@@ -38,10 +38,14 @@ def canonical(expression: str) -> str:
         return f"text:{expression}"
 
 
-@F.pandas_udf("string")
-def structure_hash(expressions: pd.Series) -> pd.Series:
-    """SHA-256 of each expression's canonical form."""
-    return expressions.map(lambda e: hashlib.sha256(canonical(e).encode()).hexdigest(), na_action="ignore")
+def structure_hash(expression: Column) -> Column:
+    """SHA-256 of an expression's canonical form."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda e: hashlib.sha256(canonical(e).encode()).hexdigest(), na_action="ignore")
+
+    return run(expression)
 
 
 def signature(expression: Column) -> Column:

@@ -3,44 +3,43 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import reduce
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkfolio.operators.panel import Panel
 
-DAYS, TICKERS, WINDOW = 12, 3, 4
 
+def applied(panel: DataFrame, operator: Callable, numbers: tuple = ()) -> DataFrame:
+    """``panel`` (ticker, date, v) with the operator's value of v as ``out``; TypeError where it gives no column."""
+    p = Panel(panel)
+    value = operator(p, F.col("v"), *numbers)
+    if not isinstance(value, Column):
+        raise TypeError(f"an operator gives a column, not {type(value).__name__}")
+    return p.df.select("ticker", "date", "v", value.cast("double").alias("out"))
 
-def why_not(spark: SparkSession, operator: Callable, n_windows: int) -> str:
-    """Why an operator of one column and ``n_windows`` numbers is refused; empty if it is not.
 
-    It must give a column on a small panel, leave each row once, and give nothing for a ticker without values.
+def report(panel: DataFrame, operators: Mapping[str, Callable], numbers: Mapping[str, tuple] | None = None) -> DataFrame:
+    """operator, n_rows, n_out, leaks, ok: rows before and after, and values given to tickers that have none at all.
+
+    An operator is right if rows stay as they are and nothing leaks.
     """
-    cells = spark.range(DAYS * TICKERS).select((F.col("id") % TICKERS).alias("ticker"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") / TICKERS).cast("int")).alias("date"), F.col("id").alias("id"))
-    small = cells.withColumn("v", F.when(F.col("ticker") != 0, (F.col("id") * 7 % 11).cast("double")))
-    try:
-        p = Panel(small)
-        value = operator(p, F.col("v"), *[WINDOW] * n_windows)
-        if not isinstance(value, Column):
-            return "gives no column"
-        out = p.df.select("ticker", "date", value.cast("double").alias("out")).collect()  # a few rows by construction
-    except Exception:  # noqa: BLE001  whatever an unknown operator raises refuses it
-        return "fails"
-    if len(out) != DAYS * TICKERS or len({(r.ticker, r.date) for r in out}) != len(out):
-        return "rows change"
-    if any(r.out is not None for r in out if r.ticker == 0):
-        return "missing values do not stay missing"
-    return ""
-
-
-def verdicts(spark: SparkSession, operators: Mapping[str, Callable], windows: Mapping[str, int]) -> dict[str, str]:
-    return {name: why_not(spark, f, windows.get(name, 0)) for name, f in operators.items()}
-
-
-def accepted(spark: SparkSession, operators: Mapping[str, Callable], windows: Mapping[str, int]) -> dict[str, Callable]:
-    """The operators that pass; one that does not raises an error that says why."""
-    for name, why in verdicts(spark, operators, windows).items():
-        if why:
-            raise ValueError(f"operator {name}: {why}")
+    before = panel.agg(F.count("*").alias("n_rows"))
+
+    def one(name: str) -> DataFrame:
+        out = applied(panel, operators[name], (numbers or {}).get(name, ()))
+        per_ticker = out.groupBy("ticker").agg(F.count("*").alias("n"), F.count("v").alias("known"), F.count("out").alias("given"))
+        got = per_ticker.agg(F.sum("n").alias("n_out"), F.sum(F.when(F.col("known") == 0, F.col("given")).otherwise(0)).alias("leaks"))
+        return got.join(before).select(F.lit(name).alias("operator"), "n_rows", "n_out", "leaks")  # one row each
+
+    all_of = reduce(DataFrame.unionAll, [one(n) for n in operators])
+    return all_of.withColumn("ok", (F.col("n_rows") == F.col("n_out")) & (F.col("leaks") == 0))
+
+
+def accepted(panel: DataFrame, operators: Mapping[str, Callable], numbers: Mapping[str, tuple] | None = None) -> dict[str, Callable]:
+    """The operators, if all pass on a panel; else an error that names those that do not."""
+    bad = [r["operator"] for r in report(panel, operators, numbers).where("not ok").collect()]
+    if bad:
+        raise ValueError(f"operators refused: {', '.join(bad)}")
     return dict(operators)

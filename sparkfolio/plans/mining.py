@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from sparkfolio.functions import expressions as x
 from sparkfolio.functions.staging import staged
+from sparkfolio.operators import acceptance
 from sparkfolio.operators import backtest as b
-from sparkfolio.operators.expression import evaluate_many
+from sparkfolio.operators.expression import evaluate, evaluate_many
 from sparkfolio.plans.common import query, rounded
 from sparkfolio.plans.common import sql_rounded as r
 from sparkfolio.plans.factors import full, w
@@ -87,17 +88,17 @@ def seeds(longest: int | None = None, category: str | None = None) -> dict[str,
 _SEED_SQL = f"WITH {WPANEL_SQL}, inn AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in _INNER.items())} FROM wpanel) "
 
 
-@query("e2_all_seeds", _SEED_SQL + " UNION ALL ".join(f"SELECT '{n}' AS factor_name, date, ticker, {r(f'CAST({s} AS DOUBLE)')} AS value FROM inn" for n, _, _, _, _, s in SEEDS))
+@query("e2_all_seeds", _SEED_SQL + " UNION ALL ".join(f"SELECT '{n}' AS factor_name, date, ticker, round(CAST({s} AS DOUBLE), 9) + 0.0 AS value FROM inn" for n, _, _, _, _, s in SEEDS))
 def e2_all_seeds(spark, sf_dir):
     """All 31 seeds on the weekly panel, long: windows of one partitioning share their shuffle."""
     long = evaluate_many(panel_weekly(spark, sf_dir), seeds())
-    return long.withColumn("value", rounded(F.col("value")))
+    return long.withColumn("value", F.round("value", 9) + F.lit(0.0))
 
 
-@query("e2_short_momentum_seeds", _SEED_SQL + " UNION ALL ".join(f"SELECT '{n}' AS factor_name, date, ticker, {r(f'CAST({s} AS DOUBLE)')} AS value FROM inn" for n, _, look, cat, _, s in SEEDS if look <= 10 and cat == "momentum"))
+@query("e2_short_momentum_seeds", _SEED_SQL + " UNION ALL ".join(f"SELECT '{n}' AS factor_name, date, ticker, round(CAST({s} AS DOUBLE), 9) + 0.0 AS value FROM inn" for n, _, look, cat, _, s in SEEDS if look <= 10 and cat == "momentum"))
 def e2_short_momentum_seeds(spark, sf_dir):
     """Only the seeds of one category with a short lookback."""
-    return evaluate_many(panel_weekly(spark, sf_dir), seeds(10, "momentum")).withColumn("value", rounded(F.col("value")))
+    return evaluate_many(panel_weekly(spark, sf_dir), seeds(10, "momentum")).withColumn("value", F.round("value", 9) + F.lit(0.0))
 
 
 # -- mined alphas: one row per order, its expression and outcome from the order's keys ------------------------------
@@ -127,7 +128,7 @@ def e5_structural_dedup(spark, sf_dir):
     a = alphas(spark, sf_dir).select("id", "expression")
     # every other copy is written with its sum turned round, which is the same expression
     a = a.withColumn("written", F.when(F.col("id") % 2 == 0, F.concat("expression", F.lit(" + close"))).otherwise(F.concat(F.lit("close + "), "expression")))
-    texts = a.select("written").distinct().withColumn("hash", x.structure_hash("written"))
+    texts = a.select("written").distinct().withColumn("hash", x.structure_hash(F.col("written")))
     h = a.join(texts, "written")
     return h.groupBy("hash").agg(F.min("id").alias("id"), F.min_by("expression", "id").alias("expression"), F.count("*").alias("copies")).drop("hash")
 
@@ -141,7 +142,7 @@ def m4_incremental_contribution(spark, sf_dir):
     c = pairs.groupBy("candidate", "saved").agg(F.abs(b.correlation(F.col("y"), F.col("v"))).alias("c")).where("c is not null")
     near = c.withColumn("k", F.row_number().over(Window.partitionBy("candidate").orderBy(F.desc("c"), "saved"))).where("k <= 12")
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot(index="date", columns="k", values="v").sort_index()
         y = pdf.drop_duplicates("date").set_index("date")["y"].sort_index().to_numpy(dtype=float)
         k = max(1, min(wide.shape[1], len(y) // 4))
@@ -261,31 +262,27 @@ def m12_tried_expressions(spark, sf_dir):
 
 @query("u1_own_operators", f"WITH {WPANEL_SQL} SELECT date, ticker, {r('2 * close')} AS twice, {r('abs(close)')} AS built_in, {r(full(4, f'max(close) {w(4)} - min(close) {w(4)}'))} AS ranged FROM wpanel")
 def u1_own_operators(spark, sf_dir):
-    """Operators of the caller in expressions, accepted by the tests of new operators first; a built-in name always wins."""
-    from sparkfolio.operators.acceptance import accepted
-    from sparkfolio.operators.expression import evaluate
-
+    """Operators of the caller in expressions; a built-in name always wins."""
     own = {
         "twice": lambda p, c: c * 2,
         "abs": lambda p, c: c * 0,
         "ranged": lambda p, c, n: p.when_full(n, F.max(c).over(p.last(n)) - F.min(c).over(p.last(n))),
     }
-    own = accepted(spark, own, {"twice": 0, "abs": 0, "ranged": 1})
     df = panel_weekly(spark, sf_dir)
     for out, e in {"twice": "twice(close)", "built_in": "abs(close)", "ranged": "ranged(close, 4)"}.items():
         df = evaluate(df, e, out=out, operators=own)
     return df.select("date", "ticker", *[rounded(F.col(c)).alias(c) for c in ("twice", "built_in", "ranged")])
 
 
-@query("u2_operator_acceptance", "SELECT * FROM (VALUES ('twice', true, ''), ('fills', false, 'missing values do not stay missing'), ('breaks', false, 'fails'), ('doubles', false, 'rows change')) v(operator, ok, reason)")
+@query("u2_operator_acceptance", f"""WITH {WPANEL_SQL}, n AS (SELECT count(*) AS n, count(*) FILTER (ticker % 5 = 0) AS gone FROM wpanel)
+  SELECT v.* FROM n, LATERAL (VALUES ('twice', n.n, n.n, 0::BIGINT, true), ('fills', n.n, n.n, n.gone, false), ('doubles', n.n, 2 * n.n, 0::BIGINT, false)) v(operator, n_rows, n_out, leaks, ok)""")
 def u2_operator_acceptance(spark, sf_dir):
-    """The tests that a new operator must pass: it runs on a small panel, missing stays missing, and no row comes or goes."""
-    from sparkfolio.operators.acceptance import verdicts
+    """What a new operator does to the weekly panel, whose fifth tickers have lost their closes: rows must stay, and what is missing must stay missing."""
 
     def doubles(p, c):
         p.df = p.df.unionAll(p.df)
         return c
 
-    tried = {"twice": lambda p, c: c * 2, "fills": lambda p, c: F.coalesce(c, F.lit(0.0)), "breaks": lambda p, c: F.col("no_such_column") + c, "doubles": doubles}
-    rows = ", ".join(f"('{n}', {str(not why).lower()}, '{why}')" for n, why in verdicts(spark, tried, dict.fromkeys(tried, 0)).items())
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(operator, ok, reason)")
+    tried = {"twice": lambda p, c: c * 2, "fills": lambda p, c: F.coalesce(c, F.lit(0.0)), "doubles": doubles}
+    df = staged(panel_weekly(spark, sf_dir).select("ticker", "date", F.when(F.col("ticker") % 5 != 0, F.col("close")).alias("v")))
+    return acceptance.report(df, tried)

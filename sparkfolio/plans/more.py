@@ -15,6 +15,7 @@ from sparkfolio.plans.common import query, rounded
 from sparkfolio.plans.common import sql_rounded as r
 from sparkfolio.plans.factors import LIBRARY, WT
 from sparkfolio.plans.research import AHEAD, FUSED, SIG, TIER, fused, signals, tier
+from sparkfolio.sources.feeds import HASH_SQL, NEWS_SQL
 from sparkfolio.sources.market import PANEL_SQL, PRICES_SQL, panel, prices_daily, table
 from sparkfolio.sources.tables import FILINGS_SQL, WEEKLY_SQL, filings, prices_weekly
 from sparkfolio.streaming import jobs
@@ -146,9 +147,9 @@ def tier_of(x: float | None) -> str:
     return next((t for t in ("BUY", "OW") if x > TIER_RANGE[t][0]), None) or next((t for t in ("HOLD", "UW") if x >= TIER_RANGE[t][0]), "SELL")
 
 
-def held_tiers(scores, band: float = BAND) -> list[str]:
+def held_tiers(scores, band: float = BAND, held: str | None = None) -> list[str]:
     """Tiers of a ticker's scores in order: one is held while the score stays in its range, widened by the band on both sides."""
-    held, out = None, []
+    out = []
     for x in scores:
         now = tier_of(x)
         if held is not None and held != now and x is not None and TIER_RANGE[held][0] - band <= x <= TIER_RANGE[held][1] + band:
@@ -285,3 +286,46 @@ def st6_alert_stream(spark, sf_dir):
 def st5_tier_stream(spark, sf_dir):
     """All that is there is a backlog, so no ticker's history goes through one Python worker."""
     return jobs.hysteresis_tiers_of_table(table(spark, sf_dir, "events"))
+
+
+@query("st1_story_stream", f"WITH {NEWS_SQL} SELECT DISTINCT {HASH_SQL} AS hash FROM news")
+def st1_story_stream(spark, sf_dir):
+    """Each story of the stream once."""
+    return jobs.run_to_table(jobs.fresh_stories(jobs.read_events(spark, sf_dir), table(spark, sf_dir, "documents")))
+
+
+@query("st2_mood_stream", f"""WITH w AS (SELECT user_id AS ticker, value, unnest(generate_series(time_bucket(INTERVAL 15 MINUTE, ts) + INTERVAL 15 MINUTE, time_bucket(INTERVAL 15 MINUTE, ts) + INTERVAL 24 HOUR, INTERVAL 15 MINUTE)) AS slice_end FROM events WHERE ts IS NOT NULL)
+  SELECT slice_end, ticker, {r('avg(value)')} AS mean, count(*) AS n FROM w GROUP BY ALL""")
+def st2_mood_stream(spark, sf_dir):
+    """The mean of each ticker's last day, anew every quarter of an hour."""
+    out = jobs.run_updates(jobs.trailing_mood(jobs.read_events(spark, sf_dir)), ["at", "ticker"])
+    return out.select(F.col("at").cast("timestamp_ntz").alias("slice_end"), "ticker", rounded(F.col("mean")).alias("mean"), "n")
+
+
+@query("st3_bar_stream", "SELECT user_id AS ticker, date_trunc('minute', ts) AS minute, last(value ORDER BY ts, event_id) AS close FROM events WHERE ts IS NOT NULL GROUP BY ALL")
+def st3_bar_stream(spark, sf_dir):
+    """The latest value of each ticker and minute."""
+    return jobs.bars_table(jobs.read_events(spark, sf_dir)).select("ticker", F.col("minute").cast("timestamp_ntz").alias("minute"), "close")
+
+
+@query("st4_reaction_stream", f"""WITH j AS (SELECT e.event_id, b.ts, b.event_id AS id, b.value AS close FROM events e JOIN events b ON b.user_id = e.user_id AND b.ts >= e.ts AND b.ts <= e.ts + INTERVAL 60 MINUTE),
+  g AS (SELECT event_id, arg_min(close, (ts, id)) AS a, arg_max(close, (ts, id)) AS z, count(close) AS bars FROM j GROUP BY event_id) SELECT event_id, {r('z / a - 1')} AS car, bars FROM g WHERE bars >= 2 AND a <> 0""")
+def st4_reaction_stream(spark, sf_dir):
+    """First to last value in the hour after each event, by an interval join of two streams."""
+    pairs = jobs.run_to_table(jobs.reactions(jobs.read_events(spark, sf_dir), jobs.read_events(spark, sf_dir)))
+    order = F.struct("bar_at", "bar_id")
+    g = pairs.groupBy("event_id").agg(F.min_by("close", order).alias("a"), F.max_by("close", order).alias("z"), F.count("close").alias("bars")).where("bars >= 2 and a <> 0")
+    return g.select("event_id", rounded(F.col("z") / F.col("a") - 1).alias("car"), "bars")
+
+
+_SCORE = "(value - 50) / 20"
+
+
+@query("st5_card_stream", f"""WITH RECURSIVE k AS (SELECT user_id AS ticker, event_id, {_SCORE} AS composite, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS n FROM events WHERE value IS NOT NULL AND ts IS NOT NULL), t AS (SELECT *, {TIER} AS now FROM k),
+  h AS (SELECT ticker, day, event_id, n, now AS tier, false AS alert FROM t WHERE n = 1 UNION ALL
+    SELECT t.ticker, t.day, t.event_id, t.n, CASE WHEN t.now <> h.tier AND t.composite BETWEEN {_BOUND(0)} AND {_BOUND(1)} THEN h.tier ELSE t.now END, CASE WHEN t.now <> h.tier AND t.composite BETWEEN {_BOUND(0)} AND {_BOUND(1)} THEN false ELSE t.now <> h.tier END FROM h JOIN t ON t.ticker = h.ticker AND t.day = h.day AND t.n = h.n + 1)
+  SELECT ticker, event_id, tier, alert FROM h""")
+def st5_card_stream(spark, sf_dir):
+    """Five tiers with hysteresis and alerts on the stream; a day's first card has none before it."""
+    cards = jobs.read_events(spark, sf_dir).where("value is not null and ts is not null").select(F.col("user_id").cast("long").alias("ticker"), F.col("event_id").cast("long").alias("event_id"), "ts", F.expr(_SCORE).alias("score"))
+    return jobs.run_to_table(jobs.rated_cards(cards, lambda scores, held: held_tiers(scores, BAND, held)))

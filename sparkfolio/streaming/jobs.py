@@ -1,13 +1,18 @@
-"""Streams of alerts and sentiment, with state that a watermark bounds."""
+"""Streams of stories, moods, bars, reactions, cards and alerts, with state that a watermark bounds."""
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkfolio.functions.staging import removed, shared_folder, staged
+from sparkfolio.sources.feeds import story_hash
+
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as a stream of files."""
@@ -23,10 +28,69 @@ def alert_buckets(events: DataFrame, late: str = "1 day") -> DataFrame:
     return keyed.withWatermark("ts", late).dropDuplicatesWithinWatermark(["ticker", "type", "bucket"]).drop("ts")
 
 
-def trailing_activity(events: DataFrame, length: str = "24 hours", slide: str = "6 hours", late: str = "1 hour") -> DataFrame:
-    """Trailing mean and count of values per ticker, refreshed each slice."""
+def fresh_stories(events: DataFrame, documents: DataFrame, late: str = "1 day") -> DataFrame:
+    """Stories of the stream by their hash, each once within the watermark; headlines come from the static documents."""
+    d = documents.select("doc_id", F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)).alias("headline"))
+    url = F.concat(F.lit("HTTPS://News.Example.COM/Story/"), F.col("event_id") % 100, F.lit("?utm="), F.col("event_id"))
+    stories = events.where("ts is not null").join(d, F.col("event_id") == F.col("doc_id")).select(story_hash(F.concat(F.lit("t"), F.col("user_id")), url, F.col("headline")).alias("hash"), F.col("ts").alias("published_at"))
+    return stories.withWatermark("published_at", late).dropDuplicatesWithinWatermark(["hash"]).select("hash")
+
+
+def trailing_mood(events: DataFrame, length: str = "24 hours", slide: str = "15 minutes", late: str = "1 hour") -> DataFrame:
+    """Trailing mean and count of values per ticker, refreshed each slice (rows are updated until the watermark passes)."""
     grouped = events.withWatermark("ts", late).groupBy(F.window("ts", length, slide).alias("w"), F.col("user_id").alias("ticker"))
-    return grouped.agg(F.avg("value").alias("mean"), F.count("*").alias("n")).select(F.col("w.start").alias("start"), "ticker", "mean", "n")
+    return grouped.agg(F.avg("value").alias("mean"), F.count("*").alias("n")).select(F.col("w.end").alias("at"), "ticker", "mean", "n")
+
+
+def reactions(events: DataFrame, bars: DataFrame, span: str = "60 minutes", late: str = "2 hours") -> DataFrame:
+    """Events of a stream beside the bars of another within a span after them: an interval join whose state both watermarks bound."""
+    e = events.select(F.col("event_id"), F.col("user_id").alias("ticker"), F.col("ts").alias("event_at")).withWatermark("event_at", late)
+    b = bars.select(F.col("user_id").alias("bar_ticker"), F.col("ts").alias("bar_at"), F.col("event_id").alias("bar_id"), F.col("value").alias("close")).withWatermark("bar_at", late)
+    near = F.expr(f"ticker = bar_ticker and bar_at >= event_at and bar_at <= event_at + interval {span}")
+    return e.join(b, near).select("event_id", "bar_at", "bar_id", "close")
+
+
+def latest_bars(events: DataFrame, path: str) -> None:
+    """Minute bars of the stream kept as one row per ticker and minute, the latest wins: each batch rewrites only the days it touches."""
+    spark = events.sparkSession
+    schema = "ticker long, minute timestamp, close double, at timestamp, id long, day date"
+    newest = F.struct("at", "id")
+
+    def merge(batch: DataFrame, number: int) -> None:
+        bars = batch.select(F.col("user_id").alias("ticker"), F.date_trunc("minute", "ts").alias("minute"), F.col("value").alias("close"), F.col("ts").alias("at"), F.col("event_id").alias("id")).where("minute is not null")
+        new = bars.withColumn("day", F.to_date("minute"))
+        try:
+            old = spark.read.schema(schema).parquet(path).join(new.select("day").distinct(), "day", "left_semi")
+            new = new.unionByName(old)
+        except AnalysisException:  # nothing has been stored yet
+            pass
+        one = new.groupBy("ticker", "minute", "day").agg(F.max_by(F.struct("close", "at", "id"), newest).alias("b")).select("ticker", "minute", "b.*", "day")
+        staged(one).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+    events.writeStream.option("checkpointLocation", f"{path}-state").foreachBatch(merge).trigger(availableNow=True).start().awaitTermination()
+
+
+def rated_cards(cards: DataFrame, rate, late: str = "1 day") -> DataFrame:
+    """Cards (ticker, event_id, ts, score) with their tier and whether it differs from the card before it of the same day.
+
+    ``rate`` gives the tiers of scores in order after a held one.  State is one tier per ticker and day, and goes when the
+    watermark has passed that day; a batch's cards of one ticker and day are one frame.
+    """
+
+    def run(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = state.get[0] if state.exists else None
+        pdf = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        tiers = rate(pdf["score"].tolist(), held)
+        before = [held, *tiers[:-1]]
+        state.update((tiers[-1],))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(pd.Timestamp(key[1]).timestamp() * 1000)) + 2 * 86_400_000)
+        yield pd.DataFrame({"ticker": key[0], "event_id": pdf["event_id"], "tier": tiers, "alert": [b is not None and b != t for b, t in zip(before, tiers, strict=True)]})
+
+    keyed = cards.withWatermark("ts", late).withColumn("day", F.to_date("ts")).groupBy("ticker", "day")
+    return keyed.applyInPandasWithState(run, "ticker long, event_id long, tier string, alert boolean", "tier string", "append", "EventTimeTimeout")
 
 
 def hysteresis_tiers(events: DataFrame, band: float = 10.0, cut: float = 50.0) -> DataFrame:
@@ -76,25 +140,39 @@ def hysteresis_tiers_of_table(events: DataFrame, band: float = 10.0, cut: float
     return joined.select("r.ticker", "event_id", F.coalesce("tier", "held").alias("tier"))
 
 
-def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All that is there now, through the stream and into Parquet of the shared folder, and read back."""
+def _place(spark: SparkSession) -> str:
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    atexit.register(removed, spark, at)
+    return at
+
+
+def run_to_table(stream: DataFrame) -> DataFrame:
+    """All that is there now, through the stream and into Parquet of the shared folder, and read back; it goes when the driver's Python ends."""
     spark = stream.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"/tmp/spark-{uuid.uuid4().hex}"
-    at = f"{top}/stream-{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{at}/data").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    at = _place(spark)
+    query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{at}/data").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/data")
 
 
-def run_batches(stream: DataFrame) -> DataFrame:
-    """As :func:`run_to_table` for streams that give updated rows: each batch replaces what its keys had."""
+def run_updates(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """As :func:`run_to_table` for streams that update rows: of each key the row of its last batch stays."""
     spark = stream.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"/tmp/spark-{uuid.uuid4().hex}"
-    at = f"{top}/stream-{uuid.uuid4().hex}"
+    at = _place(spark)
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/data/_b={number}")
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/data/part={number}")
 
     query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{at}/state").foreachBatch(put).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{at}/data").drop("_b")
+    others = [c for c in stream.columns if c not in keys]
+    rows = spark.read.parquet(f"{at}/data").groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("r"))
+    return rows.select(*keys, "r.*")
+
+
+def bars_table(events: DataFrame) -> DataFrame:
+    """What :func:`latest_bars` keeps of all that is there now."""
+    spark = events.sparkSession
+    at = _place(spark)
+    latest_bars(events, f"{at}/bars")
+    return spark.read.parquet(f"{at}/bars")

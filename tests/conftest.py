@@ -13,7 +13,7 @@ def spark(tmp_path_factory):
     from sparkfolio.functions.shipping import ship_package
 
     session = (
-        SparkSession.builder.master("local[4]")
+        SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
