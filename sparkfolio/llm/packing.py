@@ -3,7 +3,8 @@
 Documents become token ids and pieces of at most ``capacity`` tokens.  Only the histogram of piece lengths (at most
 ``capacity`` rows, whatever the corpus) goes to the driver, where runs are planned: a run is a pattern of lengths and
 how often it is used.  For the longest length left, the gap is closed exactly by one, two or three lengths whose sum is
-the gap, as long as their counts last; where no such sum is left, the best-fitting length goes in and the search goes on.
+the gap, found in an index of sums (:class:`Lengths`), as long as their counts last; where no such sum is left, the
+best-fitting length goes in and the search goes on.
 Pieces then find their place from their rank among pieces of their length, which two-level counting gives without
 sorting a length in one task.
 """
@@ -22,8 +23,8 @@ from sparkfolio.llm.common import staged
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Hash buckets into which each length is dealt for ranking.
-RANK_BUCKETS = 256
+#: Pieces of one length that are ranked in one task: a length is dealt to as many buckets as its count needs.
+RANKED = 20_000
 #: Cached words of a Python worker; beyond it the cache starts anew.
 CACHE_WORDS, SHORT_WORD = 800_000, 8
 #: Bytes of UTF-8 for all code points up to U+017F.
@@ -146,45 +147,59 @@ def pieces_of(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = EN
 
 
 class Lengths:
-    """Counts by length, with look-ups of one, two or three lengths of an exact sum."""
+    """Counts by length, and an index of the sums of one, two and three of them.
+
+    For each sum the index holds the largest part of the pair, and of the triple, that may still make it.  Counts only
+    fall, so a pair or triple that is used up never comes back and these places only move down: no combination is
+    looked at twice.
+    """
 
     def __init__(self, counts: dict[int, int], capacity: int):
         self.left = np.zeros(capacity + 1, dtype=np.int64)
         for length, n in counts.items():
             self.left[length] = n
+        self.pair_from = np.arange(capacity + 1)  # for each sum: no pair with a larger part is left
+        self.triple_from = np.arange(capacity + 1)
 
     def largest(self, most: int) -> int:
         """The largest length left that is at most ``most``; 0 if none is."""
         there = np.flatnonzero(self.left[: most + 1])
         return int(there[-1]) if len(there) else 0
 
-    def pair(self, total: int, most: int | None = None) -> tuple[int, ...]:
-        """Two lengths with this sum, the longer one as long as can be."""
-        if total < 2:
+    def _pair(self, total: int, most: int) -> tuple[int, ...]:
+        """Two lengths with this sum, the longer one as long as can be, up to ``most``."""
+        half = (total + 1) // 2
+        most = min(most, total - 1)
+        if total < 2 or most < half:
             return ()
-        have = self.left[: total + 1]
-        both = (have > 0) & (have[::-1] > 0)
+        both = (self.left[half : most + 1] > 0) & (self.left[total - most : total - half + 1][::-1] > 0)
         if total % 2 == 0:
-            both[total // 2] = have[total // 2] > 1
-        longer = np.flatnonzero(both[(total + 1) // 2 : min(total, most or total) + 1])
-        return () if not len(longer) else (int(longer[-1]) + (total + 1) // 2, total - int(longer[-1]) - (total + 1) // 2)
-
-    def exact(self, gap: int) -> tuple[int, ...]:
-        """One, two or three lengths that fill the gap exactly; empty if no such sum is left."""
-        if self.left[gap]:
-            return (gap,)
-        if found := self.pair(gap):
-            return found
-        for c in np.flatnonzero(self.left[: gap - 1])[::-1].tolist() if gap > 2 else []:
-            if 3 * c < gap:
+            both[0] = self.left[half] > 1
+        longer = np.flatnonzero(both)
+        return () if not len(longer) else (int(longer[-1]) + half, total - int(longer[-1]) - half)
+
+    def pair(self, total: int) -> tuple[int, ...]:
+        found = self._pair(total, int(self.pair_from[total]))
+        self.pair_from[total] = found[0] if found else 0
+        return found
+
+    def triple(self, total: int) -> tuple[int, ...]:
+        for c in np.flatnonzero(self.left[: min(int(self.triple_from[total]), total - 2) + 1])[::-1].tolist() if total > 2 else []:
+            if 3 * c < total:
                 break
             self.left[c] -= 1
-            found = self.pair(gap - c, c)
+            found = self._pair(total - c, c)
             self.left[c] += 1
             if found:
+                self.triple_from[total] = c
                 return (c, *found)
+        self.triple_from[total] = 0
         return ()
 
+    def exact(self, gap: int) -> tuple[int, ...]:
+        """One, two or three lengths that fill the gap exactly; empty if no such sum is left."""
+        return (gap,) if self.left[gap] else self.pair(gap) or self.triple(gap)
+
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
     """Runs (times, [(length, how many), ...]) that use up all lengths, no pattern being longer than the capacity."""
@@ -235,12 +250,14 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = END_ID,
     * Other columns are ignored; an empty table gives no rows.
     """
     pieces = pieces_of(docs, tokenizer=tokenizer, end_id=end_id, capacity=capacity, keep_ids=keep_ids)
-    # the bucket goes by row number too, so that repeated rows spread; it is written, so that ranks stand when a task runs again
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(RANK_BUCKETS)).cast("int")
-    pieces = staged(pieces.withColumn("bucket", bucket))
-    dealt = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    counts = {r["length"]: r["n"] for r in dealt.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
+    # the place goes by row number too, so that repeated rows spread; it is written, so that ranks stand when a task runs again
+    dealt = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(2**31 - 1)).cast("long").alias("dealt")
+    pieces = staged(pieces.select("*", dealt))
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     key, first, sequence, each, at = _slots(plan(counts, capacity), capacity)
+    buckets = docs.sparkSession.createDataFrame([(x, -(-n // RANKED)) for x, n in counts.items()], "length long, buckets long")
+    pieces = pieces.join(F.broadcast(buckets), "length").withColumn("bucket", F.col("dealt") % F.col("buckets"))  # at most `capacity` rows
+    sizes = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
 
     def place(frames):
         for pdf in frames:
@@ -252,7 +269,7 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = END_ID,
             yield pdf.drop(columns="rank")
 
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    starts = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = pieces.withColumn("in_bucket", F.row_number().over(inside) - 1).join(starts, ["length", "bucket"])
     kept = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
