@@ -95,14 +95,6 @@ def io6_insider_forms(spark, sf_dir):
     return store.insider_days(forms).withColumn("net_dollars", rounded(F.col("net_dollars")))
 
 
-@query("io8_winsorize_by_ranges", f"WITH {FILINGS_SQL}, q AS (SELECT quantile_cont(amount, 0.005) AS lo, quantile_cont(amount, 0.995) AS hi FROM filings) SELECT filing_id, {r('least(greatest(amount, lo), hi)')} AS amount FROM filings, q")
-def io8_winsorize_by_ranges(spark, sf_dir):
-    """The global winsorizing with exact quantiles found by ranges and counts, so that no task holds all values."""
-    f = filings(spark, sf_dir)
-    q = store.exact_quantiles(f, "amount", [0.005, 0.995])
-    return f.join(F.broadcast(q)).select("filing_id", rounded(F.least(F.greatest("amount", "q0"), "q1")).alias("amount"))  # one row
-
-
 @query("io10_filing_dates", f"""WITH {FILINGS_SQL}, p AS (SELECT DISTINCT ticker, last_day(filing_date) AS period FROM filings), n AS (SELECT p.ticker, p.period, min(f.filing_date) AS first FROM p LEFT JOIN filings f ON f.ticker = p.ticker AND f.filing_date > p.period GROUP BY ALL)
   SELECT ticker, period, CASE WHEN first <= period + 120 THEN first ELSE period + 45 END AS filing_date FROM n""")
 def io10_filing_dates(spark, sf_dir):

@@ -229,7 +229,11 @@ _series("r10_rank", {"v": ("Rank", ("volume",), "(rank() OVER (PARTITION BY date
 _series("r11_zscore", {"v": ("Zscore", ("close",), "CASE WHEN stddev_samp(close) OVER (PARTITION BY date) > 1e-12 THEN (close - avg(close) OVER (PARTITION BY date)) / stddev_samp(close) OVER (PARTITION BY date) END")})
 
 
-@query("r6_ema")
+_KEEP = f"{1 - 2 / 6!r}"
+
+
+@query("r6_ema", f"""WITH {PRICES_SQL}, k AS (SELECT *, row_number() OVER ({WT}) AS k FROM prices)
+  SELECT date, ticker, {sql_rounded(f"sum(close * power({_KEEP}, -k)) OVER ({WT} ROWS UNBOUNDED PRECEDING) / sum(power({_KEEP}, -k)) OVER ({WT} ROWS UNBOUNDED PRECEDING)")} AS v FROM k""")
 def r6_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exponential means with adjusted weights (recursive, one ticker at a time)."""
     return SERIES["EMA"](prices_daily(spark, sf_dir), "v", "close", 5).select("date", "ticker", rounded(F.col("v")).alias("v"))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sparkfolio.functions import normal
 from sparkfolio.operators import backtest as b
 from sparkfolio.plans.backtests import BOOK, CORR, ORDINAL, RETURNS, factor_frame
 from sparkfolio.plans.common import query, rounded
@@ -23,17 +23,13 @@ from sparkfolio.streaming import jobs
 # -- backtest ------------------------------------------------------------------------------------------------------
 
 
-@query("b13_ic_significance")
+@query("b13_ic_significance", f"""WITH {ORDINAL}, s AS (SELECT avg(ic) AS mean, stddev_samp(ic) AS std, count(*) AS n FROM ic), q AS (SELECT *, CASE WHEN std > 1e-12 THEN mean / std * sqrt(n) END AS t FROM s)
+  SELECT {r('mean')} AS mean, {r('t')} AS t, {r(normal.sql_two_sided('q.t'))} AS p, n FROM q""")
 def b13_ic_significance(spark, sf_dir):
-    """Mean, t value and two-sided p value of the daily rank IC (p needs erfc, on one row)."""
+    """Mean, t value and two-sided p value of the daily rank IC."""
     ic = b.ordinal_ic(factor_frame(spark, sf_dir))
-    stats = ic.agg(F.avg("ic").alias("mean"), F.stddev_samp("ic").alias("std"), F.count("*").alias("n")).withColumn("t", F.when(F.col("std") > 0, F.col("mean") / F.col("std") * F.sqrt("n")))
-
-    @F.pandas_udf("double")
-    def p_value(t: pd.Series) -> pd.Series:
-        return t.map(lambda x: math.erfc(abs(x) / math.sqrt(2)), na_action="ignore")
-
-    return stats.select(rounded(F.col("mean")).alias("mean"), rounded(F.col("t")).alias("t"), rounded(p_value("t")).alias("p"), "n")
+    s = ic.agg(F.avg("ic").alias("m"), F.stddev_samp("ic").alias("std"), F.count("*").alias("n")).withColumn("t0", F.when(F.col("std") > 1e-12, F.col("m") / F.col("std") * F.sqrt("n")))
+    return s.select(rounded(F.col("m")).alias("mean"), rounded(F.col("t0")).alias("t"), rounded(normal.two_sided(F.col("t0"))).alias("p"), "n")
 
 
 @query("b14_walk_forward_windows", f"""WITH {ORDINAL}, i AS (SELECT date, ic, row_number() OVER (ORDER BY date) - 1 AS k FROM ic), g AS (SELECT unnest(range(0, 100, 5)) AS start)
@@ -62,25 +58,6 @@ def b20_daily_baskets(spark, sf_dir):
     return bk.select("date", *[F.when(F.col(c) != "", F.col(c)).alias(c) for c in ("longs", "shorts")])
 
 
-@query("b22_bootstrap_interval")
-def b22_bootstrap_interval(spark, sf_dir):
-    """Stationary block bootstrap of the mean IC: series of dates only, one group per strategy."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("date")["ic"].to_numpy()
-        draw, n, block = np.random.default_rng(42), len(pdf), min(20, max(len(pdf) // 3, 1))
-        fresh = draw.random((1000, n)) < 1 / block
-        fresh[:, 0] = True
-        starts, steps = draw.integers(0, n, (1000, n)), np.arange(n)
-        last = np.maximum.accumulate(np.where(fresh, steps, 0), axis=1)
-        at = (np.take_along_axis(starts, last, axis=1) + steps - last) % n
-        low, high = np.quantile(x[at].mean(axis=1), [0.025, 0.975])
-        return pd.DataFrame({"strategy": pdf["strategy"].iloc[:1], "low": [low], "high": [high]})
-
-    ic = b.ordinal_ic(factor_frame(spark, sf_dir)).withColumn("strategy", F.lit("factor"))
-    return ic.groupBy("strategy").applyInPandas(run, "strategy string, low double, high double")
-
-
 # -- signals -------------------------------------------------------------------------------------------------------
 
 
@@ -282,7 +259,9 @@ def st6_alert_stream(spark, sf_dir):
     return out.select("ticker", "type", F.lit(True).alias("seen"), F.col("bucket").cast("timestamp_ntz").alias("bucket"))
 
 
-@query("st5_tier_stream")
+@query("st5_tier_stream", """WITH RECURSIVE k AS (SELECT user_id AS ticker, event_id, value, CASE WHEN value > 50 THEN 'HIGH' ELSE 'LOW' END AS now, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE value IS NOT NULL),
+  h AS (SELECT ticker, event_id, n, now AS tier FROM k WHERE n = 1 UNION ALL SELECT k.ticker, k.event_id, k.n, CASE WHEN abs(k.value - 50) > 10 THEN k.now ELSE h.tier END FROM h JOIN k ON k.ticker = h.ticker AND k.n = h.n + 1)
+  SELECT ticker, event_id, tier FROM h""")
 def st5_tier_stream(spark, sf_dir):
     """All that is there is a backlog, so no ticker's history goes through one Python worker."""
     return jobs.hysteresis_tiers_of_table(table(spark, sf_dir, "events"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkfolio.functions import lexicon
+from sparkfolio.functions.staging import staged
 from sparkfolio.operators import backtest as b
 from sparkfolio.operators.expression import evaluate
 from sparkfolio.operators.joins import asof_join, global_ordinal, next_after
@@ -13,6 +14,7 @@ from sparkfolio.plans.common import query, rounded
 from sparkfolio.plans.common import sql_rounded as r
 from sparkfolio.plans.factors import WT
 from sparkfolio.sources.market import PANEL_SQL, PRICES_SQL, panel, prices_daily, table
+from sparkfolio.sources.store import exact_quantiles
 from sparkfolio.sources.tables import FILINGS_SQL, SIGNALS, WEEKLY_SQL, WEIGHTS, filings, prices_weekly
 
 # -- panel assembly ------------------------------------------------------------------------------------------------
@@ -32,9 +34,10 @@ def io5_latest_close_upsert(spark, sf_dir):
 
 @query("io8_winsorize_global", f"WITH {FILINGS_SQL}, q AS (SELECT quantile_cont(amount, 0.005) AS lo, quantile_cont(amount, 0.995) AS hi FROM filings) SELECT filing_id, {r('least(greatest(amount, lo), hi)')} AS amount FROM filings, q")
 def io8_winsorize_global(spark, sf_dir):
+    """Amounts clipped at exact quantiles, which ranges and counts find, so that no task holds all values."""
     f = filings(spark, sf_dir)
-    q = f.agg(F.percentile("amount", F.lit(0.005)).alias("lo"), F.percentile("amount", F.lit(0.995)).alias("hi"))
-    return f.join(F.broadcast(q)).select("filing_id", rounded(F.least(F.greatest("amount", "lo"), "hi")).alias("amount"))  # one row
+    q = exact_quantiles(f, "amount", [0.005, 0.995])
+    return f.join(F.broadcast(q)).select("filing_id", rounded(F.least(F.greatest("amount", "q0"), "q1")).alias("amount"))  # one row
 
 
 @query("p3_asof_statements", f"""WITH {WEEKLY_SQL}, {FILINGS_SQL}, f AS (SELECT ticker, filing_date, arg_max(amount, filing_id) AS amount FROM filings GROUP BY ALL)
@@ -67,8 +70,9 @@ def p8_snapshot_attributes(spark, sf_dir):
 @query("p10_medium_cap_filter", f"WITH {PRICES_SQL}, m AS (SELECT ticker, avg(close * volume) AS cap FROM prices GROUP BY ticker) SELECT ticker, {r('cap')} AS cap FROM m WHERE cap < (SELECT quantile_cont(cap, 0.7) FROM m)")
 def p10_medium_cap_filter(spark, sf_dir):
     m = prices_daily(spark, sf_dir).groupBy("ticker").agg(F.avg(F.col("close") * F.col("volume")).alias("cap"))
-    limit = m.agg(F.percentile("cap", F.lit(0.7)).alias("limit"))
-    return m.join(F.broadcast(limit)).where("cap < limit").select("ticker", rounded(F.col("cap")).alias("cap"))  # one row
+    m = staged(m)
+    limit = exact_quantiles(m, "cap", [0.7])
+    return m.join(F.broadcast(limit)).where("cap < q0").select("ticker", rounded(F.col("cap")).alias("cap"))  # one row
 
 
 @query("p11_coverage", f"WITH {PANEL_SQL} SELECT ticker, {r('count(close) / CAST(count(*) AS DOUBLE)')} AS close_rate, {r('count(returns) / CAST(count(*) AS DOUBLE)')} AS returns_rate FROM panel GROUP BY ticker")
@@ -200,7 +204,9 @@ def v1_v2_walk_forward_ic(spark, sf_dir):
     """Pooled rank correlation per signal: signals are few and large, so ranks come from ranges and offsets."""
     ahead = panel(spark, sf_dir).select("date", "ticker", b.forward_return(5).alias("fwd"))
     p = signals(spark, sf_dir).join(ahead, ["date", "ticker"]).where("z is not null and fwd is not null")
-    p = global_ordinal(global_ordinal(p, "signal", ["z", "date", "ticker"], "a"), "signal", ["fwd", "date", "ticker"], "b")
+    p = staged(p.select("signal", "date", "ticker", "z", "fwd"))  # ranks read it three times
+    p = staged(global_ordinal(p, "signal", ["z", "date", "ticker"], "a"))
+    p = global_ordinal(p, "signal", ["fwd", "date", "ticker"], "b")
     ic = b.correlation(F.col("a").cast("double"), F.col("b").cast("double"))
     return p.groupBy("signal").agg(rounded(ic).alias("ic"), F.count("*").alias("n")).where("n >= 10")
 
