@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkfolio.llm.common import staged
+from sparkfolio.llm.common import staged, unstage
 
 
 class Forest:
@@ -37,10 +37,17 @@ def _locally(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forest = Forest()
         for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True):
             forest.join(a, b)
-        pairs = [(x, forest.root(x)) for x in forest.up]
+        pairs = [(x, forest.root(x)) for x in forest.up]  # the root is the smaller one
         yield pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether distinct edges (a, b) with b < a are stars already: each a hangs on one b, and no b hangs on another."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    seen = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.where("up > 1 or (up = 1 and down = 1)").limit(1).count() == 0
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``component`` (the smallest node reachable) for every end of ``links`` (a, b long).
 
@@ -49,9 +56,8 @@ def components(links: DataFrame) -> DataFrame:
     split.  Links shrink to stars in logarithmically many rounds.  Loops and repeated links do no harm; without links
     there are no rows.
     """
-    edges = staged(links.where("a <> b").select("a", "b").mapInPandas(_locally, "a long, b long"))
-    before = None
-    while True:
+    edges = staged(links.where("a <> b").select("a", "b").mapInPandas(_locally, "a long, b long").where("a <> b").distinct())
+    while not _stars(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("x"), F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, F.col("a") == F.col("x")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -60,9 +66,6 @@ def components(links: DataFrame) -> DataFrame:
         least = down.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("x"), "m")
         joined = down.join(least, F.col("a") == F.col("x"))
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        edges = staged(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+        before, edges = edges, staged(small)
+        unstage(before, large)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
