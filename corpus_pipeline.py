@@ -1,7 +1,17 @@
 """From raw documents to packed token sequences: five stages over whole texts.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again for the next.
-All but the last return the columns of ``documents``.
+All but the last return the columns of ``documents`` and leave out others; an empty table stays empty through all stages.
+What a stage does with odd rows:
+
+* null and empty texts: rejected by the quality rules; given to a later stage they have no line, shingle or word to lose,
+  and become one piece that is only the end mark.
+* null doc_id: judged, mixed and packed like others; never a holder of lines and never a near copy.
+* repeated rows (same doc_id and text): all get the same verdict and keep the same lines; near deduplication keeps one of
+  them, the mix takes rows that are left twice as one unit, and packing packs each row.
+* ties: a line stays in the smallest doc_id that holds it, of near copies the smallest doc_id stays, equal keys of the mix
+  and equal lengths are ordered by hashes.
+* null lang or source: a leaf of its own in the mix.
 """
 
 from __future__ import annotations
