@@ -96,7 +96,12 @@ class Open(list):
 
     def last(self, tags: Iterable[str]) -> int:
         """The innermost place of any of the tags, 0 for none."""
-        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+        get, out = self.at.get, 0
+        for t in tags:
+            places = get(t)
+            if places and places[-1] > out:
+                out = places[-1]
+        return out
 
 
 def parse(html: str) -> Node:
@@ -217,13 +222,16 @@ def _imply(stack: Open, tag: str) -> None:
 
 def _pop(stack: Open, ends: frozenset, bounds: frozenset, *, all_of: bool) -> None:
     """Close the open elements of ``ends`` above the nearest of ``bounds``: the innermost, or all."""
+    nearest = stack.last(ends)
+    if not nearest:
+        return
     bound = stack.last(bounds)
     if all_of:
         places = [at[k] for t in ends if (at := stack.at.get(t)) and (k := bisect_right(at, bound)) < len(at)]
         if places:
             stack.cut(min(places))
-    elif (cut := stack.last(ends)) > bound:
-        stack.cut(cut)
+    elif nearest > bound:
+        stack.cut(nearest)
 
 
 def _close(stack: Open, tag: str) -> None:
