@@ -119,6 +119,24 @@ def test_columns_of_any_name_come_back_as_they_were(spark, run):
     assert got and set(got) <= set(rows)
 
 
+def test_other_columns_long_texts_repeats_and_ties_do_no_harm(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a" + "<b>x</b> " * 50_000, "t", 5), (1, "u", "<p>b", "t", 5), (1, "u", "<p>b", "t", 5), (None, None, None, None, None)], "page_id long, url string, html string, text string, n_chars long")
+    got = html_text.extract_text(pages)
+    assert got.columns == ["page_id", "url", "text", "n_chars", "n_lines"] and sorted(r.n_chars or 0 for r in got.collect()) == [0, 1, 1, 100_000]
+    vectors = spark.createDataFrame([(3, [1.0, 0.0], 1, "x", "y"), (3, [1.0, 0.0], 1, "x", "y"), (2, [1.0, 0.001], 1, "x", "y"), (9, [0.0, 1.0], 1, "x", "y")], "vec_id long, embedding array<double>, label int, node string, cell string")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in lattice.near_duplicate_vectors(vectors).collect())
+    assert got == [(2, 2, 2), (3, 2, 2), (3, 2, 2), (9, 0, 9)]
+    # two rows of one doc_id with other texts have the same key of order: both are units of their own
+    docs = spark.createDataFrame([(1, "a b", "en", "src1"), (1, "c d", "en", "src1"), (1, "c d", "en", "src1")], "doc_id long, text string, lang string, source string")
+    chosen = mixing.mix(docs, budget_percent=100, max_epochs=1).collect()
+    assert sorted(r.n_tokens for r in chosen) == [2, 4]
+    labelled = spark.createDataFrame([(i, f"you are a worthless loser {i}" if i % 2 else f"the weather is calm today {i}", i % 2) for i in range(200)], "doc_id long, text string, toxic int")
+    model = toxicity.fit(labelled, labelled)
+    more = spark.createDataFrame([(1, "word " * 200_000 + "worthless", "x"), (2, "calm", "x"), (2, "calm", "x"), (None, None, "x")], "doc_id long, text string, score string")
+    rows = toxicity.score(more, model).collect()
+    assert len(rows) == 4 and all(0 <= r.score <= 1 for r in rows) and len({r.score for r in rows if r.doc_id == 2}) == 1
+
+
 def test_a_line_that_most_documents_hold_goes_from_all_but_one(spark, monkeypatch):
     texts = [f"own line number {i}\nThe very same footer line\nshared by {i // 2:06d} two" for i in range(200)]
     want = [(i, 3, (i > 0) + i % 2) for i in range(200)]
