@@ -35,3 +35,48 @@ def test_tier_query_sends_no_history_to_a_python_worker(spark, monkeypatch):
     df = registry.QUERIES["st5_tier_stream"](spark, "/root/testdata/sf0.001")
     rows = [(r.event_id, r.ts, r.user_id, r.value) for r in spark.read.parquet("/root/testdata/sf0.001/events.parquet").collect()]
     assert sorted((tuple(r) for r in df.collect()), key=repr) == plain(rows, 10.0, 50.0)
+
+
+def in_batches(spark, tmp_path, rows, schema, n=3):
+    """The rows as a stream of ``n`` files, one a batch."""
+    for k in range(n):
+        part = rows[k * len(rows) // n : (k + 1) * len(rows) // n]
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+
+
+def test_cards_keep_their_tier_over_batches_and_lose_it_over_days(spark, tmp_path):
+    from sparkfolio.plans.more import BAND, held_tiers
+
+    rnd = random.Random(9)
+    start = dt.datetime(2024, 1, 1)
+    rows = sorted(((t, i, start + dt.timedelta(minutes=7 * i), rnd.uniform(-2, 2)) for i in range(600) for t in [i % 3]), key=lambda r: r[2])
+    stream = in_batches(spark, tmp_path, rows, "ticker long, event_id long, ts timestamp, score double")
+    out = jobs.run_to_table(jobs.rated_cards(stream, lambda scores, held: held_tiers(scores, BAND, held)))
+    want = []
+    for ticker in range(3):
+        for day in sorted({r[2].date() for r in rows}):
+            own = [r for r in rows if r[0] == ticker and r[2].date() == day]
+            tiers = held_tiers([r[3] for r in own])
+            want += [(ticker, r[1], tier, k > 0 and tiers[k - 1] != tier) for k, (r, tier) in enumerate(zip(own, tiers, strict=True))]
+    assert sorted(tuple(r) for r in out.collect()) == sorted(want)
+
+
+def test_bars_and_moods_over_batches(spark, tmp_path):
+    rnd = random.Random(10)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, start + dt.timedelta(minutes=rnd.randrange(3000)), i % 4, float(rnd.randrange(100))) for i in range(900)]
+    events = in_batches(spark, tmp_path, rows, EVENTS)
+    latest = {}
+    for i, ts, ticker, v in rows:
+        latest[ticker, ts] = max(latest.get((ticker, ts), (-1, 0.0)), (i, v))
+    got = {(r.ticker, r.minute): (r.id, r.close) for r in jobs.bars_table(events).collect()}
+    assert got == latest
+    moods = jobs.run_updates(jobs.trailing_mood(events, "2 hours", "1 hour", late="10 days"), ["at", "ticker"])
+    sums = {}
+    for _, ts, ticker, v in rows:
+        hour = ts.replace(minute=0, second=0)
+        for end in (hour + dt.timedelta(hours=1), hour + dt.timedelta(hours=2)):
+            n, s = sums.get((end, ticker), (0, 0.0))
+            sums[end, ticker] = (n + 1, s + v)
+    assert {(r["at"], r.ticker): (r.n, round(r["mean"], 6)) for r in moods.collect()} == {k: (n, round(s / n, 6)) for k, (n, s) in sums.items()}
