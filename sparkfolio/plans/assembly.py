@@ -122,21 +122,22 @@ def p9_calendar_guard(spark, sf_dir):
     return p.join(sessions, "date", "left_anti").groupBy("date").agg(F.count("*").alias("n_rows"), F.min("ticker").alias("example"))
 
 
-_RAW = """SELECT user_id AS ticker, date_trunc('hour', ts) AS moment, CAST(ts AS DATE) AS day, CASE WHEN event_id % 97 = 0 THEN -1 ELSE value END AS open, value * CASE WHEN event_id % 50 = 0 THEN 0.9 ELSE 1.1 END AS high, value * CASE WHEN event_id % 60 = 0 THEN 1.05 ELSE 0.9 END AS low,
-  CASE WHEN event_id % 71 = 0 THEN NULL ELSE value END AS close, CAST(event_id % 40 AS DOUBLE) AS volume FROM events"""
+_RAW = {
+    "ticker": "user_id", "moment": "date_trunc('hour', ts)", "day": "CAST(ts AS DATE)", "open": "CASE WHEN event_id % 97 = 0 THEN -1 ELSE value END", "high": "value * CASE WHEN event_id % 50 = 0 THEN 0.9 ELSE 1.1 END",
+    "low": "value * CASE WHEN event_id % 60 = 0 THEN 1.05 ELSE 0.9 END", "close": "CASE WHEN event_id % 71 = 0 THEN NULL ELSE value END", "volume": "CAST(event_id % 40 AS DOUBLE)",
+}
 RULES = {
     "non_negative": ("error", "least(open, high, low, close, volume) < 0"), "open_above_high": ("error", "open > high"), "low_above_open": ("error", "low > open"), "volume_not_positive": ("warning", "volume <= 0"),
     "duplicate_time": ("error", "copies > 1"), "gap_over_5_days": ("warning", "gap > 5"), "missing_price": ("error", "open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL"),
 }
 
 
-@query("p12_quality_rules", f"""WITH q AS ({_RAW}), g AS (SELECT *, count(*) OVER (PARTITION BY ticker, moment) AS copies, date_diff('day', lag(day) OVER (PARTITION BY ticker ORDER BY moment, open, high), day) AS gap FROM q),
+@query("p12_quality_rules", f"""WITH q AS (SELECT {", ".join(f"{e} AS {n}" for n, e in _RAW.items())} FROM events), g AS (SELECT *, count(*) OVER (PARTITION BY ticker, moment) AS copies, date_diff('day', lag(day) OVER (PARTITION BY ticker ORDER BY moment, open, high), day) AS gap FROM q),
   s AS (SELECT ticker, {", ".join(f"count(*) FILTER ({c}) AS {n}" for n, (_, c) in RULES.items())} FROM g GROUP BY ticker), u AS ({" UNION ALL ".join(f"SELECT ticker, '{n}' AS rule, '{sev}' AS severity, {n} AS affected FROM s" for n, (sev, _) in RULES.items())})
   SELECT ticker, rule, severity, affected, affected = 0 AS passed, bool_and(affected = 0) OVER (PARTITION BY ticker) AS all_passed FROM u""")
 def p12_quality_rules(spark, sf_dir):
     """Seven rules per ticker with the rows they affect, their severity, and whether all of them hold."""
-    table(spark, sf_dir, "events").createOrReplaceTempView("events_of_quality")
-    q = spark.sql(_RAW.replace("FROM events", "FROM events_of_quality"))
+    q = table(spark, sf_dir, "events").select(*[F.expr(e).alias(n) for n, e in _RAW.items()])
     history = Window.partitionBy("ticker").orderBy("moment", "open", "high")
     g = q.withColumn("copies", F.count("*").over(Window.partitionBy("ticker", "moment"))).withColumn("gap", F.datediff("day", F.lag("day").over(history)))
     s = g.groupBy("ticker").agg(*[F.count_if(F.expr(c)).alias(n) for n, (_, c) in RULES.items()])

@@ -109,17 +109,23 @@ _EXPRESSIONS = [
     "snt1_d1_netearnings", "rank(add(volume, 1))",
 ]
 _E = "CASE o_custkey % 14 " + " ".join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(_EXPRESSIONS)) + " END"
-_ALPHA = f"""o_orderkey AS id, {_E} AS expression, CASE WHEN o_orderkey % 10 < 3 THEN 'passed' WHEN o_orderkey % 10 < 5 THEN 'flagged' WHEN o_orderkey % 10 < 9 THEN 'rejected' ELSE 'error' END AS outcome,
-  CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice / 200000 - 1 END AS sharpe, CASE WHEN o_orderkey % 6 <> 0 THEN (o_orderkey % 100) / 100.0 END AS self_correlation, CASE o_orderpriority WHEN '1-URGENT' THEN 'EXCELLENT' WHEN '2-HIGH' THEN 'GOOD' ELSE 'AVERAGE' END AS grade,
-  CASE WHEN o_orderkey % 5 = 0 THEN 'HIGH_TURNOVER, CONCENTRATED_WEIGHT' WHEN o_orderkey % 5 = 1 THEN 'LOW_SUB_UNIVERSE_SHARPE' ELSE '' END AS fail_checks,
-  CASE o_orderkey % 7 WHEN 0 THEN 'Redundant with saved' WHEN 1 THEN 'degenerate x-x' WHEN 2 THEN 'canned test' WHEN 3 THEN 'only one fold' WHEN 4 THEN 'all NaN' WHEN 5 THEN '' ELSE 'too slow for ' || o_orderpriority END AS reject_reason, CAST(o_orderdate AS DATE) AS created"""
-ALPHAS = f"alphas AS (SELECT {_ALPHA} FROM orders)"
+_ALPHA = {
+    "id": "o_orderkey",
+    "expression": _E,
+    "outcome": "CASE WHEN o_orderkey % 10 < 3 THEN 'passed' WHEN o_orderkey % 10 < 5 THEN 'flagged' WHEN o_orderkey % 10 < 9 THEN 'rejected' ELSE 'error' END",
+    "sharpe": "CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice / 200000 - 1 END",
+    "self_correlation": "CASE WHEN o_orderkey % 6 <> 0 THEN CAST(o_orderkey % 100 AS DOUBLE) / 100 END",
+    "grade": "CASE o_orderpriority WHEN '1-URGENT' THEN 'EXCELLENT' WHEN '2-HIGH' THEN 'GOOD' ELSE 'AVERAGE' END",
+    "fail_checks": "CASE WHEN o_orderkey % 5 = 0 THEN 'HIGH_TURNOVER, CONCENTRATED_WEIGHT' WHEN o_orderkey % 5 = 1 THEN 'LOW_SUB_UNIVERSE_SHARPE' ELSE '' END",
+    "reject_reason": "CASE o_orderkey % 7 WHEN 0 THEN 'Redundant with saved' WHEN 1 THEN 'degenerate x-x' WHEN 2 THEN 'canned test' WHEN 3 THEN 'only one fold' WHEN 4 THEN 'all NaN' WHEN 5 THEN '' ELSE 'too slow for ' || o_orderpriority END",
+    "created": "CAST(o_orderdate AS DATE)",
+}
+ALPHAS = f"alphas AS (SELECT {', '.join(f'{e} AS {n}' for n, e in _ALPHA.items())} FROM orders)"
 
 
 def alphas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, expression, outcome, sharpe, self_correlation, grade, fail_checks, reject_reason, created of mined expressions."""
-    table(spark, sf_dir, "orders").createOrReplaceTempView("orders_of_mining")
-    return spark.sql(f"SELECT {_ALPHA.replace('100.0', '100.0D')} FROM orders_of_mining")
+    return table(spark, sf_dir, "orders").select(*[F.expr(e).alias(n) for n, e in _ALPHA.items()])
 
 
 @query("e5_structural_dedup", f"""WITH {ALPHAS}, k AS (SELECT id, expression, regexp_replace(expression, ' ', '', 'g') AS s FROM alphas), v AS (SELECT min(id) AS id, arg_min(expression, id) AS expression, count(*) AS copies FROM k GROUP BY s) SELECT id, expression, copies FROM v""")
