@@ -14,7 +14,7 @@ from sparkfolio.operators.joins import next_after
 from sparkfolio.plans.common import query, rounded
 from sparkfolio.plans.common import sql_rounded as r
 from sparkfolio.plans.factors import WT, full, w
-from sparkfolio.plans.research import FUSED, SIG, fused, signals, tier
+from sparkfolio.plans.research import FUSED, SIG, fused, signals
 from sparkfolio.sources import store
 from sparkfolio.sources.market import PANEL_SQL, PRICES_SQL, panel, prices_daily, table
 from sparkfolio.sources.tables import BARS_SQL, FILINGS_SQL, WEIGHTS, WPANEL_SQL, bars_weekly, filings, panel_weekly

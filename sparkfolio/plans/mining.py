@@ -15,7 +15,7 @@ from sparkfolio.operators.expression import evaluate, evaluate_many
 from sparkfolio.plans.common import query, rounded
 from sparkfolio.plans.common import sql_rounded as r
 from sparkfolio.plans.factors import full, w
-from sparkfolio.plans.portfolio import WEEKLY, many_days
+from sparkfolio.plans.portfolio import many_days
 from sparkfolio.sources.market import table
 from sparkfolio.sources.tables import WPANEL_SQL, panel_weekly
 

@@ -10,7 +10,6 @@ from sparkfolio.operators import backtest as b
 from sparkfolio.operators.technical import clipped
 from sparkfolio.plans.common import query, rounded
 from sparkfolio.plans.common import sql_rounded as r
-from sparkfolio.plans.factors import WT
 from sparkfolio.plans.research import FUSED, SIG, TIER, fused, signals, tier
 from sparkfolio.sources import feeds
 from sparkfolio.sources.feeds import DIRECTION, HASH_SQL, IMPACT, MACRO_SQL, NEWS_SQL, macro_events, news_items

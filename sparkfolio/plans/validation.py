@@ -51,7 +51,6 @@ def v1_v2_ic_grid(spark, sf_dir):
     fw = fw.select("ticker", "date", "ce", F.explode(F.array(*[f"h{h}" for h in _HORIZONS])).alias("x")).select("ticker", "date", "ce", "x.*").where("ce > 0 and cx is not null and datediff(dx, date) <= 2 * horizon + 4")
     cells = F.coalesce(*[F.when(F.col("signal") == s, F.array(*[F.lit(h) for q, h in _CELLS if q == s])) for s in NATIVE])
     s = signals(spark, sf_dir).where("z is not null").select("date", "ticker", "signal", "z", F.explode(cells).alias("horizon"))
-    today = fw.agg(F.date_add(F.max("date"), 0).alias("last"))  # one row
     today = prices_daily(spark, sf_dir).agg(F.date_add(F.max("date"), 1).alias("today"))
     p = s.join(fw, ["ticker", "date", "horizon"]).join(F.broadcast(today)).withColumn("window_days", F.explode(F.array(*[F.lit(x) for x in WINDOWS])))
     p = p.where("date >= date_sub(today, window_days) and date <= date_sub(today, horizon)").withColumn("cell", F.concat_ws("|", "signal", "window_days", "horizon"))
@@ -296,7 +295,6 @@ WEAK = {"low_ic": 0.02, "redundant": 0.7, "poor_coverage": 0.5, "high_maintenanc
 def v13_prune_candidates(spark, sf_dir):
     """A signal's weaknesses; only one with all five is named for pruning."""
     s = staged(signals(spark, sf_dir))
-    h = ic_history(spark, sf_dir)
     daily = s.where("z is not null").join(next_returns(spark, sf_dir).where("fwd is not null"), ["date", "ticker"])
     at = Window.partitionBy("signal", "date")
     daily = daily.withColumn("a", F.row_number().over(at.orderBy("z", "ticker"))).withColumn("f", F.row_number().over(at.orderBy("fwd", "ticker"))).groupBy("signal", "date").agg(b.correlation(F.col("a"), F.col("f")).alias("ic"), F.count("*").alias("n")).where(F.col("n") >= LEAST_PAIRS)
@@ -351,7 +349,6 @@ def v15_materialised_outcomes(spark, sf_dir):
     live = staged(v14_outcomes_fast_and_slow(spark, sf_dir).select("ticker", "date", "hit"))
     last = live.agg(F.max("date").alias("last"))
     stored = live.join(F.broadcast(last)).where("date <= date_sub(last, 5)").select("ticker", "date", (~F.col("hit")).alias("old"))  # one row
-    since = stored.agg(F.date_sub(F.max("date"), 10).alias("since"))
     fresh = live.join(F.broadcast(last)).where("date > date_sub(last, 15)").select("ticker", "date", F.col("hit").alias("new"))
     return stored.join(fresh, ["ticker", "date"], "full").select("ticker", "date", F.coalesce("new", "old").alias("hit"), F.col("new").isNotNull().alias("scanned"))
 
