@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfolio.llm import chat, html_text, lattice, licenses, line_dedup, minhash, mixing, packing, quality, toxicity
-from sparkfolio.llm.common import table
+from sparkfolio.llm import chat, html_text, lattice, licenses, line_dedup, minhash, mixing, packing, quality, runs, toxicity
+from sparkfolio.llm.common import table, words_of
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -200,3 +200,36 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model fitted to the labels that are not held out."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).drop("words")
+
+
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text), in which each document that the contract names repeats words from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, n = F.floor(F.col("h") / 10), F.size("ws").cast("long")
+    at = F.pmod(F.col("g"), F.col("n"))
+    period = 1 + F.floor((F.col("n") - F.col("at")) / (3 + F.pmod(F.col("g"), F.lit(8))))
+    place = lambda i: F.when(i < F.col("at"), i).otherwise(F.col("at") + F.pmod(i - F.col("at"), F.col("period"))).cast("int")
+    repeated = F.array_join(F.transform("ws", lambda _, i: F.get("ws", place(i))), " ")
+    planted = docs.select("doc_id", "text", h.alias("h")).withColumn("ws", F.when(F.col("h") % 10 == 0, words_of(F.col("text"))))
+    planted = planted.withColumn("g", g).withColumn("n", n).withColumn("at", F.when(F.col("n") > 0, at)).withColumn("period", period)
+    return planted.select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+@_query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of all documents, of which one in ten repeats words: count, longest run and digests."""
+    found = runs.periodic_runs(_with_planted_runs(table(spark, sf_dir, "documents")))
+    # of the longest runs the first, of those the one of the shortest period
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.floor(-1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
