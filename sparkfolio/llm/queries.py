@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfolio.llm import chat, html_text, lattice, licenses, line_dedup, minhash, mixing, packing, quality, runs, toxicity
+from sparkfolio.llm import chat, html_text, lattice, licenses, line_dedup, minhash, mixing, packing, quality, repair, runs, toxicity
 from sparkfolio.llm.common import table, words_of
 
 QUERIES: dict = {}
@@ -233,3 +233,100 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed, 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@_query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and digest of all conversations, damaged by the contract's rule."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", *[F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")])
+    named = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    dealt = turns.withColumn("damage", F.pmod(F.crc32(named.cast("binary")), F.lit(20)))
+    damaged = dealt.where("damage <> 0").select(
+        "conv_id",
+        "turn",
+        F.when(F.col("damage") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("damage") == 1, "").when(F.col("damage") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.array_repeat(F.lit(0), F.when(F.col("damage") == 3, 2).otherwise(1))).alias("copy"),
+    )
+    told = repair.summary(repair.repair(damaged)).withColumnRenamed("conv_id", "id")
+    every = turns.select("conv_id").distinct().join(told, F.col("conv_id").eqNullSafe(F.col("id")), "left")
+    return every.select(
+        "conv_id",
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in repair.FACTS],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
+def _steps() -> str:
+    """All ways from state to state over a turn of each kind, with up to two insertions before it, as SQL values."""
+    follow = {"n": "u", "s": "u", "u": "a", "a": "u"}  # nothing yet or after a role: the only role that may come next, but for s
+    rows = []
+    for kind in ("s", "u", "a", "x", "S", "U", "A", "X", "d"):
+        for state in follow:
+            at = state
+            for n in range(3):
+                ways = [("D", 2, at)]
+                if kind != "d":
+                    cut = 5 if kind.isupper() else 0
+                    ways.append(("R", 1 + cut, follow[at]))
+                    if kind.lower() == follow[at] or (kind.lower(), at) == ("s", "n"):
+                        ways.append(("K", cut, kind.lower()))
+                rows += [f"('{kind}', '{state}', '{to}', {5 * n + cost}, '{'I' * n + letter}')" for letter, cost, to in ways]
+                at = follow[at]
+    return ", ".join(rows)
+
+
+#: The checksum of zip files, as DuckDB has none: a table of 256 entries by the rule, and one step for each byte.
+CRC32 = """
+crc AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END))) AS tbl)"""
+
+
+def _crc32(ascii_text: str) -> str:
+    byte = f"list_transform(string_split({ascii_text}, ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {byte}), lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1])))"
+
+
+SQL["op12_conversation_repair"] = f"""
+WITH RECURSIVE {CRC32.strip()},
+t AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations),
+d AS (SELECT t.*, {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS damage FROM t, crc),
+m AS (
+  SELECT conv_id, turn, CASE damage WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE damage WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE damage WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM d WHERE damage <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said FROM m),
+f AS (
+  SELECT conv_id, turn, role, text, row_number() OVER w AS i, left(role, 1) AS initial, lag(left(role, 1)) OVER w || left(role, 1) AS pair,
+         CASE WHEN said = '' THEN 'b' WHEN again THEN 'd' WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault
+  FROM o WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again, copy)),
+k AS (
+  SELECT *, CASE WHEN fault IN ('b', 'd') THEN 'd' WHEN initial IN ('s', 'u', 'a') THEN CASE fault WHEN 't' THEN upper(initial) ELSE initial END ELSE CASE fault WHEN 't' THEN 'X' ELSE 'x' END END AS kind
+  FROM f),
+figures AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+         count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM k GROUP BY conv_id),
+steps AS (SELECT * FROM (VALUES {_steps()}) v(kind, from_state, to_state, more, letters)),
+best AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, 'n' AS state, {{'cost': CAST(0 AS BIGINT), 'audit': ''}} AS least FROM figures
+  UNION ALL
+  SELECT b.conv_id, b.i + 1, s.to_state, min({{'cost': b.least.cost + s.more, 'audit': b.least.audit || s.letters}})
+  FROM best b JOIN k ON k.conv_id IS NOT DISTINCT FROM b.conv_id AND k.i = b.i + 1 JOIN steps s ON s.kind = k.kind AND s.from_state = b.state
+  GROUP BY b.conv_id, b.i + 1, s.to_state),
+ended AS (
+  SELECT f.conv_id, min({{'cost': least.cost + CASE state WHEN 'u' THEN 5 WHEN 's' THEN 10 ELSE 0 END, 'audit': least.audit || CASE state WHEN 'u' THEN 'I' WHEN 's' THEN 'II' ELSE '' END}}) AS least
+  FROM figures f JOIN best b ON b.conv_id IS NOT DISTINCT FROM f.conv_id AND b.i = f.n GROUP BY f.conv_id),
+edits AS (SELECT conv_id, unnest(string_split(least.audit, '')) AS letter, unnest(range(len(least.audit))) AS j FROM ended WHERE least.audit <> ''),
+turned AS (SELECT *, sum(CASE WHEN letter <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY j) AS i FROM edits),
+kept AS (
+  SELECT e.conv_id, j, letter, CASE WHEN letter = 'I' THEN '' ELSE k.text END AS text, k.role, letter = 'K' AND k.initial = 's' AS system
+  FROM turned e LEFT JOIN k ON k.conv_id IS NOT DISTINCT FROM e.conv_id AND k.i = e.i WHERE letter <> 'D'),
+lines AS (
+  SELECT conv_id, j, CASE WHEN letter = 'K' THEN role WHEN (row_number() OVER w - CASE WHEN bool_or(system) OVER (PARTITION BY conv_id) THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text AS line
+  FROM kept WINDOW w AS (PARTITION BY conv_id ORDER BY j)),
+written AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY j) AS said FROM lines GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(least.cost, 0) AS cost, coalesce(least.audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN figures f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN written w ON w.conv_id IS NOT DISTINCT FROM c.conv_id"""
