@@ -26,11 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's checkpoint folder.
 
-    Only where none is set (single-machine tests) is a temporary folder taken.
+    Only where none is set and all runs in one process (single-machine tests) is a temporary folder taken.
     """
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(at)
     return at
@@ -47,7 +49,7 @@ def staged(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    atexit.register(_remove, spark, path)
+    removed_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[id(out)] = (out, path)
     return out
@@ -65,6 +67,11 @@ def unstage(*frames: DataFrame) -> None:
             _remove(df.sparkSession, path)
 
 
+def removed_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove a folder when the driver's Python ends."""
+    atexit.register(_remove, spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfolio.llm import chat, html_text, lattice, licenses, line_dedup, minhash, mixing, packing, quality, repair, runs, toxicity
-from sparkfolio.llm.common import table, words_of
+from sparkfolio.llm import chat, html_text, lattice, licenses, line_dedup, minhash, mixing, packing, quality, repair, runs, token_files, toxicity
+from sparkfolio.llm.common import removed_at_exit, shared_dir, table, words_of
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -330,3 +332,12 @@ SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
        coalesce(least.cost, 0) AS cost, coalesce(least.audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN figures f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
 LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN written w ON w.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+@_query
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places, lengths and checksums of all documents' token ids, read back from the files that they were written to."""
+    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    removed_at_exit(spark, path)
+    token_files.write_ids(table(spark, sf_dir, "documents"), path)
+    return token_files.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
