@@ -8,13 +8,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Where what is staged lies, until it is unstaged.
+_PATHS: dict[int, tuple[DataFrame, str]] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; only where none is set (tests on one machine) a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The session's checkpoint folder; only where none is set and all runs in one process (tests) a temporary one."""
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(at)
+        sc.setCheckpointDir(at)
     return at
 
 
@@ -27,10 +33,29 @@ def removed(spark: SparkSession, path: str) -> None:
         pass
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written once and read back, where several steps read it; the files go when the driver's Python ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver's Python ends."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
     atexit.register(removed, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def staged(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame:
+    """``df`` written once and read back: lineage ends here and no executor's loss reaches behind it.
+
+    The files go when the driver's Python ends, or with :func:`unstage`.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, "staged")
+    df.write.partitionBy(*(partition_by or [])).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (out, path)
+    return out
+
+
+def unstage(*frames: DataFrame) -> None:
+    """Remove the files of staged frames that nothing will read any more."""
+    for df in frames:
+        _, path = _PATHS.pop(id(df), (None, None))
+        if path:
+            removed(df.sparkSession, path)

@@ -1,13 +1,13 @@
 """Operators on the dense panel (one row per date and ticker, null for missing).
 
-An operator takes the panel and columns (or numbers) and gives a column.  ``Panel.let`` writes an intermediate column
-into the frame, as a window may not stand inside another one; Spark then does all windows of one partitioning in one
-shuffle.
+An operator takes the panel and columns (or numbers) and gives a column.  ``Panel.let`` names an intermediate column, as
+a window may not stand inside another one; the panel plans all of them together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -28,36 +28,143 @@ def operator(*names: str):
     return register
 
 
+#: What a column's windows are partitioned by.
+HISTORY, SECTION, GROUP = "history", "section", "group"
+
+
+class Named(NamedTuple):
+    """An intermediate column that waits to be computed.
+
+    ``stage`` counts the changes between histories and sections on the way to it, ``wave`` the windows on windows inside
+    the stage; ``windows`` tells what its own are partitioned by.
+    """
+
+    name: str
+    value: Column
+    windows: frozenset[str]
+    stage: int
+    wave: int
+
+
 class Panel:
-    """A frame that grows by the intermediate columns of an expression."""
+    """A frame that grows by the intermediate columns of expressions, which are computed when it is asked for.
+
+    Histories (windows by entity) and sections (by time, and by time and group) want the rows dealt in different ways.  So
+    columns get stages: even ones for histories, odd ones for sections, each column the first of its kind that is not before what
+    it needs.  A stage takes one exchange, however many columns and expressions it serves; in it columns are added in
+    waves, those of one partitioning side by side, so that Spark gives them one window node.
+    """
 
     def __init__(self, df: DataFrame, time: str = "date", entity: str = "ticker"):
-        self.df, self.time, self.entity, self._n = df, time, entity, 0
-        self.history = Window.partitionBy(entity).orderBy(time)
-        self.section = Window.partitionBy(time)
+        self._df, self.time, self.entity, self._n = df, time, entity, 0
+        self._waiting: list[Named] = []
+        self._at: dict[str, tuple[int, int]] = {}  # stage and wave of what waits
+        self._used: set[str] = set()  # windows asked for since the last column was named
+        self._needs: set[str] = set()  # columns that the present operator has been given or has named
+        self._row: str | None = None
+
+    @property
+    def history(self):
+        self._used.add(HISTORY)
+        return Window.partitionBy(self.entity).orderBy(self.time)
+
+    @property
+    def section(self):
+        self._used.add(SECTION)
+        return Window.partitionBy(self.time)
 
     def last(self, n: int):
         return self.history.rowsBetween(-(int(n) - 1), 0)
 
     def group(self, by: Column):
+        self._used.add(GROUP)
         return Window.partitionBy(self.time, by)
 
+    def call(self, operator: Callable, *args) -> Column:
+        """The value of an operator as a column, which needs its arguments and nothing else that waits."""
+        self._needs, self._used = {c for a in args if isinstance(a, Column) for c in self._names_in(a)}, set()
+        value = self.let(operator(self, *args))
+        self._needs = set()
+        return value
+
+    def _names_in(self, value: Column) -> set[str]:
+        """The waiting columns that an argument refers to: it is one of them, or the negative of one."""
+        text = str(value)
+        return {n for n in self._at if n in text}
+
     def let(self, value: Column) -> Column:
+        return F.col(self._name(column(value)))
+
+    def _name(self, value: Column) -> str:
         self._n += 1
-        name = f"_v{self._n}"
-        self.df = self.df.withColumn(name, value)
-        return F.col(name)
+        name = f"_v{self._n}_"
+        stage, wave = max((self._at[n] for n in self._needs if n in self._at), default=(0, 0))
+        windows = frozenset(self._used)
+        if windows:
+            kinds = {0 if w == HISTORY else 1 for w in windows}
+            before = stage
+            stage += min((k - stage) % 2 for k in kinds)
+            wave = wave + 1 if stage == before else 1
+        self._waiting.append(Named(name, value, windows, stage, wave))
+        self._at[name] = (stage, wave)
+        self._needs.add(name)
+        self._used = set()
+        return name
+
+    @property
+    def df(self) -> DataFrame:
+        """The frame with all columns named so far."""
+        waiting, self._waiting, self._at = self._waiting, [], {}
+        for stage in sorted({c.stage for c in waiting}):
+            here = [c for c in waiting if c.stage == stage]
+            self._deal(here)
+            for wave in sorted({c.wave for c in here}):
+                now = [c for c in here if c.wave == wave]
+                for windows in sorted({c.windows for c in now if c.windows}, key=_order):
+                    self._add([c for c in now if c.windows == windows])
+                self._add([c for c in now if not c.windows])
+        return self._df
+
+    @df.setter
+    def df(self, df: DataFrame) -> None:
+        self._df = df
+
+    def _deal(self, columns: list[Named]) -> None:
+        """Deal by time where a stage's first windows are of groups and others of the whole section follow."""
+        first = min((c.wave for c in columns if c.windows), default=0)
+        early = {w for c in columns if c.wave == first for w in c.windows}
+        if early == {GROUP} and any(SECTION in c.windows for c in columns):
+            self._df = self._df.repartition(self.time)
+
+    def _add(self, columns: list[Named]) -> None:
+        """One projection for columns that do not need each other; plain ones may, in the order they were named."""
+        while columns:
+            now, held = [], []
+            for c in columns:
+                text = str(c.value)
+                (held if any(o.name in text for o in [*now, *held]) else now).append(c)
+            self._df = self._df.select("*", *[c.value.alias(c.name) for c in now])
+            columns = held
 
     def row(self) -> Column:
         """Number of the session in the entity's history."""
-        if "_row" not in self.df.columns:
-            self.df = self.df.withColumn("_row", F.row_number().over(self.history))
-        return F.col("_row")
+        if self._row is None:
+            needs, used = self._needs, self._used
+            self._needs, self._used = set(), set()
+            self._row = self._name(F.row_number().over(self.history))
+            self._needs, self._used = needs, used
+        self._needs.add(self._row)
+        return F.col(self._row)
 
     def when_full(self, n: int, value: Column) -> Column:
         return F.when(self.row() >= int(n), value)
 
 
+def _order(windows: frozenset[str]) -> tuple:
+    """Sections before groups: what is dealt by time serves its groups, too."""
+    return tuple(sorted((HISTORY, SECTION, GROUP).index(w) for w in windows))
+
+
 def column(x) -> Column:
     return x if isinstance(x, Column) else F.lit(float(x))
 
@@ -331,21 +438,20 @@ def trade_when(p, trigger, alpha, leave):
 @operator("hump")
 def hump(p, x, threshold=0.01):
     """Hold a value until it is left by more than threshold * (1 + |held|): sequential, one entity at a time."""
-    x = p.let(x)
-    name, time, entity = f"_v{p._n}", p.time, p.entity
+    df, time, entity = p.df, p.time, p.entity
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(time)
         held, out = None, []
-        for v in pdf[name].tolist():
+        for v in pdf["_x"].tolist():
             if v is not None and v == v and (held is None or abs(v - held) > threshold * (1 + abs(held))):
                 held = v
             out.append(held)
         return pd.DataFrame({entity: pdf[entity], time: pdf[time], "_held": pd.array(out, dtype="Float64")})
 
-    kinds = dict(p.df.dtypes)
-    held = p.df.select(entity, time, name).groupBy(entity).applyInPandas(run, f"{entity} {kinds[entity]}, {time} {kinds[time]}, _held double")
-    p.df = p.df.join(held, [entity, time])
+    kinds = dict(df.dtypes)
+    held = df.select(entity, time, x.alias("_x")).groupBy(entity).applyInPandas(run, f"{entity} {kinds[entity]}, {time} {kinds[time]}, _held double")
+    p.df = df.join(held, [entity, time])
     value = p.let(F.col("_held"))
     p.df = p.df.drop("_held")
     return value

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sparkfolio.functions.staging import shared_folder, staged
+from sparkfolio.functions.staging import new_folder, staged
 from sparkfolio.operators import backtest as b
 from sparkfolio.operators.expression import evaluate
-from sparkfolio.operators.joins import next_after
+from sparkfolio.operators.joins import global_ordinal, next_after
 from sparkfolio.plans.common import query, rounded
 from sparkfolio.plans.common import sql_rounded as r
 from sparkfolio.plans.factors import WT, full, w
@@ -23,7 +21,7 @@ from sparkfolio.sources.tables import BARS_SQL, FILINGS_SQL, WEIGHTS, WPANEL_SQL
 
 
 def _folder(spark) -> str:
-    return f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    return new_folder(spark, "store")
 
 
 @query("io1_universe_and_benchmark", f"WITH {BARS_SQL} SELECT u.ticker, u.date, u.close, m.close AS benchmark FROM wbars u LEFT JOIN wbars m ON m.ticker = 1 AND m.date = u.date WHERE u.ticker NOT IN (1, 2)")
@@ -267,8 +265,8 @@ def k8_long_horizon_rank(spark, sf_dir):
     live = F.filter(swapped, lambda e: (e["w"] > 0) & e["z"].isNotNull())
     fold = F.aggregate(live, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w")), lambda acc, e: F.struct((acc["s"] + e["w"] * e["z"]).alias("s"), (acc["w"] + e["w"]).alias("w")))
     f = cards.select("ticker", fold.alias("f")).where("f.w > 0").select("ticker", (F.col("f.s") / F.col("f.w") * F.sqrt("f.w")).alias("score"), F.col("f.w").alias("coverage"))
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.round("score", 9).desc(), "ticker"))
-    return f.select("ticker", rounded(F.col("score")).alias("score"), rounded(F.col("coverage")).alias("coverage"), place.alias("place"))
+    f = global_ordinal(f, None, [F.round("score", 9).desc(), "ticker"], "place")
+    return f.select("ticker", rounded(F.col("score")).alias("score"), rounded(F.col("coverage")).alias("coverage"), "place")
 
 
 # -- normalising and grades -----------------------------------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkfolio.operators import backtest as b
+from sparkfolio.operators import gram
 from sparkfolio.operators.expression import evaluate, evaluate_many
 from sparkfolio.functions.staging import staged
 from sparkfolio.plans.common import query, rounded
@@ -217,6 +218,11 @@ def library_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where("n >= 10").groupBy("factor_name", "date").agg((top - bottom).alias("ret"))
 
 
+def series_of(lr: DataFrame) -> DataFrame:
+    """Returns of factors as series: name, date, value."""
+    return lr.select(F.col("factor_name").alias("name"), "date", F.col("ret").alias("value"))
+
+
 @query("m1_library_returns", f"WITH {LIB} SELECT factor_name, date, {r('ret')} AS ret FROM lr")
 def m1_library_returns(spark, sf_dir):
     return library_returns(spark, sf_dir).select("factor_name", "date", rounded(F.col("ret")).alias("ret"))
@@ -228,12 +234,11 @@ def m1_library_returns(spark, sf_dir):
     FROM lr a JOIN lr b ON a.date = b.date AND a.factor_name < b.factor_name WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY ALL)""",
 )
 def m2_return_correlations(spark, sf_dir):
-    """Pairs of factors meet by date only: factors squared times dates, whatever the number of tickers."""
-    lr = staged(library_returns(spark, sf_dir))
-    x = lr.select("date", F.col("factor_name").alias("a"), F.col("ret").alias("x"))
-    y = lr.select("date", F.col("factor_name").alias("b"), F.col("ret").alias("y"))
-    spread = F.stddev_samp("x") * F.stddev_samp("y")
-    met = x.join(y, "date").where("a < b and x is not null and y is not null").groupBy("a", "b").agg(rounded(F.when(spread > 1e-24, F.covar_pop("x", "y") / spread)).alias("c"), F.count("*").alias("n"))
+    """Population covariance over sample deviations of all pairs of factors, from blocked Gram matrices."""
+    p = gram.pair_sums(staged(series_of(library_returns(spark, sf_dir))))
+    # deviations of a sample: null for one date, as is the product of the two
+    spread = F.when(F.col("n") > 1, F.sqrt(gram.variance("x")) * F.sqrt(gram.variance("y")) * F.col("n") / (F.col("n") - 1))
+    met = p.select("a", "b", rounded(F.when(spread > 1e-24, gram.covariance() / spread)).alias("c"), "n")
     return met.withColumn("warned", F.abs("c") > 0.8)
 
 
@@ -244,11 +249,10 @@ def m2_return_correlations(spark, sf_dir):
     SELECT candidate, arg_max(saved, c) AS nearest, {r('max(c)')} AS likeness, max(c) >= 0.7 AS rejected FROM g GROUP BY candidate""",
 )
 def m3_self_correlation_gate(spark, sf_dir):
-    lr = staged(library_returns(spark, sf_dir))
-    new = F.col("factor_name").isin("reversal_1", "close_to_vwap")
-    x = lr.where(new).select("date", F.col("factor_name").alias("candidate"), F.col("ret").alias("x"))
-    y = lr.where(~new).select("date", F.col("factor_name").alias("saved"), F.col("ret").alias("y"))
-    g = x.join(y, "date").groupBy("candidate", "saved").agg(F.abs(b.correlation(F.col("x"), F.col("y"))).alias("c"))
+    """Each new factor's nearest saved one: blocks of new factors against blocks of saved ones."""
+    lr = staged(series_of(library_returns(spark, sf_dir)))
+    new = F.col("name").isin("reversal_1", "close_to_vwap")
+    g = gram.pair_sums(lr.where(new), lr.where(~new)).select(F.col("a").alias("candidate"), F.col("b").alias("saved"), F.abs(gram.correlation()).alias("c"))
     return g.groupBy("candidate").agg(F.max_by("saved", "c").alias("nearest"), rounded(F.max("c")).alias("likeness"), (F.max("c") >= 0.7).alias("rejected"))
 
 

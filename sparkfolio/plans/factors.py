@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkfolio.functions.series import SERIES
-from sparkfolio.operators.expression import evaluate, evaluate_many
+from sparkfolio.operators.expression import evaluate, evaluate_many, evaluate_wide
 from sparkfolio.plans.common import query, rounded, sql_rounded
 from sparkfolio.sources.market import PANEL_SQL, PRICES_SQL, panel, prices_daily
 
@@ -26,9 +26,7 @@ def _register(name: str, columns: dict[str, tuple[str, str]], ctes: str = "", so
     """A query of one column per expression, and its SQL per column."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = panel(spark, sf_dir)
-        for out, (expression, _) in columns.items():
-            df = evaluate(df, expression, out=out)
+        df = evaluate_wide(panel(spark, sf_dir), {out: expression for out, (expression, _) in columns.items()})
         return df.select("date", "ticker", *[rounded(F.col(c)).alias(c) for c in columns])
 
     sql = f"WITH {PANEL_SQL}{ctes} SELECT date, ticker, " + ", ".join(f"{sql_rounded(f'CAST({s} AS DOUBLE)')} AS {c}" for c, (_, s) in columns.items()) + f" FROM {source}"

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from sparkfolio.functions import expressions as x
 from sparkfolio.functions.staging import staged
 from sparkfolio.operators import acceptance
-from sparkfolio.operators import backtest as b
-from sparkfolio.operators.expression import evaluate, evaluate_many
+from sparkfolio.operators import gram
+from sparkfolio.operators.expression import evaluate_many, evaluate_wide
 from sparkfolio.plans.common import query, rounded
 from sparkfolio.plans.common import sql_rounded as r
 from sparkfolio.plans.factors import full, w
@@ -141,12 +141,15 @@ def e5_structural_dedup(spark, sf_dir):
 
 @query("m4_incremental_contribution")
 def m4_incremental_contribution(spark, sf_dir):
-    """What a candidate adds to its nearest neighbours: 1 - R² of its returns on theirs, from 60 dates on. Pairs meet by date; a group is one candidate's dates by at most twelve neighbours."""
-    lr = many_days(spark, sf_dir).where("net is not null").select("strategy", "date", "net")
-    a, o = lr.toDF("candidate", "date", "y"), lr.toDF("saved", "date", "v")
-    pairs = a.join(o, "date").where("candidate <> saved")
-    c = pairs.groupBy("candidate", "saved").agg(F.abs(b.correlation(F.col("y"), F.col("v"))).alias("c")).where("c is not null")
-    near = c.withColumn("k", F.row_number().over(Window.partitionBy("candidate").orderBy(F.desc("c"), "saved"))).where("k <= 12")
+    """What a candidate adds to its nearest neighbours: 1 - R² of its returns on theirs, from 60 dates on.
+
+    The nearest come from blocked Gram matrices; then a candidate's dates meet those of at most twelve neighbours, which is
+    a group's size.
+    """
+    lr = staged(many_days(spark, sf_dir).where("net is not null").select(F.col("strategy").alias("name"), "date", F.col("net").alias("value")))
+    p = gram.pair_sums(lr).select("a", "b", F.abs(gram.correlation()).alias("c")).where("c is not null")
+    c = p.toDF("candidate", "saved", "c").union(p.select("b", "a", "c"))
+    near = c.withColumn("k", F.row_number().over(Window.partitionBy("candidate").orderBy(F.desc("c"), "saved"))).where("k <= 12").drop("c")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot(index="date", columns="k", values="v").sort_index()
@@ -163,7 +166,7 @@ def m4_incremental_contribution(spark, sf_dir):
             share = 0.0 if total < 1e-18 else min(1.0, max(0.0, float(((y - design @ beta) ** 2).sum()) / total))
         return pd.DataFrame({"candidate": [key[0]], "nearest": [partner], "new_share": [share]})
 
-    rows = pairs.join(F.broadcast(near), ["candidate", "saved"])  # twelve rows a candidate at most
+    rows = near.join(lr.toDF("saved", "date", "v"), "saved").join(lr.toDF("candidate", "date", "y"), ["candidate", "date"])
     return rows.select("candidate", "saved", "k", "date", "y", "v").groupBy("candidate").applyInPandas(run, "candidate string, nearest string, new_share double").withColumn("new_share", rounded(F.col("new_share")))
 
 
@@ -274,9 +277,7 @@ def u1_own_operators(spark, sf_dir):
         "abs": lambda p, c: c * 0,
         "ranged": lambda p, c, n: p.when_full(n, F.max(c).over(p.last(n)) - F.min(c).over(p.last(n))),
     }
-    df = panel_weekly(spark, sf_dir)
-    for out, e in {"twice": "twice(close)", "built_in": "abs(close)", "ranged": "ranged(close, 4)"}.items():
-        df = evaluate(df, e, out=out, operators=own)
+    df = evaluate_wide(panel_weekly(spark, sf_dir), {"twice": "twice(close)", "built_in": "abs(close)", "ranged": "ranged(close, 4)"}, operators=own)
     return df.select("date", "ticker", *[rounded(F.col(c)).alias(c) for c in ("twice", "built_in", "ranged")])
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from sparkfolio.functions import normal
 from sparkfolio.functions.staging import staged
 from sparkfolio.operators import backtest as b
-from sparkfolio.operators.expression import evaluate, evaluate_many
+from sparkfolio.operators.expression import evaluate, evaluate_many, evaluate_wide
+from sparkfolio.operators.joins import global_ordinal
 from sparkfolio.plans.backtests import CORR
 from sparkfolio.plans.common import query, rounded
 from sparkfolio.plans.common import sql_rounded as r
@@ -364,7 +365,7 @@ def b27_candidate_fitness(spark, sf_dir):
     train = many_days(spark, sf_dir).where(split_of(F.col("k"), F.col("size")) == "train")
     m = b.labelled_metrics(train, ["strategy"]).withColumn("fitness", F.expr(_FITNESS))
     finite = F.when(F.isnan("fitness") | F.col("fitness").isNull(), F.lit(float("-inf"))).otherwise(F.col("fitness"))
-    return m.withColumn("fitness", finite).select("strategy", rounded(F.col("fitness")).alias("fitness"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("fitness"), "strategy")).alias("place"))
+    return global_ordinal(m.select("strategy", finite.alias("fitness")), None, [F.desc("fitness"), "strategy"], "place").select("strategy", rounded(F.col("fitness")).alias("fitness"), "place")
 
 
 @query("b28_ic_statistics", f"""WITH {DAYS}, i AS (SELECT date, ic, CASE WHEN row_number() OVER (ORDER BY date) >= 20 THEN avg(ic) OVER (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END AS m FROM days WHERE k < size - 1)
@@ -433,9 +434,7 @@ def b24_perturbation_robustness(spark, sf_dir):
     """Mean rank correlation of the factor with itself on inputs that normal and fat-tailed noise has moved, over the last dates."""
     p = panel_weekly(spark, sf_dir).select("date", "ticker", "returns")
     noisy = p.select("*", *[(F.col("returns") * (1 + SIGMA * _draws(k))).alias(f"r_{k}") for k in _KINDS])
-    f = evaluate(noisy, "ts_mean(returns, 5)", out="clean")
-    for k in _KINDS:
-        f = evaluate(f, f"ts_mean(r_{k}, 5)", out=k)
+    f = evaluate_wide(noisy, {"clean": "ts_mean(returns, 5)", **{k: f"ts_mean(r_{k}, 5)" for k in _KINDS}})
     days = p.select("date").distinct().withColumn("age", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("date")))).where(F.col("age").between(2, TAIL + 1))
     tail = f.join(days, "date", "left_semi").where("clean is not null").unpivot(["date", "ticker", "clean"], _KINDS, "trial", "noisy").where("noisy is not null")
     at = Window.partitionBy("trial", "date")

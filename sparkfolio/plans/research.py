@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkfolio.functions import lexicon
 from sparkfolio.functions.staging import staged
 from sparkfolio.operators import backtest as b
-from sparkfolio.operators.expression import evaluate
+from sparkfolio.operators.expression import evaluate_wide
 from sparkfolio.operators.joins import asof_join, global_ordinal, next_after
 from sparkfolio.plans.common import query, rounded
 from sparkfolio.plans.common import sql_rounded as r
@@ -128,9 +128,7 @@ def k7_daily_change(spark, sf_dir):
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long table ticker, date, signal, z, confidence of three signals on the panel; confidence 0 where z is missing."""
-    df = panel(spark, sf_dir)
-    for name, expression in {"momentum": "zscore(ts_mean(returns, 5))", "reversal": "zscore(reverse(returns))", "activity": "zscore(volume)"}.items():
-        df = evaluate(df, expression, out=name)
+    df = evaluate_wide(panel(spark, sf_dir), {"momentum": "zscore(ts_mean(returns, 5))", "reversal": "zscore(reverse(returns))", "activity": "zscore(volume)"})
     long = df.unpivot(["date", "ticker"], list(SIGNALS), "signal", "z")
     confidence = F.coalesce(*[F.when(F.col("signal") == s, F.lit(c)) for s, c in SIGNALS.items()])
     return long.withColumn("confidence", F.when(F.col("z").isNull(), 0.0).otherwise(confidence))
@@ -198,14 +196,14 @@ AHEAD = f"nx AS (SELECT date, ticker, lead(close, 5) OVER ({WT}) / nullif(close,
 
 
 @query("v1_v2_walk_forward_ic", f"""WITH {SIG}, {AHEAD}, p AS (SELECT s.signal, s.z, x.fwd, s.ticker, s.date FROM sig s JOIN nx x USING (date, ticker) WHERE z IS NOT NULL AND fwd IS NOT NULL),
-  k AS (SELECT signal, CAST(row_number() OVER (PARTITION BY signal ORDER BY z, date, ticker) AS DOUBLE) AS a, CAST(row_number() OVER (PARTITION BY signal ORDER BY fwd, date, ticker) AS DOUBLE) AS b FROM p)
+  k AS (SELECT signal, CAST(row_number() OVER (PARTITION BY signal ORDER BY round(z, 9), date, ticker) AS DOUBLE) AS a, CAST(row_number() OVER (PARTITION BY signal ORDER BY round(fwd, 9), date, ticker) AS DOUBLE) AS b FROM p)
   SELECT signal, {r('covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b))')} AS ic, count(*) AS n FROM k GROUP BY signal HAVING count(*) >= 10""")
 def v1_v2_walk_forward_ic(spark, sf_dir):
     """Pooled rank correlation per signal: signals are few and large, so ranks come from ranges and offsets."""
     ahead = panel(spark, sf_dir).select("date", "ticker", b.forward_return(5).alias("fwd"))
     p = signals(spark, sf_dir).join(ahead, ["date", "ticker"]).where("z is not null and fwd is not null")
-    p = staged(p.select("signal", "date", "ticker", "z", "fwd"))  # ranks read it three times
-    p = staged(global_ordinal(p, "signal", ["z", "date", "ticker"], "a"))
+    p = p.select("signal", "date", "ticker", F.round("z", 9).alias("z"), F.round("fwd", 9).alias("fwd"))  # ties must not hang on the last bits
+    p = global_ordinal(p, "signal", ["z", "date", "ticker"], "a")
     p = global_ordinal(p, "signal", ["fwd", "date", "ticker"], "b")
     ic = b.correlation(F.col("a").cast("double"), F.col("b").cast("double"))
     return p.groupBy("signal").agg(rounded(ic).alias("ic"), F.count("*").alias("n")).where("n >= 10")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkfolio.functions.staging import staged
 from sparkfolio.operators import backtest as b
 from sparkfolio.operators import technical as t
+from sparkfolio.operators.joins import shared_rank
 from sparkfolio.plans.backtests import CORR
 from sparkfolio.plans.common import query, rounded
 from sparkfolio.plans.common import sql_rounded as r
@@ -122,7 +123,8 @@ def s6_put_call(spark, sf_dir):
     """Put volume over call volume and the rank of implied volatility, each bent by tanh."""
     put = F.col("l_returnflag") == "R"
     c = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("ticker")).agg(F.sum(F.when(put, F.col("l_quantity")).otherwise(0.0)).alias("puts"), F.sum(F.when(put, 0.0).otherwise(F.col("l_quantity"))).alias("calls"), F.avg("l_discount").alias("iv"))
-    p = c.withColumn("rank", 100 * F.percent_rank().over(Window.partitionBy(F.lit(0)).orderBy(F.round("iv", 9))))
+    n = F.greatest(F.lit(1), F.col("n") - 1)
+    p = shared_rank(c.withColumn("iv9", F.round("iv", 9)), "iv9", "place").join(F.broadcast(c.agg(F.count("*").alias("n")))).withColumn("rank", 100 * (F.col("place") - 1) / n)  # one row
     z = (-F.tanh((F.col("puts") / F.greatest("calls", F.lit(1.0)) - 1) * 1.5) - F.tanh((F.col("rank") - 50) / 30)) / 2 * 2
     return p.select("ticker", F.when(F.col("puts") + F.col("calls") == 0, 0.0).otherwise(rounded(t.clipped(z))).alias("z"))
 

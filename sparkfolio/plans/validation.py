@@ -37,13 +37,14 @@ _FW = " UNION ALL ".join(f"SELECT ticker, date, {h} AS h, close AS ce, lead(clos
 @query("v1_v2_ic_grid", f"""WITH {SIG}, fw AS ({_FW}), hz AS (SELECT * FROM (VALUES {", ".join(f"('{s}', {h})" for s, h in _CELLS)}) v(signal, h)), nw AS (SELECT max(date) + 1 AS today FROM prices),
   p AS (SELECT s.signal, hz.h, g.w, s.z, s.date, s.ticker, cx / ce - 1 AS fwd FROM sig s JOIN hz USING (signal) JOIN fw USING (ticker, date, h) CROSS JOIN nw JOIN (SELECT unnest([{", ".join(map(str, WINDOWS))}]) AS w) g ON s.date >= today - g.w AND s.date <= today - h
     WHERE z IS NOT NULL AND ce > 0 AND cx IS NOT NULL AND dx - s.date <= 2 * h + 4),
-  k AS (SELECT signal, w, h, CAST(row_number() OVER (PARTITION BY signal, w, h ORDER BY z, date, ticker) AS DOUBLE) AS a, CAST(row_number() OVER (PARTITION BY signal, w, h ORDER BY fwd, date, ticker) AS DOUBLE) AS f FROM p)
+  k AS (SELECT signal, w, h, CAST(row_number() OVER (PARTITION BY signal, w, h ORDER BY round(z, 9), date, ticker) AS DOUBLE) AS a, CAST(row_number() OVER (PARTITION BY signal, w, h ORDER BY round(fwd, 9), date, ticker) AS DOUBLE) AS f FROM p)
   SELECT signal, CAST(w AS INT) AS window_days, CAST(h AS INT) AS horizon, {r(CORR.format(x="a", y="f"))} AS ic, count(*) AS n FROM k GROUP BY signal, w, h HAVING count(*) >= {LEAST_PAIRS}""")
 def v1_v2_ic_grid(spark, sf_dir):
     """Pooled rank correlation of each signal with the return over its horizons' next rows, for three windows of dates.
 
     Exits over missing rows may be no more than twice the horizon and four days away.  Cells are few and large, so ranks
-    within one come from ranges and offsets; what they are ranked from is written once.
+    within one come from ranges and offsets.  What is ranked has nine places: sums over windows differ in the last
+    bits from run to run, and ties must not depend on them.
     """
     own = b.own()
     ahead = lambda h: F.struct(F.lit(h).alias("horizon"), F.lead("close", h).over(own).alias("cx"), F.lead("date", h).over(own).alias("dx"))
@@ -54,8 +55,8 @@ def v1_v2_ic_grid(spark, sf_dir):
     today = prices_daily(spark, sf_dir).agg(F.date_add(F.max("date"), 1).alias("today"))
     p = s.join(fw, ["ticker", "date", "horizon"]).join(F.broadcast(today)).withColumn("window_days", F.explode(F.array(*[F.lit(x) for x in WINDOWS])))
     p = p.where("date >= date_sub(today, window_days) and date <= date_sub(today, horizon)").withColumn("cell", F.concat_ws("|", "signal", "window_days", "horizon"))
-    p = staged(p.select("cell", "signal", "window_days", "horizon", "date", "ticker", "z", (F.col("cx") / F.col("ce") - 1).alias("fwd")))
-    p = staged(global_ordinal(p, "cell", ["z", "date", "ticker"], "a"))
+    p = p.select("cell", "signal", "window_days", "horizon", "date", "ticker", F.round("z", 9).alias("z"), F.round(F.col("cx") / F.col("ce") - 1, 9).alias("fwd"))
+    p = global_ordinal(p, "cell", ["z", "date", "ticker"], "a")
     p = global_ordinal(p, "cell", ["fwd", "date", "ticker"], "f")
     return p.groupBy("signal", "window_days", "horizon").agg(rounded(b.correlation(F.col("a").cast("double"), F.col("f").cast("double"))).alias("ic"), F.count("*").alias("n")).where(F.col("n") >= LEAST_PAIRS)
 
@@ -84,13 +85,13 @@ def _composites_sql(sets: dict[str, dict[str, float]]) -> str:
 
 
 @query("v3_composite_ic", f"""WITH {SIG}, {_AHEAD5}, {_composites_sql(SETS)}, nw AS (SELECT max(date) + 1 AS today FROM prices), q AS (SELECT comp.*, round(composite, 9) AS c9 FROM comp, nw WHERE date >= today - 90 AND date <= today - 5),
-  k AS (SELECT weight_set, composite, CAST(row_number() OVER (PARTITION BY weight_set ORDER BY c9, date, ticker) AS DOUBLE) AS a, CAST(row_number() OVER (PARTITION BY weight_set ORDER BY fwd, date, ticker) AS DOUBLE) AS f FROM q)
+  k AS (SELECT weight_set, composite, CAST(row_number() OVER (PARTITION BY weight_set ORDER BY c9, date, ticker) AS DOUBLE) AS a, CAST(row_number() OVER (PARTITION BY weight_set ORDER BY round(fwd, 9), date, ticker) AS DOUBLE) AS f FROM q)
   SELECT weight_set, CASE WHEN count(*) >= {LEAST_PAIRS} AND stddev_pop(composite) >= 1e-9 THEN {r(CORR.format(x="a", y="f"))} END AS ic, count(*) AS n FROM k GROUP BY weight_set""")
 def v3_composite_ic(spark, sf_dir):
     """Rank correlation of the weighted sum of signals with the five-row return, pooled over the last 90 days."""
     today = prices_daily(spark, sf_dir).agg(F.date_add(F.max("date"), 1).alias("today"))
     q = composites(spark, sf_dir, SETS).join(F.broadcast(today)).where("date >= date_sub(today, 90) and date <= date_sub(today, 5)").withColumn("c9", F.round("composite", 9)).drop("today")  # one row
-    q = staged(global_ordinal(staged(q), "weight_set", ["c9", "date", "ticker"], "a"))
+    q = global_ordinal(q.withColumn("fwd", F.round("fwd", 9)), "weight_set", ["c9", "date", "ticker"], "a")
     q = global_ordinal(q, "weight_set", ["fwd", "date", "ticker"], "f")
     known = (F.count("*") >= LEAST_PAIRS) & (F.stddev_pop("composite") >= 1e-9)
     return q.groupBy("weight_set").agg(F.when(known, rounded(b.correlation(F.col("a").cast("double"), F.col("f").cast("double")))).alias("ic"), F.count("*").alias("n"))
