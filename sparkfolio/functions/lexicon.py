@@ -1,13 +1,13 @@
-"""Word lists of finance sentiment and of event classes; callers may bring their own."""
+"""Sentiment by a dictionary that is data, and classes of events."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words of good and bad news (parameters of :func:`mood`; a full dictionary is the caller's).
-GOOD = "achieve advantage attractive beat benefit best better boom boost breakthrough effective efficient enhance excellent exceptional favorable gain gains great ideal impressive improve improved innovation innovative leading outperform outstanding popular positive profit profitable progress rebound record recovery reward rising solid strong stronger success successful surge surpass thrive winning is with".split()
-BAD = "abuse accident adverse allegation antitrust bad bankrupt bankruptcy breach breakdown claim collapse complaint conflict crime crisis criticism damage danger decline default deficit delay disaster dispute disrupt downgrade downturn fail failed failure false fault fear fraud harmful hostile investigation lawsuit layoff litigation lose loser loss losses lost miss negative penalty plummet problem recall recession reject scandal severe shortfall slow slump suspend threat trash underperform violation warn warning weak weaker worse worst worthless not".split()
+POSITIVE, NEGATIVE = "positive", "negative"
+#: A dictionary of so many words at most is sent to all tasks; a larger one is joined by word.
+SENT = 200_000
 #: Marks of authors and texts by which events are classed, found anywhere in them.
 POLITICAL_AUTHORS = "trump potus harris biden vance desantis ramaswamy kennedy".split()
 GEOPOLITICAL_AUTHORS = "fed fomc powell ofac treasury uscbp ustr ecb boj boe pboc sec ftc doj".split()
@@ -23,8 +23,19 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([\\p{L}\\p{N}_]+)"), F.lit(1))
 
 
-def hits(text: Column, names: list[str]) -> Column:
-    return F.size(F.filter(words(text), lambda x: x.isin(*names))).cast("long")
+def counted(items: DataFrame, key: str, text: Column, dictionary: DataFrame) -> DataFrame:
+    """``key``, good, bad: how many words of each text are on either side of ``dictionary`` (word, side), 0 where none is.
+
+    ``items`` has one row for each key.  A dictionary of checked size goes to the texts; a larger one meets them by word, each
+    text's equal words counted before.
+    """
+    said = items.select(key, F.explode_outer(words(text)).alias("word"))
+    if dictionary.count() <= SENT:
+        met = said.withColumn("times", F.lit(1)).join(F.broadcast(dictionary), "word", "left")
+    else:
+        met = said.groupBy(key, "word").agg(F.count("*").alias("times")).join(dictionary, "word", "left")
+    side = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("times"))), F.lit(0)).cast("long")
+    return met.groupBy(key).agg(side(POSITIVE).alias("good"), side(NEGATIVE).alias("bad"))
 
 
 def mood(good: Column, bad: Column) -> Column:
@@ -40,8 +51,10 @@ def event_class(author: Column, title: Column, body: Column) -> Column:
     return F.when(has(who, GEOPOLITICAL_AUTHORS) | has(what, GEOPOLITICAL_WORDS), "geopolitical").when(has(who, POLITICAL_AUTHORS) | has(what, POLITICAL_WORDS), "political").otherwise("other")
 
 
-def sql_hits(text: str, names: list[str]) -> str:
-    return f"CAST(len(list_filter(regexp_extract_all(lower(coalesce({text}, '')), '[\\p{{L}}\\p{{N}}_]+'), lambda x: x IN ({', '.join(repr(x) for x in names)}))) AS BIGINT)"
+def sql_hits(text: str, side: str) -> str:
+    """Words of a text in a side's list, a column of the one row of ``sides``."""
+    found = f"regexp_extract_all(lower(coalesce({text}, '')), '[\\p{{L}}\\p{{N}}_]+')"
+    return f"CAST(len(list_filter({found}, lambda x: list_contains({side}, x))) AS BIGINT)"
 
 
 def sql_mood(good: str, bad: str) -> str:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkfolio.functions import lexicon
+from sparkfolio.functions.staging import staged
 from sparkfolio.operators import backtest as b
 from sparkfolio.operators.technical import clipped
 from sparkfolio.plans.common import query, rounded
 from sparkfolio.plans.common import sql_rounded as r
-from sparkfolio.plans.research import FUSED, SIG, TIER, fused, signals, tier
+from sparkfolio.plans.research import FUSED, SIG, TIER, dictionary, fused, signals, tier
 from sparkfolio.sources import feeds
+from sparkfolio.sources.dictionary import LEARNED_SQL
 from sparkfolio.sources.feeds import DIRECTION, HASH_SQL, IMPACT, MACRO_SQL, NEWS_SQL, macro_events, news_items
 from sparkfolio.sources.market import prices_daily, table
 
@@ -67,15 +69,21 @@ _SIGN_SQL = "CASE direction " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in DIRE
 
 
 def _score_sql(text: str) -> str:
-    mood = lexicon.sql_mood(lexicon.sql_hits(text, lexicon.GOOD), lexicon.sql_hits(text, lexicon.BAD))
+    mood = lexicon.sql_mood(lexicon.sql_hits(text, lexicon.POSITIVE), lexicon.sql_hits(text, lexicon.NEGATIVE))
     return f"CASE WHEN impact IS NOT NULL AND direction IS NOT NULL THEN CAST({_IMPACT_SQL} * {_SIGN_SQL} AS DOUBLE) ELSE CASE {mood} WHEN 'bullish' THEN 0.7 WHEN 'bearish' THEN -0.7 ELSE 0 END END AS score, impact IS NOT NULL AND direction IS NOT NULL AS judged"
 
 
-def scored(items: DataFrame, text) -> DataFrame:
-    """``score`` (impact times direction, or what the dictionary says of the text where they are missing) and ``judged``."""
+def scored(items: DataFrame, key: str, text: Column, words: DataFrame) -> DataFrame:
+    """``score`` (impact times direction, or what the dictionary says of the text where they are missing) and ``judged``.
+
+    Texts are told apart by ``key``; only those that need it are looked up.
+    """
     of = lambda c, table: F.coalesce(*[F.when(F.col(c) == k, F.lit(float(v))) for k, v in table.items()])
-    mood = lexicon.mood(lexicon.hits(text, lexicon.GOOD), lexicon.hits(text, lexicon.BAD))
     judged = F.col("impact").isNotNull() & F.col("direction").isNotNull()
+    items = staged(items)
+    open_ = items.where(~judged).select(key, text.alias("said")).dropDuplicates([key])
+    items = items.join(lexicon.counted(open_, key, F.col("said"), words), key, "left")
+    mood = lexicon.mood(F.coalesce("good", F.lit(0)), F.coalesce("bad", F.lit(0)))
     fallback = F.when(mood == "bullish", 0.7).when(mood == "bearish", -0.7).otherwise(0.0)
     return items.withColumn("judged", judged).withColumn("score", F.when(judged, of("impact", IMPACT) * of("direction", DIRECTION)).otherwise(fallback))
 
@@ -96,20 +104,20 @@ def newest(items: DataFrame, span: str, most: int, id_column: str) -> DataFrame:
     return recent.withColumn("k", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("published_at"), id_column))).where(F.col("k") <= most)
 
 
-@query("s10_news_sentiment", f"""WITH {NEWS_SQL}, q AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY published_at DESC, item_id) AS k FROM news WHERE published_at > (SELECT max(published_at) FROM news) - INTERVAL 24 HOUR),
-  s AS (SELECT ticker, {_score_sql('headline')} FROM q WHERE k <= 50) SELECT ticker, {_SENTIMENT} FROM s GROUP BY ticker""")
+@query("s10_news_sentiment", f"""WITH {NEWS_SQL}, {LEARNED_SQL}, q AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY published_at DESC, item_id) AS k FROM news WHERE published_at > (SELECT max(published_at) FROM news) - INTERVAL 24 HOUR),
+  s AS (SELECT ticker, {_score_sql('headline')} FROM q, sides WHERE k <= 50) SELECT ticker, {_SENTIMENT} FROM s GROUP BY ticker""")
 def s10_news_sentiment(spark, sf_dir):
     """Sentiment of each ticker's newest 50 stories of the last day."""
-    return sentiment(scored(newest(news_items(spark, sf_dir), "24 hours", 50, "item_id"), F.col("headline")))
+    return sentiment(scored(newest(news_items(spark, sf_dir), "24 hours", 50, "item_id"), "item_id", F.col("headline"), dictionary(spark, sf_dir)))
 
 
-@query("s11_event_impact", f"""WITH {MACRO_SQL}, x AS (SELECT *, unnest(tickers) AS ticker FROM macro WHERE published_at > (SELECT max(published_at) FROM macro) - INTERVAL 7 DAY), q AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY published_at DESC, event_id) AS k FROM x),
-  s AS (SELECT ticker, {lexicon.sql_event_class('author', 'title', 'body')} AS category, {_score_sql("title || ' ' || body")} FROM q WHERE k <= 30) SELECT ticker, category, {_SENTIMENT} FROM s WHERE category <> 'other' GROUP BY ticker, category""")
+@query("s11_event_impact", f"""WITH {MACRO_SQL}, {LEARNED_SQL}, x AS (SELECT *, unnest(tickers) AS ticker FROM macro WHERE published_at > (SELECT max(published_at) FROM macro) - INTERVAL 7 DAY), q AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY published_at DESC, event_id) AS k FROM x),
+  s AS (SELECT ticker, {lexicon.sql_event_class('author', 'title', 'body')} AS category, {_score_sql("title || ' ' || body")} FROM q, sides WHERE k <= 30) SELECT ticker, category, {_SENTIMENT} FROM s WHERE category <> 'other' GROUP BY ticker, category""")
 def s11_event_impact(spark, sf_dir):
     """Political and geopolitical impact: each ticker's newest 30 events of a week, classed after they are picked."""
     x = macro_events(spark, sf_dir).withColumn("ticker", F.explode("tickers"))
     q = newest(x, "7 days", 30, "event_id").withColumn("category", lexicon.event_class(F.col("author"), F.col("title"), F.col("body"))).where("category <> 'other'")
-    s = scored(q, F.concat_ws(" ", "title", "body"))
+    s = scored(q, "event_id", F.concat_ws(" ", "title", "body"), dictionary(spark, sf_dir))
     confidence = F.when(F.bool_and("judged"), 0.7).when(F.bool_or("judged"), 0.5).otherwise(0.3)
     return s.groupBy("ticker", "category").agg(F.count("*").alias("n"), rounded(F.avg("score")).alias("mean"), rounded(clipped(2 * F.avg("score"))).alias("z"), confidence.alias("confidence"))
 

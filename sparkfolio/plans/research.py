@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkfolio.functions import lexicon
-from sparkfolio.functions.staging import staged
+from sparkfolio.functions.staging import new_folder, staged
 from sparkfolio.operators import backtest as b
 from sparkfolio.operators.expression import evaluate_wide
 from sparkfolio.operators.joins import asof_join, global_ordinal, next_after
 from sparkfolio.plans.common import query, rounded
 from sparkfolio.plans.common import sql_rounded as r
 from sparkfolio.plans.factors import WT
+from sparkfolio.sources.dictionary import LEARNED_SQL, learned, read_dictionary, write_dictionary
 from sparkfolio.sources.market import PANEL_SQL, PRICES_SQL, panel, prices_daily, table
 from sparkfolio.sources.store import exact_quantiles
 from sparkfolio.sources.tables import FILINGS_SQL, SIGNALS, WEEKLY_SQL, WEIGHTS, filings, prices_weekly
@@ -249,10 +250,17 @@ def n1_n2_news_dedup(spark, sf_dir):
     return table(spark, sf_dir, "pages").groupBy(F.sha2(F.concat(F.upper(ticker), F.lit("|"), head, tail), 256).alias("hash")).agg(F.min("page_id").alias("page_id"), F.count("*").alias("copies"))
 
 
-@query("n3_dictionary_sentiment", f"""WITH c AS (SELECT doc_id, {lexicon.sql_hits('text', lexicon.GOOD)} AS good, {lexicon.sql_hits('text', lexicon.BAD)} AS bad FROM documents) SELECT doc_id, good, bad, {lexicon.sql_mood('good', 'bad')} AS sentiment FROM c""")
+def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary of the news queries: words that lean to good or bad labelled documents, written to a file and read as a caller's."""
+    path = new_folder(spark, "dictionary")
+    write_dictionary(learned(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), path)
+    return read_dictionary(spark, path)
+
+
+@query("n3_dictionary_sentiment", f"""WITH {LEARNED_SQL}, c AS (SELECT doc_id, {lexicon.sql_hits('text', lexicon.POSITIVE)} AS good, {lexicon.sql_hits('text', lexicon.NEGATIVE)} AS bad FROM documents, sides) SELECT doc_id, good, bad, {lexicon.sql_mood('good', 'bad')} AS sentiment FROM c""")
 def n3_dictionary_sentiment(spark, sf_dir):
-    """Counts of good and bad whole words and the side that outweighs the other; the word lists are parameters of the functions used."""
-    c = table(spark, sf_dir, "documents").select("doc_id", lexicon.hits(F.col("text"), lexicon.GOOD).alias("good"), lexicon.hits(F.col("text"), lexicon.BAD).alias("bad"))
+    """Counts of good and bad whole words and the side that outweighs the other, by a dictionary read from a file."""
+    c = lexicon.counted(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), dictionary(spark, sf_dir))
     return c.withColumn("sentiment", lexicon.mood(F.col("good"), F.col("bad")))
 
 
