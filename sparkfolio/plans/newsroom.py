@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkfolio.functions import lexicon
-from sparkfolio.functions.staging import staged
+from sparkfolio.functions.staging import new_folder, staged
 from sparkfolio.operators import backtest as b
+from sparkfolio.operators import upkeep
 from sparkfolio.operators.technical import clipped
 from sparkfolio.plans.common import query, rounded
 from sparkfolio.plans.common import sql_rounded as r
 from sparkfolio.plans.research import FUSED, SIG, TIER, dictionary, fused, signals, tier
+from sparkfolio.plans.validation import PREDS, v14_outcomes_fast_and_slow
 from sparkfolio.sources import feeds
 from sparkfolio.sources.dictionary import LEARNED_SQL
 from sparkfolio.sources.feeds import DIRECTION, HASH_SQL, IMPACT, MACRO_SQL, NEWS_SQL, macro_events, news_items
 from sparkfolio.sources.market import prices_daily, table
+from sparkfolio.sources.versions import DatedTable
 
 # -- stories --------------------------------------------------------------------------------------------------------
 
@@ -219,17 +224,30 @@ def n11_inbox_counts(spark, sf_dir):
 # -- upkeep ---------------------------------------------------------------------------------------------------------
 
 
-@query("n12_retention", f"""WITH {SIG}, {NEWS_SQL}, k AS (SELECT max(date) FILTER (extract('day' FROM date) <= 25) AS through, max(date) - 10 AS cut FROM sig), n AS (SELECT max(published_at) - INTERVAL 10 DAY AS cut FROM news)
+#: Days that signals and news are kept.
+KEPT = 10
+
+
+@query("n12_retention", f"""WITH {PREDS}, {NEWS_SQL}, k AS (SELECT (SELECT max(date) FROM oc WHERE rating <> 'HOLD' AND extract('day' FROM date) <= 25) AS through, max(date) - {KEPT} AS cut FROM sig), n AS (SELECT max(published_at) - INTERVAL {KEPT} DAY AS cut FROM news)
   SELECT 'signals' AS kind, date, count(*) AS kept FROM sig, k WHERE through IS NULL OR NOT (date < cut AND date <= through) GROUP BY date UNION ALL SELECT 'news', CAST(published_at AS DATE), count(*) FROM news, n WHERE published_at >= n.cut GROUP BY ALL""")
 def n12_retention(spark, sf_dir):
-    """What stays of news and signals: old signals go only up to the date whose outcomes are stored, and none where nothing is."""
-    s = signals(spark, sf_dir).select("date")
-    k = s.agg(F.max(F.when(F.dayofmonth("date") <= 25, F.col("date"))).alias("through"), F.date_sub(F.max("date"), 10).alias("cut"))
-    kept = s.join(F.broadcast(k)).where("through is null or not (date < cut and date <= through)").groupBy("date").agg(F.count("*").alias("kept"))  # one row
-    n = news_items(spark, sf_dir).select("published_at")
-    fresh = n.join(F.broadcast(n.agg(F.max("published_at").alias("last")))).where("published_at >= last - interval 10 days")  # one row
-    fresh = fresh.groupBy(F.to_date("published_at").alias("date")).agg(F.count("*").alias("kept"))
-    return kept.select(F.lit("signals").alias("kind"), "date", "kept").unionByName(fresh.select(F.lit("news").alias("kind"), "date", "kept"))
+    """What stays of stored news and signals: old signals go only up to the date whose verdicts are stored, and none where nothing is.
+
+    Tables are stored by date; dates leave by a new version of the table, and only then their folders go.
+    """
+    kept = DatedTable(spark, new_folder(spark, "signals"), "ticker long, date date, signal string, z double")
+    kept.replace(signals(spark, sf_dir))
+    known = DatedTable(spark, new_folder(spark, "verdicts"), "ticker long, date date, hit boolean")
+    known.replace(v14_outcomes_fast_and_slow(spark, sf_dir).where(F.dayofmonth("date") <= 25))
+    if kept.last() is not None:
+        upkeep.prune(kept, known, kept.last(), KEPT)
+    news = DatedTable(spark, new_folder(spark, "news"), "item_id long, published_at timestamp, date date")
+    news.replace(news_items(spark, sf_dir).select("item_id", "published_at", F.to_date("published_at").alias("date")))
+    last = news.read(since=news.last()).agg(F.max("published_at")).first()[0]
+    if last is not None:
+        upkeep.prune_items(news, "published_at", last - dt.timedelta(days=KEPT))
+    left = lambda kind, t: t.read().groupBy("date").agg(F.count("*").alias("kept")).select(F.lit(kind).alias("kind"), "date", "kept")
+    return left("signals", kept).unionByName(left("news", news))
 
 
 JOBS = {"click": (24, 10), "error": (12, 4), "purchase": (48, 12), "view": (6, 2), "nightly": (24, 1)}

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkfolio.functions.staging import staged
+from sparkfolio.functions.staging import new_folder, staged
 from sparkfolio.operators import backtest as b
+from sparkfolio.operators import upkeep
 from sparkfolio.operators.joins import global_ordinal
 from sparkfolio.plans.backtests import CORR
 from sparkfolio.plans.common import query, rounded
@@ -16,6 +19,7 @@ from sparkfolio.plans.factors import WT, full, w
 from sparkfolio.plans.research import FUSED, SIG, TIER, fused, signals, tier
 from sparkfolio.sources.market import prices_daily
 from sparkfolio.sources.tables import WEIGHTS, WPANEL_SQL, panel_weekly
+from sparkfolio.sources.versions import DatedTable, Manifest
 from sparkfolio.operators.expression import evaluate
 
 #: Horizons of each signal: the common one of five rows and its own.
@@ -164,19 +168,24 @@ _PAIR = lambda name, weight: f"{name} AS (SELECT date, sum({weight} * z) AS comp
 _DAY_IC = lambda name, source: f"{name} AS (SELECT date, {CORR.format(x='a', y='f')} AS ic FROM (SELECT date, row_number() OVER (PARTITION BY date ORDER BY round(composite, 9), ticker) AS a, row_number() OVER (PARTITION BY date ORDER BY fwd, ticker) AS f FROM {source}) GROUP BY date HAVING count(*) >= {LEAST_PAIRS})"
 
 
-@query("v6_promotion_rollback", f"""WITH {CANDIDATES}, {_PAIR('cl', 'live')}, {_PAIR('cs', 'weight')}, {_DAY_IC('il', 'cl')}, {_DAY_IC('ish', 'cs')}, j AS (SELECT ish.date, il.ic AS ic_live, ish.ic AS ic_shadow, round(ish.ic, 9) > 0 AND (il.ic IS NULL OR round(ish.ic, 9) >= round(il.ic, 9)) AS good FROM ish LEFT JOIN il USING (date)),
-  g AS (SELECT *, sum(CASE WHEN good THEN 0 ELSE 1 END) OVER (ORDER BY date) AS island FROM j), s AS (SELECT *, sum(CASE WHEN good THEN 1 ELSE 0 END) OVER (PARTITION BY island ORDER BY date) AS streak FROM g),
-  pm AS (SELECT *, good AND streak % {STREAK} = 0 AS promote FROM s), bl AS (SELECT *, last_value(CASE WHEN promote THEN ic_shadow END IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS baseline FROM pm)
-  SELECT date, {r('ic_live')} AS ic_live, {r('ic_shadow')} AS ic_shadow, CAST(streak AS BIGINT) AS streak, promote, coalesce(round(ic_live, 9) < round(baseline - {DEGRADED}, 9), false) AS rollback FROM bl""")
-def v6_promotion_rollback(spark, sf_dir):
-    """Day by day: a candidate that stays positive and no worse than the live weights for five days is promoted; a live IC well below the last promotion's is rolled back."""
+def daily_ics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """date, ic_live, ic_shadow, n: each day's rank IC of the weights in force and of the candidates."""
     c = candidate_weights(ic_history(spark, sf_dir)).select("signal", "live", "weight")
     p = signals(spark, sf_dir).where("z is not null").join(F.broadcast(c), "signal").join(next_returns(spark, sf_dir).where("fwd is not null"), ["date", "ticker"])  # a row per signal
     p = p.groupBy("date", "ticker").agg(F.first("fwd").alias("fwd"), F.sum(F.col("live") * F.col("z")).alias("l"), F.sum(F.col("weight") * F.col("z")).alias("s"))
     at = Window.partitionBy("date")
     rank = lambda x: F.row_number().over(at.orderBy(x, "ticker"))
     p = p.withColumn("f", rank("fwd")).withColumn("a", rank(F.round("l", 9))).withColumn("z", rank(F.round("s", 9)))
-    j = p.groupBy("date").agg(b.correlation(F.col("a"), F.col("f")).alias("ic_live"), b.correlation(F.col("z"), F.col("f")).alias("ic_shadow"), F.count("*").alias("n")).where(F.col("n") >= LEAST_PAIRS)
+    return p.groupBy("date").agg(b.correlation(F.col("a"), F.col("f")).alias("ic_live"), b.correlation(F.col("z"), F.col("f")).alias("ic_shadow"), F.count("*").alias("n")).where(F.col("n") >= LEAST_PAIRS)
+
+
+@query("v6_promotion_rollback", f"""WITH {CANDIDATES}, {_PAIR('cl', 'live')}, {_PAIR('cs', 'weight')}, {_DAY_IC('il', 'cl')}, {_DAY_IC('ish', 'cs')}, j AS (SELECT ish.date, il.ic AS ic_live, ish.ic AS ic_shadow, round(ish.ic, 9) > 0 AND (il.ic IS NULL OR round(ish.ic, 9) >= round(il.ic, 9)) AS good FROM ish LEFT JOIN il USING (date)),
+  g AS (SELECT *, sum(CASE WHEN good THEN 0 ELSE 1 END) OVER (ORDER BY date) AS island FROM j), s AS (SELECT *, sum(CASE WHEN good THEN 1 ELSE 0 END) OVER (PARTITION BY island ORDER BY date) AS streak FROM g),
+  pm AS (SELECT *, good AND streak % {STREAK} = 0 AS promote FROM s), bl AS (SELECT *, last_value(CASE WHEN promote THEN ic_shadow END IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS baseline FROM pm)
+  SELECT date, {r('ic_live')} AS ic_live, {r('ic_shadow')} AS ic_shadow, CAST(streak AS BIGINT) AS streak, promote, coalesce(round(ic_live, 9) < round(baseline - {DEGRADED}, 9), false) AS rollback FROM bl""")
+def v6_promotion_rollback(spark, sf_dir):
+    """Day by day: a candidate that stays positive and no worse than the live weights for five days is promoted; a live IC well below the last promotion's is rolled back."""
+    j = daily_ics(spark, sf_dir)
     live, shadow = F.round("ic_live", 9), F.round("ic_shadow", 9)
     j = j.withColumn("good", F.coalesce((shadow > 0) & (live.isNull() | (shadow >= live)), F.lit(False)))
     j = j.withColumn("island", F.sum(F.when(F.col("good"), 0).otherwise(1)).over(_day_line())).withColumn("streak", F.sum(F.when(F.col("good"), 1).otherwise(0)).over(_day_line("island")))
@@ -186,6 +195,35 @@ def v6_promotion_rollback(spark, sf_dir):
     return j.select("date", rounded(F.col("ic_live")).alias("ic_live"), rounded(F.col("ic_shadow")).alias("ic_shadow"), F.col("streak").cast("long").alias("streak"), "promote", "rollback")
 
 
+@query("v6_weight_state", f"""WITH RECURSIVE {CANDIDATES}, {_PAIR('cl', 'live')}, {_PAIR('cs', 'weight')}, {_DAY_IC('il', 'cl')}, {_DAY_IC('ish', 'cs')},
+  dy AS (SELECT ish.date, round(il.ic, 9) AS base, round(ish.ic, 9) AS cand_ic, row_number() OVER (ORDER BY ish.date) AS k FROM ish LEFT JOIN il USING (date)),
+  st AS (SELECT 0::BIGINT AS k, NULL::DATE AS date, 'base' AS live, []::STRUCT(prior VARCHAR, baseline DOUBLE)[] AS stack, 0 AS streak, '' AS action, NULL::DOUBLE AS ic
+    UNION ALL
+    SELECT k, date, CASE WHEN promoted THEN 'candidate' ELSE live END, CASE WHEN promoted THEN list_append(stack, {{'prior': live, 'baseline': cand_ic}}) ELSE stack END, CASE WHEN promoted THEN 0 ELSE streak END,
+           trim(CASE WHEN back THEN 'rollback' ELSE '' END || CASE WHEN promoted THEN ' promote' ELSE '' END), now
+    FROM (SELECT *, streak >= {STREAK} AS promoted FROM (
+      SELECT k, date, live, stack, back, cand_ic, now, CASE WHEN coalesce(cand_ic > 0 AND (now IS NULL OR cand_ic >= now), false) THEN streak + 1 ELSE 0 END AS streak FROM (
+        SELECT *, CASE live WHEN 'base' THEN base ELSE cand_ic END AS now FROM (
+          SELECT k, date, base, cand_ic, streak, back, CASE WHEN back THEN stack[-1].prior ELSE live END AS live, CASE WHEN back THEN stack[:-2] ELSE stack END AS stack FROM (
+            SELECT dy.*, st.live, st.stack, st.streak, coalesce(len(st.stack) > 0 AND CASE st.live WHEN 'base' THEN base ELSE cand_ic END < st.stack[-1].baseline - {DEGRADED}::DOUBLE, false) AS back
+            FROM st JOIN dy ON dy.k = st.k + 1))))))
+  SELECT date, k + 1 AS version, live, CAST(streak AS BIGINT) AS streak, CAST(len(stack) AS BIGINT) AS promotions, action FROM st WHERE k > 0""")
+def v6_weight_state(spark, sf_dir):
+    """The stored weights after each day: what was live, the streak, how many promotions stand, and what the day did.
+
+    The day's figures come from Spark, one row a day; the state is one small file for each version.
+    """
+    c = candidate_weights(ic_history(spark, sf_dir)).select("signal", "live", "weight").collect()  # a row for each signal
+    state = upkeep.WeightState(Manifest(spark, new_folder(spark, "weights")), STREAK, DEGRADED)
+    state.seed("base", {x["signal"]: x["live"] for x in c})
+    days = daily_ics(spark, sf_dir).select("date", F.round("ic_live", 9).alias("base"), F.round("ic_shadow", 9).alias("candidate")).orderBy("date").collect()  # a row for each day
+    out = []
+    for d in days:
+        s = state.step(d["date"], {"base": d["base"], "candidate": d["candidate"]}, "candidate", {x["signal"]: x["weight"] for x in c})
+        out.append((d["date"], len(out) + 2, s["live"], s["streak"], len(s["promotions"]), s["action"]))
+    return spark.createDataFrame(out, "date date, version long, live string, streak long, promotions long, action string")
+
+
 @query("v7_guarded_shrinkage", f"""WITH {CANDIDATES}, ne AS (SELECT signal, count(*) AS n FROM hist WHERE window_days = 30 GROUP BY signal), sh AS (SELECT signal, live, weight, n, n / (n + {SHRINK_AT}) AS pull FROM cand JOIN ne USING (signal)),
   mv AS (SELECT *, live + greatest(-{SHRINK_MOVE}, least({SHRINK_MOVE}, pull * (weight - live))) AS target FROM sh)
   SELECT signal, {r('pull')} AS pull, {r('CASE WHEN n <= 0 THEN live ELSE greatest(CASE WHEN live > 0 THEN ' + str(FLOOR) + ' ELSE 0 END, least(greatest(live, weight, 0.30), target)) END')} AS weight FROM mv""")
@@ -316,15 +354,20 @@ PREDS = f"""{FUSED}, {_AHEAD5}, fs AS (SELECT ticker, date, {TIER} AS rating, co
   oc AS (SELECT ticker, date, fwd1, CASE WHEN rating <> '' THEN rating ELSE {TIER.replace('composite', 'round(score, 9)')} END AS rating, score FROM preds JOIN nx USING (ticker, date) WHERE fwd1 IS NOT NULL)"""
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """date, ticker, rating, score, fwd1: fast cards, and slow partial ones where there is no fast one; their tier comes from the score."""
+def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """date, ticker, rating, score: fast cards, and slow partial ones where there is no fast one; their tier comes from the score."""
     fast = fused(spark, sf_dir).where("composite is not null").where(F.col("ticker") % 4 != F.dayofmonth("date") % 4).select("ticker", "date", tier(F.col("composite")).alias("rating"), F.col("composite").alias("score"), F.lit(1).alias("pri"))
     weight = F.coalesce(*[F.when(F.col("signal") == s, F.lit(x)) for s, x in WEIGHTS.items()])
     slow = signals(spark, sf_dir).where("confidence > 0 and signal <> 'activity'").groupBy("ticker", "date").agg((F.sum(weight * F.col("z")) / F.sum(weight)).alias("score"))
     slow = slow.where("score is not null").select("ticker", "date", F.lit(None).cast("string").alias("rating"), "score", F.lit(0).alias("pri"))
     preds = fast.unionByName(slow).groupBy("ticker", "date").agg(F.max_by(F.struct("rating", "score"), "pri").alias("p")).select("ticker", "date", "p.*")
+    return preds.withColumn("rating", F.coalesce("rating", tier(F.round("score", 9))))
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards with fwd1, the return to the next row."""
     ahead = next_returns(spark, sf_dir).where("fwd1 is not null").select("ticker", "date", "fwd1")
-    return preds.join(ahead, ["ticker", "date"]).withColumn("rating", F.coalesce("rating", tier(F.round("score", 9))))
+    return cards(spark, sf_dir).join(ahead, ["ticker", "date"])
 
 
 _HIT = "CASE WHEN rating IN ('BUY', 'OW') THEN fwd1 > 0 WHEN rating IN ('UW', 'SELL') THEN fwd1 < 0 END"
@@ -339,19 +382,34 @@ def v14_outcomes_fast_and_slow(spark, sf_dir):
     return predictions(spark, sf_dir).where("rating <> 'HOLD'").select("ticker", "date", "rating", _hit().alias("hit"))
 
 
-@query("v15_materialised_outcomes", f"""WITH {PREDS}, lv AS (SELECT ticker, date, {_HIT} AS hit FROM oc WHERE rating <> 'HOLD'), mx AS (SELECT max(date) AS last FROM lv), st AS (SELECT ticker, date, NOT hit AS hit FROM lv, mx WHERE date <= last - 5)
-  SELECT ticker, date, coalesce(n.hit, s.hit) AS hit, n.ticker IS NOT NULL AS scanned FROM st s FULL JOIN (SELECT lv.* FROM lv, mx WHERE date > last - 15) n USING (ticker, date)""")
+#: How many days of prices the first of two runs does not know yet.
+BEHIND = 5
+
+
+@query("v15_materialised_outcomes", f"""WITH {PREDS}, nd AS (SELECT ticker, date, lead(date) OVER ({WT}) AS known FROM prices), lv AS (SELECT ticker, date, {_HIT} AS hit, known FROM oc JOIN nd USING (ticker, date) WHERE rating <> 'HOLD'),
+  st AS (SELECT max(date) AS last FROM lv WHERE known <= (SELECT max(date) FROM prices) - {BEHIND}) SELECT ticker, date, hit, coalesce(date > last - {upkeep.TAIL}, true) AS scanned FROM lv, st""")
 def v15_materialised_outcomes(spark, sf_dir):
-    """What is stored, with the last ten days before its end and all later ones scanned anew: rescanned rows replace stored ones.
+    """Verdicts in a stored table after two runs, of which the first does not know the last days' prices; ``scanned`` is what the second one looked at.
 
-    The stored table of this query holds every verdict the other way round up to five days before the end, so that each
-    row tells where it came from.
+    Cards are stored by date, too: a run opens those of its tail alone, and prices are filtered in the scan.
     """
-    live = staged(v14_outcomes_fast_and_slow(spark, sf_dir).select("ticker", "date", "hit"))
-    last = live.agg(F.max("date").alias("last"))
-    stored = live.join(F.broadcast(last)).where("date <= date_sub(last, 5)").select("ticker", "date", (~F.col("hit")).alias("old"))  # one row
-    fresh = live.join(F.broadcast(last)).where("date > date_sub(last, 15)").select("ticker", "date", F.col("hit").alias("new"))
-    return stored.join(fresh, ["ticker", "date"], "full").select("ticker", "date", F.coalesce("new", "old").alias("hit"), F.col("new").isNotNull().alias("scanned"))
+    cards_by_date = DatedTable(spark, new_folder(spark, "cards"), "ticker long, date date, rating string, score double")
+    cards_by_date.replace(cards(spark, sf_dir))
+    stored = DatedTable(spark, new_folder(spark, "verdicts"), "ticker long, date date, hit boolean")
+    prices = prices_daily(spark, sf_dir).select("ticker", "date", "close")
+    known = prices.agg(F.max("date")).first()[0]
+    if known is not None:
+        upkeep.materialise(stored, lambda after: verdicts(cards_by_date, prices.where(F.col("date") <= known - dt.timedelta(days=BEHIND)), after))
+    after = upkeep.materialise(stored, lambda after: verdicts(cards_by_date, prices, after))
+    return stored.read().withColumn("scanned", F.col("date") > F.lit(after) if after else F.lit(True))
+
+
+def verdicts(cards_by_date: DatedTable, prices: DataFrame, after: dt.date | None) -> DataFrame:
+    """ticker, date, hit of directional cards after a date (all if none is given), once the next row's price is known."""
+    c = cards_by_date.read(since=after + dt.timedelta(days=1) if after else None)
+    p = prices.where(F.col("date") > F.lit(after)) if after else prices
+    ahead = p.select("ticker", "date", b.forward_return(1).alias("fwd1")).where("fwd1 is not null")
+    return c.where("rating <> 'HOLD'").join(ahead, ["ticker", "date"]).select("ticker", "date", _hit().alias("hit"))
 
 
 #: Market days of each window and how many verdicts it takes.
