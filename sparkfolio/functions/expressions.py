@@ -69,6 +69,23 @@ def operators(expression: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(expression, F.lit(CALL), F.lit(1)))
 
 
+#: A rule that is no pattern: fields of implied volatility with two or more tenors between them.
+TENORS = "two tenors"
+#: Names in an expression, and which of them are fields of implied volatility.
+NAME, IV_FIELD = "[A-Za-z_][A-Za-z0-9_]*", "implied_volatility|(^|_)iv(_|$)"
+
+
+def tenors(expression: Column) -> Column:
+    """The different numbers in the names of fields of implied volatility."""
+    fields = F.filter(F.regexp_extract_all(expression, F.lit(f"\\b({NAME})\\b"), F.lit(1)), lambda n: n.rlike(IV_FIELD))
+    return F.array_distinct(F.flatten(F.transform(fields, lambda n: F.regexp_extract_all(n, F.lit("([0-9]+)"), F.lit(1)))))
+
+
+def sql_tenors(e: str) -> str:
+    fields = f"list_filter(regexp_extract_all({e}, '\\b{NAME}\\b'), lambda n: regexp_matches(n, '{IV_FIELD}'))"
+    return f"len(list_distinct(flatten(list_transform({fields}, lambda n: regexp_extract_all(n, '[0-9]+')))))"
+
+
 #: Economic families by the first rule that fits; a rule needs all of its patterns.
 FAMILIES = [
     ("options_composite", ["pcr|put[_-]?call", "add\\(", "call", "put", "implied_volatility|(^|\\W|_)iv(_|\\W)"]),
@@ -76,6 +93,7 @@ FAMILIES = [
     ("pcr_dynamics", ["pcr|put[_-]?call", "ts_delta\\(|ts_zscore\\("]),
     ("iv_skew_dynamics", ["ts_delta\\(subtract\\(implied_volatility"]),
     ("iv_momentum", ["ts_delta\\([^)]*(implied_volatility|(^|\\W|_)iv(_|\\W))"]),
+    ("iv_term", [TENORS]),
     ("iv_term", ["implied_volatility_\\w+_(60|120)\\b", "implied_volatility_\\w+_(180|270|1080)"]),
     ("vrp", ["historical_volatility", "implied_volatility"]),
     ("vrp", ["ts_std_dev\\(returns", "implied_volatility"]),
@@ -105,13 +123,14 @@ def family(expression: Column) -> Column:
     for name, patterns in FAMILIES:
         fits = F.lit(True)
         for p in patterns:
-            fits = fits & e.rlike(p)
+            fits = fits & (F.size(tenors(e)) >= 2 if p == TENORS else e.rlike(p))
         out = F.when(fits, name) if out is None else out.when(fits, name)
     return out.otherwise("other")
 
 
 def sql_family(e: str) -> str:
-    rules = " ".join("WHEN " + " AND ".join(f"regexp_matches({e}, '{p}')" for p in patterns) + f" THEN '{name}'" for name, patterns in FAMILIES)
+    holds = lambda p: f"{sql_tenors(e)} >= 2" if p == TENORS else f"regexp_matches({e}, '{p}')"
+    rules = " ".join("WHEN " + " AND ".join(map(holds, patterns)) + f" THEN '{name}'" for name, patterns in FAMILIES)
     return f"CASE {rules} ELSE 'other' END"
 
 

@@ -105,10 +105,10 @@ def e2_short_momentum_seeds(spark, sf_dir):
 
 _EXPRESSIONS = [
     "rank(divide(operating_income, cap))", "ts_rank(divide(volume, adv20), 10)", "ts_corr(close, volume, 20)", "divide(gross_profit, assets)", "ts_delta(close, 5)", "ts_sum(returns, 252)",
-    "rank(ts_std_dev(returns, 20))", "subtract(implied_volatility_call_60, implied_volatility_call_180)", "ts_delta(pcr_oi_20, 5)", "divide(anl4_eps_high, anl4_eps_low)", "divide(open, ts_delay(close, 1))", "rank( divide(debt, equity))",
+    "rank(ts_std_dev(returns, 20))", "subtract(implied_volatility_call_60, implied_volatility_call_180)", "subtract(implied_volatility_call_30, implied_volatility_call_90)", "rank(implied_volatility_mean_30)", "ts_delta(pcr_oi_20, 5)", "divide(anl4_eps_high, anl4_eps_low)", "divide(open, ts_delay(close, 1))", "rank( divide(debt, equity))",
     "snt1_d1_netearnings", "rank(add(volume, 1))",
 ]
-_E = "CASE o_custkey % 14 " + " ".join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(_EXPRESSIONS)) + " END"
+_E = "CASE o_custkey % 16 " + " ".join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(_EXPRESSIONS)) + " END"
 _ALPHA = {
     "id": "o_orderkey",
     "expression": _E,

@@ -9,6 +9,8 @@ from sparkfolio.functions.lexicon import NEGATIVE, POSITIVE, words
 
 #: A learned word stands in so many labelled documents at least, and in this share of them at most: what is in more is grammar.
 LEAST, MOST = 3, 0.1
+#: Labelled documents that a dictionary is learned from at most.
+FIT = 20_000
 #: How far the share of good documents with the word must be from that of all.
 LEAN = 0.1
 
@@ -24,9 +26,13 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def learned(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """word, side of words that lean to good or bad documents of ``labels`` (doc_id, quality), one vote a document."""
+    """word, side of words that lean to good or bad documents of ``labels`` (doc_id, quality), one vote a document.
+
+    It is fitted to at most ``FIT`` labelled documents, spread by hash.
+    """
     votes = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    lab = docs.select("doc_id", F.array_distinct(words(F.col("text"))).alias("ws")).join(votes, "doc_id")
+    votes = votes.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(FIT)
+    lab = docs.join(F.broadcast(votes), "doc_id").select("quality", F.array_distinct(words(F.col("text"))).alias("ws"))  # FIT rows at most
     base = lab.agg(F.avg("quality").alias("base"), F.count("*").alias("all"))
     w = lab.select("quality", F.explode("ws").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.avg("quality").alias("share"))
     w = w.where(F.col("word").rlike("^[a-z]+$")).join(F.broadcast(base)).where((F.col("n") >= LEAST) & (F.col("n") <= MOST * F.col("all")))  # one row
@@ -38,7 +44,7 @@ def write_dictionary(d: DataFrame, path: str) -> None:
     d.select("word", "side").write.option("header", True).csv(path)
 
 
-LEARNED_SQL = rf"""votes AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+LEARNED_SQL = rf"""votes AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT {FIT}),
   lab AS (SELECT quality, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+')) AS ws FROM documents JOIN votes USING (doc_id)),
   base AS (SELECT avg(quality) AS base, count(*) AS n_all FROM lab),
   lw AS (SELECT word, count(*) AS n, avg(quality) AS share FROM (SELECT quality, unnest(ws) AS word FROM lab) GROUP BY word),

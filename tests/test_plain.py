@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sparkfolio.functions import expressions, normal
 from sparkfolio.functions.series import SERIES
@@ -182,3 +183,38 @@ def test_membership_and_vendor_tables(spark, tmp_path):
     assert got == {("2024-01-01", "BRK-B"), ("2024-01-01", "AAPL"), ("2024-02-01", "MSFT")}
     row = store.normalize(spark.createDataFrame([("2024-01-05", "X", "1.5", "bad")], "Date string, sym string, Open string, `Adj.Close` string"), {"Date": "date", "sym": "ticker", "Adj.Close": "close"}).first()
     assert (str(row.date), row.ticker, row.open, row.close, row.volume) == ("2024-01-05", "X", 1.5, None, None)
+
+
+def test_families_by_tenors(spark):
+    """Two tenors in fields of implied volatility are a term structure, whatever the numbers; one is an option's field."""
+    from sparkfolio.functions.expressions import family
+
+    want = {
+        "subtract(implied_volatility_call_30, implied_volatility_call_90)": "iv_term",
+        "rank(implied_volatility_mean_30)": "options",
+        "subtract(implied_volatility_call_30, implied_volatility_put_30)": "options",
+        "divide(atm_iv_20, atm_iv_60)": "iv_term",
+        "divide(native_20, native_60)": "other",
+        "ts_delta(implied_volatility_call_30, 5)": "iv_momentum",
+    }
+    rows = spark.createDataFrame([(e,) for e in want], "e string").select("e", family(F.col("e")).alias("f")).collect()
+    assert {r["e"]: r["f"] for r in rows} == want
+
+
+def test_dictionary_of_the_caller(spark, tmp_path):
+    """Words of a file: cases, blanks and other sides; counts with the dictionary sent and joined."""
+    from sparkfolio.functions import lexicon
+    from sparkfolio.sources.dictionary import read_dictionary
+
+    (tmp_path / "d.csv").write_text("word,side,note\nUp,Positive,x\nup,positive,again\n rise ,positive,\ndown,negative,\ntwo words,negative,\nflat,neutral,\nflat2,negative,\nboth,positive,\nboth,negative,\n")
+    d = read_dictionary(spark, str(tmp_path / "d.csv"))
+    assert {tuple(r) for r in d.collect()} == {("up", "positive"), ("rise", "positive"), ("down", "negative"), ("both", "positive"), ("both", "negative")}
+    texts = [(1, "Up, up and RISE! uprise up2 down_ down"), (2, None), (3, ""), (4, "both flat"), (5, "up " * 5000)]
+    items = spark.createDataFrame(texts, "k long, t string")
+    want = {1: (3, 1), 2: (0, 0), 3: (0, 0), 4: (1, 1), 5: (5000, 0)}
+    for most in (lexicon.SENT, 0):
+        before, lexicon.SENT = lexicon.SENT, most
+        try:
+            assert {r["k"]: (r["good"], r["bad"]) for r in lexicon.counted(items, "k", F.col("t"), d).collect()} == want
+        finally:
+            lexicon.SENT = before
