@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkfolio.functions.shipping import ship_package
+from sparkfolio.functions.staging import new_folder, staged, unstage
+
+__all__ = ["LOWER", "SPACE", "UPPER", "ascii_lower", "columns_of", "lines_of", "new_folder", "quoted", "staged", "table", "unstage", "words_of"]
 
 #: ASCII white space, the separators of words.
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -23,63 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder.
-
-    Only where none is set and all runs in one process (single-machine tests) is a temporary folder taken.
-    """
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not at:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        at = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(at)
-    return at
-
-
-def staged(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here and no executor's loss reaches behind it.
-
-    The files go when the driver's Python ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    removed_at_exit(spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _PATHS[id(out)] = (out, path)
-    return out
-
-
-#: Where what is staged lies, until it is unstaged.
-_PATHS: dict[int, tuple[DataFrame, str]] = {}
-
-
-def unstage(*frames: DataFrame) -> None:
-    """Remove the files of staged frames that nothing will read any more."""
-    for df in frames:
-        _, path = _PATHS.pop(id(df), (None, None))
-        if path:
-            _remove(df.sparkSession, path)
-
-
-def removed_at_exit(spark: SparkSession, path: str) -> None:
-    """Remove a folder when the driver's Python ends."""
-    atexit.register(_remove, spark, path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001  the session has ended before; the cluster's own cleaning of the folder is left
-        pass
-
-
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else: ``lower`` where all is ASCII, a slower map of letters elsewhere."""
     return F.when(F.char_length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkfolio.llm import chat, html_text, lattice, licenses, line_dedup, minhash, mixing, packing, quality, repair, runs, token_files, toxicity
-from sparkfolio.llm.common import removed_at_exit, shared_dir, table, words_of
+from sparkfolio.llm.common import new_folder, table, words_of
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -250,7 +248,7 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("damage") == 1, "").when(F.col("damage") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")).alias("text"),
         F.explode(F.array_repeat(F.lit(0), F.when(F.col("damage") == 3, 2).otherwise(1))).alias("copy"),
     )
-    told = repair.summary(repair.repair(damaged)).withColumnRenamed("conv_id", "id")
+    told = repair.summary(damaged).withColumnRenamed("conv_id", "id")
     every = turns.select("conv_id").distinct().join(told, F.col("conv_id").eqNullSafe(F.col("id")), "left")
     return every.select(
         "conv_id",
@@ -337,7 +335,6 @@ LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN written
 @_query
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places, lengths and checksums of all documents' token ids, read back from the files that they were written to."""
-    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
-    removed_at_exit(spark, path)
+    path = new_folder(spark, "token-files")
     token_files.write_ids(table(spark, sf_dir, "documents"), path)
     return token_files.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -11,7 +11,8 @@ Conversations are cut into chunks of at most ``CHUNK`` turns, which know nothing
 weight from each state to each other one, and the weights of a conversation's chunks are put together in the same way.
 That is exact: two repairs of one chunk between the same states and of equal cost are never one the beginning of the
 other (each turn has one letter, and more insertions cost more).  So a conversation of any length is dealt out by the
-range of its turns, no task holds more turns than a chunk, and only numbers and letters of a conversation meet.
+range of its turns, no task holds more turns than a chunk, and only numbers and letters of a conversation meet.  A
+conversation that lies in one chunk, as nearly all do, is repaired there and then, without another exchange.
 """
 
 from __future__ import annotations
@@ -144,11 +145,11 @@ _CELL = pa.struct([("cost", pa.int64()), ("letters", pa.string())])
 _TURN = pa.struct([("role", pa.string()), ("text", pa.string())])
 _CHUNKS = pa.schema(
     [("conv_id", pa.int64()), ("chunk", pa.int64()), ("facts", pa.struct([(c, pa.int64()) for c in ("blank", "duplicate", "truncated", "illegal", "first_turn", "last_turn", "distinct")]))]
-    + [("edge", pa.string()), ("table", pa.list_(_CELL)), ("turns", pa.list_(_TURN))]
+    + [("edge", pa.string()), ("table", pa.list_(_CELL)), ("turns", pa.list_(_TURN)), ("whole", pa.bool_())]
 )
 _CHUNKS_SQL = (
     "conv_id long, chunk long, facts struct<blank:long,duplicate:long,truncated:long,illegal:long,first_turn:long,last_turn:long,distinct:long>, "
-    "edge string, table array<struct<cost:long,letters:string>>, turns array<struct<role:string,text:string>>"
+    "edge string, table array<struct<cost:long,letters:string>>, turns array<struct<role:string,text:string>>, whole boolean"
 )
 
 
@@ -156,8 +157,8 @@ def illegal(before: str, after: str) -> bool:
     return before + after not in ("su", "ua", "au")
 
 
-def _chunk(conv, number: int, rows: list[tuple]) -> dict:
-    """One chunk from its rows (turn, role, text, repeated)."""
+def _chunk(conv, number: int, rows: list[tuple], whole: bool = False) -> dict:
+    """One chunk from its rows (turn, role, text, repeated); ``whole`` if it is known to be all of the conversation."""
     kinds, faults = zip(*[kind_of(role, text, repeated) for _, role, text, repeated in rows], strict=True)
     initials = [role[:1] for _, role, _, _ in rows]
     known = [t for t, *_ in rows if t is not None]
@@ -169,22 +170,23 @@ def _chunk(conv, number: int, rows: list[tuple]) -> dict:
     table = [{"cost": x[0], "letters": x[1]} if x else None for row in transfers("".join(kinds)) for x in row]
     turns = [{"role": role, "text": text} for _, role, text, _ in rows]
     # first and last role's initial, each padded: an empty role has none
-    return {"conv_id": conv, "chunk": number, "facts": facts, "edge": f"{initials[0]:1}{initials[-1]:1}", "table": table, "turns": turns}
+    return {"conv_id": conv, "chunk": number, "facts": facts, "edge": f"{initials[0]:1}{initials[-1]:1}", "table": table, "turns": turns, "whole": whole}
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Chunks of the rows of a range, which are in order; numbered by range and place in it."""
     from pyspark import TaskContext
 
-    number = TaskContext.get().partitionId() << 32
+    first = number = TaskContext.get().partitionId() << 32
     held: list[tuple] = []
-    conv = None
+    conv, opened = None, False  # whether the chunk begins with its conversation
     for batch in batches:
         out = []
         for c, *row in zip(*[x.to_pylist() for x in batch.columns[:5]], strict=True):
-            if held and (c != conv or len(held) == CHUNK):
-                out.append(_chunk(conv, number, held))
-                number, held = number + 1, []
+            if held and (c != conv or len(held) == size):
+                # the range's first conversation may have begun in the one before
+                out.append(_chunk(conv, number, held, whole=opened and c != conv and number > first))
+                number, held, opened = number + 1, [], c != conv
             conv = c
             held.append(tuple(row))
         if out:
@@ -200,24 +202,38 @@ _PLAN = pa.schema(
 _PLAN_SQL = "conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, parts array<struct<chunk:long,state:int,letters:string>>"
 
 
+def _plan(conv, chunks: list[dict]) -> dict:
+    """A conversation's figures and repair from its chunks' facts and tables, in order."""
+    tables = [[[(x["cost"], x["letters"]) if x else None for x in c["table"][4 * s : 4 * s + 4]] for s in range(4)] for c in chunks]
+    cost, parts = combine(tables)
+    facts = [c["facts"] for c in chunks]
+    total = {k: sum(f[k] for f in facts) for k in ("blank", "duplicate", "truncated", "illegal")}
+    total["illegal"] += sum(illegal(a["edge"][1].strip(), b["edge"][0].strip()) for a, b in zip(chunks, chunks[1:], strict=False))
+    known = [f for f in facts if f["distinct"]]
+    distinct = sum(f["distinct"] for f in known) - sum(a["last_turn"] == b["first_turn"] for a, b in zip(known, known[1:], strict=False))
+    gaps = known[-1]["last_turn"] - known[0]["first_turn"] + 1 - distinct if known else 0
+    return total | {"conv_id": conv, "gaps": gaps, "cost": cost, "parts": [{"chunk": c["chunk"], "state": s, "letters": x} for c, (s, x) in zip(chunks, parts, strict=True)]}
+
+
 def _plans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repairs of whole conversations from their chunks' facts and tables, in order."""
     for batch in batches:
-        out = []
-        for conv, chunks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            tables = [[[(x["cost"], x["letters"]) if x else None for x in c["table"][4 * s : 4 * s + 4]] for s in range(4)] for c in chunks]
-            cost, parts = combine(tables)
-            facts = [c["facts"] for c in chunks]
-            total = {k: sum(f[k] for f in facts) for k in ("blank", "duplicate", "truncated", "illegal", "distinct")}
-            total["illegal"] += sum(illegal(a["edge"][1].strip(), b["edge"][0].strip()) for a, b in zip(chunks, chunks[1:], strict=False))
-            known = [f for f in facts if f["distinct"]]
-            total["distinct"] -= sum(a["last_turn"] == b["first_turn"] for a, b in zip(known, known[1:], strict=False))
-            gaps = known[-1]["last_turn"] - known[0]["first_turn"] + 1 - total["distinct"] if known else 0
-            out.append(
-                {k: total[k] for k in ("blank", "duplicate", "truncated", "illegal")}
-                | {"conv_id": conv, "gaps": gaps, "cost": cost, "parts": [{"chunk": c["chunk"], "state": s, "letters": x} for c, (s, x) in zip(chunks, parts, strict=True)]}
-            )
-        yield pa.RecordBatch.from_pylist(out, _PLAN)
+        yield pa.RecordBatch.from_pylist([_plan(conv, chunks) for conv, chunks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], _PLAN)
+
+
+_REPAIRED = pa.schema([("conv_id", pa.int64()), ("chunk", pa.int64()), *[(c, pa.int64()) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")], ("letters", pa.string()), ("turns", pa.list_(_TURN))])
+
+
+def _at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Repairs of conversations of one chunk."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 512):
+            out = []
+            for c in batch.slice(lo, 512).to_pylist():
+                plan = _plan(c["conv_id"], [c])
+                part = plan.pop("parts")[0]
+                turns = applied(part["state"], part["letters"], [(t["role"], t["text"]) for t in c["turns"]])
+                out.append(plan | {"chunk": c["chunk"], "letters": part["letters"], "turns": [{"role": r, "text": x} for r, x in turns]})
+            yield pa.RecordBatch.from_pylist(out, _REPAIRED)
 
 
 def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,9 +247,28 @@ def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 FACTS = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+_REPAIRED_SQL = "conv_id long, chunk long, " + ", ".join(f"{c} long" for c in FACTS) + ", letters string, turns array<struct<role:string,text:string>>"
 
 
-def repair(turns: DataFrame) -> DataFrame:
+def _sides(turns: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Repaired chunks: of conversations that are one, and of the others."""
+    filled = turns.select(
+        F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role").cast("string"), F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text")
+    )
+    same = Window.partitionBy("conv_id", "role", "text").orderBy("turn")
+    # of rows that agree in everything the first stands first; row numbers only spread such rows over ranges
+    marked = filled.withColumn("repeated", F.row_number().over(same) > 1).withColumn("place", F.monotonically_increasing_id())
+    order = ["conv_id", "turn", "role", "text", "repeated", "place"]
+    chunks = staged(marked.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda batches: _chunks(batches, size), _CHUNKS_SQL))
+    one = chunks.where("whole").mapInArrow(_at_once, _REPAIRED_SQL)
+    several = chunks.where("not whole")
+    met = several.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "facts", "edge", "table"))).alias("chunks"))
+    parts = met.mapInArrow(_plans, _PLAN_SQL).select("conv_id", *FACTS, F.explode("parts").alias("part")).select("conv_id", *FACTS, "part.*")
+    both = parts.join(several.select("chunk", "turns"), "chunk").select("conv_id", "chunk", *FACTS, "letters", "state", "turns")
+    return one, both.mapInArrow(_repaired, _REPAIRED_SQL)
+
+
+def repair(turns: DataFrame, *, size: int = CHUNK) -> DataFrame:
     """Chunks of repaired conversations from ``turns`` (conv_id, turn, role, text, ...).
 
     Rows (conv_id, chunk, gaps, blank, duplicate, truncated, illegal, cost, letters, turns): a conversation is its chunks
@@ -245,26 +280,18 @@ def repair(turns: DataFrame) -> DataFrame:
     * Repeated rows are duplicates of the first.  An empty role has no initial.  Texts and conversations may have any
       length.  Other columns are ignored; an empty table gives no rows.
     """
-    filled = turns.select(
-        F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role").cast("string"), F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text")
-    )
-    same = Window.partitionBy("conv_id", "role", "text").orderBy("turn")
-    # of rows that agree in everything the first stands first; row numbers only spread such rows over ranges
-    marked = filled.withColumn("repeated", F.row_number().over(same) > 1).withColumn("place", F.monotonically_increasing_id())
-    order = ["conv_id", "turn", "role", "text", "repeated", "place"]
-    chunks = staged(marked.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_chunks, _CHUNKS_SQL))
-    met = chunks.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "facts", "edge", "table"))).alias("chunks"))
-    parts = met.mapInArrow(_plans, _PLAN_SQL).select("conv_id", *FACTS, F.explode("parts").alias("part")).select("conv_id", *FACTS, "part.*")
-    both = parts.join(chunks.select("chunk", "turns"), "chunk").select("conv_id", "chunk", *FACTS, "letters", "state", "turns")
-    schema = "conv_id long, chunk long, " + ", ".join(f"{c} long" for c in FACTS) + ", letters string, turns array<struct<role:string,text:string>>"
-    return both.mapInArrow(_repaired, schema)
+    one, several = _sides(turns, size)
+    return one.unionAll(several)
 
 
-def summary(repaired: DataFrame) -> DataFrame:
+def summary(turns: DataFrame, *, size: int = CHUNK) -> DataFrame:
     """One row per conversation of :func:`repair`: figures, audit and the digest of ``role:text`` lines joined by a line feed.
 
     The chunks of a conversation pass by in order; none is held.
     """
+    one, several = _sides(turns, size)
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    short = one.select("conv_id", *FACTS, F.col("letters").alias("audit"), F.sha2(lines, 256).alias("repaired_sha256"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, first, letters, lines, digest = None, None, [], 0, None
@@ -291,4 +318,4 @@ def summary(repaired: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(done(), kinds, strict=True)], names)
 
     schema = "conv_id long, " + ", ".join(f"{c} long" for c in FACTS) + ", audit string, repaired_sha256 string"
-    return repaired.repartition("conv_id").sortWithinPartitions("conv_id", "chunk").mapInArrow(run, schema)
+    return short.unionAll(several.repartition("conv_id").sortWithinPartitions("conv_id", "chunk").mapInArrow(run, schema))

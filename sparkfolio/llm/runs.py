@@ -208,7 +208,7 @@ def collapse(words: list, runs: list[tuple[int, int, int]]) -> list:
     return kept + words[at:]
 
 
-def periodic_runs(docs: DataFrame) -> DataFrame:
+def periodic_runs(docs: DataFrame, *, together: int = TOGETHER) -> DataFrame:
     """For each row of ``docs`` (doc_id, text, ...): doc_id, n_words, runs (array of start, length, period) and collapsed.
 
     A run is a stretch of words (between ASCII white space) with smallest period q, at least six words and 4 q long, that no
@@ -226,7 +226,7 @@ def periodic_runs(docs: DataFrame) -> DataFrame:
             lo = 0
             while lo < batch.num_rows:
                 texts, total, hi = [], 0, lo
-                while hi < batch.num_rows and total < TOGETHER:
+                while hi < batch.num_rows and total < together:
                     words = (raw[hi].as_py() or b"").split()
                     texts.append(words)
                     total += len(words)

@@ -108,7 +108,8 @@ def _filesystem(path: str):
 class Writer:
     """One file."""
 
-    def __init__(self, folder: str):
+    def __init__(self, folder: str, block: int = BLOCK):
+        self.block = block
         self.name = f"ids-{uuid.uuid4().hex}.s8b"
         where, at = _filesystem(folder)
         self.out = where.open_output_stream(f"{at}/{self.name}")
@@ -128,14 +129,14 @@ class Writer:
         self.starts.append(self.ids + len(ids) // 4)
         self.held.append(ids)
         self.waiting += len(ids) // 4
-        if self.waiting >= BLOCK:
+        if self.waiting >= self.block:
             self._code(last=False)
 
     def _code(self, last: bool) -> None:
         every = np.frombuffer(b"".join(self.held), dtype="<u4")
         lo = 0
-        while len(every) - lo >= BLOCK or (last and lo < len(every)):
-            block = every[lo : lo + BLOCK]
+        while len(every) - lo >= self.block or (last and lo < len(every)):
+            block = every[lo : lo + self.block]
             words, at, escaped = encode(block)
             self.table.append((self.out.tell(), self.coded, len(words), len(at)))
             for x in (words, at, escaped):
@@ -201,10 +202,10 @@ def read_file(path: str) -> Iterator[list[tuple[int | None, int, bytes]]]:
             yield rows
 
 
-def write_ids(docs: DataFrame, path: str, *, tokenizer: str | None = None, end_id: int = END_ID) -> None:
+def write_ids(docs: DataFrame, path: str, *, tokenizer: str | None = None, end_id: int = END_ID, block: int = BLOCK, file_ids: int = FILE_IDS) -> None:
     """Write the ids of all ``docs`` (doc_id, text, ...) in ascending order of doc_id to files in the folder ``path``.
 
-    The folder must be one that driver and executors share and Arrow's file systems know.
+    A file is closed at the end of the document that fills it to ``file_ids``.  The folder must be one that driver and executors share and Arrow's file systems know.
 
     * A document is its ids and then ``end_id``: null and empty texts are the end alone.  A text may have any length; it
       may fill many blocks.
@@ -229,9 +230,9 @@ def write_ids(docs: DataFrame, path: str, *, tokenizer: str | None = None, end_i
             for lo in range(0, batch.num_rows, 512):
                 some = batch.slice(lo, 512)
                 for doc, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), strict=True):
-                    writer = writer or Writer(path)
+                    writer = writer or Writer(path, block)
                     writer.add(doc, ids + end)
-                    if writer.ids >= FILE_IDS:
+                    if writer.ids >= file_ids:
                         yield listed()
                         file, writer = file + 1, None
         if writer:
