@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkfolio.llm import queries, repair, runs, token_files
+from sparkfolio.llm import lattice, queries, repair, runs, token_files
 
 ODD_SCHEMA = "doc_id long, text string, n_words string, runs int, start string"
 
@@ -273,3 +273,45 @@ def test_no_documents_and_files_that_do_not_count(spark, tmp_path):
     (tmp_path / "bad").write_bytes(b"x" * 80)
     with pytest.raises(ValueError, match="not a file of token ids"):
         list(token_files.read_file(str(tmp_path / "bad")))
+
+
+# -- lattice ------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("dim", [4, 8, 16, 64, 256, 768, 1536])
+def test_recall_and_random_candidates_at_each_dimension(dim):
+    """Pairs just above the threshold meet, and random ones do not, whatever the dimension."""
+    rng, n, cosine = np.random.default_rng(dim), 1500, 0.9801
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, z = unit(rng.standard_normal((n, dim))), rng.standard_normal((n, dim))
+    b = cosine * a + np.sqrt(1 - cosine**2) * unit(z - (z * a).sum(axis=1, keepdims=True) * a)
+    tables, label = lattice.Tables(dim, lattice.TABLES, lattice.PROBES, lattice.SCALE * 0.2, lattice.SEED), np.ones(n, dtype=np.int64)
+    ca, cb = tables.cells(a, label), tables.cells(b, label)
+
+    def met(x, y):
+        return np.any([(x[t, 0] == y[t, 0]) | (x[t, 0] == y[t, 1:]).any(0) | (y[t, 0] == x[t, 1:]).any(0) for t in range(lattice.TABLES)], axis=0).mean()
+
+    assert met(ca, cb) >= 0.99
+    assert np.mean([met(ca, np.roll(ca, k, axis=2)) for k in range(1, 8)]) <= (0.05 if dim < 8 else 0.01)
+
+
+@pytest.mark.parametrize(("dim", "kind"), [(6, "double"), (900, "float")])
+def test_links_of_long_and_short_vectors_against_all_pairs(spark, dim, kind):
+    rng = np.random.default_rng(dim)
+    rows, k = [], 0
+    for label in (1, 2, None):
+        for _ in range(25):
+            centre = rng.standard_normal(dim)
+            for _ in range(rng.integers(1, 5)):
+                v = centre + rng.standard_normal(dim) * np.linalg.norm(centre) * rng.choice([0.02, 0.12, 0.22]) / np.sqrt(dim)
+                rows.append((k, [float(x) for x in v.astype("f4")], label, "clash"))
+                k += 1
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int, n_links string").repartition(3)
+    got = {r["vec_id"]: r["n_links"] for r in lattice.near_duplicate_vectors(df).collect()}
+    x = np.array([r[1] for r in rows], dtype=np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    labels = np.array([r[2] or 0 for r in rows])
+    close = (x @ x.T >= 0.98) & (labels[:, None] == labels[None, :]) & (labels > 0)[:, None]
+    want = close.sum(axis=1) - (labels > 0)
+    assert want.sum() > 40
+    assert sum(got.values()) >= 0.99 * want.sum() and all(got[i] <= want[i] for i in got)
