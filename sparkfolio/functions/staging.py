@@ -33,6 +33,12 @@ def removed(spark: SparkSession, path: str) -> None:
         pass
 
 
+def stored(spark: SparkSession, path: str) -> bool:
+    """Whether something lies at a path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def new_folder(spark: SparkSession, kind: str) -> str:
     """A new path in the shared folder; what is written there goes when the driver's Python ends."""
     path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from sparkfolio.functions.staging import removed, shared_folder, staged
+from sparkfolio.functions.shipping import ship_package
+from sparkfolio.functions.staging import new_folder, staged, stored
 from sparkfolio.sources.feeds import story_hash
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as a stream of files."""
+    ship_package(spark)
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -59,38 +61,71 @@ def latest_bars(events: DataFrame, path: str) -> None:
     def merge(batch: DataFrame, number: int) -> None:
         bars = batch.select(F.col("user_id").alias("ticker"), F.date_trunc("minute", "ts").alias("minute"), F.col("value").alias("close"), F.col("ts").alias("at"), F.col("event_id").alias("id")).where("minute is not null")
         new = bars.withColumn("day", F.to_date("minute"))
-        try:
+        if stored(spark, path):
             old = spark.read.schema(schema).parquet(path).join(new.select("day").distinct(), "day", "left_semi")
             new = new.unionByName(old)
-        except AnalysisException:  # nothing has been stored yet
-            pass
         one = new.groupBy("ticker", "minute", "day").agg(F.max_by(F.struct("close", "at", "id"), newest).alias("b")).select("ticker", "minute", "b.*", "day")
         staged(one).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
     events.writeStream.option("checkpointLocation", f"{path}-state").foreachBatch(merge).trigger(availableNow=True).start().awaitTermination()
 
 
-def rated_cards(cards: DataFrame, rate, late: str = "1 day") -> DataFrame:
-    """Cards (ticker, event_id, ts, score) with their tier and whether it differs from the card before it of the same day.
+class CardRater(StatefulProcessor):
+    """Rates the cards of one ticker and day; the tier held is its state, and a timer in event time ends it.
 
-    ``rate`` gives the tiers of scores in order after a held one.  State is one tier per ticker and day, and goes when the
-    watermark has passed that day; a batch's cards of one ticker and day are one frame.
+    A batch's cards are taken in the order of (ts, event_id).  The timer stands ``kept`` after the day's end, once for each day, so
+    state goes when the watermark has left the day behind, whether or not another card comes.
     """
 
-    def run(key, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = state.get[0] if state.exists else None
-        pdf = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        tiers = rate(pdf["score"].tolist(), held)
+    def __init__(self, rate: Callable[[list, str | None], list[str]], kept_ms: int = 86_400_000):
+        self.rate, self.kept_ms = rate, kept_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "tier string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = self.held.get()[0] if self.held.exists() else None
+        pdf = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        tiers = self.rate(pdf["score"].tolist(), held)
+        if held is None:
+            end = int(pd.Timestamp(key[1]).timestamp() * 1000) + 86_400_000
+            self.handle.registerTimer(max(end + self.kept_ms, timerValues.getCurrentWatermarkInMs() + 1))
+        self.held.update((tiers[-1],))
         before = [held, *tiers[:-1]]
-        state.update((tiers[-1],))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(pd.Timestamp(key[1]).timestamp() * 1000)) + 2 * 86_400_000)
         yield pd.DataFrame({"ticker": key[0], "event_id": pdf["event_id"], "tier": tiers, "alert": [b is not None and b != t for b, t in zip(before, tiers, strict=True)]})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.held.clear()
+        yield pd.DataFrame({"ticker": pd.Series(dtype="int64"), "event_id": pd.Series(dtype="int64"), "tier": pd.Series(dtype="object"), "alert": pd.Series(dtype="bool")})
+
+    def close(self) -> None:
+        pass
+
+
+def rated_cards(cards: DataFrame, rate: Callable[[list, str | None], list[str]], late: str = "1 day") -> DataFrame:
+    """Cards (ticker, event_id, ts, score) with their tier and whether it differs from the card before it of the same day.
+
+    ``rate`` gives the tiers of scores in order after a held one.  The stream needs the state store of :func:`with_state`.
+    """
     keyed = cards.withWatermark("ts", late).withColumn("day", F.to_date("ts")).groupBy("ticker", "day")
-    return keyed.applyInPandasWithState(run, "ticker long, event_id long, tier string, alert boolean", "tier string", "append", "EventTimeTimeout")
+    return keyed.transformWithStateInPandas(CardRater(rate), "ticker long, event_id long, tier string, alert boolean", "Append", "EventTime")
+
+
+#: The state store that keeps typed state variables and timers.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def with_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started here keep their state in the store for state variables; the session's own setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, STATE_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def hysteresis_tiers(events: DataFrame, band: float = 10.0, cut: float = 50.0) -> DataFrame:
@@ -140,16 +175,13 @@ def hysteresis_tiers_of_table(events: DataFrame, band: float = 10.0, cut: float
     return joined.select("r.ticker", "event_id", F.coalesce("tier", "held").alias("tier"))
 
 
-def _place(spark: SparkSession) -> str:
-    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    atexit.register(removed, spark, at)
-    return at
+def run_to_table(stream: DataFrame, at: str | None = None) -> DataFrame:
+    """All that is there now, through the stream and into Parquet of the shared folder, and read back; it goes when the driver's Python ends.
 
-
-def run_to_table(stream: DataFrame) -> DataFrame:
-    """All that is there now, through the stream and into Parquet of the shared folder, and read back; it goes when the driver's Python ends."""
+    With ``at``, a folder of the caller, a stream goes on where the last one that wrote there ended.
+    """
     spark = stream.sparkSession
-    at = _place(spark)
+    at = at or new_folder(spark, "stream")
     query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{at}/data").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/data")
@@ -158,7 +190,7 @@ def run_to_table(stream: DataFrame) -> DataFrame:
 def run_updates(stream: DataFrame, keys: list[str]) -> DataFrame:
     """As :func:`run_to_table` for streams that update rows: of each key the row of its last batch stays."""
     spark = stream.sparkSession
-    at = _place(spark)
+    at = new_folder(spark, "stream")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/data/part={number}")
@@ -173,6 +205,6 @@ def run_updates(stream: DataFrame, keys: list[str]) -> DataFrame:
 def bars_table(events: DataFrame) -> DataFrame:
     """What :func:`latest_bars` keeps of all that is there now."""
     spark = events.sparkSession
-    at = _place(spark)
+    at = new_folder(spark, "stream")
     latest_bars(events, f"{at}/bars")
     return spark.read.parquet(f"{at}/bars")

@@ -52,7 +52,8 @@ def test_cards_keep_their_tier_over_batches_and_lose_it_over_days(spark, tmp_pat
     start = dt.datetime(2024, 1, 1)
     rows = sorted(((t, i, start + dt.timedelta(minutes=7 * i), rnd.uniform(-2, 2)) for i in range(600) for t in [i % 3]), key=lambda r: r[2])
     stream = in_batches(spark, tmp_path, rows, "ticker long, event_id long, ts timestamp, score double")
-    out = jobs.run_to_table(jobs.rated_cards(stream, lambda scores, held: held_tiers(scores, BAND, held)))
+    with jobs.with_state(spark):
+        out = jobs.run_to_table(jobs.rated_cards(stream, lambda scores, held: held_tiers(scores, BAND, held)))
     want = []
     for ticker in range(3):
         for day in sorted({r[2].date() for r in rows}):
@@ -80,3 +81,40 @@ def test_bars_and_moods_over_batches(spark, tmp_path):
             n, s = sums.get((end, ticker), (0, 0.0))
             sums[end, ticker] = (n + 1, s + v)
     assert {(r["at"], r.ticker): (r.n, round(r["mean"], 6)) for r in moods.collect()} == {k: (n, round(s / n, 6)) for k, (n, s) in sums.items()}
+
+
+def test_cards_go_on_after_a_restart_and_their_state_ends_with_the_day(spark, tmp_path):
+    """A second run takes up the held tiers; the state reader shows those of days the watermark has not left, and no others."""
+    from sparkfolio.plans.more import BAND, held_tiers
+
+    rnd = random.Random(12)
+    start = dt.datetime(2024, 1, 1)
+    schema = "ticker long, event_id long, ts timestamp, score double"
+    rows = [(i % 2, i, start + dt.timedelta(minutes=41 * i), rnd.uniform(-2, 2)) for i in range(300)]  # eight and a half days
+    rate = lambda scores, held: held_tiers(scores, BAND, held)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+
+    def put(k, part):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+
+    cut = next(k for k, r in enumerate(rows) if r[2].date() == dt.date(2024, 1, 4)) + 9  # in the middle of a day
+    put(0, rows[:40])
+    put(1, rows[40:cut])
+    with jobs.with_state(spark):
+        jobs.run_to_table(jobs.rated_cards(source.parquet(f"{tmp_path}/in"), rate), f"{tmp_path}/out")
+        put(2, rows[cut:250])
+        put(3, rows[250:])
+        out = jobs.run_to_table(jobs.rated_cards(source.parquet(f"{tmp_path}/in"), rate), f"{tmp_path}/out")
+    want = []
+    for ticker in range(2):
+        for day in sorted({r[2].date() for r in rows}):
+            own = [r for r in rows if r[0] == ticker and r[2].date() == day]
+            tiers = held_tiers([r[3] for r in own])
+            want += [(ticker, r[1], tier, k > 0 and tiers[k - 1] != tier) for k, (r, tier) in enumerate(zip(own, tiers, strict=True))]
+    assert sorted(tuple(r) for r in out.collect()) == sorted(want)
+    held = spark.read.format("statestore").option("path", f"{tmp_path}/out/state").option("stateVarName", "held").load()
+    left = {(r["key"]["ticker"], r["key"]["day"]): r["value"]["tier"] for r in held.collect()}
+    days = sorted({r[2].date() for r in rows})
+    assert {d for _, d in left} == set(days[-3:])
+    last = {(t, d): [w[2] for w in want if w[0] == t and rows[w[1]][2].date() == d][-1] for t, d in left}
+    assert left == last
