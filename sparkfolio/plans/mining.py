@@ -12,6 +12,7 @@ from sparkfolio.functions.staging import staged
 from sparkfolio.operators import acceptance
 from sparkfolio.operators import gram
 from sparkfolio.operators.expression import evaluate_many, evaluate_wide
+from sparkfolio.operators.panel import OPERATORS
 from sparkfolio.plans.common import query, rounded
 from sparkfolio.plans.common import sql_rounded as r
 from sparkfolio.plans.factors import full, w
@@ -281,15 +282,16 @@ def u1_own_operators(spark, sf_dir):
     return df.select("date", "ticker", *[rounded(F.col(c)).alias(c) for c in ("twice", "built_in", "ranged")])
 
 
-@query("u2_operator_acceptance", f"""WITH {WPANEL_SQL}, n AS (SELECT count(*) AS n, count(*) FILTER (ticker % 5 = 0) AS gone FROM wpanel)
-  SELECT v.* FROM n, LATERAL (VALUES ('twice', n.n, n.n, 0::BIGINT, true), ('fills', n.n, n.n, n.gone, false), ('doubles', n.n, 2 * n.n, 0::BIGINT, false)) v(operator, n_rows, n_out, leaks, ok)""")
+@query("u2_operator_acceptance", f"""WITH {WPANEL_SQL}, e AS (SELECT min(date) + CAST(date_diff('day', min(date), max(date)) // 2 AS INTEGER) AS middle FROM wpanel), f AS (SELECT min(date) AS first FROM wpanel, e WHERE date > middle),
+  n AS (SELECT count(*) AS n, count(*) FILTER (ticker % 5 = 0) AS gone, count(*) FILTER (date = first AND ticker % 5 <> 0 AND close IS NOT NULL) AS seen FROM wpanel, f)
+  SELECT v.* FROM n, LATERAL (VALUES ('twice', n.n, n.n, 0::BIGINT, 0::BIGINT, true), ('mean', n.n, n.n, 0::BIGINT, 0::BIGINT, true), ('fills', n.n, n.n, n.gone, 0::BIGINT, false), ('doubles', n.n, 2 * n.n, 0::BIGINT, 0::BIGINT, false), ('next', n.n, n.n, 0::BIGINT, n.seen, false)) v(operator, n_rows, n_out, leaks, peeks, ok)""")
 def u2_operator_acceptance(spark, sf_dir):
-    """What a new operator does to the weekly panel, whose fifth tickers have lost their closes: rows must stay, and what is missing must stay missing."""
+    """What new operators do to the weekly panel, whose fifth tickers have lost their closes: rows must stay, what is missing must stay missing, and nothing may hang on what comes later."""
 
     def doubles(p, c):
         p.df = p.df.unionAll(p.df)
         return c
 
-    tried = {"twice": lambda p, c: c * 2, "fills": lambda p, c: F.coalesce(c, F.lit(0.0)), "doubles": doubles}
+    tried = {"twice": lambda p, c: c * 2, "mean": OPERATORS["ts_mean"], "fills": lambda p, c: F.coalesce(c, F.lit(0.0)), "doubles": doubles, "next": lambda p, c: F.lead(c).over(p.history)}
     df = staged(panel_weekly(spark, sf_dir).select("ticker", "date", F.when(F.col("ticker") % 5 != 0, F.col("close")).alias("v")))
-    return acceptance.report(df, tried)
+    return acceptance.report(df, tried, {"mean": (4,)})

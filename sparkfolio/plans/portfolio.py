@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sparkfolio.functions import normal
 from sparkfolio.functions.staging import staged
 from sparkfolio.operators import backtest as b
+from sparkfolio.operators import resample
 from sparkfolio.operators.expression import evaluate, evaluate_many, evaluate_wide
 from sparkfolio.operators.joins import global_ordinal
 from sparkfolio.plans.backtests import CORR
@@ -347,6 +348,13 @@ def b22_bootstrap_interval(spark, sf_dir):
     return days.groupBy("strategy").applyInPandas(run, "strategy string, sharpe_low double, sharpe_high double, ic_low double, ic_high double")
 
 
+@query("b22_dealt_bootstrap")
+def b22_dealt_bootstrap(spark, sf_dir):
+    """The same intervals with resamples dealt to tasks: each one's draws are its own, whatever task makes it."""
+    metrics = {"sharpe": ("net", lambda x: row_sharpe(x[None, :])[0]), "ic": ("ic", np.mean)}
+    return resample.intervals(many_days(spark, sf_dir).select("strategy", "date", "net", "ic"), "strategy", "date", metrics)
+
+
 @query("b25_turnover_and_spread", f"WITH {DAYS}, t AS (SELECT avg(moved) FILTER (k > 0) AS turnover FROM days), s AS (SELECT stddev_pop(factor) AS spread FROM wf) SELECT {r('turnover')} AS turnover, {r('coalesce(spread, 0)')} AS factor_std, coalesce(spread, 0) < 1e-9 AS degenerate FROM t, s")
 def b25_turnover_and_spread(spark, sf_dir):
     """Mean change of the book between dates, and the factor's spread over all cells, which tells a factor that says nothing."""

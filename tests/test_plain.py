@@ -7,12 +7,15 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkfolio.functions import expressions, normal
 from sparkfolio.functions.series import SERIES
 from sparkfolio.operators import acceptance, books
+from sparkfolio.operators import resample
 from sparkfolio.operators.joins import next_after
+from sparkfolio.operators.panel import OPERATORS
 from sparkfolio.plans import mining, more, portfolio, registry, research, validation
 from sparkfolio.sources import store
 
@@ -168,13 +171,45 @@ def test_structure_of_expressions():
 
 def test_operators_are_refused(spark):
     panel = spark.createDataFrame([(t, dt.date(2024, 1, d), None if t == 0 else float(d)) for t in range(3) for d in range(1, 6)], "ticker long, date date, v double")
-    from pyspark.sql import functions as F
-
     assert list(acceptance.accepted(panel, {"twice": lambda p, c: c * 2})) == ["twice"]
     with pytest.raises(ValueError, match="fills"):
         acceptance.accepted(panel, {"fills": lambda p, c: F.coalesce(c, F.lit(1.0))})
-    with pytest.raises(TypeError):
-        acceptance.accepted(panel, {"none": lambda p, c: 3})
+    assert list(acceptance.accepted(panel, {"mean": OPERATORS["ts_mean"], "zscore": OPERATORS["zscore"]}, {"mean": (3,)})) == ["mean", "zscore"]
+
+
+def doubled(p, c):
+    p.df = p.df.unionAll(p.df)
+    return c
+
+
+def fewer(p, c):
+    p.df = p.df.where("v is not null")
+    return c
+
+
+@pytest.mark.parametrize(
+    ("operator", "numbers", "property_"),
+    [
+        (lambda p, c: 3, (), "signature"),
+        (lambda p, c, n: c * n, (), "signature"),
+        (lambda p: F.lit(1.0), (), "signature"),
+        (lambda p, c: F.col("nothing"), (), "evaluation"),
+        (lambda p, c: 1 // 0, (), "evaluation"),
+        (lambda p, c: F.raise_error(F.lit("never")), (), "evaluation"),
+        (doubled, (), "shape"),
+        (fewer, (), "shape"),
+        (lambda p, c: F.coalesce(c, F.lit(1.0)), (), "missing"),
+        (lambda p, c: F.coalesce(c, F.avg(c).over(p.section)), (), "missing"),
+        (lambda p, c: F.lead(c).over(p.history), (), "later"),
+        (lambda p, c: c - F.avg(c).over(Window.partitionBy(p.entity)), (), "later"),
+        (lambda p, c, n: c * n, (2,), None),
+        (OPERATORS["ts_rank"], (4,), None),
+        (OPERATORS["rank"], (), None),
+        (OPERATORS["hump"], (0.1,), None),
+    ],
+)
+def test_the_property_that_an_operator_fails_is_named(spark, operator, numbers, property_):
+    assert acceptance.failing(spark, operator, numbers) == property_
 
 
 def test_membership_and_vendor_tables(spark, tmp_path):
@@ -218,3 +253,18 @@ def test_dictionary_of_the_caller(spark, tmp_path):
             assert {r["k"]: (r["good"], r["bad"]) for r in lexicon.counted(items, "k", F.col("t"), d).collect()} == want
         finally:
             lexicon.SENT = before
+
+
+def test_dealt_resamples_do_not_hang_on_the_tasks(spark):
+    """The same interval with one resample a row, seven, and all in one; and a plain loop over the same draws."""
+    rng = random.Random(2)
+    rows = [(k, dt.date(2024, 1, 1) + dt.timedelta(days=i), None if i % 13 == 0 else rng.gauss(k, 1)) for k in (1, 2) for i in range(80)] + [(3, dt.date(2024, 1, 1), 1.0)]
+    df = spark.createDataFrame(rows, "k long, date date, x double")
+    metrics = {"m": ("x", np.mean), "s": ("x", np.std)}
+    got = [sorted(tuple(r) for r in resample.intervals(df.repartition(n), "k", "date", metrics, draws=60, together=t).collect()) for n, t in ((1, 60), (5, 7), (3, 1))]
+    assert got[0] == got[1] == got[2] and got[0][2] == (3, None, None, None, None)
+    x = np.array([v for k, _, v in rows if k == 1 and v is not None])
+    means = [np.mean(resample.resampled(x, number, 42, 20)) for number in range(60)]
+    assert got[0][0][1:3] == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])))
+    blocks = np.array([np.mean(np.diff(resample.resampled(np.arange(500.0), number, 1, 20)) == 1) for number in range(50)])
+    assert 0.93 < blocks.mean() < 0.97  # one step in twenty begins a block
