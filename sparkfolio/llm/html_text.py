@@ -7,6 +7,7 @@ once, without recursion, and written as text: blocks apart, lists with bullets,
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -26,7 +27,9 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:\"([^\"]*+)\"|'([^']*+)'|(?![\"'])([^ \t\n\r\f>]*+)))?+")
 BLANKS = re.compile(r"[ \t\n\r\f]+")
-UNSHOWN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+UNSHOWN_STYLE = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
+#: The last declaration counts.
+VISIBILITY = re.compile(r"(?:^|[;\s])visibility\s*:\s*(visible|hidden|collapse)", re.I)
 
 #: Fixed values of HTML: elements without content, with raw content, and never shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,7 +46,7 @@ APART = frozenset("mfrac msub msup msubsup munder mover munderover mroot mtr mmu
 #: Blocks with a blank line around them, and blocks on lines of their own.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure".split())
 BLOCK = SPACED | frozenset(
-    "html body div section article header footer nav aside main address form fieldset legend li dt dd hr figcaption details summary center menu tr td th thead tbody tfoot caption option optgroup text mtr".split()
+    "html body div section article header footer nav aside main address form fieldset legend li dt dd hr figcaption details summary dialog search hgroup center menu tr td th thead tbody tfoot caption option optgroup text mtr".split()
 )
 #: A start tag ends the open elements named, up to the bounds named.
 IMPLIED = {
@@ -68,13 +71,14 @@ MAX_INDENT = 500
 
 
 class Node:
-    """An element: tag, children (elements and texts), whether it is shown, the columns and rows that a cell spans (0: all rows), and the
-    place among the open elements of the SVG or MathML that what it holds belongs to (0: HTML)."""
+    """An element: tag, children (elements and texts), whether it is shown, whether its own style makes it visible or not (None: as its
+    parent), the columns and rows that a cell spans (0: all rows), the attributes that matter to what it holds, and the place among the
+    open elements of the SVG or MathML that what it holds belongs to (0: HTML)."""
 
-    __slots__ = ("children", "foreign", "shown", "span", "tag")
+    __slots__ = ("children", "foreign", "own", "shown", "span", "tag", "visible")
 
-    def __init__(self, tag: str, shown: bool = True, span: tuple[int, int] = (1, 1)):
-        self.tag, self.shown, self.span, self.foreign, self.children = tag, shown, span, 0, []
+    def __init__(self, tag: str, shown: bool = True, span: tuple[int, int] = (1, 1), visible: bool | None = None, own: dict | None = None):
+        self.tag, self.shown, self.span, self.visible, self.own, self.foreign, self.children = tag, shown, span, visible, own or {}, 0, []
 
 
 class Open(list):
@@ -139,7 +143,12 @@ def parse(html: str) -> Node:
             continue
         _imply(stack, tag)
         own = _attributes(attributes) if tag in LABELLED and attributes else {}
-        node = Node(tag, tag not in UNSHOWN and not (attributes and _unshown(attributes)), (_number(own, "colspan", 1, 1000), _number(own, "rowspan", 0, 65534)) if own else (1, 1))
+        shown = tag not in UNSHOWN and not (attributes and _unshown(attributes)) and (tag != "dialog" or "open" in own)
+        visible = _visibility(attributes) if attributes else None
+        if visible is False and tag in ROWS and "collapse" in attributes.lower():
+            shown, visible = False, None  # a collapsed row is not there
+        spans = (_number(own, "colspan", 1, 1000), _number(own, "rowspan", 0, 65534)) if own and tag in ("td", "th") else (1, 1)
+        node = Node(tag, shown, spans, visible, own)
         stack[-1].children.append(node)
         if tag in RAW:
             close = re.compile(f"</{tag}(?=[\\s/>]|\\Z)[^>]*>?", re.I).search(html, at)
@@ -159,7 +168,8 @@ def parse(html: str) -> Node:
 
 
 #: Elements with attributes that matter to the text.
-LABELLED = frozenset("td th option optgroup".split())
+LABELLED = frozenset("td th option optgroup details dialog ol li".split())
+ROWS = frozenset("tr thead tbody tfoot".split())
 
 
 def _part(stack: Open, top: int, tag: str, attributes: str) -> None:
@@ -169,7 +179,7 @@ def _part(stack: Open, top: int, tag: str, attributes: str) -> None:
     parent = stack[-1]
     if parent.tag in APART and any(isinstance(c, Node) for c in parent.children):
         parent.children.append(" ")
-    node = Node(kind, not hidden and not (attributes and _unshown(attributes)))
+    node = Node(kind, not hidden and not (attributes and _unshown(attributes)), visible=_visibility(attributes) if attributes else None)
     parent.children.append(node)
     if not _closes_itself(attributes):
         node.foreign = 0 if tag in HOLDS_HTML else top
@@ -206,8 +216,22 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
+def _integer(own: dict[str, str], name: str) -> int | None:
+    """A whole number of up to nine digits, which may be negative."""
+    found = re.match(r"[ \t\n\r\f]*([+-]?[0-9]{1,9})", own.get(name, ""))
+    return int(found.group(1)) if found else None
+
+
+def _visibility(attributes: str) -> bool | None:
+    """What an element's own style says of its visibility, which others inherit and may override; None for nothing."""
+    if "visibility" not in attributes.lower():
+        return None
+    found = VISIBILITY.findall(_attributes(attributes).get("style", ""))
+    return found[-1].lower() == "visible" if found else None
+
+
 def _unshown(attributes: str) -> bool:
-    if "hidden" not in attributes.lower() and "none" not in attributes.lower() and "collapse" not in attributes.lower():
+    if "hidden" not in attributes.lower() and "none" not in attributes.lower():
         return False
     own = _attributes(attributes)
     return "hidden" in own or bool(UNSHOWN_STYLE.search(own.get("style", ""))) or own.get("type", "").lower() == "hidden"
@@ -297,6 +321,13 @@ class Table:
         self.starts: set[int] = set()
 
 
+def columns(line: str) -> int:
+    """Columns that a line takes: wide characters take two, marks on others none."""
+    if line.isascii():
+        return len(line)
+    return sum(0 if unicodedata.combining(c) or unicodedata.category(c) in ("Mn", "Me", "Cf") else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in line)
+
+
 def _placed(table: Table) -> list[list[tuple[list[str], int, int]]]:
     """Rows of cells with their columns, the first and the one after the last, as the table lays them out; columns in which no cell starts are left out."""
     taken: dict[int, float] = {}  # column: the row at which it is free again
@@ -327,7 +358,7 @@ def _aligned(table: Table) -> list[str]:
         for row in rows:
             for lines, a, z in row:
                 if (z - a > 1) == wide:
-                    width[z - 1] += max(0, max(map(len, lines)) - sum(width[a:z]) - 2 * (z - a - 1))
+                    width[z - 1] += max(0, max(map(columns, lines)) - sum(width[a:z]) - 2 * (z - a - 1))
     start = [0, *accumulate(w + 2 for w in width)]
     out = []
     for row in rows:
@@ -335,19 +366,39 @@ def _aligned(table: Table) -> list[str]:
             line = ""
             for lines, a, _ in row:
                 if i < len(lines) and lines[i]:
-                    line = (line and line + "  ").ljust(start[a]) + lines[i]
+                    line = line and line + "  "
+                    line += " " * (start[a] - columns(line)) + lines[i]
             out.append(line)
     return out
 
 
+def _rendered(node: Node) -> list[Node | str]:
+    """What of an element's children is rendered: of closed details their first summary alone."""
+    if node.tag != "details" or "open" in node.own:
+        return node.children
+    return [c for c in node.children if isinstance(c, Node) and c.tag == "summary"][:1]
+
+
+def _numbering(node: Node) -> list:
+    """A list's tag, the number before its first item's, and the step to the next."""
+    start = _integer(node.own, "start")
+    if "reversed" not in node.own or node.tag != "ol":
+        return [node.tag, (1 if start is None else start) - 1, 1]
+    items = sum(isinstance(c, Node) and c.tag == "li" and c.shown for c in node.children)
+    return [node.tag, (items if start is None else start) + 1, -1]
+
+
 def render(root: Node) -> str:
     """The text of a tree."""
     writer, writers, lists, tables = Writer(), [], [], []
     pre, flat = 0, set()  # flat: elements that are too deep to be set in
+    visible, before = True, []  # before: what was the case outside of each element that says something of it
     todo: list[tuple[Node | str, bool]] = [(root, True)]
     while todo:
         node, enters = todo.pop()
         if isinstance(node, str):
+            if not visible:
+                continue
             if pre:
                 *whole, last = node.split("\n")
                 for line in whole:
@@ -371,8 +422,11 @@ def render(root: Node) -> str:
                 continue
             if tag in BLOCK:
                 writer.feed(blank=tag in SPACED and tag not in ("ul", "ol") or tag in ("ul", "ol") and not lists)
+            if node.visible is not None:
+                before.append(visible)
+                visible = node.visible
             if tag in ("ul", "ol"):
-                lists.append([tag, 0])
+                lists.append(_numbering(node))
             elif tag == "table":
                 tables.append(Table())
             elif tag == "tr" and tables:
@@ -389,8 +443,11 @@ def render(root: Node) -> str:
                     writer.feed()
                     flat.add(id(node))
             todo.append((node, False))
-            todo.extend((c, True) for c in reversed(node.children))
+            todo.extend((c, True) for c in reversed(_rendered(node)))
             continue
+        seen = visible
+        if node.visible is not None:
+            visible = before.pop()
         if id(node) in flat:
             writer.feed()
         elif tag in ("td", "th", "caption") and tables:
@@ -404,9 +461,10 @@ def render(root: Node) -> str:
         elif tag == "li":
             item, writer = writer.done(), writers.pop()
             if lists:
-                lists[-1][1] += 1
+                given = _integer(node.own, "value")
+                lists[-1][1] = lists[-1][1] + lists[-1][2] if given is None else given
             mark = f"{lists[-1][1]}. " if lists and lists[-1][0] == "ol" else "- "
-            writer.put(item, " " * len(mark), mark)
+            writer.put(item, " " * len(mark), mark if seen else None)
         elif tag in ("blockquote", "dd"):
             item, writer = writer.done(), writers.pop()
             writer.put(item, "> " if tag == "blockquote" else "  ")
