@@ -12,6 +12,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -24,53 +25,20 @@ PHRASES = (
     ("apache-2", "apache license version 2"),
     ("cc-by-nc", "cc by nc"),
 )
-#: Passages of licenses (names, notices, and the bodies of the short ones part by part), with their labels.
-TEMPLATES = (
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
-    ("mit", "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so"),
-    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
-    ("apache-2", "see the license for the specific language governing permissions and limitations under the license"),
-    ("gpl", "licensed under the gnu general public license"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
-    ("gpl-1", "licensed under the gnu general public license version 1"),
-    ("gpl-2", "licensed under the gnu general public license version 2"),
-    ("gpl-3", "licensed under the gnu general public license version 3"),
-    ("lgpl", "licensed under the gnu lesser general public license"),
-    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
-    ("agpl-3", "licensed under the gnu affero general public license version 3"),
-    ("agpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("mpl-2", "if a copy of the mpl was not distributed with this file you can obtain one at"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
-    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
-    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
-    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
-    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
-    ("cc-by", "creative commons attribution 4 0 international license"),
-    ("cc-by-sa", "creative commons attribution sharealike 4 0 international license"),
-    ("cc-by-nc", "creative commons attribution noncommercial 4 0 international license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nd", "creative commons attribution noderivatives 4 0 international license"),
-    ("cc-by-nc-sa", "creative commons attribution noncommercial sharealike 4 0 international license"),
-    ("cc-by-nc-nd", "creative commons attribution noncommercial noderivatives 4 0 international license"),
-    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
-)
+#: Passages of licenses with their labels: names, tags, notices, and whole short licenses and their parts.
+TEMPLATE_FILE = Path(__file__).with_name("templates.tsv")
 MIN_MATCH, MAX_GAP, MIN_SHARE, MIN_COVERED = 3, 8, 0.8, 5
 
 #: ASCII letters in lower case, digits and all beyond ASCII stay; the rest of ASCII separates words.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 
+def read_templates(path: str | Path = TEMPLATE_FILE) -> list[tuple[str, str]]:
+    """(label, passage) of each line of a file, a tab between them."""
+    with open(path, encoding="utf-8") as f:
+        return [tuple(line.rstrip("\n").split("\t", 1)) for line in f if "\t" in line]
+
+
 def words(text: str | None) -> list[bytes]:
     """Words of a text as UTF-8, A-Z in lower case."""
     return text.encode("utf-8", "replace").translate(_WORDS).split() if text else []
@@ -158,6 +126,8 @@ class Scanner:
         #: words in a row that a stretch needs: for a match, or for the shortest phrase
         self.least = min([MIN_MATCH, *self.lengths[: self.n_phrases]])
         self.vocabulary = {t for s in sequences for t in s}
+        #: template words that a chain may leave out at once: all that it may leave out at all, in long templates
+        self.jumps = [max(4 * MAX_GAP, int((1 - MIN_SHARE) * n)) for n in self.lengths]
         self.held: dict[int, dict[int, tuple[int, list[int]]]] = {}
         #: for each state, the phrases that are suffixes of its longest string
         self.whole: list[list[int]] = [[] for _ in self.automaton.len]
@@ -214,7 +184,7 @@ class Scanner:
         while parts:
             part = parts.pop()
             kept: list[tuple[int, int]] = []
-            for covered, start, end in sorted(self._covered(part), key=lambda x: (-x[0], x[2])):
+            for covered, start, end in sorted(self._covered(part, self.jumps[s]), key=lambda x: (-x[0], x[2])):
                 share = min(1.0, covered / self.lengths[s])
                 if share < MIN_SHARE and spans:
                     break
@@ -230,7 +200,7 @@ class Scanner:
             parts += [x for x in rest.values() if sum(m.length for m in x) >= MIN_SHARE * self.lengths[s]]
         return sorted(spans)
 
-    def _covered(self, found: list[Match]) -> list[tuple[int, int, int]]:
+    def _covered(self, found: list[Match], most: int) -> list[tuple[int, int, int]]:
         """For each match the chain up to it that covers most, forward in file and template with small gaps: (covered, start, end)."""
         best: list[tuple[int, int, int]] = []
         for k, m in enumerate(found):
@@ -241,12 +211,18 @@ class Scanner:
                     break
                 gap, jump = m.end - m.length - p.end, m.at - m.length - p.at
                 over = max(0, -gap, -jump)
-                if jump <= 4 * MAX_GAP and over < m.length and m.at > p.at and c[0] + m.length - over > own[0]:
+                if jump <= most and over < m.length and m.at > p.at and c[0] + m.length - over > own[0]:
                     own = (c[0] + m.length - over, c[1], m.end)
             best.append(own)
         return best
 
 
+    def named(self, spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
+        """The spans that give labels: enough of the template, five words of it or all, and no template of another label explains the place better."""
+        enough = [x for x in spans if x[3] >= MIN_SHARE and x[3] * self.lengths[x[0]] >= min(MIN_COVERED, self.lengths[x[0]]) - 1e-9]
+        return unrivalled(enough, self.labels, self.lengths)
+
+
 def _overlaps(kept: list[tuple[int, int]], start: int, end: int) -> bool:
     """Whether a place meets one of ``kept``, which are apart and in order."""
     k = bisect_right(kept, (start, end))
@@ -272,7 +248,7 @@ def _shared(x: tuple, y: tuple) -> bool:
     return 2 * (min(x[2], y[2]) - max(x[1], y[1])) > min(x[2] - x[1], y[2] - y[1])
 
 
-def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
+def scan_licenses(docs: DataFrame, phrases=PHRASES, templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, ...): doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     ``spans`` are (label, start, end, share) in words for every place where at least ``MIN_SHARE`` of a template is covered
@@ -284,6 +260,7 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> Data
     * A stretch of a file is only streamed where as many words in a row are license words as a match (``MIN_MATCH``) or the
       shortest phrase needs.
     """
+    templates = read_templates() if templates is None else templates
     span = "array<struct<label:string,start:long,end:long,share:double>>"
     schema = f"doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans {span}"
     kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("share", pa.float64())]))]
@@ -298,8 +275,7 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> Data
                 places, spans = scanner.scan(tokens)
                 starts = [at for _, at in places]
                 base = {scanner.labels[s] for s, _ in places}
-                covered = [x for x in spans if x[3] >= MIN_SHARE and x[3] * scanner.lengths[x[0]] >= MIN_COVERED - 1e-9]
-                covered = unrivalled(covered, scanner.labels, scanner.lengths)
+                covered = scanner.named(spans)
                 labels = base | {scanner.labels[x[0]] for x in covered}
                 score = 1.0 if places else max((x[3] for x in spans), default=0.0)
                 rows = [{"label": scanner.labels[s], "start": a, "end": b, "share": share} for s, a, b, share in covered]

@@ -310,11 +310,12 @@ def test_license_spans_repeat_short_phrases_count_and_chains_reach_back():
     assert len(scanner.scan(header * 2000)[1]) == 2000
 
 
+SCANNER = licenses.Scanner(licenses.PHRASES, licenses.read_templates())
+
+
 def labels_of(text):
-    scanner = licenses.Scanner(licenses.PHRASES, licenses.TEMPLATES)
-    _, spans = scanner.scan(licenses.words(text))
-    good = [x for x in spans if x[3] >= licenses.MIN_SHARE and x[3] * scanner.lengths[x[0]] >= licenses.MIN_COVERED - 1e-9]
-    return {scanner.labels[x[0]] for x in licenses.unrivalled(good, scanner.labels, scanner.lengths)}
+    _, spans = SCANNER.scan(licenses.words(text))
+    return {SCANNER.labels[x[0]] for x in SCANNER.named(spans)}
 
 
 @pytest.mark.parametrize(
@@ -332,12 +333,72 @@ def labels_of(text):
         ("THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.", {"mit"}),
         ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", {"bsd"}),
         ("the license of this general text is public and free", set()),
+        ("SPDX-License-Identifier: MIT", {"mit"}),
+        ("// SPDX-License-Identifier: GPL-3.0-or-later", {"gpl-3"}),
+        ("SPDX-License-Identifier: CC-BY-NC-SA-4.0", {"cc-by-nc-sa"}),
+        ("SPDX-License-Identifier: nobody knows", set()),
+        ("Creative Commons Attribution 3.0 Unported", {"cc-by"}),
+        ("shared as CC BY-SA 3.0", {"cc-by-sa"}),
+        ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", {"gpl-3"}),
+        ("under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", {"gpl-3"}),
+        ("under the terms of the GNU General Public License, either version 2 of the License", {"gpl-2"}),
+        ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", {"epl"}),
+        ("Boost Software License - Version 1.0 - August 17th, 2003", {"boost"}),
+        ("Distributed under the Boost Software License", {"boost"}),
+        ("the general public may license what creative people attribute to the commons", set()),
+        ("a public license of the eclipse, boosted by software", set()),
     ],
 )
 def test_only_the_license_that_explains_a_passage_best_is_named(text, labels):
     assert labels_of("some words before " + text + " and some after") == labels
 
 
+def test_whole_licenses_with_words_left_out_and_put_in():
+    rnd = random.Random(5)
+    whole = [(x, licenses.words(t)) for x, t in licenses.read_templates() if len(licenses.words(t)) > 90]
+    assert {x for x, _ in whole} >= {"mit", "bsd", "isc", "zlib", "unlicense", "boost"}
+    for label, tokens in whole:
+        assert label in labels_of(" ".join(t.decode() for t in tokens))
+        at = rnd.randrange(10, len(tokens) - 50)
+        cut = [*tokens[:at], *tokens[at + len(tokens) // 8 :]]  # an eighth is left out at once
+        cut[3:3] = [b"acme", b"inc"]
+        assert label in labels_of(" ".join(t.decode() for t in cut)), label
+
+
+def slow_chain(tokens, template, jump):
+    """Most template words that a forward chain of maximal common runs covers, by trying all of them in order."""
+    runs = [(i + n, j + n, n) for i in range(len(tokens)) for j in range(len(template)) if (i == 0 or j == 0 or tokens[i - 1] != template[j - 1]) for n in [next((k for k in range(min(len(tokens) - i, len(template) - j) + 1) if k == min(len(tokens) - i, len(template) - j) or tokens[i + k] != template[j + k]))] if n >= licenses.MIN_MATCH]
+    best = {}
+    for m in sorted(runs):
+        best[m] = m[2]
+        for p in best:
+            if p != m and p[0] <= m[0] and p[1] < m[1] and p[0] >= m[0] - m[2] - licenses.MAX_GAP and m[1] - m[2] - p[1] <= jump:
+                over = max(0, p[0] - (m[0] - m[2]), p[1] - (m[1] - m[2]))
+                if over < m[2]:
+                    best[m] = max(best[m], best[p] + m[2] - over)
+    return max(best.values(), default=0)
+
+
+def test_chains_and_scores_against_brute_force():
+    rnd = random.Random(21)
+    seen = 0
+    for _ in range(120):
+        template = [f"t{rnd.randrange(30)}" for _ in range(rnd.randrange(6, 60))]
+        tokens = []
+        for t in template:
+            if rnd.random() < 0.12:
+                tokens += [f"x{rnd.randrange(5)}"] * rnd.randrange(1, 12)
+            if rnd.random() > 0.08:
+                tokens.append(t)
+        scanner = licenses.Scanner((), [("one", " ".join(template))])
+        _, spans = scanner.scan([t.encode() for t in tokens])
+        got = max((x[3] for x in spans), default=0.0)
+        want = min(1.0, slow_chain(tokens, template, scanner.jumps[0]) / len(template))
+        assert got == pytest.approx(want)
+        seen += want >= licenses.MIN_SHARE
+    assert seen > 20
+
+
 def test_matching_statistics_against_brute_force():
     rnd = random.Random(8)
     for _ in range(60):
@@ -380,7 +441,7 @@ def test_subsequence_kernel_against_brute_force():
 
 def test_every_place_of_a_phrase_is_found_in_random_texts():
     rnd = random.Random(8)
-    scanner = licenses.Scanner(licenses.PHRASES, licenses.TEMPLATES)
+    scanner = SCANNER
     vocabulary = "the mit license apache version 2 cc by nc under licensed other".split()
     phrases = [(k, p.encode().split()) for k, (_, p) in enumerate(licenses.PHRASES)]
     for _ in range(300):
