@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from sparkfolio.functions.staging import staged
 from sparkfolio.operators import backtest as b
+from sparkfolio.operators import options
 from sparkfolio.operators import technical as t
-from sparkfolio.operators.joins import shared_rank
 from sparkfolio.plans.backtests import CORR
 from sparkfolio.plans.common import query, rounded
 from sparkfolio.plans.common import sql_rounded as r
 from sparkfolio.plans.factors import WT
+from sparkfolio.sources.chains import CHAIN_SQL, nearest_expiry, option_chain
 from sparkfolio.sources.market import table
 from sparkfolio.sources.tables import BARS_SQL, FILINGS_SQL, bars_weekly, filings
 
@@ -116,40 +117,23 @@ def s5_insider(spark, sf_dir):
     return n.select("ticker", rounded(F.when(F.col("n") > 0, F.tanh(F.col("net") / 1_000_000))).alias("z"), F.when(F.coalesce("n", F.lit(0)) == 0, 0.0).otherwise(0.7).alias("confidence"))
 
 
-@query("s6_put_call", f"""WITH c AS (SELECT l_suppkey AS ticker, sum(l_quantity) FILTER (l_returnflag = 'R') AS puts, sum(l_quantity) FILTER (l_returnflag <> 'R') AS calls, avg(l_discount) AS iv FROM lineitem GROUP BY ALL),
-  p AS (SELECT ticker, coalesce(puts, 0) AS puts, coalesce(calls, 0) AS calls, 100 * percent_rank() OVER (ORDER BY round(iv, 9)) AS iv FROM c)
+@query("s6_put_call", f"""WITH {CHAIN_SQL}, c AS (SELECT ticker, coalesce(sum(volume) FILTER (kind = 'put'), 0) AS puts, coalesce(sum(volume) FILTER (kind = 'call'), 0) AS calls, avg(iv) AS iv FROM nearest GROUP BY ALL),
+  p AS (SELECT ticker, puts, calls, 100 * percent_rank() OVER (ORDER BY round(iv, 9)) AS iv FROM c)
   SELECT ticker, CASE WHEN puts + calls = 0 THEN 0 ELSE {r(_clip('(-tanh((puts / greatest(calls, 1) - 1) * 1.5) - tanh((iv - 50) / 30)) / 2 * 2'))} END AS z FROM p""")
 def s6_put_call(spark, sf_dir):
-    """Put volume over call volume and the rank of implied volatility, each bent by tanh."""
-    put = F.col("l_returnflag") == "R"
-    c = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("ticker")).agg(F.sum(F.when(put, F.col("l_quantity")).otherwise(0.0)).alias("puts"), F.sum(F.when(put, 0.0).otherwise(F.col("l_quantity"))).alias("calls"), F.avg("l_discount").alias("iv"))
-    n = F.greatest(F.lit(1), F.col("n") - 1)
-    p = shared_rank(c.withColumn("iv9", F.round("iv", 9)), "iv9", "place").join(F.broadcast(c.agg(F.count("*").alias("n")))).withColumn("rank", 100 * (F.col("place") - 1) / n)  # one row
-    z = (-F.tanh((F.col("puts") / F.greatest("calls", F.lit(1.0)) - 1) * 1.5) - F.tanh((F.col("rank") - 50) / 30)) / 2 * 2
-    return p.select("ticker", F.when(F.col("puts") + F.col("calls") == 0, 0.0).otherwise(rounded(t.clipped(z))).alias("z"))
+    """Put volume over call volume and the rank of implied volatility at each ticker's nearest expiry."""
+    return options.put_call(nearest_expiry(option_chain(spark, sf_dir))).select("ticker", rounded(F.col("z")).alias("z"))
 
 
-_GAMMA = "CASE WHEN spot > 0 AND strike > 0 AND iv > 0 AND tau > 0 THEN exp(-0.5 * power((ln(spot / strike) + (0.045 + 0.5 * iv * iv) * tau) / (iv * sqrt(tau)), 2)) / sqrt(2 * pi()) / (spot * iv * sqrt(tau)) ELSE 0 END"
-
-
-@query("s7_gamma_exposure", f"""WITH {BARS_SQL}, sp AS (SELECT ticker, arg_max(close, date) AS spot FROM wbars GROUP BY ticker),
-  o AS (SELECT l_suppkey AS ticker, p AS strike, 0.1 + 5 * l_discount AS iv, greatest(l_partkey % 60, 0.5) / 365.0 AS tau, l_quantity AS oi, l_linenumber % 2 = 1 AS is_call FROM lines),
-  g AS (SELECT o.*, spot, {_GAMMA} AS gamma FROM o JOIN sp USING (ticker)),
-  s AS (SELECT ticker, sum(CASE WHEN is_call THEN gamma * oi ELSE 0 END) AS calls, sum(CASE WHEN is_call THEN 0 ELSE gamma * oi END) AS puts, any_value(spot) AS spot, count(*) AS n_strikes FROM g GROUP BY ticker), x AS (SELECT *, (calls - puts) * 100 * spot * spot AS signed FROM s WHERE calls <> 0 OR puts <> 0)
-  SELECT ticker, round(signed, 2) AS signed_notional, CASE WHEN signed > 5e8 THEN 'pinned' WHEN signed < -5e8 THEN 'volatile' ELSE 'mixed' END AS regime, n_strikes FROM x""")
+@query("s7_gamma_exposure", f"""WITH {BARS_SQL}, {CHAIN_SQL}, sp AS (SELECT ticker, arg_max(close, date) AS spot FROM wbars GROUP BY ticker),
+  g AS (SELECT nearest.*, spot, {options.GAMMA} AS gamma FROM nearest JOIN sp USING (ticker)),
+  s AS (SELECT ticker, sum(CASE WHEN kind = 'call' THEN gamma * open_interest ELSE 0 END) AS calls, sum(CASE WHEN kind = 'call' THEN 0 ELSE gamma * open_interest END) AS puts, any_value(spot) AS spot, count(*) AS n_strikes FROM g GROUP BY ticker), x AS (SELECT *, (calls - puts) * 100 * spot * spot AS signed FROM s WHERE calls <> 0 OR puts <> 0)
+  SELECT ticker, round(signed, 2) + 0.0 AS signed_notional, CASE WHEN signed > 5e8 THEN 'pinned' WHEN signed < -5e8 THEN 'volatile' ELSE 'mixed' END AS regime, n_strikes FROM x""")
 def s7_gamma_exposure(spark, sf_dir):
-    """Black-Scholes gamma times open interest, calls less puts, in notional of a one-percent contract; degenerate strikes count nothing."""
+    """Gamma exposure of the nearest expiry in notional of a one-percent move, and the regime it makes."""
     spot = bars_weekly(spark, sf_dir).groupBy("ticker").agg(F.max_by("close", "date").alias("spot"))
-    price = F.col("l_extendedprice") / F.col("l_quantity") * (1 - F.col("l_discount"))
-    o = table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("ticker"), price.alias("strike"), (0.1 + 5 * F.col("l_discount")).alias("iv"), (F.greatest((F.col("l_partkey") % 60).cast("double"), F.lit(0.5)) / 365.0).alias("tau"),
-        F.col("l_quantity").alias("oi"), (F.col("l_linenumber") % 2 == 1).alias("is_call"),
-    )
-    g = o.join(spot, "ticker").withColumn("weight", F.expr(_GAMMA) * F.col("oi"))
-    side = lambda call: F.sum(F.when(F.col("is_call") == call, F.col("weight")).otherwise(0.0))
-    s = g.groupBy("ticker").agg(side(True).alias("calls"), side(False).alias("puts"), F.first("spot").alias("spot"), F.count("*").alias("n_strikes")).where("calls <> 0 or puts <> 0")
-    x = s.withColumn("signed", (F.col("calls") - F.col("puts")) * 100 * F.col("spot") * F.col("spot"))
-    return x.select("ticker", F.round("signed", 2).alias("signed_notional"), F.when(F.col("signed") > 5e8, "pinned").when(F.col("signed") < -5e8, "volatile").otherwise("mixed").alias("regime"), "n_strikes")
+    x = options.gamma_exposure(nearest_expiry(option_chain(spark, sf_dir)), spot)
+    return x.select("ticker", (F.round("signed", 2) + F.lit(0.0)).alias("signed_notional"), "regime", "n_strikes")
 
 
 #: Recommendation keys of analysts and their scores.

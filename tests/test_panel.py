@@ -78,7 +78,7 @@ def test_asof_join(spark):
 def test_global_ordinal_is_exact(spark):
     rnd = random.Random(3)
     data = [(k % 2, float(rnd.randrange(50)), k) for k in range(1000)]
-    got = {(r.key, r.id): r.n for r in global_ordinal(spark.createDataFrame(data, "key long, v double, id long"), "key", ["v", "id"], "n", parts=8).collect()}
+    got = {(r.key, r.id): r.n for r in global_ordinal(spark.createDataFrame(data, "key long, v double, id long"), "key", ["v", "id"], "n").collect()}
     for key in (0, 1):
         order = sorted((v, i) for k, v, i in data if k == key)
         assert all(got[key, i] == n for n, (_, i) in enumerate(order, 1))

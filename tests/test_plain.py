@@ -268,3 +268,33 @@ def test_dealt_resamples_do_not_hang_on_the_tasks(spark):
     assert got[0][0][1:3] == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])))
     blocks = np.array([np.mean(np.diff(resample.resampled(np.arange(500.0), number, 1, 20)) == 1) for number in range(50)])
     assert 0.93 < blocks.mean() < 0.97  # one step in twenty begins a block
+
+
+def test_option_chains_of_a_vendor(spark, tmp_path):
+    """Columns in any order and case, other kinds and missing columns; only the nearest expiry counts."""
+    from sparkfolio.operators import options
+    from sparkfolio.sources.chains import nearest_expiry, read_chain
+
+    now = dt.date(2024, 5, 1)
+    rows = [
+        (1, " CALL", 100.0, 0.2, 10, 50, dt.date(2024, 5, 17), now, "x"), (1, "put", 95.0, 0.25, 30, 20, dt.date(2024, 5, 17), now, "x"),
+        (1, "call", 100.0, 0.2, 999, 999, dt.date(2024, 6, 21), now, "x"), (1, "put", 100.0, 0.2, 999, 999, dt.date(2024, 4, 19), now, "x"),
+        (2, "call", 50.0, 0.0, None, 5, dt.date(2024, 5, 1), now, "x"), (2, "straddle", 50.0, 0.3, 7, 5, dt.date(2024, 5, 1), now, "x"),
+        (3, "put", 20.0, 0.4, 4, 5, dt.date(2024, 5, 1), now, "x"),
+    ]
+    df = spark.createDataFrame(rows, "Ticker int, KIND string, strike double, iv double, volume int, open_interest int, expiry date, as_of date, vendor string")
+    df.write.parquet(str(tmp_path / "c"))
+    chain = nearest_expiry(read_chain(spark, str(tmp_path / "c")))
+    assert {(r["ticker"], r["kind"], r["volume"], round(r["tau"] * 365, 6)) for r in chain.collect()} == {(1, "call", 10.0, 16.0), (1, "put", 30.0, 16.0), (2, "call", None, 0.5), (3, "put", 4.0, 0.5)}
+    z = {r["ticker"]: r["z"] for r in options.put_call(chain).collect()}
+    bent = lambda puts, calls, rank: (-math.tanh((puts / max(calls, 1) - 1) * 1.5) - math.tanh((rank - 50) / 30)) / 2 * 2
+    assert z[1] == pytest.approx(bent(30, 10, 50)) and z[2] == 0.0 and z[3] == pytest.approx(bent(4, 0, 100))
+
+    def gamma(spot, strike, iv, tau):
+        d = (math.log(spot / strike) + (0.045 + 0.5 * iv * iv) * tau) / (iv * math.sqrt(tau))
+        return math.exp(-0.5 * d * d) / math.sqrt(2 * math.pi) / (spot * iv * math.sqrt(tau))
+
+    spot = spark.createDataFrame([(1, 98.0), (2, 50.0), (3, 0.0)], "ticker long, spot double")
+    got = {r["ticker"]: r for r in options.gamma_exposure(chain, spot).collect()}
+    signed = (gamma(98.0, 100.0, 0.2, 16 / 365) * 50 - gamma(98.0, 95.0, 0.25, 16 / 365) * 20) * 100 * 98.0 * 98.0
+    assert set(got) == {1} and got[1]["signed"] == pytest.approx(signed) and (got[1]["regime"], got[1]["n_strikes"]) == ("mixed", 2)
