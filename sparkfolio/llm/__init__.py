@@ -1,4 +1,4 @@
-"""Operators of a training-data pipeline: ten jobs over documents, pages, conversations and embeddings.
+"""Operators of a training-data pipeline: thirteen jobs over documents, pages, conversations and embeddings.
 
 Nothing else in the library imports this package; it can be deleted as a whole.
 """

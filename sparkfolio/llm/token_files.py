@@ -63,7 +63,10 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     selector = np.full(n, len(COUNTS) - 1, dtype=np.uint8)
     for s in range(len(COUNTS) - 2, -1, -1):
         np.cumsum(long > BITS[s], out=over[1:], dtype=np.int32)
-        selector[over[COUNTS[s] : COUNTS[s] + n] == over[:n]] = s
+        fits = over[COUNTS[s] : COUNTS[s] + n] == over[:n]
+        selector[fits] = s
+        if not fits[: -max(COUNTS)].any():  # more ids of fewer bits fit nowhere then, but at the end
+            break
     step, starts, k = np.array(COUNTS)[selector].tolist(), [], 0
     while k < n:
         starts.append(k)

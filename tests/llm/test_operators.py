@@ -543,5 +543,5 @@ def test_toxicity_reads_gaps_of_any_length_and_spelled_words(spark):
 def test_digests_are_of_whole_texts(spark):
     from sparkfolio.llm import queries
 
-    assert set(queries.SQL) <= set(queries.QUERIES) and len(queries.QUERIES) == 10
+    assert set(queries.SQL) <= set(queries.QUERIES) and len(queries.QUERIES) == 13
     assert re.fullmatch("[0-9a-f]{64}", hashlib.sha256(b"").hexdigest())
