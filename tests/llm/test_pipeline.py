@@ -157,3 +157,56 @@ def test_stages_take_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, df, None).count() == 0
+
+
+def prose(seed, n=9):
+    rnd = random.Random(seed)
+    return "\n".join(" ".join(f"w{rnd.randrange(10**6)}" for _ in range(10)) + "." for _ in range(n))
+
+
+def odd_rows():
+    a, near = prose(1), prose(1).replace("\n", " \n", 1)
+    near = " ".join([*near.split()[:-1], "changed."])
+    return [
+        (1, a, "en", "src1", 1), (1, a, "en", "src1", 1), (2, near, "en", "src1", 1), (None, a, "en", "src1", 1), (None, prose(2), None, None, None),
+        (3, None, "en", "src1", 1), (4, "", "en", "src1", 1), (5, prose(5), None, None, 1), (6, prose(6), "en", "src2", 1), (7, prose(7), "en", "src2", 1),
+    ]
+
+
+def test_stages_take_null_ids_repeated_rows_null_texts_and_ties(spark):
+    """Each stage on rows that no stage before it would have passed on."""
+    rows = odd_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    stage = dict(corpus_pipeline.STAGES)
+    run = lambda name: [tuple(r) for r in stage[name](spark, df, None).collect()]
+    count = lambda got: collections.Counter(r[0] for r in got)
+
+    got = run("quality_rules")
+    assert count(got) == {1: 2, 2: 1, None: 2, 5: 1, 6: 1, 7: 1}
+    assert {r[1] for r in got if r[0] == 1} == {rows[0][1]}
+
+    got = run("line_dedup")
+    text = collections.defaultdict(set)
+    for r in got:
+        text[r[0]].add(r[1])
+    assert len(got) == len(rows) and text[1] == {rows[0][1]} and text[None] == {rows[3][1], rows[4][1]} and text[3] == text[4] == {""}
+
+    got = run("minhash_near_dedup")
+    assert count(got) == {1: 1, None: 2, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1}
+
+    got = count(run("source_mixing"))
+    assert got[1] in (0, 2) and set(got) <= {r[0] for r in rows} and sum(got.values()) >= 4
+
+    pieces = stage["best_fit_packing"](spark, df, None).collect()
+    assert count([(p.doc_id,) for p in pieces]) == {1: 2, 2: 1, None: 2, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1}
+    assert sorted(p.length for p in pieces if p.doc_id in (3, 4)) == [1, 1]
+    check_sequences(pieces)
+
+
+def test_stages_give_the_same_rows_in_any_order(spark):
+    """Ties are broken by what rows hold, not by where they lie."""
+    rows = odd_rows()
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        one, two = (sorted(map(repr, map(tuple, stage(spark, spark.createDataFrame(r, schema).repartition(n), None).collect()))) for r, n in ((rows, 1), (rows[::-1], 4)))
+        assert one == two, name

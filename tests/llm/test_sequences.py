@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkfolio.llm import lattice, queries, repair, runs, token_files
+from sparkfolio.llm import chat, lattice, queries, repair, runs, token_files
 
 ODD_SCHEMA = "doc_id long, text string, n_words string, runs int, start string"
 
@@ -315,3 +315,15 @@ def test_links_of_long_and_short_vectors_against_all_pairs(spark, dim, kind):
     want = close.sum(axis=1) - (labels > 0)
     assert want.sum() > 40
     assert sum(got.values()) >= 0.99 * want.sum() and all(got[i] <= want[i] for i in got)
+
+
+# -- chat ---------------------------------------------------------------------------------------------------------
+
+
+def test_turns_with_columns_of_clashing_names_format_as_those_without(spark):
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"text {c} {t} #<\\") for c in range(5) for t in range(4)]
+    plain = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    names = ["turns", "blocks", "parts", "sized", "starts", "formatted", "loss_spans", "t"]
+    clash = plain.select("*", *[F.lit("clash").alias(n) for n in names])
+    assert chat.format_conversations(clash).columns == ["conv_id", "formatted", "loss_spans"]
+    assert sorted(map(str, chat.format_conversations(clash).collect())) == sorted(map(str, chat.format_conversations(plain).collect()))
