@@ -59,8 +59,8 @@ class WordEncoder:
                 self.ids = {}
         split = [_chunks(t) if t else [] for t in texts]
         found = [list(map(self.ids.get, ws)) for ws in split]
-        gaps = [k for k, got in enumerate(found) if None in got]
-        new = list({w for k in gaps for w, ids in zip(split[k], found[k], strict=True) if ids is None})
+        gaps = [(k, [i for i, ids in enumerate(got) if ids is None]) for k, got in enumerate(found) if None in got]
+        new = list({split[k][i] for k, places in gaps for i in places})
         marked: list[tuple[bytes, str, str]] = []
         plain, other = set(), []
         for raw in new:
@@ -81,8 +81,10 @@ class WordEncoder:
                 self.ids.update(zip((w.encode("utf-8", "replace") for w in part), ids(part), strict=True))
         for raw, word, mark in marked:
             self.ids[raw] = self.ids[word.encode()] + self.marks[mark]
-        for k in gaps:
-            found[k] = list(map(self.ids.__getitem__, split[k]))
+        for k, places in gaps:
+            got, ws = found[k], split[k]
+            for i in places:
+                got[i] = self.ids[ws[i]]
         return [b"".join(got) for got in found]
 
     def _alone(self, words: list[str]) -> list[bytes]:
