@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkfolio.functions import expressions as x
@@ -228,6 +228,49 @@ def m9_mechanism_evidence(spark, sf_dir):
     )
 
 
+#: Settings of an alpha as its row has them, and the data set of a field, by order and name; some are missing.
+_SETTINGS = """CASE WHEN id % 9 = 0 THEN NULL ELSE '{{"universe": ' || CASE WHEN id % 4 = 0 THEN '""' ELSE '"TOP' || CAST(1000 * (id % 3 + 1) AS {text}) || '"' END || ', "delay": ' || CAST(id % 2 AS {text}) || ', "decay": ' || CAST(id % 23 AS {text})
+  || ', "truncation": ' || CASE id % 5 WHEN 0 THEN '0' WHEN 1 THEN '0.04' WHEN 2 THEN '0.06' WHEN 3 THEN '0.1' ELSE 'null' END || '}}' END"""
+_DATASET = "CASE WHEN field LIKE 'implied%' THEN 'option8' WHEN field LIKE 'pcr%' THEN 'option9' WHEN field LIKE 'anl4%' THEN 'analyst4' WHEN field IN ('close', 'open', 'volume', 'returns') THEN 'pv1' WHEN field IN ('assets', 'debt', 'equity', 'cap') THEN 'fundamental6' END"
+_GOOD = ("GOOD", "EXCELLENT", "SPECTACULAR")
+
+
+def settings_context(settings: Column) -> Column:
+    """Universe, neutralization, delay and buckets of decay and truncation of settings in JSON, joined by bars; what is missing or empty is unknown, or the default."""
+    j = F.from_json(settings, "universe string, neutralization string, delay string, decay int, truncation double")
+    known = lambda c: F.coalesce(F.nullif(j[c], F.lit("")), F.lit("unknown"))
+    decay, truncation = F.coalesce(j["decay"], F.lit(0)), F.coalesce(F.nullif(j["truncation"], F.lit(0.0)), F.lit(0.08))
+    of_decay = F.when(decay == 0, "0").when(decay <= 8, "1-8").when(decay <= 16, "9-16").otherwise("17+")
+    of_truncation = F.when(truncation <= 0.04, "<=.04").when(truncation < 0.08, ".04-.08").otherwise(">=.08")
+    delay = F.concat(F.lit("d"), F.coalesce(j["delay"], F.lit("unknown")))
+    return F.concat_ws("|", known("universe"), known("neutralization"), delay, F.concat(F.lit("decay:"), of_decay), F.concat(F.lit("trunc:"), of_truncation))
+
+
+_CONTEXT_SQL = """concat_ws('|', coalesce(nullif(settings ->> '$.universe', ''), 'unknown'), coalesce(nullif(settings ->> '$.neutralization', ''), 'unknown'), 'd' || coalesce(settings ->> '$.delay', 'unknown'),
+  'decay:' || CASE WHEN decay = 0 THEN '0' WHEN decay <= 8 THEN '1-8' WHEN decay <= 16 THEN '9-16' ELSE '17+' END, 'trunc:' || CASE WHEN truncation <= 0.04::DOUBLE THEN '<=.04' WHEN truncation < 0.08::DOUBLE THEN '.04-.08' ELSE '>=.08' END)"""
+
+
+@query("m9_context_evidence", f"""WITH {ALPHAS}, s AS (SELECT *, CAST({_SETTINGS.format(text="VARCHAR")} AS JSON) AS settings FROM alphas),
+  c AS (SELECT *, coalesce(CAST(settings ->> '$.decay' AS INTEGER), 0) AS decay, coalesce(nullif(CAST(settings ->> '$.truncation' AS DOUBLE), 0), 0.08::DOUBLE) AS truncation FROM s),
+  m AS (SELECT DISTINCT field, {_DATASET} AS dataset FROM (SELECT unnest(regexp_extract_all(expression, '[A-Za-z_][A-Za-z0-9_]*')) AS field FROM alphas)),
+  d AS (SELECT expression, string_agg(dataset, '+' ORDER BY dataset) AS datasets FROM (SELECT DISTINCT expression, dataset FROM (SELECT expression, unnest(regexp_extract_all(expression, '[A-Za-z_][A-Za-z0-9_]*')) AS field FROM (SELECT DISTINCT expression FROM alphas)) JOIN m USING (field) WHERE dataset IS NOT NULL) GROUP BY expression)
+  SELECT {x.sql_family('expression')} || '|' || coalesce(datasets, 'unmapped') || '|' || {_CONTEXT_SQL} AS context, count(*) AS attempts, count(*) FILTER (grade IN {_GOOD}) AS good, count(*) FILTER (outcome IN ('passed', 'flagged')) AS gates_passed, count(*) FILTER (outcome = 'passed') AS passed,
+  count(self_correlation) AS self_corr_checked, count(*) FILTER (self_correlation < 0.70) AS self_corr_passed, {r('avg(sharpe)')} AS mean_sharpe FROM c LEFT JOIN d USING (expression) GROUP BY ALL""")
+def m9_context_evidence(spark, sf_dir):
+    """Evidence by research context: mechanism, the data sets of the fields used, and settings. Fields are looked up once for each distinct expression."""
+    a = alphas(spark, sf_dir)
+    names = lambda e: F.regexp_extract_all(e, F.lit(f"({x.NAME})"), F.lit(1))
+    fields = a.select("expression").distinct().select("expression", F.explode(F.array_distinct(names(F.col("expression")))).alias("field"))
+    metadata = fields.select("field").distinct().withColumn("dataset", F.expr(_DATASET)).where("dataset is not null")
+    of = fields.join(metadata, "field").groupBy("expression").agg(F.array_join(F.array_sort(F.collect_set("dataset")), "+").alias("datasets"))  # data sets of one expression
+    c = a.withColumn("settings", F.expr(_SETTINGS.format(text="STRING"))).join(of, "expression", "left")
+    context = F.concat_ws("|", x.family(F.col("expression")), F.coalesce("datasets", F.lit("unmapped")), settings_context(F.col("settings")))
+    return c.groupBy(context.alias("context")).agg(
+        F.count("*").alias("attempts"), F.count_if(F.col("grade").isin(*_GOOD)).alias("good"), F.count_if(F.col("outcome").isin("passed", "flagged")).alias("gates_passed"), F.count_if(F.col("outcome") == "passed").alias("passed"),
+        F.count("self_correlation").alias("self_corr_checked"), F.count_if(F.col("self_correlation") < 0.70).alias("self_corr_passed"), rounded(F.avg("sharpe")).alias("mean_sharpe"),
+    )
+
+
 TARGET = 30
 
 
@@ -267,6 +310,28 @@ def m12_tried_expressions(spark, sf_dir):
     return t.select("expression", "latest", "flagged", "validated", F.array_join(x.operators(F.col("expression")), ",").alias("operators"))
 
 
+#: Evidence of a proposal as its row has it; some have none, and some no skeptic.
+_EVIDENCE = """CASE WHEN id % 13 = 0 THEN NULL ELSE '{{"source": "miner", "self_correlation": ' || CASE WHEN id % 6 = 0 THEN 'null' ELSE CAST(id % 100 AS {text}) || 'e-2' END
+  || CASE WHEN id % 7 = 0 THEN '' ELSE ', "skeptic": {{"risk_level": "' || CASE id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END || '", "concerns": ["c' || CAST(id % 3 AS {text}) || '"]}}' END || '}}' END"""
+#: A pending proposal needs scrutiny from this correlation with a saved factor on; how many the briefing holds.
+RISKY_CORRELATION, PENDING = 0.5, 50
+
+
+@query("m12_pending_briefing", f"""WITH {ALPHAS}, p AS (SELECT id, expression, CAST({_EVIDENCE.format(text="VARCHAR")} AS JSON) AS ev FROM alphas WHERE outcome = 'flagged' ORDER BY id DESC LIMIT {PENDING}),
+  q AS (SELECT id, expression, ev ->> '$.source' AS source, coalesce(CAST(ev ->> '$.self_correlation' AS DOUBLE), 0) AS self_correlation, ev ->> '$.skeptic.risk_level' AS risk_level, CAST(coalesce(json_array_length(ev, '$.skeptic.concerns'), 0) AS BIGINT) AS n_concerns FROM p)
+  SELECT *, CASE WHEN coalesce(risk_level IN ('medium', 'high'), false) OR self_correlation >= {RISKY_CORRELATION}::DOUBLE THEN 'flagged' ELSE 'validated' END AS bucket FROM q""")
+def m12_pending_briefing(spark, sf_dir):
+    """The newest pending proposals: flagged by the skeptic's risk or by correlation with a saved factor, else validated."""
+    p = alphas(spark, sf_dir).where("outcome = 'flagged'").select("id", "expression").orderBy(F.desc("id")).limit(PENDING)
+    ev = F.from_json(F.expr(_EVIDENCE.format(text="STRING")), "source string, self_correlation double, skeptic struct<risk_level:string,concerns:array<string>>")
+    q = p.withColumn("ev", ev).select(
+        "id", "expression", F.col("ev.source").alias("source"), F.coalesce("ev.self_correlation", F.lit(0.0)).alias("self_correlation"), F.col("ev.skeptic.risk_level").alias("risk_level"),
+        F.coalesce(F.size("ev.skeptic.concerns"), F.lit(0)).cast("long").alias("n_concerns"),
+    )
+    risky = F.coalesce(F.col("risk_level").isin("medium", "high"), F.lit(False)) | (F.col("self_correlation") >= RISKY_CORRELATION)
+    return q.withColumn("n_concerns", F.greatest("n_concerns", F.lit(0))).withColumn("bucket", F.when(risky, "flagged").otherwise("validated"))
+
+
 # -- caller's operators ---------------------------------------------------------------------------------------------
 
 
