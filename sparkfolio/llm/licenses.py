@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Phrases whose every place counts, with their labels.
+#: Phrases whose every place counts, with their labels, unless a caller has others.
 PHRASES = (
     ("mit", "the mit license"),
     ("apache-2", "apache license version 2"),
@@ -39,9 +39,10 @@ def read_templates(path: str | Path = TEMPLATE_FILE) -> list[tuple[str, str]]:
         return [tuple(line.rstrip("\n").split("\t", 1)) for line in f if "\t" in line]
 
 
-def words(text: str | None) -> list[bytes]:
-    """Words of a text as UTF-8, A-Z in lower case."""
-    return text.encode("utf-8", "replace").translate(_WORDS).split() if text else []
+def words(text: str | bytes | None) -> list[bytes]:
+    """Words of a text as bytes, UTF-8 or not, A-Z in lower case."""
+    raw = text.encode("utf-8", "replace") if isinstance(text, str) else text
+    return raw.translate(_WORDS).split() if raw else []
 
 
 @dataclass
@@ -256,6 +257,7 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, templates: list[tuple[str, s
     a phrase stands.
 
     * Null and empty texts have no words, no places (first_word and last_word null) and empty labels.
+    * Texts are read as bytes; those that are no valid UTF-8 are scanned like others, their bytes beyond ASCII parts of words.
     * Rows are scanned one by one: repeated rows and null ids come back as they are; other columns are ignored.
     * A stretch of a file is only streamed where as many words in a row are license words as a match (``MIN_MATCH``) or the
       shortest phrase needs.
@@ -284,4 +286,4 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, templates: list[tuple[str, s
             columns = list(zip(*out, strict=True)) if out else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, schema)

@@ -183,10 +183,14 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+#: The phrases of op4 with their labels.
+_PHRASES = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
+
+
 @_query
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases, labels and scores of all documents."""
-    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), _PHRASES).drop("spans")
 
 
 @_query

@@ -450,6 +450,29 @@ def test_every_place_of_a_phrase_is_found_in_random_texts():
         assert set(scanner.scan(tokens)[0]) == want
 
 
+def test_license_query_counts_the_phrases_it_is_given_in_texts_of_any_bytes(spark, tmp_path):
+    from sparkfolio.llm import queries
+
+    rnd = random.Random(12)
+    given = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+    pieces = [*given, "Under The", "MIT-License", "the mit license", "Apache License, Version 2.0", "CC-BY", "nc", "by nc", "é", "x", "under"]
+    texts = [None, "", "under the mit licenseé", "the mit license", "cc by nc by nc cc by nc"]
+    texts += ["".join(rnd.choice(pieces) + rnd.choice([" ", "\n", "\x00", "\x7f", ", ", "\u00a0"]) for _ in range(rnd.randrange(12))) for _ in range(200)]
+    raw = [t if t is None else t.encode() for t in texts] + [b"\xff under the mit license, cc by nc \xfe", b"cc by nc\xe9"]
+    rows = spark.createDataFrame(list(enumerate(raw)), "doc_id long, text binary")
+    rows.withColumn("text", rows["text"].cast("string")).write.parquet(str(tmp_path / "documents.parquet"))
+    got = by_id(queries.op4_license_scan(spark, str(tmp_path)))
+    assert len(got) == len(raw)
+    for i, t in enumerate(raw):
+        tokens = [x.lower() for x in re.findall(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t or b"")]
+        places = sorted((k, label) for phrase, label in given.items() for k in range(len(tokens)) if tokens[k : k + len(phrase.split())] == phrase.encode().split())
+        first, last = (places[0][0], places[-1][0]) if places else (None, None)
+        want = (len(tokens), len(places), first, last, ",".join(sorted({x for _, x in places})))
+        assert (got[i].n_words, got[i].n_base, got[i].first_word, got[i].last_word, got[i].base_labels) == want, t
+        assert set(want[4].split(",")) - {""} <= set(got[i].labels.split(","))
+    assert (got[3].n_base, got[3].labels, got[3].score) == (0, "mit", 1.0)  # a template, no phrase
+
+
 def test_page_layout(spark):
     html = "<head><title>t</title></head><p>One<p>Two <b>bold</b><ul><li>a<li>b<ol><li>x<li>y</ol></ul><table><tr><th>Name<th>N<tr><td>Al<td>12</table><div hidden>no</div><div style='display: none'>no</div><pre>a\n\n  b</pre><script>x<p></script>end<br>&amp; more"
     assert html_text.page_text(html) == "One\n\nTwo bold\n\n- a\n- b\n  1. x\n  2. y\n\nName  N\nAl    12\n\na\n\n  b\n\nend\n& more"
