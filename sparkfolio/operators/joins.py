@@ -25,17 +25,20 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right
 
 
 def next_after(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: list[str]) -> DataFrame:
-    """``left`` with the values of the first ``right`` row strictly after its time; null after the last.
+    """``left`` with the values of the first ``right`` row strictly after its time; null after the last, and where key or time is null.
 
-    As in :func:`asof_join` both sides form one sorted history per key; here the next right row is carried back, and on
-    equal times right rows come first, so that they are not the left row's next ones.
+    As in :func:`asof_join` both sides form one sorted history per key.  It is sorted backwards, so that the right row to come is
+    carried by a frame that only grows: a frame up to the history's end would be read anew for each row.  On equal times left
+    rows come first, so that those right rows are not their next ones.
     """
     carried = F.struct(F.col(right_time), *[F.col(v) for v in values])
-    a = right.select(F.col(key), F.col(right_time).alias("_t"), F.lit(0).alias("_side"), carried.alias("_r"))
+    known = right.where(F.col(key).isNotNull() & F.col(right_time).isNotNull())
+    a = known.select(F.col(key), F.col(right_time).alias("_t"), F.lit(0).alias("_side"), carried.alias("_r"))
     kept = F.struct(*[F.col(c) for c in left.columns])
     b = left.select(F.col(key), F.col(left_time).alias("_t"), F.lit(1).alias("_side"), kept.alias("_l"))
-    history = Window.partitionBy(key).orderBy("_t", "_side").rowsBetween(1, Window.unboundedFollowing)
-    joined = a.unionByName(b, allowMissingColumns=True).withColumn("_r", F.first("_r", ignorenulls=True).over(history)).where("_side = 1")
+    history = Window.partitionBy(key).orderBy(F.desc("_t"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
+    after = F.when(F.col("_t").isNotNull(), F.last("_r", ignorenulls=True).over(history))
+    joined = a.unionByName(b, allowMissingColumns=True).withColumn("_r", after).where("_side = 1")
     return joined.select("_l.*", *[F.col("_r")[c].alias(c) for c in (right_time, *values)])
 
 
