@@ -97,7 +97,7 @@ def io6_insider_forms(spark, sf_dir):
   SELECT ticker, period, CASE WHEN first <= period + 120 THEN first ELSE period + 45 END AS filing_date FROM n""")
 def io10_filing_dates(spark, sf_dir):
     """The first announcement after a period's end within 120 days, else 45 days after it."""
-    f = filings(spark, sf_dir).select("ticker", "filing_date")
+    f = filings(spark, sf_dir).select("ticker", "filing_date").distinct()  # a ticker's dates, however many statements they have
     periods = f.select("ticker", F.last_day("filing_date").alias("period")).distinct()
     n = next_after(periods, f, "ticker", "period", "filing_date", [])
     late = F.coalesce(F.datediff("filing_date", "period") <= 120, F.lit(False))
