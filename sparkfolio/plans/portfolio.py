@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkfolio.functions import normal
@@ -239,13 +239,19 @@ def b19_overfit_flag(spark, sf_dir):
     return s.select(rounded(F.col("train")).alias("train_sharpe"), rounded(F.col("test")).alias("test_sharpe"), rounded(F.col("decay")).alias("decay"), ((F.col("train") > 0.5) & (F.col("decay") > 0.5)).alias("overfit"))
 
 
+def weight_text(weight: Column) -> Column:
+    """A weight to four places as plain digits with one after the point at least; a short one that rounds to nothing keeps its sign."""
+    places = F.signum(weight) * F.floor(F.abs(weight) * 10_000 + 0.5) / 10_000
+    return F.regexp_replace(F.format_string("%.4f", places), "0{1,3}$", "")
+
+
 @query("b20_basket_breakdown", f"""WITH {DAYS}, nm AS (SELECT date, string_agg(ticker || ':' || round(weight, 4), ',' ORDER BY ticker) FILTER (weight > 0) AS longs, string_agg(ticker || ':' || round(weight, 4), ',' ORDER BY ticker) FILTER (weight < 0) AS shorts FROM bk GROUP BY date)
   SELECT date, longs, shorts, {r('coalesce(net, 0)')} AS daily_return, {r('ic')} AS daily_ic FROM nm JOIN days USING (date)""")
 def b20_basket_breakdown(spark, sf_dir):
     """Names and weights of both sides of each date, with its return and IC."""
     f = staged(weekly_factor(spark, sf_dir).select("date", "ticker", "factor", "fwd", "close", "volume"))
     bk = b.book(f)
-    names = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("ticker", "weight")))), lambda t: F.concat_ws(":", t["ticker"].cast("string"), F.round(t["weight"], 4).cast("string"))), ",")
+    names = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("ticker", "weight")))), lambda t: F.concat_ws(":", t["ticker"].cast("string"), weight_text(t["weight"]))), ",")
     baskets = bk.groupBy("date").agg(names(F.col("weight") > 0).alias("longs"), names(F.col("weight") < 0).alias("shorts"))
     days = with_ic(b.charged_returns(bk), f)
     or_null = lambda c: F.when(F.col(c) != "", F.col(c)).alias(c)

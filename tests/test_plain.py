@@ -165,6 +165,15 @@ def test_first_row_after_a_time_is_carried_by_a_growing_frame(spark):
     assert "unboundedfollowing" not in df._jdf.queryExecution().toString().lower()
 
 
+def test_small_weights_are_written_as_sql_does(spark):
+    """From a thousand names a side on a weight is under 0.001, which Spark's cast writes as 9.0E-4."""
+    duckdb = pytest.importorskip("duckdb")
+    w = [s / n for s in (1, -1) for n in [*range(1, 3000), 4000, 12000, 12001, 19999, 20000, 20001, 72000, 400_000]]
+    got = [r.t for r in spark.createDataFrame([(x,) for x in w], "w double").coalesce(1).select(portfolio.weight_text(F.col("w")).alias("t")).collect()]
+    want = [r[0] for r in duckdb.connect().execute("SELECT '' || round(w, 4) FROM (SELECT unnest($1::DOUBLE[]) AS w)", [w]).fetchall()]
+    assert got == want
+
+
 def test_quantiles_by_ranges_are_exact(spark):
     rnd = random.Random(6)
     x = [rnd.choice([rnd.gauss(0, 1), 0.0, 5.0]) for _ in range(5000)]
