@@ -276,8 +276,8 @@ def st1_story_stream(spark, sf_dir):
 @query("st2_mood_stream", f"""WITH w AS (SELECT user_id AS ticker, value, unnest(generate_series(time_bucket(INTERVAL 15 MINUTE, ts) + INTERVAL 15 MINUTE, time_bucket(INTERVAL 15 MINUTE, ts) + INTERVAL 24 HOUR, INTERVAL 15 MINUTE)) AS slice_end FROM events WHERE ts IS NOT NULL)
   SELECT slice_end, ticker, {r('avg(value)')} AS mean, count(*) AS n FROM w GROUP BY ALL""")
 def st2_mood_stream(spark, sf_dir):
-    """The mean of each ticker's last day, anew every quarter of an hour."""
-    out = jobs.run_updates(jobs.trailing_mood(jobs.read_events(spark, sf_dir)), ["at", "ticker"])
+    """The mean of each ticker's last day, anew every quarter of an hour: the stream adds up slices, of which moods are made."""
+    out = jobs.moods_of_slices(jobs.mood_slices(jobs.read_events(spark, sf_dir)))
     return out.select(F.col("at").cast("timestamp_ntz").alias("slice_end"), "ticker", rounded(F.col("mean")).alias("mean"), "n")
 
 

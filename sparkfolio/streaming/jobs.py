@@ -39,11 +39,56 @@ def fresh_stories(events: DataFrame, documents: DataFrame, late: str = "1 day")
 
 
 def trailing_mood(events: DataFrame, length: str = "24 hours", slide: str = "15 minutes", late: str = "1 hour") -> DataFrame:
-    """Trailing mean and count of values per ticker, refreshed each slice (rows are updated until the watermark passes)."""
+    """Trailing mean and count of values per ticker, refreshed each slice (rows are updated until the watermark passes).
+
+    An event is in as many windows of the state as ``length`` has slides: this is for increments.  A backlog goes through
+    :func:`mood_slices` and :func:`moods_of_slices`.
+    """
     grouped = events.withWatermark("ts", late).groupBy(F.window("ts", length, slide).alias("w"), F.col("user_id").alias("ticker"))
     return grouped.agg(F.avg("value").alias("mean"), F.count("*").alias("n")).select(F.col("w.end").alias("at"), "ticker", "mean", "n")
 
 
+#: The slice of :func:`trailing_mood`'s defaults, and how many of them a mood looks back on.
+SLICE_S, SLICES = 900, 96
+
+
+def mood_slices(events: DataFrame) -> DataFrame:
+    """ticker, slice, sum, known and n of the stream's values by quarters of an hour, of all that is there now.
+
+    Sums and counts add up over batches, so no batch needs the ones before it: each writes its own under its number, and again
+    there when it is repeated.  There is no state to bound, and late events count, however late.
+    """
+    spark = events.sparkSession
+    at = new_folder(spark, "stream")
+    part = events.where("ts is not null").select(F.col("user_id").alias("ticker"), F.floor(F.unix_timestamp("ts") / SLICE_S).alias("slice"), "value")
+
+    def put(batch: DataFrame, number: int) -> None:
+        sums = batch.groupBy("ticker", "slice").agg(F.sum("value").alias("sum"), F.count("value").alias("known"), F.count("*").alias("n"))
+        sums.write.mode("overwrite").parquet(f"{at}/data/part={number}")
+
+    part.writeStream.option("checkpointLocation", f"{at}/state").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+    kinds = dict(part.dtypes)
+    data = spark.read.schema(f"ticker {kinds['ticker']}, slice long, sum double, known long, n long").parquet(f"{at}/data")
+    return data.groupBy("ticker", "slice").agg(*[F.sum(c).alias(c) for c in ("sum", "known", "n")])
+
+
+def moods_of_slices(slices: DataFrame, length: int = SLICES) -> DataFrame:
+    """at, ticker, mean and n of the last ``length`` slices, for each slice's end that has any of them.
+
+    A mood changes where a slice comes in and where one goes out.  So a ticker's history has two rows for each slice, each
+    with the sum of the slices it looks back on, and a row's mood is given out for all ends up to the next change.
+    """
+    comes = slices.select("ticker", (F.col("slice") + 1).alias("end"), "sum", "known", "n")
+    zero = F.lit(0).cast("long")
+    goes = slices.select("ticker", (F.col("slice") + 1 + length).alias("end"), F.lit(None).cast("double").alias("sum"), zero.alias("known"), zero.alias("n"))
+    own = Window.partitionBy("ticker").orderBy("end")
+    back = own.rangeBetween(-(length - 1), 0)
+    changes = comes.unionByName(goes).select("ticker", "end", F.lead("end").over(own).alias("next"), *[F.sum(c).over(back).alias(c) for c in ("sum", "known", "n")])
+    held = changes.where("n > 0 and next > end")  # of changes at one end the last one tells
+    ends = held.select("ticker", F.explode(F.sequence("end", F.col("next") - 1)).alias("end"), F.try_divide("sum", "known").alias("mean"), "n")
+    return ends.select(F.timestamp_seconds(F.col("end") * SLICE_S).alias("at"), "ticker", "mean", "n")
+
+
 def reactions(events: DataFrame, bars: DataFrame, span: str = "60 minutes", late: str = "2 hours") -> DataFrame:
     """Events of a stream beside the bars of another within a span after them: an interval join whose state both watermarks bound."""
     e = events.select(F.col("event_id"), F.col("user_id").alias("ticker"), F.col("ts").alias("event_at")).withWatermark("event_at", late)

@@ -83,6 +83,31 @@ def test_bars_and_moods_over_batches(spark, tmp_path):
     assert {(r["at"], r.ticker): (r.n, round(r["mean"], 6)) for r in moods.collect()} == {k: (n, round(s / n, 6)) for k, (n, s) in sums.items()}
 
 
+def test_moods_of_slices_against_plain_python(spark, tmp_path, monkeypatch):
+    """Slices add up over batches; a mood is given out for each end in a day of an event, and for no other.  No event is in 96 windows of a state."""
+    from sparkfolio.plans import registry
+
+    rnd = random.Random(11)
+    start = dt.datetime(2024, 1, 1)
+    times = [start + dt.timedelta(minutes=k) for k in (0, 15, 30, 1440, 1455, 2895)] + [start + dt.timedelta(seconds=rnd.randrange(7 * 86400)) for _ in range(90)]
+    rows = [(i, t, rnd.choice([0, 0, 1, None]), rnd.choice([None, 1.5, 40.0, 0.25])) for i, t in enumerate([*times, *times[:9], None])]
+    rnd.shuffle(rows)
+    sums = {}
+    for _, ts, ticker, v in rows:
+        if ts:
+            quarter = start + (ts - start) // dt.timedelta(minutes=15) * dt.timedelta(minutes=15)
+            for k in range(1, 97):
+                sums.setdefault((quarter + k * dt.timedelta(minutes=15), ticker), []).append(v)
+    known = lambda x: [v for v in x if v is not None]
+    want = {k: (len(x), sum(known(x)) / len(known(x)) if known(x) else None) for k, x in sums.items()}
+    moods = jobs.moods_of_slices(jobs.mood_slices(in_batches(spark, tmp_path, rows, EVENTS))).collect()
+    assert len(moods) == len(want) and {(r["at"], r.ticker): (r.n, r["mean"]) for r in moods} == want
+    spark.createDataFrame([], EVENTS).write.parquet(f"{tmp_path}/none/events.parquet")
+    assert jobs.moods_of_slices(jobs.mood_slices(jobs.read_events(spark, f"{tmp_path}/none"))).count() == 0
+    monkeypatch.setattr(jobs, "trailing_mood", None)
+    assert registry.QUERIES["st2_mood_stream"](spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_cards_go_on_after_a_restart_and_their_state_ends_with_the_day(spark, tmp_path):
     """A second run takes up the held tiers; the state reader shows those of days the watermark has not left, and no others."""
     from sparkfolio.plans.more import BAND, held_tiers
