@@ -46,14 +46,26 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return path
 
 
-def staged(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame:
+#: Whether the shuffle files of a query go when it has ended.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def staged(df: DataFrame, *, partition_by: list[str] | None = None, tidy: bool = False) -> DataFrame:
     """``df`` written once and read back: lineage ends here and no executor's loss reaches behind it.
 
-    The files go when the driver's Python ends, or with :func:`unstage`.
+    The files go when the driver's Python ends, or with :func:`unstage`.  With ``tidy`` the shuffle files of the write go when it
+    is done, not when the driver next collects its garbage: for tables of a small result from a large input, one after the other.
     """
     spark = df.sparkSession
     path = new_folder(spark, "staged")
-    df.write.partitionBy(*(partition_by or [])).parquet(path)
+    before = spark.conf.get(_TIDY, None)
+    if tidy:
+        spark.conf.set(_TIDY, "true")
+    try:
+        df.write.partitionBy(*(partition_by or [])).parquet(path)
+    finally:
+        if tidy:
+            spark.conf.set(_TIDY, before) if before is not None else spark.conf.unset(_TIDY)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[id(out)] = (out, path)
     return out

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparkfolio.functions import normal
 from sparkfolio.functions.staging import staged
 from sparkfolio.operators import backtest as b
-from sparkfolio.operators import resample
+from sparkfolio.operators import cuts, resample
 from sparkfolio.operators.expression import evaluate, evaluate_many, evaluate_wide
 from sparkfolio.operators.joins import global_ordinal
 from sparkfolio.plans.backtests import CORR
@@ -272,6 +272,12 @@ _WLONG = " UNION ALL ".join(f"SELECT '{n}' AS strategy, date, ticker, v AS facto
 MANY = f"{WPANEL_SQL}, wl AS ({_WLONG}), {_book_sql('wl', 'strategy, ')}"
 
 
+def many_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """date, ticker, close, volume, fwd and a column for each factor of ``WEEKLY``, as they lie by ticker."""
+    base = panel_weekly(spark, sf_dir, places=False).withColumn("fwd", b.forward_return(1))
+    return evaluate_wide(base, {n: e for n, (e, _, _) in WEEKLY.items()}).select("date", "ticker", "close", "volume", "fwd", *WEEKLY)
+
+
 def many_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As :func:`book_days`, with ``strategy``, of all factors of ``WEEKLY`` in one pass."""
     base = staged(panel_weekly(spark, sf_dir))
@@ -509,11 +515,8 @@ _FAMILY = "CASE name " + " ".join(f"WHEN '{n}' THEN '{f}'" for n, (_, _, f) in W
   SELECT name, strategy AS variant, family, stage, {r('score')} AS score FROM fm WHERE in_family <= {PER_FAMILY} ORDER BY stage, round(fm.score, 9) DESC, name LIMIT {PICKS}""")
 def b30_selection_funnel(spark, sf_dir):
     """Variants of each factor chosen on the train split, filtered by significance, stability over variants and regimes, and picked by tier with two of a family at most."""
-    base = staged(panel_weekly(spark, sf_dir))
-    ahead = base.select("date", "ticker", "close", "volume", b.forward_return(1).alias("fwd"))
-    long = evaluate_many(base, {n: e for n, (e, _, _) in WEEKLY.items()}).withColumnRenamed("value", "factor").join(ahead, ["date", "ticker"])
-    long = long.withColumn("top", F.explode(F.array(*[F.lit(t) for t in TOPS]))).withColumn("strategy", F.concat_ws("|", "factor_name", F.col("top").cast("string")))
-    days = book_days_by(staged(long.drop("factor_name")), "strategy").withColumn("split", split_of(F.col("k"), F.col("size")))
+    books = {f"{n}|{t}": (n, t) for n in WEEKLY for t in TOPS}
+    days = cuts.book_days(many_factors(spark, sf_dir), books, ["date"]).withColumn("split", split_of(F.col("k"), F.col("size")))
     test = staged(days.where("split = 'test'").join(regimes(spark, sf_dir).select("date", "bench", "regime"), "date"))
     name = F.split_part(F.col("strategy"), F.lit("|"), F.lit(1))
     train_psr = probable_sharpe(days.where("split = 'train'"), ["strategy"], TRIALS).select("strategy", F.col("psr").alias("train_psr"))

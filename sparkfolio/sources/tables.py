@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkfolio.sources.market import densify, table
+from sparkfolio.sources.market import table
 
 #: How many tickers filings and orders are dealt to.
 TICKERS = 150
@@ -60,18 +60,45 @@ def bars_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.sum("l_quantity").alias("volume"),
         )
     )
+    return bars.join(_places(spark, sf_dir), "ticker", "left")
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ticker, industry and sector of the suppliers."""
     nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     places = table(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
-    return bars.join(places.select(F.col("s_suppkey").alias("ticker"), F.col("n_name").alias("industry"), F.col("r_name").alias("sector")), "ticker", "left")
+    return places.select(F.col("s_suppkey").alias("ticker"), F.col("n_name").alias("industry"), F.col("r_name").alias("sector"))
+
+
+def weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """date, k (its number from 0) and size of the weeks of ``lineitem``: few rows."""
+    line = Window.partitionBy(F.lit(0)).orderBy("date")
+    dates = table(spark, sf_dir, "lineitem").select(F.date_trunc("week", "l_shipdate").cast("date").alias("date")).distinct()
+    return dates.select("date", (F.row_number().over(line) - 1).alias("k"), F.count("*").over(Window.partitionBy(F.lit(0))).cast("int").alias("size"))
 
 
-def panel_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dense weekly panel: all dates of all tickers, with returns, vwap and dollar_volume."""
-    own = Window.partitionBy("ticker").orderBy("date")
+def panel_weekly(spark: SparkSession, sf_dir: str, places: bool = True) -> DataFrame:
+    """The dense weekly panel: all dates of all tickers, with returns, vwap and dollar_volume; without ``places`` no industry and sector.
+
+    Lines are dealt once, by ticker, and all else is done where they lie: bars, gaps (a bar also makes the empty cells up to the
+    next one, the first also those before it) and the windows of what is asked of the panel by ticker.
+    """
+    order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("ticker"), "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount").repartition("ticker")
+    lines = lines.withColumn("price", F.col("l_extendedprice") / F.col("l_quantity") * (1 - F.col("l_discount"))).withColumn("date", F.date_trunc("week", "l_shipdate").cast("date"))
+    bars = lines.groupBy("ticker", "date").agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("l_quantity").alias("volume"))
+    days, own = F.broadcast(weeks(spark, sf_dir)), Window.partitionBy("ticker").orderBy("date")
+    at = bars.join(days.withColumnRenamed("date", "week"), F.col("date").eqNullSafe(F.col("week")))
+    first = F.when(F.lag("k").over(own).isNull(), 0).otherwise(F.col("k"))
+    gaps = at.withColumn("first", first).withColumn("last", F.coalesce(F.lead("k").over(own), F.col("size")) - 1)
+    here = (F.col("cell") == F.col("k")) & F.col("ticker").isNotNull() & F.col("date").isNotNull()  # null keys meet no bar
+    cells = gaps.withColumn("cell", F.explode(F.sequence("first", "last"))).select("ticker", "cell", *[F.when(here, F.col(c)).alias(c) for c in ("open", "high", "low", "close", "volume")])
+    dense = cells.join(days.select("date", F.col("k").alias("cell")), "cell").select("ticker", "date", "open", "high", "low", "close", "volume")
+    if places:
+        dense = dense.join(_places(spark, sf_dir), "ticker", "left")
     previous = F.lag("close").over(own)
     return (
-        densify(bars_weekly(spark, sf_dir))
-        .withColumn("returns", F.when(previous != 0, F.col("close") / previous - 1))
+        dense.withColumn("returns", F.when(previous != 0, F.col("close") / previous - 1))
         .withColumn("vwap", (F.col("high") + F.col("low") + F.col("close")) / 3)
         .withColumn("dollar_volume", F.col("close") * F.col("volume"))
     )
