@@ -11,7 +11,7 @@ from sparkfolio.functions import normal
 from sparkfolio.functions.staging import staged
 from sparkfolio.operators import backtest as b
 from sparkfolio.operators import cuts, resample
-from sparkfolio.operators.expression import evaluate, evaluate_many, evaluate_wide
+from sparkfolio.operators.expression import evaluate, evaluate_wide
 from sparkfolio.operators.joins import global_ordinal
 from sparkfolio.plans.backtests import CORR
 from sparkfolio.plans.common import query, rounded
@@ -280,11 +280,7 @@ def many_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def many_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As :func:`book_days`, with ``strategy``, of all factors of ``WEEKLY`` in one pass."""
-    base = staged(panel_weekly(spark, sf_dir))
-    ahead = base.select("date", "ticker", "close", "volume", b.forward_return(1).alias("fwd"))
-    long = evaluate_many(base, {n: e for n, (e, _, _) in WEEKLY.items()}).withColumnsRenamed({"factor_name": "strategy", "value": "factor"})
-    f = staged(long.join(ahead, ["date", "ticker"]))
-    return book_days_by(f, "strategy")
+    return cuts.book_days(many_factors(spark, sf_dir), {n: (n, 0.2) for n in WEEKLY}, ["date"])
 
 
 def book_days_by(f: DataFrame, key: str) -> DataFrame:

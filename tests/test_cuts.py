@@ -77,3 +77,20 @@ def test_books_by_cuts_against_plain_python(spark, seed):
 def test_no_dates_give_no_days(spark):
     f = spark.createDataFrame([], "date date, ticker long, a double, fwd double, close double, volume double")
     assert cuts.book_days(f, {"a": ("a", 0.2)}, ["date"]).count() == 0
+
+
+BOOKS = ["b30_selection_funnel", "b21_deflated_sharpe", "b22_bootstrap_interval", "b22_dealt_bootstrap", "b27_candidate_fitness", "m4_incremental_contribution"]
+
+
+@pytest.mark.parametrize("name", BOOKS)
+def test_books_of_the_weekly_panel_lie_by_ticker(spark, monkeypatch, name):
+    """All factors and returns of a query's books come from one exchange of the lines, and no row stands for a strategy."""
+    from sparkfolio.plans import registry
+
+    given = []
+    real = cuts.book_days
+    monkeypatch.setattr(cuts, "book_days", lambda f, *a, **k: given.append(f) or real(f, *a, **k))
+    registry.QUERIES[name](spark, SF)
+    (f,) = given
+    assert [e for e in exchanges(f) if e != "date"] == ["ticker"]
+    assert "strategy" not in f.columns
