@@ -17,7 +17,7 @@ from sparkfolio.plans.backtests import CORR
 from sparkfolio.plans.common import query, rounded
 from sparkfolio.plans.common import sql_rounded as r
 from sparkfolio.plans.factors import WT, full, w
-from sparkfolio.sources.tables import WPANEL_SQL, panel_weekly
+from sparkfolio.sources.tables import WPANEL_SQL, panel_weekly, weeks
 
 TRAIN, PURGE, EMBARGO = 0.7, 5, 5
 TRIALS = 10
@@ -283,29 +283,6 @@ def many_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuts.book_days(many_factors(spark, sf_dir), {n: (n, 0.2) for n in WEEKLY}, ["date"])
 
 
-def book_days_by(f: DataFrame, key: str) -> DataFrame:
-    """``key``, date, k, size, moved, net and ic of the books of many factors (key, date, ticker, factor, fwd, close, volume).
-
-    A column ``top`` is each book's share of names on either side, else it is a fifth.
-    """
-    at, own, line = Window.partitionBy(key, "date"), Window.partitionBy(key, "ticker").orderBy("date"), Window.partitionBy(key).orderBy("date")
-    top = F.col("top") if "top" in f.columns else F.lit(0.2)
-    n = F.count("factor").over(at)
-    share = F.when(F.col("factor").isNotNull() & (n >= 10), F.row_number().over(at.orderBy(F.col("factor").asc_nulls_last(), "ticker")) / n)
-    bk = f.withColumn("share", share).withColumn("long", F.col("share") >= 1 - top).withColumn("short", F.col("share") <= top)
-    count = lambda c: F.sum(F.col(c).cast("int")).over(at)
-    bk = bk.withColumn("weight", F.when(F.col("long"), 1 / count("long")).when(F.col("short"), -1 / count("short")).otherwise(0.0))
-    bk = bk.withColumn("delta", F.abs(F.col("weight") - F.coalesce(F.lag("weight").over(own), F.lit(0.0))))
-    money = F.col("close") * F.col("volume")
-    part = F.when(money > 0, 100 * F.col("delta") * 100_000 / money).otherwise(0.0)
-    daily = bk.groupBy(key, "date").agg(F.sum(F.col("weight") * F.col("fwd")).alias("pnl"), F.sum("delta").alias("moved"), F.sum(F.col("delta") * 2.0 * F.sqrt(part) / 10_000).alias("slipped"), (-F.sum(F.least("weight", F.lit(0.0))) * 50.0 / (10_000 * 252)).alias("lent"))
-    net = F.lag("pnl").over(line) - F.lag(F.col("moved") * 5.0 / 10_000).over(line) - F.lag("slipped").over(line) - F.lag("lent").over(line)
-    daily = daily.select(key, "date", (F.row_number().over(line) - 1).alias("k"), F.count("*").over(Window.partitionBy(key)).alias("size"), "moved", net.alias("net"))
-    pairs = b.pairs(f).withColumn("rf", F.row_number().over(at.orderBy("factor", "ticker"))).withColumn("rr", F.row_number().over(at.orderBy("fwd", "ticker")))
-    ic = pairs.groupBy(key, "date").agg(F.coalesce(F.when(F.count("*") >= 3, b.correlation(F.col("rf"), F.col("rr"))), F.lit(0.0)).alias("ic"))
-    return staged(daily.join(ic, [key, "date"], "left").withColumn("ic", F.coalesce("ic", F.lit(0.0))))
-
-
 @query("b21_deflated_sharpe", f"WITH {MANY}, {_probable_sql('days', 'strategy', len(WEEKLY))} SELECT strategy, n, {r('coalesce(sr, 0) * sqrt(252)')} AS sharpe, {r('skew')} AS skew, {r('excess')} AS excess, {r('lucky')} AS lucky, {r('psr')} AS psr FROM ps")
 def b21_deflated_sharpe(spark, sf_dir):
     """The probability that a strategy's true Sharpe ratio beats the luckiest of as many trials as there are strategies."""
@@ -460,6 +437,8 @@ def b24_perturbation_robustness(spark, sf_dir):
 
 
 FOLDS = 5
+#: Rows before the first test row that its figures rest on: two decisions, each of five returns.
+LEAD_IN = 7
 _FOLD_ROWS = f"""ix AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS t, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM wpanel)),
   fd AS (SELECT i AS fold, CAST(floor(n * CAST(i AS DOUBLE) / {FOLDS}) AS BIGINT) AS lo, CAST(floor(n * CAST(i + 1 AS DOUBLE) / {FOLDS}) AS BIGINT) - 1 AS hi FROM (SELECT DISTINCT n FROM ix) CROSS JOIN (SELECT unnest(range({FOLDS})) AS i)),
   fr AS (SELECT fold, date AS day, t BETWEEN lo AND hi AS test, row_number() OVER (PARTITION BY fold ORDER BY t BETWEEN lo AND hi, t) - 1 AS date FROM ix JOIN fd ON t BETWEEN lo AND hi OR t < lo - {EMBARGO} OR t > hi + {EMBARGO})"""
@@ -474,20 +453,23 @@ _FOLD_ROWS = f"""ix AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS t,
 def b26_purged_folds(spark, sf_dir):
     """Contiguous test blocks with an embargo on both sides; a fold's rows are numbered train first, then test, and scored on the test rows.
 
-    Folds and dates are few; rows of the panel meet them by date, so the panel is read once for each fold.
+    Folds and dates are few; rows of the panel meet them by date.  A test row's figures reach back two decisions, and those
+    seven closes; train rows before that have no part in any of them, so that each date is in little more than one fold.
     """
-    p = staged(panel_weekly(spark, sf_dir).select("date", "ticker", "close", "volume"))
-    ix = p.select("date").distinct().withColumn("t", F.row_number().over(_line()) - 1).withColumn("n", F.count("*").over(Window.partitionBy(F.lit(0))))
+    p = panel_weekly(spark, sf_dir, places=False).select("date", "ticker", "close", "volume")
+    ix = weeks(spark, sf_dir).withColumnsRenamed({"k": "t", "size": "n"})
     edge = lambda i: F.floor(F.col("n") * i.cast("double") / FOLDS).cast("long")
     fr = ix.withColumn("fold", F.explode(F.array(*[F.lit(i).cast("long") for i in range(FOLDS)])))
     fr = fr.withColumn("lo", edge(F.col("fold"))).withColumn("hi", edge(F.col("fold") + 1) - 1).withColumn("test", F.col("t").between(F.col("lo"), F.col("hi")))
     fr = fr.where(F.col("test") | (F.col("t") < F.col("lo") - EMBARGO) | (F.col("t") > F.col("hi") + EMBARGO))
-    fr = fr.withColumn("at", F.row_number().over(Window.partitionBy("fold").orderBy("test", "t")) - 1).select("fold", "date", "at", "test")
-    rows = p.join(F.broadcast(fr), "date").drop("date").withColumnRenamed("at", "date")  # five rows a date
+    fr = fr.withColumn("at", F.row_number().over(Window.partitionBy("fold").orderBy("test", "t")) - 1)
+    lead_in = F.min(F.when(F.col("test"), F.col("at"))).over(Window.partitionBy("fold")) - F.col("at")  # rows before the first test row
+    fr = staged(fr.withColumn("early", F.greatest(lead_in, F.lit(0))).select("fold", "date", "at", "test", "early").where(F.col("early") <= LEAD_IN))
+    rows = p.join(F.broadcast(fr.withColumnRenamed("date", "day")), F.col("date").eqNullSafe(F.col("day"))).drop("date", "day").withColumnRenamed("at", "date")  # five rows a date
     own = Window.partitionBy("fold", "ticker").orderBy("date")
     rows = rows.withColumn("returns", F.when(F.lag("close").over(own) != 0, F.col("close") / F.lag("close").over(own) - 1)).withColumn("fwd", F.when(F.col("close") != 0, F.lead("close").over(own) / F.col("close") - 1))
-    rows = rows.withColumn("factor", F.when(F.row_number().over(own) >= 5, F.avg("returns").over(own.rowsBetween(-4, 0))))
-    days = book_days_by(staged(rows.select("fold", "date", "ticker", "factor", "fwd", "close", "volume")), "fold")
+    rows = rows.withColumn("factor", F.when(F.col("date") >= 4, F.avg("returns").over(own.rowsBetween(-4, 0)))).where("early <= 2")
+    days = cuts.book_days(rows.select("fold", "date", "ticker", "factor", "fwd", "close", "volume"), {"book": ("factor", 0.2)}, ["fold", "date"])
     test = fr.where("test").select("fold", F.col("at").alias("date"))
     m = staged(b.labelled_metrics(days.join(test, ["fold", "date"], "left_semi"), ["fold"]))
     s = m.agg(F.avg("ic_mean").alias("ic"), (F.max("sharpe") - F.stddev_pop("sharpe") * F.log1p(F.count("*").cast("double"))).alias("deflated"))

@@ -79,7 +79,7 @@ def test_no_dates_give_no_days(spark):
     assert cuts.book_days(f, {"a": ("a", 0.2)}, ["date"]).count() == 0
 
 
-BOOKS = ["b30_selection_funnel", "b21_deflated_sharpe", "b22_bootstrap_interval", "b22_dealt_bootstrap", "b27_candidate_fitness", "m4_incremental_contribution"]
+BOOKS = ["b26_purged_folds", "b30_selection_funnel", "b21_deflated_sharpe", "b22_bootstrap_interval", "b22_dealt_bootstrap", "b27_candidate_fitness", "m4_incremental_contribution"]
 
 
 @pytest.mark.parametrize("name", BOOKS)
