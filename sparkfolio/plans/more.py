@@ -307,5 +307,4 @@ _SCORE = "(value - 50) / 20"
 def st5_card_stream(spark, sf_dir):
     """Five tiers with hysteresis and alerts on the stream; a day's first card has none before it."""
     cards = jobs.read_events(spark, sf_dir).where("value is not null and ts is not null").select(F.col("user_id").cast("long").alias("ticker"), F.col("event_id").cast("long").alias("event_id"), "ts", F.expr(_SCORE).alias("score"))
-    with jobs.with_state(spark):
-        return jobs.run_to_table(jobs.rated_cards(cards, lambda scores, held: held_tiers(scores, BAND, held)))
+    return jobs.rated_cards_by_batch(cards, lambda scores, held: held_tiers(scores, BAND, held))

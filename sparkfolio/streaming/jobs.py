@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -152,11 +153,69 @@ def rated_cards(cards: DataFrame, rate: Callable[[list, str | None], list[str]],
     """Cards (ticker, event_id, ts, score) with their tier and whether it differs from the card before it of the same day.
 
     ``rate`` gives the tiers of scores in order after a held one.  The stream needs the state store of :func:`with_state`.
+    Each ticker and day is a call into Python, so this is for increments; a backlog goes through :func:`rated_cards_by_batch`.
     """
     keyed = cards.withWatermark("ts", late).withColumn("day", F.to_date("ts")).groupBy("ticker", "day")
     return keyed.transformWithStateInPandas(CardRater(rate), "ticker long, event_id long, tier string, alert boolean", "Append", "EventTime")
 
 
+def _rated(rate: Callable[[list, str | None], list[str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Tiers of rows that come by key and in order: ``first`` tells a key's first row, which starts from the tier held before the batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None  # the tier of the row before, which may be of another batch of rows
+        for batch in batches:
+            scores, first, held = (batch.column(c).to_pylist() for c in ("score", "first", "held"))
+            starts = [k for k, new in enumerate(first) if new]
+            tiers, alerts = [], []
+            for a, z in zip([0, *starts], [*starts, len(scores)], strict=True):
+                if a == z:
+                    continue
+                before = held[a] if first[a] else now
+                got = rate(scores[a:z], before)
+                alerts += [b is not None and b != t for b, t in zip([before, *got[:-1]], got, strict=True)]
+                tiers += got
+                now = got[-1]
+            kept = [batch.column(c) for c in ("ticker", "event_id")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(tiers, pa.string()), pa.array(alerts, pa.bool_()), batch.column("day"), batch.column("last")], ["ticker", "event_id", "tier", "alert", "day", "last"])
+
+    return run
+
+
+def rated_cards_by_batch(cards: DataFrame, rate: Callable[[list, str | None], list[str]], kept: int = 3, at: str | None = None) -> DataFrame:
+    """What :func:`rated_cards` gives, of all that is there now, for batches of any size: a batch's cards pass by in one sorted run.
+
+    The tier held at the end of a ticker's day is a row of the batch's own table, which the next batch joins; days more than ``kept``
+    before the newest one leave it.  Cards and tiers lie under the batch's number, so a batch that is repeated replaces them.  With
+    ``at``, a folder of the caller, it goes on where the last one that wrote there ended.
+    """
+    spark = cards.sparkSession
+    at = at or new_folder(spark, "stream")
+    held_schema = "ticker long, day date, tier string"
+    own = Window.partitionBy("ticker", "day").orderBy("ts", "event_id")
+
+    def put(batch: DataFrame, number: int) -> None:
+        rows = batch.select("ticker", "event_id", "ts", "score", F.to_date("ts").alias("day"))
+        old = spark.read.schema(held_schema).parquet(f"{at}/held/part={number - 1}") if number else spark.createDataFrame([], held_schema)
+        rows = rows.withColumn("first", F.row_number().over(own) == 1).withColumn("last", F.lead(F.lit(1)).over(own).isNull())
+        if number:
+            o = old.toDF("_ticker", "_day", "held")
+            rows = rows.join(o, F.col("ticker").eqNullSafe(F.col("_ticker")) & (F.col("day") == F.col("_day")), "left").drop("_ticker", "_day")
+            rows = rows.repartition("ticker", "day").sortWithinPartitions("ticker", "day", "ts", "event_id", F.desc("first"), "last")
+        else:
+            rows = rows.withColumn("held", F.lit(None).cast("string"))  # the windows have dealt and sorted the rows
+        out = rows.select("ticker", "event_id", "score", "first", "held", "day", "last").mapInArrow(_rated(rate), "ticker long, event_id long, tier string, alert boolean, day date, last boolean")
+        out.write.mode("overwrite").parquet(f"{at}/data/part={number}")
+        new = spark.read.schema(out.schema).parquet(f"{at}/data/part={number}").where("last").select("ticker", "day", "tier", F.lit(1).alias("no"))
+        both = new.unionByName(old.withColumn("no", F.lit(0)))
+        newest = both.agg(F.max("day")).first()[0]
+        held = both.where(F.lit(newest is None) | (F.col("day") > F.date_sub(F.lit(newest), kept))).groupBy("ticker", "day").agg(F.max_by("tier", "no").alias("tier"))
+        held.write.mode("overwrite").parquet(f"{at}/held/part={number}")
+
+    cards.writeStream.option("checkpointLocation", f"{at}/state").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("ticker long, event_id long, tier string, alert boolean, day date, last boolean").parquet(f"{at}/data").select("ticker", "event_id", "tier", "alert")
+
+
 #: The state store that keeps typed state variables and timers.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 

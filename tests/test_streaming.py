@@ -143,3 +143,35 @@ def test_cards_go_on_after_a_restart_and_their_state_ends_with_the_day(spark, tm
     assert {d for _, d in left} == set(days[-3:])
     last = {(t, d): [w[2] for w in want if w[0] == t and rows[w[1]][2].date() == d][-1] for t, d in left}
     assert left == last
+
+
+def test_cards_by_batch_keep_their_tier_over_batches_and_restarts(spark, tmp_path):
+    """A held tier passes from batch to batch and over a restart; no ticker's day is a call of its own; days that are over leave the table."""
+    from sparkfolio.plans.more import BAND, held_tiers
+
+    rnd = random.Random(14)
+    start = dt.datetime(2024, 1, 1)
+    schema = "ticker long, event_id long, ts timestamp, score double"
+    rows = [(rnd.randrange(3), i, start + dt.timedelta(minutes=7 * (i // 2)), rnd.uniform(-2, 2)) for i in range(2400)]  # pairs at one time
+    rate = lambda scores, held: held_tiers(scores, BAND, held)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+    for k, (a, z) in enumerate([(0, 500), (500, 1100), (1100, 1101), (1101, 2400)]):
+        spark.createDataFrame(rnd.sample(rows[a:z], z - a), schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        out = jobs.rated_cards_by_batch(source.parquet(f"{tmp_path}/in"), rate, at=f"{tmp_path}/out")
+    want = []
+    for ticker in range(3):
+        for day in sorted({r[2].date() for r in rows}):
+            own = sorted((r for r in rows if r[0] == ticker and r[2].date() == day), key=lambda r: (r[2], r[1]))
+            tiers = held_tiers([r[3] for r in own])
+            want += [(ticker, r[1], tier, k > 0 and tiers[k - 1] != tier) for k, (r, tier) in enumerate(zip(own, tiers, strict=True))]
+    assert sorted(tuple(r) for r in out.collect()) == sorted(want)
+    held = {(r.ticker, r.day): r.tier for r in spark.read.parquet(f"{tmp_path}/out/held/part=3").collect()}
+    days = sorted({r[2].date() for r in rows})
+    assert {d for _, d in held} == set(days[-3:])
+
+
+def test_card_query_makes_no_call_for_each_day(spark, monkeypatch):
+    from sparkfolio.plans import registry
+
+    monkeypatch.setattr(jobs, "rated_cards", None)
+    assert registry.QUERIES["st5_card_stream"](spark, "/root/testdata/sf0.001").count() > 0
