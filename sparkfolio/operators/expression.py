@@ -79,3 +79,20 @@ def evaluate_many(panel: DataFrame, expressions: Mapping[str, str], keys: tuple[
     names = list(expressions)
     long = df.select(*keys, *[F.col(f"f_{n}").alias(n) for n in names]).unpivot(list(keys), names, "factor_name", "value")
     return long.select("factor_name", *keys, "value")
+
+
+def evaluate_apart(panel: DataFrame, expressions: Mapping[str, str], keys: tuple[str, ...] = ("date", "ticker")) -> DataFrame:
+    """What :func:`evaluate_many` gives, where only expressions with cross-sections go through the exchange by date.
+
+    That carries a date's ranked values and not the finished values of all others; for a panel that is cheap to read twice or
+    whose own exchange both sides share.
+    """
+
+    def stays(expression: str) -> bool:
+        planner = Planner(panel)
+        planner.value(expression)
+        return planner.panel.in_histories(panel)
+
+    near = {n: e for n, e in expressions.items() if stays(e)}
+    sides = [evaluate_many(panel, side, keys) for side in (near, {n: e for n, e in expressions.items() if n not in near}) if side]
+    return sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])

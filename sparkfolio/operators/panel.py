@@ -111,6 +111,10 @@ class Panel:
         self._used = set()
         return name
 
+    def in_histories(self, df: DataFrame) -> bool:
+        """Whether the frame is still ``df`` and all that waits is done by entity."""
+        return self._df is df and all(c.stage == 0 for c in self._waiting)
+
     @property
     def df(self) -> DataFrame:
         """The frame with all columns named so far."""

@@ -11,7 +11,7 @@ from sparkfolio.functions import expressions as x
 from sparkfolio.functions.staging import staged
 from sparkfolio.operators import acceptance
 from sparkfolio.operators import gram
-from sparkfolio.operators.expression import evaluate_many, evaluate_wide
+from sparkfolio.operators.expression import evaluate_apart, evaluate_many, evaluate_wide
 from sparkfolio.operators.panel import OPERATORS
 from sparkfolio.plans.common import query, rounded
 from sparkfolio.plans.common import sql_rounded as r
@@ -91,8 +91,8 @@ _SEED_SQL = f"WITH {WPANEL_SQL}, inn AS (SELECT *, {', '.join(f'{v} AS {k}' for
 
 @query("e2_all_seeds", _SEED_SQL + " UNION ALL ".join(f"SELECT '{n}' AS factor_name, date, ticker, round(CAST({s} AS DOUBLE), 9) + 0.0 AS value FROM inn" for n, _, _, _, _, s in SEEDS))
 def e2_all_seeds(spark, sf_dir):
-    """All 31 seeds on the weekly panel, long: windows of one partitioning share their shuffle."""
-    long = evaluate_many(panel_weekly(spark, sf_dir), seeds())
+    """All 31 seeds on the weekly panel, long: those by ticker from the exchange of its lines, and what is ranked goes on to the dates."""
+    long = evaluate_apart(panel_weekly(spark, sf_dir, places=False), seeds())
     return long.withColumn("value", F.round("value", 9) + F.lit(0.0))
 
 

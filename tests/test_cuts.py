@@ -94,3 +94,13 @@ def test_books_of_the_weekly_panel_lie_by_ticker(spark, monkeypatch, name):
     (f,) = given
     assert [e for e in exchanges(f) if e != "date"] == ["ticker"]
     assert "strategy" not in f.columns
+
+
+def test_only_ranked_values_of_the_seeds_go_to_the_dates(spark):
+    """The finished values of all other seeds went through that exchange, too: over thirty columns."""
+    from sparkfolio.plans import registry
+
+    df = registry.QUERIES["e2_all_seeds"](spark, SF)
+    text = spark.sparkContext._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    by_date = [int(n) for n, args in re.findall(r"Exchange\nInput \[(\d+)\]:[^\n]*\nArguments: ([^\n]*)", text) if "hashpartitioning(date" in args]
+    assert sorted(n for n in by_date if n > 1) == [10]  # eight values, date and ticker
